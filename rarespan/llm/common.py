@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rarespan.session import share_path
+
 #: White space of the word definition, as a regular expression class (fixed value).
 WS = r"[\x20\x09-\x0D]"
 #: The same characters, for trimming (fixed value).
@@ -14,7 +16,7 @@ WS_CHARS = " \t\n\x0b\f\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return share_path(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
