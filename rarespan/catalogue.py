@@ -1,11 +1,594 @@
-"""The named queries of the engine, each with its SQL oracle where SQL can express it."""
+"""The named queries of the engine, each with its SQL oracle where SQL can express it.
+
+A query takes (spark, sf_dir) and runs over whole tables. Sequences come from text columns: the bases of
+the upper-cased text. Queries that draw (top-X, Bernoulli, replicates) use hashes that SQL can repeat.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from rarespan.config import Mating, Sampling
+from rarespan.functions import gamma
+from rarespan.functions import sequence as S
+from rarespan.operators import checks, composition, curve, mating_align, mating_kmer, ontology, rarefaction, reads
+from rarespan.session import share_path
+from rarespan.sources import sequences, sinks
+
+K, SEED, X_ALIGN, X_DRAW = 24, 1, 50, 100
+ALIGN = Mating(kernel="alignment")
+DRAWS = Sampling(replicates=8, seed=SEED)
+
+_QUERIES: dict = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return share_path(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.from_text(table(spark, sf_dir, "documents"), "doc_id", header=["source", "doc_id"])
+
+
+def with_quality(df: DataFrame) -> DataFrame:
+    """Synthetic qualities: Q = 25 + (31 * read + 7 * position) mod 16."""
+    q = F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.char(F.lit(58) + F.pmod(F.col("read_id") * 31 + i * 7, F.lit(16))))
+    return df.where(F.length("seq") > 0).withColumn("qual", F.array_join(q, ""))
+
+
+def all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.kmer_queries(doc_reads(spark, sf_dir), K)
+
+
+READS = "reads AS (SELECT doc_id AS read_id, concat_ws(':', source, doc_id) AS header, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq, source FROM documents)"
+QUERY_SET = f"q AS (SELECT read_id AS query_id, substr(seq, 1, {K}) AS kmer, reverse(translate(substr(seq, 1, {K}), 'ACGT', 'TGCA')) AS kmer_rc FROM reads WHERE length(seq) >= {K})"
+KMERS = f"w AS (SELECT substr(seq, i, {K}) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM reads) GROUP BY 1)"
+MATES = f"{READS}, {QUERY_SET}, {KMERS}, m AS (SELECT query_id, kmer, (coalesce(f.n, 0) + coalesce(b.n, 0))::BIGINT AS mates FROM q LEFT JOIN w f USING (kmer) LEFT JOIN w b ON b.kmer = q.kmer_rc)"
+QUALITY = "ql AS (SELECT read_id, seq, list_transform(range(0, length(seq)), lambda i: pow(10, -((25 + (read_id * 31 + i * 7) % 16) / 10.0))) AS p FROM reads WHERE length(seq) > 0)"
+TOTAL = "t AS (SELECT count(*) AS total FROM reads WHERE length(seq) > 0)"
+POINTS = "g AS (SELECT i::INT AS portion_idx, CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE pow(0.7::DOUBLE, n - 1 - i) END AS portion FROM (SELECT n, unnest(range(0, n)) AS i FROM (SELECT greatest(2, ceil((ln(2) - ln(greatest(total, 2))) / ln(0.7::DOUBLE))::BIGINT + 2) AS n FROM t)))"
+
+
+# Sources and reads
+
+
+@query(f"WITH {READS} SELECT count(*) AS n_reads, max(length(seq)) AS max_len, sum(length(seq))::BIGINT AS total_len, round(avg(length(seq)), 6) AS mean_len FROM reads WHERE length(seq) > 0")
+def reads_stats(spark, sf_dir):
+    return reads.stats(doc_reads(spark, sf_dir)).withColumn("mean_len", F.round("mean_len", 6))
+
+
+@query(f"WITH {READS} SELECT header, seq FROM reads WHERE length(seq) > 0")
+def fasta_scan(spark, sf_dir):
+    """Records with sequences in lines of 60, parsed."""
+    raw = doc_reads(spark, sf_dir).select(F.concat(F.lit(">"), "header", F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
+    return sequences.parse_fasta(raw).where(F.length("seq") > 0)
+
+
+@query(f"WITH {READS}, {QUALITY} SELECT reads.header, reads.seq, length(reads.seq) AS n_qual FROM reads JOIN ql USING (read_id)")
+def fastq_scan(spark, sf_dir):
+    """Records of four lines, parsed."""
+    r = with_quality(doc_reads(spark, sf_dir))
+    lines = F.array(F.concat(F.lit("@"), "header"), F.col("seq"), F.lit("+"), F.col("qual"))
+    raw = r.select(F.concat(F.lit("f"), F.col("read_id").cast("string")).alias("file"), F.posexplode(lines).alias("n", "value"))
+    return sequences.parse_fastq(raw).select("header", "seq", F.length("qual").cast("long").alias("n_qual"))
+
+
+@query(f"WITH {READS}, {QUALITY} SELECT reads.header, reads.seq FROM reads JOIN ql USING (read_id)")
+def fastq_to_fasta(spark, sf_dir):
+    return sequences.to_fasta_reads(with_quality(doc_reads(spark, sf_dir))).select("header", "seq")
+
+
+@query(f"WITH {READS} SELECT count(*) AS n_reads, max(greatest(length(seq), length(header) + 1)) AS longest_line, round(avg(length(seq)), 6) AS mean_len FROM reads")
+def count_scan(spark, sf_dir):
+    return sequences.longest_line(doc_reads(spark, sf_dir)).withColumn("mean_len", F.round("mean_len", 6))
+
+
+@query(f"WITH {READS} SELECT read_id, seq FROM reads WHERE read_id BETWEEN 10 AND 59")
+def range_scan(spark, sf_dir):
+    return reads.in_range(doc_reads(spark, sf_dir), 10, 50).select("read_id", "seq")
+
+
+@query(f"WITH {READS} SELECT read_id, seq FROM reads WHERE read_id % 2 = 0")
+def one_mate_of_pairs(spark, sf_dir):
+    return reads.one_mate(doc_reads(spark, sf_dir)).select("read_id", "seq")
+
+
+@query(f"WITH {READS}, {QUALITY} SELECT read_id FROM ql WHERE list_sum(p) <= 0.001 * length(seq)")
+def accurate_reads(spark, sf_dir):
+    return reads.accurate(with_quality(doc_reads(spark, sf_dir)), 0.001).select("read_id")
+
+
+# Scalar functions
+
+
+@query(f"WITH {READS}, {QUERY_SET} SELECT query_id, kmer, kmer_rc FROM q")
+def revcomp_first_kmer(spark, sf_dir):
+    return all_queries(spark, sf_dir)
+
+
+@query(f"WITH {READS} SELECT read_id, 'N' || reverse(translate(substr(seq, 2), 'ACGT', 'TGCA')) AS rc FROM reads WHERE length(seq) > 0")
+def revcomp_literal(spark, sf_dir):
+    return reads.non_empty(doc_reads(spark, sf_dir)).select("read_id", S.literal_reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(f"WITH {READS} SELECT read_id, substr(seq, 1, 12) AS kmer, list_sum(list_transform(range(0, 12), lambda i: (instr('AGCT', substr(seq, (12 - i)::INT, 1)) - 1) * pow(4, i)))::BIGINT AS code FROM reads WHERE length(seq) >= 12")
+def kmer_code(spark, sf_dir):
+    kmer = F.substring("seq", 1, 12)
+    return doc_reads(spark, sf_dir).where(F.length("seq") >= 12).select("read_id", kmer.alias("kmer"), S.kmer_code(kmer).alias("code"))
+
+
+@query(f"WITH {READS}, {QUALITY} SELECT read_id AS query_id, round(1 - list_product(list_transform(p[1:{K}], lambda x: 1 - x)), 9) AS p_err FROM ql WHERE length(seq) >= {K}")
+def kmer_error_prob(spark, sf_dir):
+    return reads.kmer_queries(with_quality(doc_reads(spark, sf_dir)), K, True).select("query_id", F.round("p_err", 9).alias("p_err"))
+
+
+@query("WITH l AS (SELECT doc_id AS read_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents) SELECT read_id, regexp_replace(substr(s, 1, 8), '[^NACGTRYSWKMBDHV]', '.', 'g') AS label FROM l WHERE length(s) >= 8")
+def composition_labels(spark, sf_dir):
+    r = reads.letters_from_text(table(spark, sf_dir, "documents"), "doc_id")
+    return r.where(F.length("seq") >= 8).select("read_id", S.composition_label(F.substring("seq", 1, 8)).alias("label"))
+
+
+# Query sets
+
+
+@query(f"WITH {READS}, {QUERY_SET} SELECT query_id, kmer FROM q ORDER BY md5('{SEED}|' || query_id), query_id LIMIT {X_DRAW}")
+def query_sample_topx(spark, sf_dir):
+    usable = all_queries(spark, sf_dir).withColumnRenamed("query_id", "read_id")
+    return reads.sample_fixed(usable, X_DRAW, SEED).select(F.col("read_id").alias("query_id"), "kmer")
+
+
+@query(f"WITH {READS} SELECT read_id, seq FROM reads WHERE (('0x' || substr(md5('{SEED}|' || read_id), 1, 8))::BIGINT / 4294967296.0) <= 0.1")
+def bernoulli_sample(spark, sf_dir):
+    return reads.sample_bernoulli(doc_reads(spark, sf_dir), 0.1, SEED).select("read_id", "seq")
+
+
+@query(f"WITH {READS}, n AS (SELECT least(count(*), 13334) AS n FROM reads) SELECT (CASE WHEN n <= 13333 THEN n * 3 // 4 ELSE 10000 END)::BIGINT AS queries FROM n")
+def query_number(spark, sf_dir):
+    n = reads.resolve_queries(doc_reads(spark, sf_dir), "kmer", Sampling())
+    return spark.range(1).select(F.lit(n).cast("long").alias("queries"))
+
+
+# K-mer mates
+
+
+@query(f"WITH {READS}, w AS (SELECT substr(seq, i, 12) AS kmer, count(*) AS c FROM (SELECT seq, unnest(range(1, length(seq) - 10)) AS i FROM reads) GROUP BY 1) SELECT c AS occurrences, count(*) AS n_kmers FROM w GROUP BY 1")
+def kmer_spectrum(spark, sf_dir):
+    return mating_kmer.spectrum(doc_reads(spark, sf_dir), 12)
+
+
+@query(f"WITH {MATES} SELECT query_id, mates FROM m")
+def kmer_mates(spark, sf_dir):
+    return mating_kmer.mates(all_queries(spark, sf_dir), doc_reads(spark, sf_dir), K).select("query_id", "mates")
+
+
+CROSS = f"WITH {READS}, {KMERS}, b0 AS (SELECT item_id AS query_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark), q AS (SELECT query_id, substr(seq, 1, {K}) AS kmer, reverse(translate(substr(seq, 1, {K}), 'ACGT', 'TGCA')) AS kmer_rc FROM b0 WHERE length(seq) >= {K})"
+
+
+@query(f"{CROSS} SELECT query_id, (coalesce(f.n, 0) + coalesce(b.n, 0))::BIGINT AS mates FROM q LEFT JOIN w f USING (kmer) LEFT JOIN w b ON b.kmer = q.kmer_rc")
+def kmer_mates_cross(spark, sf_dir):
+    other = reads.from_text(table(spark, sf_dir, "benchmark"), "item_id")
+    return mating_kmer.mates(reads.kmer_queries(other, K), doc_reads(spark, sf_dir), K).select("query_id", "mates")
+
+
+@query(f"WITH {MATES} SELECT mates, count(*) AS n_queries FROM m GROUP BY 1")
+def mates_histogram(spark, sf_dir):
+    return mating_kmer.histogram(kmer_mates(spark, sf_dir))
+
+
+@query(
+    f"WITH {MATES}, {QUALITY}, e AS (SELECT query_id, mates, 1 - list_product(list_transform(p[1:{K}], lambda x: 1 - x)) AS p_err FROM m JOIN ql ON read_id = query_id), "
+    "s AS (SELECT round_even(sum(p_err), 0)::BIGINT AS errors FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY mates = 1 ORDER BY query_id) AS rn FROM e) SELECT query_id, mates FROM r, s WHERE NOT (mates = 1 AND rn <= errors)"
+)
+def kmer_mates_corrected(spark, sf_dir):
+    r = with_quality(doc_reads(spark, sf_dir))
+    return mating_kmer.without_errors(mating_kmer.mates(reads.kmer_queries(r, K, True), r, K)).select("query_id", "mates")
+
+
+# Alignment mates
+
+
+TILES = f"{READS}, tiles AS (SELECT read_id * 1000 + t AS read_id, substr(seq, (1 + 50 * t)::INT, 50) AS seq FROM (SELECT read_id, seq, unnest(range(0, length(seq) // 50)) AS t FROM reads WHERE length(seq) >= 50)), aq AS (SELECT read_id AS query_id, seq FROM tiles ORDER BY md5('{SEED}|' || read_id), read_id LIMIT {X_ALIGN})"
+
+
+def _align_oracle(strands: str, plus: int = 0, match: str = "hamming(substr(q, a, w), substr(seq, b, w)) <= e") -> str:
+    """Every query against every tile at every shift; all tiles have 50 bases."""
+    return (
+        f"WITH {TILES}, s AS ({strands}), "
+        "sh AS (SELECT greatest(i, 0) + 1 AS a, greatest(-i, 0) + 1 AS b, 50 - abs(i) AS w, cast(floor((1.0::DOUBLE - 0.95) * (50 - abs(i))) AS INT) AS e FROM (SELECT unnest(range(-25, 26))::INT AS i)), "
+        f"hit AS (SELECT DISTINCT query_id, read_id FROM s, tiles, sh WHERE {match}) "
+        f"SELECT query_id, (count(hit.read_id) + {plus})::BIGINT AS mates FROM aq LEFT JOIN hit USING (query_id) GROUP BY 1"
+    )
+
+
+BOTH = "SELECT query_id, seq AS q FROM aq UNION ALL SELECT query_id, reverse(translate(seq, 'ACGT', 'TGCA')) FROM aq"
+FORWARD = "SELECT query_id, seq AS q FROM aq"
+
+
+def align_tiles(spark, sf_dir) -> DataFrame:
+    return mating_align.tiles(doc_reads(spark, sf_dir))
+
+
+def align_queries(tiles: DataFrame, x: int = X_ALIGN) -> DataFrame:
+    return reads.sample_fixed(tiles, x, SEED).select(F.col("read_id").alias("query_id"), "seq")
+
+
+@query(_align_oracle(BOTH))
+def align_mates(spark, sf_dir):
+    tiles = align_tiles(spark, sf_dir)
+    return mating_align.mates(align_queries(tiles), tiles, ALIGN)
+
+
+@query(_align_oracle(FORWARD))
+def align_mates_one_strand(spark, sf_dir):
+    tiles = align_tiles(spark, sf_dir)
+    return mating_align.mates(align_queries(tiles), tiles, Mating(kernel="alignment", both_strands=False))
+
+
+@query(_align_oracle(BOTH))
+def align_mates_nmismatch(spark, sf_dir):
+    """Tiles hold bases only, so N rules change nothing here; fixtures with N are in the tests."""
+    tiles = align_tiles(spark, sf_dir)
+    return mating_align.mates(align_queries(tiles), tiles, Mating(kernel="alignment", n_mismatch=True))
+
+
+_BENCH_TILES = f"bt AS (SELECT item_id * 1000 + t AS read_id, substr(seq, (1 + 50 * t)::INT, 50) AS seq FROM (SELECT item_id, seq, unnest(range(0, length(seq) // 50)) AS t FROM (SELECT item_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark) WHERE length(seq) >= 50)), aq AS (SELECT read_id AS query_id, seq FROM bt ORDER BY"
+
+
+@query(_align_oracle(BOTH, plus=1).replace("aq AS (SELECT read_id AS query_id, seq FROM tiles ORDER BY", _BENCH_TILES))
+def align_mates_cross(spark, sf_dir):
+    other = mating_align.tiles(reads.from_text(table(spark, sf_dir, "benchmark"), "item_id"))
+    return mating_align.mates(align_queries(other), align_tiles(spark, sf_dir), ALIGN, cross=True)
+
+
+@query(_align_oracle(FORWARD, match="hamming(substr(q, a, w), substr(seq, b, w)) <= e OR hamming(substr(q, a, w), substr('N' || reverse(translate(substr(seq, 2), 'ACGT', 'TGCA')), b, w)) <= e"))
+def align_mates_compat(spark, sf_dir):
+    """The historic reverse complement, on the subject where lengths are equal."""
+    tiles = align_tiles(spark, sf_dir)
+    return mating_align.mates(align_queries(tiles), tiles, Mating(kernel="alignment", literal_reverse=True))
+
+
+# Rarefaction
+
+
+@query(f"WITH {READS}, {TOTAL}, {POINTS} SELECT portion_idx, round(portion, 9) AS portion FROM g")
+def portion_grid_log(spark, sf_dir):
+    total = reads.stats(doc_reads(spark, sf_dir)).head()["n_reads"]
+    return rarefaction.grid(spark, total, Sampling()).withColumn("portion", F.round("portion", 9))
+
+
+@query("SELECT i::INT AS portion_idx, round(i * 0.01::DOUBLE, 9) AS portion FROM (SELECT unnest(range(0, 101)) AS i)")
+def portion_grid_linear(spark, sf_dir):
+    return rarefaction.grid(spark, 1, Sampling(factor=0.0)).withColumn("portion", F.round("portion", 9))
+
+
+@query(f"WITH {MATES}, {TOTAL}, {POINTS} SELECT portion_idx, round(portion, 9) AS portion, round(avg(1 - pow(1 - least(1, greatest(0, (mates - 1)::DOUBLE / (total - 1))), greatest(0, floor(total * portion) - 1))), 6) AS redundancy FROM m, g, t GROUP BY 1, 2")
+def expected_redundancy(spark, sf_dir):
+    """The flagship: k-mer mates of all reads, rarefied in closed form."""
+    total = reads.stats(doc_reads(spark, sf_dir)).head()["n_reads"]
+    out = rarefaction.expected(mates_histogram(spark, sf_dir), rarefaction.grid(spark, total, Sampling()), total)
+    return out.select("portion_idx", F.round("portion", 9).alias("portion"), F.round("redundancy", 6).alias("redundancy"))
+
+
+_U = "(('0x' || substr(md5('{s}|' || portion_idx || '|' || replicate || '|' || query_id || '|{tag}'), 1, 8))::BIGINT / 4294967296.0)"
+_DRAWS = (
+    f"{MATES}, {TOTAL}, {POINTS}, x AS (SELECT query_id, mates FROM m ORDER BY md5('{SEED}|' || query_id), query_id LIMIT {X_DRAW}), "
+    f"d AS (SELECT portion_idx, portion, replicate, {_U.format(s=SEED, tag='in')} < portion AS inside, {_U.format(s=SEED, tag='hit')} < 1 - pow(1 - least(1, greatest(0, (mates - 1)::DOUBLE / (total - 1))), greatest(0, floor(total * portion) - 1)) AS hit FROM x, g, t, (SELECT unnest(range(0, 8)) AS replicate)), "
+    "v AS (SELECT portion_idx, portion, replicate::INT AS replicate, CASE WHEN count(*) FILTER (inside) > 0 THEN count(*) FILTER (inside AND hit)::DOUBLE / count(*) FILTER (inside) ELSE 0 END AS redundancy FROM d GROUP BY ALL)"
+)
+
+
+def _literal(spark, sf_dir) -> DataFrame:
+    total = reads.stats(doc_reads(spark, sf_dir)).head()["n_reads"]
+    drawn = reads.sample_fixed(kmer_mates(spark, sf_dir).withColumnRenamed("query_id", "read_id"), X_DRAW, SEED).withColumnRenamed("read_id", "query_id")
+    return rarefaction.replicate_literal(drawn, rarefaction.grid(spark, total, DRAWS), total, DRAWS)
+
+
+@query(f"WITH {_DRAWS} SELECT portion_idx, replicate, round(redundancy, 9) AS redundancy FROM v")
+def replicate_draws(spark, sf_dir):
+    return _literal(spark, sf_dir).select("portion_idx", "replicate", F.round("redundancy", 9).alias("redundancy"))
+
+
+@query(f"WITH {_DRAWS} SELECT portion_idx, round(avg(redundancy), 6) AS avg, round(stddev_pop(redundancy), 6) AS sd, round(list_sort(list(redundancy))[3], 6) AS q1, round(list_sort(list(redundancy))[5], 6) AS q2, round(list_sort(list(redundancy))[7], 6) AS q3 FROM v GROUP BY 1")
+def replicate_summary(spark, sf_dir):
+    out = rarefaction.summarise(_literal(spark, sf_dir))
+    return out.select("portion_idx", *(F.round(c, 6).alias(c) for c in ("avg", "sd", "q1", "q2", "q3")))
+
+
+@query()
+def replicate_binomial(spark, sf_dir):
+    """1024 replicates of all queries, by binomial draws."""
+    total = reads.stats(doc_reads(spark, sf_dir)).head()["n_reads"]
+    s = Sampling()
+    return rarefaction.summarise(rarefaction.replicate(mates_histogram(spark, sf_dir), rarefaction.grid(spark, total, s), total, s))
+
+
+@query()
+def run_evaluation(spark, sf_dir):
+    return checks.evaluate(replicate_binomial(spark, sf_dir))
+
+
+# Curves: one per source
+
+
+def source_curves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Metadata and closed-form points of the reads of each source, mated within the source."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("source").alias("label"), F.col("doc_id").alias("read_id"), F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("seq")).where(F.length("seq") >= K)
+    facts = rows.groupBy("label").agg(F.count("*").alias("R"), F.avg(F.length("seq")).alias("L"))
+    meta = facts.select("label", F.lit("kmer").alias("kernel"), "L", (F.col("L") - (K - 1)).alias("AL"), "R", F.lit(50.0).alias("overlap"), F.lit(0.7).alias("divide"))
+    kmer = S.first_kmer(F.col("seq"), K)
+    q = rows.select("label", "read_id", kmer.alias("kmer"), S.reverse_complement(kmer).alias("kmer_rc"))
+    keys = q.select("label", F.explode(F.array("kmer", "kmer_rc")).alias("kmer")).distinct().select("label", F.encode("kmer", "UTF-8").alias("kmer"))
+    windows = rows.select("label", F.explode(S.kmer_bytes(F.col("seq"), K)).alias("kmer"))
+    hits = windows.join(keys, ["label", "kmer"], "left_semi").groupBy("label", "kmer").agg(F.count("*").alias("n")).select("label", F.decode("kmer", "UTF-8").alias("kmer"), "n")
+    m = q.join(hits.withColumnRenamed("n", "nf"), ["label", "kmer"], "left").join(hits.select("label", F.col("kmer").alias("kmer_rc"), F.col("n").alias("nb")), ["label", "kmer_rc"], "left")
+    hist = m.select("label", (F.coalesce("nf", F.lit(0)) + F.coalesce("nb", F.lit(0))).alias("mates")).groupBy("label", "mates").agg(F.count("*").alias("n"))
+    n_points = F.greatest(F.lit(2), F.ceil((F.ln(F.lit(2.0)) - F.ln(F.greatest("R", F.lit(2)))) / F.ln(F.lit(0.7))) + 2).cast("int")
+    grid = meta.select("label", "R", n_points.alias("np")).select("label", "R", "np", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("i"))
+    grid = grid.select("label", "R", "i", F.when(F.col("i") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(0.7), F.col("np") - 1 - F.col("i"))).alias("portion"))
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("mates") - 1).cast("double") / F.greatest(F.col("R") - 1, F.lit(1)).cast("double")))
+    found = 1 - F.pow(1 - p, F.greatest(F.lit(0), F.floor(F.col("R") * F.col("portion")) - 1))
+    points = hist.join(grid, "label").groupBy("label", "i", "R", "portion").agg((F.sum(F.col("n") * found) / F.sum("n")).alias("avg"))
+    points = points.select("label", (F.col("portion") * F.col("R")).alias("x_obs"), "avg", F.lit(0.0).alias("sd"), *(F.col("avg").alias(c) for c in ("q1", "q2", "q3")))
+    return meta, points
+
+
+_CURVES = (
+    f"rs AS (SELECT source AS label, doc_id AS read_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents), r AS (SELECT * FROM rs WHERE length(seq) >= {K}), "
+    f"meta AS (SELECT label, count(*) AS R, avg(length(seq)) AS L, avg(length(seq)) - {K - 1} AS AL FROM r GROUP BY 1), "
+    f"w AS (SELECT label, substr(seq, i, {K}) AS kmer, count(*) AS n FROM (SELECT label, seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM r) GROUP BY 1, 2), "
+    f"q AS (SELECT label, substr(seq, 1, {K}) AS kmer, reverse(translate(substr(seq, 1, {K}), 'ACGT', 'TGCA')) AS rc FROM r), "
+    "m AS (SELECT q.label, coalesce(f.n, 0) + coalesce(b.n, 0) AS mates FROM q LEFT JOIN w f ON f.label = q.label AND f.kmer = q.kmer LEFT JOIN w b ON b.label = q.label AND b.kmer = q.rc), "
+    "g AS (SELECT label, R, i, CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE pow(0.7::DOUBLE, n - 1 - i) END AS portion FROM (SELECT label, R, n, unnest(range(0, n)) AS i FROM (SELECT label, R, greatest(2, ceil((ln(2) - ln(greatest(R, 2))) / ln(0.7::DOUBLE))::BIGINT + 2) AS n FROM meta))), "
+    "p AS (SELECT label, portion * R AS x_obs, avg(1 - pow(1 - least(1, greatest(0, (mates - 1)::DOUBLE / greatest(R - 1, 1))), greatest(0, floor(R * portion) - 1))) AS red FROM m JOIN g USING (label) GROUP BY label, i, R, portion), "
+    "c AS (SELECT label, x_obs, red, pow(red, 1 - exp(2.23e-2 * 50 - 3.5698)) AS cov, row_number() OVER (PARTITION BY label ORDER BY x_obs) AS i FROM p), "
+    "z AS (SELECT *, max(x_obs) OVER l AS mx, arg_max(cov, x_obs) OVER l AS C FROM c WINDOW l AS (PARTITION BY label)), "
+    "y AS (SELECT label, i, x_obs, red, cov, CASE WHEN x_obs > 0 THEN exp(ln(mx) + pow(C, 0.27) * (ln(x_obs) - ln(mx))) ELSE 0 END AS xa FROM z), "
+    "pts AS (SELECT y.label, i::INT AS i, x_obs, red, cov, xa * AL * R / max(xa) OVER (PARTITION BY y.label) AS x_adj FROM y JOIN meta USING (label))"
+)
+
+
+def source_points(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    meta, raw = source_curves(spark, sf_dir)
+    return meta, curve.points(raw, meta)
+
+
+@query(f"WITH {_CURVES} SELECT label, i, round(x_obs, 6) AS x_obs, round(x_adj, 3) AS x_adj, round(red, 6) AS red, round(cov, 6) AS cov FROM pts")
+def coverage_points(spark, sf_dir):
+    pts = source_points(spark, sf_dir)[1]
+    return pts.select("label", "i", F.round("x_obs", 6).alias("x_obs"), F.round("x_adj", 3).alias("x_adj"), F.round("red", 6).alias("red"), F.round("cov", 6).alias("cov"))
+
+
+@query(
+    f"WITH {_CURVES}, h AS (SELECT *, max(x_adj) OVER (PARTITION BY label) * 0.5 AS half FROM pts) SELECT label, round(arg_max(red, x_obs), 6) AS kappa, round(arg_max(cov, x_obs), 6) AS C, coalesce(arg_max(cov, x_adj) FILTER (x_adj <= half), arg_max(cov, x_obs)) = 0 AS median_zero, "
+    "arg_max(red, x_obs) <= 1e-5 AS too_low, coalesce(max(cov) FILTER (i = 2), 0) >= 1 - 1e-5 AS too_steep, count(*) FILTER (cov > 0 AND cov < 0.9) <= 10 AS few_points FROM h GROUP BY 1"
+)
+def curve_checks(spark, sf_dir):
+    out = curve.checks(source_points(spark, sf_dir)[1])
+    return out.select("label", F.round("kappa", 6).alias("kappa"), F.round("C", 6).alias("C"), "median_zero", "too_low", "too_steep", "few_points")
+
+
+_GAMMA = "CASE WHEN {x} > 0 THEN list_sum(list_transform(range(0, 400), lambda n: exp(({a} + n) * ln({x} * {b}) - {x} * {b} - lgamma({a} + n + 1)))) ELSE 0 END"
+
+
+@query("SELECT x::DOUBLE AS x, a::DOUBLE AS a, b::DOUBLE AS b, round(" + _GAMMA.format(x="x", a="a", b="b") + ", 8) AS p FROM (SELECT unnest(range(0, 41)) AS x), (SELECT unnest([1.0, 5.5, 20.0]) AS a), (SELECT unnest([0.5, 1.0, 3.0]) AS b)")
+def gamma_cdf_grid(spark, sf_dir):
+    xs = share_path(spark).range(41).select(F.col("id").cast("double").alias("x"))
+    grid = xs.select("x", F.explode(F.array(*map(F.lit, (1.0, 5.5, 20.0)))).alias("a")).select("x", "a", F.explode(F.array(*map(F.lit, (0.5, 1.0, 3.0)))).alias("b"))
+    return grid.select("x", "a", "b", F.round(gamma.gamma_cdf("x", "a", "b"), 8).alias("p"))
+
+
+@query("SELECT p::DOUBLE / 20 AS p, a::DOUBLE AS a, b::DOUBLE AS b, p::DOUBLE / 20 AS back FROM (SELECT unnest(range(1, 20)) AS p), (SELECT unnest([1.0, 5.5, 20.0]) AS a), (SELECT unnest([0.5, 1.0, 3.0]) AS b)")
+def gamma_quantile_grid(spark, sf_dir):
+    """The distribution function of the quantile is the probability again."""
+    ps = share_path(spark).range(1, 20).select((F.col("id") / 20).alias("p"))
+    grid = ps.select("p", F.explode(F.array(*map(F.lit, (1.0, 5.5, 20.0)))).alias("a")).select("p", "a", F.explode(F.array(*map(F.lit, (0.5, 1.0, 3.0)))).alias("b"))
+    return grid.withColumn("x", gamma.gamma_quantile("p", "a", "b")).select("p", "a", "b", F.round(gamma.gamma_cdf("x", "a", "b"), 9).alias("back"))
+
+
+_AB = "ab AS (SELECT a::DOUBLE AS a, b::DOUBLE AS b FROM (SELECT unnest(range(2, 40, 4)) AS a), (SELECT unnest([0.5, 1.0, 1.5, 2.0, 3.0]) AS b))"
+
+
+@query(
+    f"WITH {_CURVES}, {_AB}, s AS (SELECT label, a, b, round(sum(pow(cov - ({_GAMMA.format(x='ln(1 + x_adj)', a='a', b='b')}), 2)), 9) AS sse FROM pts, ab WHERE cov > 0 AND cov < 0.9 GROUP BY 1, 2, 3), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sse, a, b) AS rn FROM s) SELECT label, a, b, round(sse, 6) AS sse FROM o WHERE rn = 1"
+)
+def curve_fit_grid(spark, sf_dir):
+    grid = share_path(spark).range(2, 40, 4).select(F.col("id").cast("double").alias("a"), F.explode(F.array(*map(F.lit, (0.5, 1.0, 1.5, 2.0, 3.0)))).alias("b"))
+    return curve.fit_on_grid(source_points(spark, sf_dir)[1], grid).withColumn("sse", F.round("sse", 6))
+
+
+@query()
+def curve_fit(spark, sf_dir):
+    meta, pts = source_points(spark, sf_dir)
+    return curve.fit(pts, meta, enforce=False)
+
+
+@query()
+def curve_summary_by_source(spark, sf_dir):
+    meta, pts = source_points(spark, sf_dir)
+    return curve.summary(pts, meta, curve.fit(pts, meta, enforce=False))
+
+
+def given_model(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    meta, pts = source_points(spark, sf_dir)
+    return pts, meta.select("label", F.lit(True).alias("has_model"), F.lit(20.0).alias("a"), F.lit(1.5).alias("b"), F.lit(12.5).alias("diversity"))
+
+
+@query(f"WITH {_CURVES} SELECT label, round(x_adj, 3) AS effort, round({_GAMMA.format(x='ln(1 + x_adj)', a='20.0', b='1.5')}, 6) AS coverage FROM pts WHERE x_adj > 0")
+def predict_coverage(spark, sf_dir):
+    pts, params = given_model(spark, sf_dir)
+    out = curve.predict(params, pts.where("x_adj > 0").select("label", F.col("x_adj").alias("effort")))
+    return out.select("label", F.round("effort", 3).alias("effort"), F.round("coverage", 6).alias("coverage"))
+
+
+@query(f"WITH {_CURVES} SELECT label, round(x_adj, 3) AS x_adj, round(greatest(cov - 1.9 * 0, 1e-7), 6) AS lower, round(cov, 6) AS upper FROM pts")
+def dispersion_bands(spark, sf_dir):
+    out = curve.bands(source_points(spark, sf_dir)[1], "ci95")
+    return out.select("label", *(F.round(c, n).alias(c) for c, n in (("x_adj", 3), ("lower", 6), ("upper", 6))))
+
+
+@query()
+def plot_series(spark, sf_dir):
+    pts, params = given_model(spark, sf_dir)
+    return curve.plot_series(pts, params)
+
+
+@query()
+def plot_guides(spark, sf_dir):
+    return curve.plot_guides(given_model(spark, sf_dir)[1])
+
+
+@query()
+def curve_json(spark, sf_dir):
+    meta, pts = source_points(spark, sf_dir)
+    return curve.to_json(pts, meta, given_model(spark, sf_dir)[1].select("label", "has_model", "a", "b", "diversity"))
+
+
+@query(f"WITH {MATES}, {TOTAL}, {POINTS} SELECT portion_idx, format('{{:.0f}}', portion * total) || chr(9) || format('{{:.5f}}', v) || chr(9) || '0.00000' || chr(9) || format('{{:.5f}}', v) || chr(9) || format('{{:.5f}}', v) || chr(9) || format('{{:.5f}}', v) AS value FROM (SELECT portion_idx, portion, any_value(total) AS total, avg(1 - pow(1 - least(1, greatest(0, (mates - 1)::DOUBLE / (total - 1))), greatest(0, floor(total * portion) - 1))) AS v FROM m, g, t GROUP BY 1, 2)")
+def curve_file_lines(spark, sf_dir):
+    total = reads.stats(doc_reads(spark, sf_dir)).head()["n_reads"]
+    points = rarefaction.expected(mates_histogram(spark, sf_dir), rarefaction.grid(spark, total, Sampling()), total)
+    summary = points.select("portion_idx", "portion", F.col("redundancy").alias("avg"), F.lit(0.0).alias("sd"), *(F.col("redundancy").alias(c) for c in ("q1", "q2", "q3")))
+    return sinks.curve_lines(summary, total)
+
+
+@query(f"WITH {_CURVES} SELECT label, i, round(cov, 6) AS cov FROM pts UNION ALL SELECT 'again:' || label, i, round(cov, 6) FROM pts")
+def curve_set_add(spark, sf_dir):
+    pts = source_points(spark, sf_dir)[1].select("label", "i", F.round("cov", 6).alias("cov"))
+    return curve.add(pts, pts.withColumn("label", F.concat(F.lit("again:"), "label")))
+
+
+# Composition
+
+
+LETTERS = "l AS (SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^NACGTRYSWKMBDHV]', '.', 'g') AS s FROM documents)"
+
+
+def _composition_oracle(k: int) -> str:
+    return f"WITH {LETTERS}, c AS (SELECT substr(s, i, {k}) AS kmer, count(*) AS count FROM (SELECT s, unnest(range(1, length(s) - {k} + 2)) AS i FROM l WHERE length(s) > {k}) GROUP BY 1)"
+
+
+def _letters(spark, sf_dir) -> DataFrame:
+    return reads.letters_from_text(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(_composition_oracle(1) + " SELECT kmer, count FROM c")
+def nuc_composition_k1(spark, sf_dir):
+    return composition.counts(_letters(spark, sf_dir), 1)
+
+
+@query(_composition_oracle(2) + " SELECT kmer, count FROM c")
+def nuc_composition_k2(spark, sf_dir):
+    return composition.counts(_letters(spark, sf_dir), 2)
+
+
+_LETTER_LIST = ", ".join(f"'{c}'" for c in S.LABEL_ALPHABET)
+
+
+@query(_composition_oracle(2) + f", a AS (SELECT unnest([{_LETTER_LIST}]) AS x) SELECT p.x || q.x AS kmer, coalesce(count, 0) AS count FROM a p CROSS JOIN a q LEFT JOIN c ON kmer = p.x || q.x")
+def nuc_composition_k2_zeroes(spark, sf_dir):
+    return composition.with_zeroes(composition.counts(_letters(spark, sf_dir), 2), 2)
+
+
+@query(_composition_oracle(3) + " SELECT kmer, count, count AS base, 1::BIGINT AS omag, 0::BIGINT AS hang FROM c")
+def nuc_composition_extended(spark, sf_dir):
+    return composition.extended(composition.counts(_letters(spark, sf_dir), 3))
+
+
+@query(f"WITH {LETTERS}, d AS (SELECT s FROM l WHERE (('0x' || substr(md5('{SEED}|' || doc_id), 1, 8))::BIGINT / 4294967296.0) < 0.3 AND length(s) > 2) SELECT substr(s, i, 2) AS kmer, count(*) AS count FROM (SELECT s, unnest(range(1, length(s))) AS i FROM d) GROUP BY 1")
+def nuc_composition_sampled(spark, sf_dir):
+    return composition.counts(_letters(spark, sf_dir), 2, 0.3, SEED)
+
+
+# Ontology: regions are roots, nations and suppliers are below them
+
+
+def _ontology(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    term = lambda df, key, kind, offset, root: df.select((F.col(key) + offset).cast("long").alias("id"), F.lit(kind).alias("term_type"), F.format_string("GO:%07d", (F.col(key) + offset).cast("long")).alias("acc"), F.lit(root).alias("is_root"))
+    terms = term(region, "r_regionkey", "biological_process", 1, 1).unionByName(term(nation, "n_nationkey", "molecular_function", 101, 0)).unionByName(term(supplier, "s_suppkey", "cellular_component", 1001, 0))
+    one = nation.select((F.col("n_regionkey") + 1).cast("long").alias("t1"), (F.col("n_nationkey") + 101).cast("long").alias("t2"))
+    two = supplier.select((F.col("s_nationkey") + 101).cast("long").alias("t1"), (F.col("s_suppkey") + 1001).cast("long").alias("t2"))
+    far = one.join(two.select(F.col("t1").alias("m"), F.col("t2").alias("low")), F.col("t2") == F.col("m")).select("t1", F.col("low").alias("t2"), F.lit(2).alias("distance"))
+    own = terms.select(F.col("id").alias("t1"), F.col("id").alias("t2"), F.lit(0).alias("distance"))
+    near = one.unionByName(two).withColumn("distance", F.lit(1))
+    paths = near.unionByName(far).unionByName(own).select(F.col("t1").alias("term1_id"), F.col("t2").alias("term2_id"), F.lit(1).cast("long").alias("relationship_type_id"), "distance")
+    return paths, terms
+
+
+_GO = (
+    "tm AS (SELECT r_regionkey + 1 AS id, 'biological_process' AS term_type, printf('GO:%07d', (r_regionkey + 1)::BIGINT) AS acc, 1 AS is_root FROM region UNION ALL SELECT n_nationkey + 101, 'molecular_function', printf('GO:%07d', (n_nationkey + 101)::BIGINT), 0 FROM nation UNION ALL SELECT s_suppkey + 1001, 'cellular_component', printf('GO:%07d', (s_suppkey + 1001)::BIGINT), 0 FROM supplier), "
+    "near AS (SELECT n_regionkey + 1 AS t1, n_nationkey + 101 AS t2 FROM nation UNION ALL SELECT s_nationkey + 101, s_suppkey + 1001 FROM supplier), "
+    "gp AS (SELECT t1, t2, 1 AS distance FROM near UNION ALL SELECT a.t1, b.t2, 2 FROM near a JOIN near b ON a.t2 = b.t1 UNION ALL SELECT id, id, 0 FROM tm), "
+    "edge AS (SELECT c.acc, p.acc AS parent_acc FROM near JOIN tm c ON c.id = t2 JOIN tm p ON p.id = t1)"
+)
+
+
+@query(f"WITH {_GO} SELECT acc, CASE term_type WHEN 'biological_process' THEN 'P' WHEN 'molecular_function' THEN 'F' ELSE 'C' END AS domain FROM tm")
+def go_domain(spark, sf_dir):
+    terms = _ontology(spark, sf_dir)[1]
+    return ontology.domain(terms, terms)
+
+
+@query(f"WITH {_GO} SELECT c.acc, min(distance) AS depth FROM gp JOIN tm r ON r.id = t1 AND r.is_root = 1 JOIN tm c ON c.id = t2 GROUP BY 1")
+def go_depth(spark, sf_dir):
+    return ontology.depth(*_ontology(spark, sf_dir))
+
+
+@query(f"WITH {_GO} SELECT acc, parent_acc FROM edge")
+def go_parents(spark, sf_dir):
+    return ontology.parents(*_ontology(spark, sf_dir))
+
+
+@query(f"WITH {_GO} SELECT acc, array_to_string(list_sort(list(DISTINCT parent_acc)), ',') AS parents FROM edge GROUP BY 1")
+def go_parent_sets(spark, sf_dir):
+    return ontology.parent_sets(*_ontology(spark, sf_dir)).withColumn("parents", F.array_join("parents", ","))
+
+
+_UP = "RECURSIVE up AS (SELECT acc AS start, acc, 0 AS level FROM tm UNION SELECT start, parent_acc, level + 1 FROM up JOIN edge USING (acc))"
+_PAIRS = "pr AS (SELECT acc AS a, lead(acc) OVER (ORDER BY acc) AS b FROM tm), pp AS (SELECT * FROM pr WHERE b IS NOT NULL)"
+
+
+def _pairs(terms: DataFrame) -> DataFrame:
+    """Each term with the next accession; the harness ontology is a few hundred terms."""
+    return terms.select(F.col("acc").alias("a"), F.lead("acc").over(W.orderBy("acc")).alias("b")).where("b IS NOT NULL")
+
+
+@query(f"WITH RECURSIVE {_GO}, {_UP.removeprefix('RECURSIVE ')}, {_PAIRS}, l AS (SELECT a, b, min(greatest(x.level, y.level))::INT AS distance FROM pp JOIN up x ON x.start = a JOIN up y ON y.start = b AND x.acc = y.acc GROUP BY 1, 2) SELECT a, b, distance FROM pp LEFT JOIN l USING (a, b)")
+def go_distance(spark, sf_dir):
+    paths, terms = _ontology(spark, sf_dir)
+    return ontology.distance(ontology.parents(paths, terms), _pairs(terms))
+
+
+@query(f"WITH RECURSIVE {_GO}, {_UP.removeprefix('RECURSIVE ')}, {_PAIRS} SELECT DISTINCT a, b, x.acc FROM pp JOIN up x ON x.start = a JOIN up y ON y.start = b AND x.acc = y.acc")
+def go_common_ancestors(spark, sf_dir):
+    paths, terms = _ontology(spark, sf_dir)
+    return ontology.common_ancestors(ontology.parents(paths, terms), _pairs(terms))
+
+
+@query(f"WITH {_GO} SELECT acc FROM tm UNION SELECT parent_acc FROM edge")
+def go_union_distinct(spark, sf_dir):
+    paths, terms = _ontology(spark, sf_dir)
+    return ontology.union_distinct(terms.select("acc"), ontology.parents(paths, terms).select(F.col("parent_acc").alias("acc")))
