@@ -38,17 +38,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def uniforms(seed: np.ndarray, steps: np.ndarray) -> list[np.ndarray]:
+    """Three uniforms of 21 bits each from one hash per (seed, step)."""
+    h = mixed(seed[:, None] + steps)
+    part = lambda shift: (((h >> np.uint64(shift)) & np.uint64(0x1FFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-21)
+    return [part(43), part(22), part(1)]
+
+
 def scores(terms: list[str], weights: np.ndarray, k: int = K) -> np.ndarray:
-    """(terms, k) values ln(a)."""
+    """(terms, k) values ln(a).
+
+    With exponentials e1 and e2, r = e1 + e2 is Gamma(2, 1) and beta = e2 / r is uniform and independent of
+    it, so that r * (1 - beta) = e1: a word of weight 1, which has t = 0, needs no second hash.
+    """
     seed = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in terms], np.uint64)
     out = np.empty((len(terms), k), np.float32)
-    steps = np.arange(1, 5 * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(terms), 1024):
-        u = ((mixed(seed[at : at + 1024, None] + steps) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-        u = u.reshape(len(u), 5, k)
-        r, c = -np.log(u[:, 0] * u[:, 1]), -np.log(u[:, 2] * u[:, 3])
-        t = np.floor(np.log(weights[at : at + 1024, None]) / r + u[:, 4])
-        out[at : at + 1024] = np.log(c) - r * (t - u[:, 4] + 1)
+    steps = np.arange(1, 2 * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(terms), 512):
+        some = slice(at, at + 512)
+        u1, u3, u4 = uniforms(seed[some], steps[:k])
+        e1, ln_c = -np.log(u1), np.log(-np.log(u3 * u4))
+        out[some] = ln_c - e1
+        many = np.flatnonzero(weights[some] != 1)
+        if len(many):
+            e2 = -np.log(uniforms(seed[some][many], steps[k:])[0])
+            r = e1[many] + e2
+            t = np.floor(np.log(weights[some][many]).astype(np.float32)[:, None] / r + e2 / r)
+            out[at + many] = ln_c[many] - r * t - e1[many]
     return out
 
 
@@ -57,15 +73,14 @@ class Sampler:
 
     def __init__(self, k: int = K, rows: int = TABLE_ROWS):
         self.k, self.rows = k, rows
-        self.table, self.at = np.empty((0, k), np.float32), {}
+        self.table, self.at = np.empty((rows, k), np.float32), {}
 
     def add(self, keys: list) -> None:
         pairs = [x if type(x) is tuple else (x, 1) for x in keys]
-        made = scores([p[0] for p in pairs], np.array([p[1] for p in pairs], np.float64), self.k)
         n = len(self.at)
         if n + len(keys) > len(self.table):
-            self.table = np.concatenate([self.table[:n], np.empty((max(8192, len(keys), n // 2), self.k), np.float32)])
-        self.table[n : n + len(keys)] = made
+            self.table = np.concatenate([self.table[:n], np.empty((len(keys), self.k), np.float32)])
+        self.table[n : n + len(keys)] = scores([p[0] for p in pairs], np.array([p[1] for p in pairs], np.float64), self.k)
         self.at.update(zip(keys, range(n, n + len(keys))))
 
     def __call__(self, texts: list[str], few: int = 64) -> np.ndarray:
@@ -74,7 +89,7 @@ class Sampler:
         for start in range(0, len(texts), few):
             bags = [[w if c == 1 else (w, c) for w, c in Counter(t.lower().split()).items()] for t in texts[start : start + few]]
             if len(self.at) > self.rows:
-                self.table, self.at = np.empty((0, self.k), np.float32), {}
+                self.table, self.at = self.table[: self.rows], {}
             if new := list({x: 0 for bag in bags for x in bag if x not in self.at}):
                 self.add(new)
             for i, bag in enumerate(bags, start):
