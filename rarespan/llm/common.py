@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from rarespan.session import share_path
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
 #: White space of the word definition, as a regular expression class (fixed value).
 WS = r"[\x20\x09-\x0D]"
 #: The same characters, for trimming (fixed value).
@@ -16,6 +18,8 @@ WS_CHARS = " \t\n\x0b\f\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus. Arrow batches are bounded by bytes, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return share_path(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches of at most so many rows, so that what Python makes of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, whatever the number of its uses inside lambdas."""
     return F.transform(F.array(value), body)[0]

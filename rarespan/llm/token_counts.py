@@ -21,6 +21,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections import Counter
@@ -29,55 +30,59 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rarespan.llm.common import sliced
+
 SPACE, MAX_NODES, LONG, UNKNOWN_PENALTY = "▁", 400_000, 64, 10.0
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class Unigram:
+    """Pieces, and a trie of the prefixes seen so far. A node is [children by character, best score, tokens]."""
+
     def __init__(self, pieces: dict[str, float], unknown: float):
         self.unknown, self.pieces = unknown, pieces
-        self.longest = max(map(len, pieces), default=1)
-        # pieces as a trie over reversed characters: from a prefix's end, walk back
-        self.back: dict = {}
+        # pieces by their characters from the last to the first: (score of the piece so far or None, longer ones)
+        nested: dict = {}
         for piece, score in pieces.items():
-            node = self.back
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = score
+            node = nested
+            for c in reversed(piece[1:]):
+                node = node.setdefault(c, [None, {}])[1]
+            node.setdefault(piece[0], [None, {}])[0] = score
+        self.back = nested
         self.clear()
 
     def clear(self) -> None:
-        #: A node: its children by character, and the chain of (best, tokens) of its prefixes is on the path to it.
         self.root, self.nodes = [{}, 0.0, 0], 0
 
-    def extend(self, text: str, scores: list[float], counts: list[int]) -> tuple[float, int]:
-        """Best score and tokens of text, given those of all its shorter prefixes."""
-        i, node, best, tokens = len(text), self.back, -math.inf, 0
+    def extend(self, text: str, i: int, scores: list[float], counts: list[int]) -> tuple[float, int]:
+        """Best score and tokens of text[:i], given those of its shorter prefixes."""
+        best, tokens, here = -math.inf, 0, self.back
         for start in range(i - 1, -1, -1):
-            node = node.get(text[start])
-            if node is None:
+            found = here.get(text[start])
+            if found is None:
                 break
-            if "" in node:
-                s, n = scores[start] + node[""], counts[start] + 1
-                if s > best or s == best and n < tokens:
-                    best, tokens = s, n
-        if text[-1] not in self.pieces:
-            size = len(text[-1].encode("utf-8", "surrogatepass"))
-            s, n = scores[i - 1] + size * self.unknown, counts[i - 1] + size
-            if s > best or s == best and n < tokens:
-                best, tokens = s, n
+            score, here = found
+            if score is not None:
+                s = scores[start] + score
+                if s > best or s == best and counts[start] + 1 < tokens:
+                    best, tokens = s, counts[start] + 1
+        if text[i - 1] not in self.pieces:
+            size = len(text[i - 1].encode("utf-8", "surrogatepass"))
+            s = scores[i - 1] + size * self.unknown
+            if s > best or s == best and counts[i - 1] + size < tokens:
+                best, tokens = s, counts[i - 1] + size
         return best, tokens
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token."""
         text = SPACE + word
         node, scores, counts, store = self.root, [0.0], [0], len(text) <= LONG
-        for i in range(1, len(text) + 1):
-            after = node[0].get(text[i - 1]) if store else None
+        for i, c in enumerate(text, 1):
+            after = node[0].get(c) if store else None
             if after is None:
-                after = [{}, *self.extend(text[max(0, i - self.longest) : i], scores[-self.longest :], counts[-self.longest :])]
+                after = [{}, *self.extend(text, i, scores, counts)]
                 if store:
-                    node[0][text[i - 1]] = after
+                    node[0][c] = after
                     self.nodes += 1
             node = after
             scores.append(node[1])
@@ -102,7 +107,8 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     def run(batches):
         model = unigram(path)
         terminal: dict[str, int] = {}
-        for b in batches:
+        for b in sliced(batches):
+            gc.disable()  # nodes hold no cycles, and there are many of them
             words, tokens = [], []
             for t in b.column(1).to_pylist():
                 bag = Counter(WORD.findall(t or ""))
@@ -114,6 +120,8 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
                         terminal[w] = model.count(w)
                 words.append(bag.total())
                 tokens.append(sum(c * terminal[w] for w, c in bag.items()))
+            gc.freeze()
+            gc.enable()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], [key, "n_words", "n_tokens"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_words long, n_tokens long")
