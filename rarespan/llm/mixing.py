@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from rarespan.llm.common import WS, cut, symbol_count, word_count
 
 WEIGHTS, SHARE, CAP, BUCKETS, SEED = (5, 2, 1), 1.5, 2.0, 1024, "mix-1"
+RESULT = ("size", "source_size", "target", "epochs", "taken")
 
 
 def uniform(seed: str, doc_id: Column) -> Column:
@@ -54,14 +55,28 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return out.select("source", "source_size", F.when(F.col("capped"), F.col("full")).otherwise(F.col("at") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, epochs, taken), one row per row of docs."""
-    size = word_count(F.col("text"))
-    rows = docs.select("doc_id", "source", "text", size.alias("size"))
-    rows = rows.select("doc_id", "source", "size", (-F.log(uniform(seed, F.col("doc_id"))) / quality_weight(F.col("text"), F.col("size"))).alias("key"))
-    rows = cut(rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")))
+def keyed(docs: DataFrame, buckets: int, seed: str) -> DataFrame:
+    """docs with size, key and the key's bucket."""
+    rows = docs.withColumn("size", word_count(F.col("text")))
+    rows = rows.withColumn("key", -F.log(uniform(seed, F.col("doc_id"))) / quality_weight(F.col("text"), F.col("size")))
+    return rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
 
-    words = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+
+def per_source(rows: DataFrame, table: DataFrame, few: int = 100_000) -> DataFrame:
+    """rows joined with a table of one row per source, sent whole if it is known to have few rows."""
+    table = cut(table.withColumnRenamed("source", "t_source"))
+    table = F.broadcast(table) if table.count() <= few else table
+    return rows.join(table, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, buckets: int = BUCKETS, seed: str = SEED, whole_rows: bool = False) -> DataFrame:
+    """(doc_id, source, size, source_size, target, epochs, taken), one row per row of docs; whole_rows: docs with these.
+
+    With whole_rows the texts are read again and meet per-source facts and the few rows at the edges; they are not shuffled.
+    """
+    rows = keyed(docs if whole_rows else docs.select("doc_id", "source", "text"), buckets, seed)
+    narrow = cut(rows.select("doc_id", "source", "size", "key", "bucket"))
+    words = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     targets = source_targets(words.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", whole)
@@ -69,14 +84,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     sums = words.withColumn("before", F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words"))
     edge = sums.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
     edge = edge.where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("words"))).select(F.col("t.source").alias("e_source"), F.col("bucket").alias("edge"), "before")
-    targets = targets.join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source").withColumnRenamed("source", "t_source")
+    targets = targets.join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
 
-    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     prefix = W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    inside = rows.where(F.col("bucket") == F.col("edge")).withColumn("room", F.col("left") - F.col("before") - F.coalesce(F.sum("size").over(prefix), F.lit(0)))
-    outside = rows.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("room", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
+    at_edge = per_source(narrow, targets).where(F.col("bucket") == F.col("edge"))
+    at_edge = at_edge.withColumn("room", F.col("left") - F.col("before") - F.coalesce(F.sum("size").over(prefix), F.lit(0)))
+    at_edge = at_edge.groupBy(F.col("doc_id").alias("e_id"), F.col("key").alias("e_key"), F.col("size").alias("e_size")).agg(F.max("room").alias("room"))
+
+    every = per_source(rows if whole_rows else narrow, targets)
+    same = F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("key") == F.col("e_key")) & (F.col("size") == F.col("e_size"))
+    inside = every.where(F.col("bucket") == F.col("edge")).join(at_edge, same).drop("e_id", "e_key", "e_size")
+    outside = every.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("room", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("room")))
-    return inside.unionByName(outside).select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
+    out = inside.unionByName(outside).withColumn("taken", (F.col("epochs") * F.col("size") + extra).cast("long"))
+    return out.select(*([c for c in docs.columns if c not in RESULT] if whole_rows else ["doc_id", "source"]), *RESULT)
 
 
 def copies(size: Column, taken: Column) -> Column:
