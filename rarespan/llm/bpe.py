@@ -93,6 +93,21 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
     return with_text(docs.select(key, text), text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, {ENCODED}")
 
 
+def tokenise(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", rows: int = 256) -> DataFrame:
+    """(key, n_tokens, ids, round_trip): round_trip tells whether the decoded ids are the text's bytes."""
+
+    def run(batches):
+        c = codec(path, pattern)
+        for whole in batches:
+            for b in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
+                texts = b.column(1).to_pylist()
+                ids = c.encode(texts)
+                same = [c.decode(i) == t.encode() for t, i in zip(texts, ids)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], [key, "n_tokens", "ids", "round_trip"])
+
+    return with_text(docs.select(key, text), text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def decode(tokens: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """(key, text) of (key, ids); bytes that are not UTF-8 become U+FFFD."""
 
