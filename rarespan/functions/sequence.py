@@ -11,6 +11,11 @@ LABEL_ALPHABET = "NACGTRYSWKMBDHV."
 BASES, DIGITS = "AGCT", "0123"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once per row and not once per element of a lambda in body."""
+    return F.transform(F.array(value), body)[0]
+
+
 def reverse_complement(seq: Column) -> Column:
     """Upper-case bases are complemented, other characters become N."""
     return F.reverse(F.translate(F.regexp_replace(seq, "[^ACGT]", "N"), "ACGT", "TGCA"))
@@ -40,9 +45,8 @@ def kmer_code(kmer: Column) -> Column:
 
 def kmer_bytes(seq: Column, k: int) -> Column:
     """Every window of k characters of an ASCII sequence as an array of binary values; empty if it is shorter."""
-    raw = F.encode(seq, "UTF-8")
-    windows = F.transform(F.sequence(F.lit(1), F.length(raw) - (k - 1)), lambda i: F.substr(raw, i, F.lit(k)))
-    return F.when(F.length(raw) >= k, windows).otherwise(F.array().cast("array<binary>"))
+    windows = lambda raw: F.when(F.length(raw) >= k, F.transform(F.sequence(F.lit(1), F.length(raw) - (k - 1)), lambda i: F.substr(raw, i, F.lit(k))))
+    return F.coalesce(let(F.encode(seq, "UTF-8"), windows), F.array().cast("array<binary>"))
 
 
 def phred_error(quality: Column) -> Column:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder the session names; only a local master may use a temporary one."""
+    """df, written below the checkpoint folder that the session names and read again; only a local master may use a temporary one.
+
+    A written table has statistics and no origin plan; a checkpoint's kept constraints break unions of its
+    own columns in this version of Spark. The files stay as long as the folder.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -18,4 +23,6 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="rarespan-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -145,7 +145,7 @@ def pairs_all(queries: DataFrame, reads: DataFrame, m: Mating, few: int = 32) ->
 
 def mates(queries: DataFrame, reads: DataFrame, m: Mating, cross: bool = False, least_seed: int = 8) -> DataFrame:
     """(query_id, mates) of queries (query_id, seq); cross: the queries are of another dataset, and count themselves."""
-    edge = reads.unionByName(queries.select(F.col("query_id").alias("read_id"), "seq")).where(F.length("seq") > 0).agg(F.min(F.length("seq")), F.max(F.length("seq"))).head()
+    edge = reads.select("read_id", "seq").unionByName(queries.select(F.col("query_id").alias("read_id"), "seq")).where(F.length("seq") > 0).agg(F.min(F.length("seq")), F.max(F.length("seq"))).head()
     q = seed_length(edge[0], edge[1], m) if edge[0] else 0
     seeded = q >= least_seed and not (m.literal_reverse or m.n_wildcard)
     found = pairs_seeded(queries, reads, q, m) if seeded else pairs_all(queries, reads, m)

@@ -12,9 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rarespan.schema import table
 from rarespan.session import share_path
 
 
+LINES = table("file STRING, block LONG, value STRING, i LONG")
+
+
 def dense_ids(df: DataFrame) -> DataFrame:
     """df with read_id, counting from 1 in the order of its rows: one job counts partitions, then rows are numbered where they lie."""
     numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
@@ -60,7 +64,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     file's splits before it, a table of one row per split.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    rows = spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), T.StructType.fromDDL("file STRING, block LONG, value STRING, i LONG"))
+    rows = spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), LINES)
     blocks = rows.groupBy("file", "block").agg(F.min("i").alias("first"), F.count("*").alias("lines"))
     blocks = blocks.withColumn("before", F.sum("lines").over(W.partitionBy("file").orderBy("block")) - F.col("lines")).drop("lines")
     return rows.join(blocks, ["file", "block"]).select("file", (F.col("i") - F.col("first") + F.col("before")).alias("n"), "value")
