@@ -16,9 +16,12 @@ from rarespan.operators.small import broadcast_if_small
 
 
 def windows(reads: DataFrame, k: int) -> DataFrame:
-    """(kmer): each window of k bases of each read, as often as it occurs, as binary; windows with another character are none."""
-    every = reads.select(F.explode(S.kmer_bytes(F.upper("seq"), k)).alias("kmer"))
-    return every if reads.schema["seq"].metadata.get("bases_only") else every.where(F.decode("kmer", "UTF-8").rlike("^[ACGT]+$"))
+    """(kmer): each window of k bases of each read, as often as it occurs, as binary.
+
+    Reads are cut at other characters first, so that no window needs a check of its own.
+    """
+    runs = reads.select(F.explode(F.split(F.upper("seq"), "[^ACGT]+")).alias("run")).where(F.length("run") >= k)
+    return runs.select(F.explode(S.kmer_bytes(F.col("run"), k)).alias("kmer"))
 
 
 def spectrum(reads: DataFrame, k: int) -> DataFrame:
@@ -35,11 +38,13 @@ def counts(queries: DataFrame, reads: DataFrame, k: int) -> DataFrame:
 
 
 def mates(queries: DataFrame, reads: DataFrame, k: int) -> DataFrame:
-    """queries with mates: occurrences of the k-mer and of its reverse complement; a palindrome counts twice."""
-    n = counts(queries, reads, k)
-    forward, back = n.select("kmer", F.col("n").alias("nf")), n.select(F.col("kmer").alias("kmer_rc"), F.col("n").alias("nb"))
-    out = queries.join(forward, "kmer", "left").join(back, "kmer_rc", "left")
-    return out.withColumn("mates", F.coalesce("nf", F.lit(0)) + F.coalesce("nb", F.lit(0))).drop("nf", "nb")
+    """queries with mates: occurrences of the k-mer and of its reverse complement; a palindrome counts twice.
+
+    Both strands look up one table of counts, so that the reads are scanned once. Query ids are unique.
+    """
+    both = queries.withColumn("_strand", F.explode(F.array("kmer", "kmer_rc")))
+    found = both.join(counts(queries, reads, k).select(F.col("kmer").alias("_strand"), "n"), "_strand", "left")
+    return found.groupBy(*queries.columns).agg(F.sum(F.coalesce("n", F.lit(0))).alias("mates"))
 
 
 def without_errors(mated: DataFrame) -> DataFrame:

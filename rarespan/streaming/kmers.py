@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rarespan import schema
-from rarespan.functions import sequence as S
+from rarespan.operators import mating_kmer
 
 
 def read_stream(spark: SparkSession, folder: str, form: str = "parquet", per_trigger: int = 16) -> DataFrame:
@@ -16,8 +16,7 @@ def read_stream(spark: SparkSession, folder: str, form: str = "parquet", per_tri
 def hits(stream: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(kmer, n) so far, for the queries' k-mers on both strands; state holds at most two keys per query."""
     keys = queries.select(F.explode(F.array("kmer", "kmer_rc")).alias("kmer")).distinct().select(F.encode("kmer", "UTF-8").alias("kmer"))
-    windows = stream.select(F.explode(S.kmer_bytes(F.upper("seq"), k)).alias("kmer"))
-    return windows.join(keys, "kmer", "left_semi").groupBy(F.decode("kmer", "UTF-8").alias("kmer")).agg(F.count("*").alias("n"))
+    return mating_kmer.windows(stream, k).join(keys, "kmer", "left_semi").groupBy(F.decode("kmer", "UTF-8").alias("kmer")).agg(F.count("*").alias("n"))
 
 
 def start(counted: DataFrame, name: str, checkpoint: str):
