@@ -12,7 +12,8 @@ common; the texts move once, as the probe side of a hash join, so they are neith
 Defined results: a null text stays null and has no lines; fewer than three lines form no run; rows that
 repeat both doc_id and text are one document, each gets the same result and none is a later occurrence of
 another; in A A A A only the first line stays, as runs overlap; an empty table gives an empty result;
-columns beside doc_id and text pass through.
+other columns pass through, but
+those named as the results or gone, _id and _th, which are dropped.
 """
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ def removals(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the text that is left, n_lines and n_removed."""
     gone = removals(docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "gone")
-    rows = docs.drop("n_lines", "n_removed").join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
+    docs = docs.drop("n_lines", "n_removed", "_id", "_th", "gone")
+    rows = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
     lines = counted_lines(F.col("text"))
 
     def rest(gone_at):
@@ -65,7 +67,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     gone_at = let(lines, lambda x: F.transform(F.col("gone"), lambda j: x[j]["i"]))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(gone_at, rest))
     counts = {"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
-    return rows.withColumns(counts | {"text": text}).select(*[c for c in docs.columns if c not in counts], *counts)
+    return rows.withColumns(counts | {"text": text}).select(*docs.columns, *counts)
 
 
 ORACLE = r"""

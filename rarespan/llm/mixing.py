@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from rarespan.llm.common import WS, cut, symbol_count, word_count
 
 WEIGHTS, SHARE, CAP, BUCKETS, SEED = (5, 2, 1), 1.5, 2.0, 1024, "mix-1"
+#: Columns of the operator; the input's of these names are dropped.
+INTERNAL = ("key", "bucket", "left", "before", "edge", "room", "t_source", "e_id", "e_key", "e_size", "size", "source_size", "target", "epochs", "taken")
 RESULT = ("size", "source_size", "target", "epochs", "taken")
 
 
@@ -74,7 +76,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     With whole_rows the texts are read again and meet per-source facts and the few rows at the edges; they are not shuffled.
     """
-    rows = keyed(docs if whole_rows else docs.select("doc_id", "source", "text"), buckets, seed)
+    docs = docs.drop(*INTERNAL) if whole_rows else docs.select("doc_id", "source", "text")
+    rows = keyed(docs, buckets, seed)
     narrow = cut(rows.select("doc_id", "source", "size", "key", "bucket"))
     words = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     targets = source_targets(words.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
@@ -97,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     outside = every.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("room", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("room")))
     out = inside.unionByName(outside).withColumn("taken", (F.col("epochs") * F.col("size") + extra).cast("long"))
-    return out.select(*([c for c in docs.columns if c not in RESULT] if whole_rows else ["doc_id", "source"]), *RESULT)
+    return out.select(*(docs.columns if whole_rows else ["doc_id", "source"]), *RESULT)
 
 
 def copies(size: Column, taken: Column) -> Column:
