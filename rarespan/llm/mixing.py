@@ -1,18 +1,23 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Every document draws u from a hash of its id and gets the key -ln(u) / quality, so that a smaller key
-comes first and better documents tend to come first. A source's target is a number of words: whole
-epochs take each of its documents that many times, and the fraction left takes documents in key order
-until the prefix sum of their words meets the budget; the document at the edge gives its first words.
-
-The order is never built for a whole source. Keys fall into BUCKETS ranges, a histogram of words per
-(source, range) is summed to find the range that holds the edge, and only the documents of that range
-are sorted. So a source with a third of all rows costs one map-side combined count, and 1/BUCKETS of it
-a sort.
-
-Defined results: null or empty texts have size 0 and are taken 0 times 0 words; a null source is a source
-of its own, ordered last; rows that repeat a doc_id share its key and keep a deterministic order by size;
-an empty table gives an empty result.
+Every document draws u from a hash of its id and text and gets the key -ln(u) / quality, so that a smaller
+key comes first and better documents tend to come first. A source's target is a number of words: whole
+epochs take each of its documents that many times, and the fraction left takes documents in the order of
+(key, doc_id, size, hash of the text) until the prefix sum of their words meets the budget; the row at the
+edge gives its first words.
+
+The order is never built for a whole source. Keys fall into ranges, STEPS to a factor of two: whatever the
+qualities, an exponential key lies in one range with a probability below 1/1000, as each quality's density
+over ln(key) is at most 1/e. A histogram of words per (source, range) is summed to find the range that
+holds the edge, and only the distinct rows of that range are sorted. What comes out is one tuple per source,
+the edge; every row compares itself with it. Equal rows share a tuple; if the edge falls among them they are
+numbered by the partitions they lie in, so that a source of one row repeated is not numbered in one task.
+
+Defined results: null or empty texts have size 0 and are taken 0 words; a null source is a source of its own,
+ordered last; rows that repeat a doc_id, null ones too, are rows of their own, and of equal rows of a source
+(doc_id and text) as many are taken as the budget allows, whichever these are; very long texts are one row
+like others, of which the first words may be taken; an empty table gives an empty result. Columns that have
+the name of a result or of INTERNAL are dropped from the input.
 """
 
 from __future__ import annotations
@@ -23,15 +28,15 @@ from pyspark.sql import functions as F
 
 from rarespan.llm.common import WS, cut, symbol_count, word_count
 
-WEIGHTS, SHARE, CAP, BUCKETS, SEED = (5, 2, 1), 1.5, 2.0, 1024, "mix-1"
+WEIGHTS, SHARE, CAP, STEPS, SEED = (5, 2, 1), 1.5, 2.0, 256, "mix-2"
 #: Columns of the operator; the input's of these names are dropped.
-INTERNAL = ("key", "bucket", "left", "before", "edge", "room", "t_source", "e_id", "e_key", "e_size", "size", "source_size", "target", "epochs", "taken")
+INTERNAL = ("key", "digest", "bucket", "left", "before", "edge", "room", "at_key", "at_id", "at_size", "at_digest", "copies", "side", "part", "nth", "earlier", "t_source", "size", "source_size", "target", "epochs", "taken")
 RESULT = ("size", "source_size", "target", "epochs", "taken")
 
 
-def uniform(seed: str, doc_id: Column) -> Column:
+def uniform(seed: str, doc_id: Column, digest: Column) -> Column:
     """In (0, 1), the same on each run."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(2**52)
 
 
@@ -57,11 +62,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return out.select("source", "source_size", F.when(F.col("capped"), F.col("full")).otherwise(F.col("at") * F.col("w")).alias("target"))
 
 
-def keyed(docs: DataFrame, buckets: int, seed: str) -> DataFrame:
-    """docs with size, key and the key's bucket."""
-    rows = docs.withColumn("size", word_count(F.col("text")))
-    rows = rows.withColumn("key", -F.log(uniform(seed, F.col("doc_id"))) / quality_weight(F.col("text"), F.col("size")))
-    return rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+def keyed(docs: DataFrame, seed: str = SEED, steps: int = STEPS) -> DataFrame:
+    """docs with size, digest, key and the key's bucket."""
+    rows = docs.withColumns({"size": word_count(F.col("text")), "digest": F.md5(F.coalesce("text", F.lit("")))})
+    rows = rows.withColumn("key", -F.log(uniform(seed, F.col("doc_id"), F.col("digest"))) / quality_weight(F.col("text"), F.col("size")))
+    return rows.withColumn("bucket", F.floor(F.log("key") * (steps / 0.6931471805599453)).cast("int"))
 
 
 def per_source(rows: DataFrame, table: DataFrame, few: int = 100_000) -> DataFrame:
@@ -71,35 +76,55 @@ def per_source(rows: DataFrame, table: DataFrame, few: int = 100_000) -> DataFra
     return rows.join(table, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, buckets: int = BUCKETS, seed: str = SEED, whole_rows: bool = False) -> DataFrame:
-    """(doc_id, source, size, source_size, target, epochs, taken), one row per row of docs; whole_rows: docs with these.
-
-    With whole_rows the texts are read again and meet per-source facts and the few rows at the edges; they are not shuffled.
-    """
-    docs = docs.drop(*INTERNAL) if whole_rows else docs.select("doc_id", "source", "text")
-    rows = keyed(docs, buckets, seed)
-    narrow = cut(rows.select("doc_id", "source", "size", "key", "bucket"))
-    words = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+def edges(narrow: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
+    """One row per source: source_size, target, epochs, and the place where its fraction ends, (at_key, at_id, at_size, at_digest) with room words left for the equal rows there."""
+    words = cut(narrow.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     targets = source_targets(words.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", whole)
-    targets = targets.withColumn("left", F.floor(F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double")).cast("long"))
+    targets = cut(targets.withColumn("left", F.floor(F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double")).cast("long")))
     sums = words.withColumn("before", F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words"))
-    edge = sums.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
-    edge = edge.where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("words"))).select(F.col("t.source").alias("e_source"), F.col("bucket").alias("edge"), "before")
-    targets = targets.join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
-
-    prefix = W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    at_edge = per_source(narrow, targets).where(F.col("bucket") == F.col("edge"))
-    at_edge = at_edge.withColumn("room", F.col("left") - F.col("before") - F.coalesce(F.sum("size").over(prefix), F.lit(0)))
-    at_edge = at_edge.groupBy(F.col("doc_id").alias("e_id"), F.col("key").alias("e_key"), F.col("size").alias("e_size")).agg(F.max("room").alias("room"))
-
-    every = per_source(rows if whole_rows else narrow, targets)
-    same = F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("key") == F.col("e_key")) & (F.col("size") == F.col("e_size"))
-    inside = every.where(F.col("bucket") == F.col("edge")).join(at_edge, same).drop("e_id", "e_key", "e_size")
-    outside = every.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("room", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("room")))
-    out = inside.unionByName(outside).withColumn("taken", (F.col("epochs") * F.col("size") + extra).cast("long"))
+    holder = per_source(sums, targets.select("source", "left")).where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("words")))
+    holder = holder.select("source", F.col("bucket").alias("edge"), (F.col("left") - F.col("before")).alias("room"))
+    inside = per_source(narrow, holder).where(F.col("bucket") == F.col("edge"))
+    order = ("key", "doc_id", "size", "digest")
+    groups = inside.groupBy("source", *order, "room").agg(F.count("*").alias("copies"))
+    prefix = W.partitionBy("source").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.withColumn("room", F.col("room") - F.coalesce(F.sum(F.col("copies") * F.col("size")).over(prefix), F.lit(0)))
+    at = groups.where((F.col("room") >= 0) & (F.col("room") < F.col("copies") * F.col("size")))
+    at = at.select(F.col("source").alias("t_source"), F.col("key").alias("at_key"), F.col("doc_id").alias("at_id"), F.col("size").alias("at_size"), F.col("digest").alias("at_digest"), "room", "copies")
+    return targets.drop("left").join(at, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with earlier: how many rows of their source come before them here, counted by the partitions that hold them."""
+    rows = cut(rows.withColumns({"part": F.spark_partition_id(), "nth": F.monotonically_increasing_id()}))
+    parts = rows.groupBy("source", "part").agg(F.count("*").alias("n"))
+    parts = parts.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("part")) - F.col("n")).select(F.col("source").alias("t_source"), F.col("part").alias("t_part"), "before")
+    own = F.row_number().over(W.partitionBy("source", "part").orderBy("nth")) - 1
+    both = rows.withColumn("earlier", own).join(parts, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("part") == F.col("t_part")))
+    return both.withColumn("earlier", F.col("earlier") + F.col("before")).drop("t_source", "t_part", "before", "part", "nth")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, whole_rows: bool = False) -> DataFrame:
+    """(doc_id, source, size, source_size, target, epochs, taken), one row per row of docs; whole_rows: docs with these.
+
+    With whole_rows the texts are read again and meet per-source facts; only rows equal to an edge's are moved.
+    """
+    docs = docs.drop(*INTERNAL) if whole_rows else docs.select("doc_id", "source", "text")
+    narrow = cut(keyed(docs, seed).select("doc_id", "source", "size", "digest", "key", "bucket"))
+    facts = cut(edges(narrow, weights, share, cap))
+    keys = lambda df: keyed(df, seed) if whole_rows else df
+    own, at = F.struct("key", "doc_id", "size", "digest"), F.struct("at_key", "at_id", "at_size", "at_digest")
+    side = F.when(F.col("at_key").isNull(), F.lit(0)).when(own < at, F.lit(-1)).when(own > at, F.lit(1)).otherwise(F.lit(0))
+    every = per_source(keys(docs if whole_rows else narrow), facts).withColumns({"side": side, "earlier": F.lit(0).cast("long")})
+    if not facts.where("copies > 1").isEmpty():
+        tied = (F.col("side") == 0) & (F.col("copies") > 1)
+        near = per_source(docs if whole_rows else narrow, facts.where("copies > 1")).where(F.col("doc_id").eqNullSafe(F.col("at_id")))
+        every = every.where(~F.coalesce(tied, F.lit(False))).unionByName(numbered(keys(near).withColumn("side", side).where(tied)))
+    room = F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.col("earlier") * F.col("size")))
+    extra = F.when(F.col("at_key").isNull() | (F.col("side") > 0), F.lit(0)).when(F.col("side") < 0, F.col("size")).otherwise(room)
+    out = every.withColumn("taken", (F.col("epochs") * F.col("size") + extra).cast("long"))
     return out.select(*(docs.columns if whole_rows else ["doc_id", "source"]), *RESULT)
 
 
@@ -112,7 +137,7 @@ ORACLE = rf"""
 WITH n AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda y: y <> ''))::BIGINT AS size,
     (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::DOUBLE AS sym,
-    (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+    (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
 k AS (
   SELECT doc_id, source, size, -ln(u) / (0.1::DOUBLE + 0.9::DOUBLE * (1.0::DOUBLE - least(1.0::DOUBLE, 10.0::DOUBLE * sym / greatest(size, 1)::DOUBLE))) AS key FROM n),
 s AS (
