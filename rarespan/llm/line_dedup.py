@@ -11,9 +11,10 @@ common; the texts move once, as the probe side of a hash join, so they are neith
 
 Defined results: a null text stays null and has no lines; fewer than three lines form no run; rows that
 repeat both doc_id and text are one document, each gets the same result and none is a later occurrence of
-another; in A A A A only the first line stays, as runs overlap; an empty table gives an empty result;
-other columns pass through, but
-those named as the results or gone, _id and _th, which are dropped.
+another; in A A A A only the first line stays, as runs overlap; ties do not exist, as (doc_id, text hash,
+position) orders all occurrences; a very long text has many runs, which are rows of their own, and its lines
+are rebuilt in one row; an empty table gives an empty result; other columns pass through, but those named
+as the results or gone, _id and _th, which are dropped.
 """
 
 from __future__ import annotations
