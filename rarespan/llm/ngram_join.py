@@ -3,30 +3,34 @@
 Two texts link when 100 * |A & B| >= 80 * |A | B| of their sets of five-word shingles (64-bit hashes).
 
 1. Equal sets form classes, and only one document of a class goes on.
-2. Families. Among the classes that have a value of a 16-value sketch, a few are pivots; a class that is
-   alike a pivot by the sketch joins its family, and families that meet unite. A family is only a
-   guess about where answers lie; no result hangs on it. Inside a family every pair is compared, in blocks
-   of bounded size, with the answers of a block derived together: the shingles that members share are one
-   matrix, and the intersections of a member are read off its relatives' rows. A block reports a spanning
-   forest of its links, never its pairs.
-3. Between families, a prefix index. Shingles have one global order, frequent ones last (FREQUENT, by a
-   constant-rate sample of documents: the order decides cost, never the result). Sets with a Jaccard of 0.8
-   share a shingle among the first |A| - ceil(0.8 |A|) + 1 of each, so a list holds the classes that have a
-   shingle there. A list skips blocks of members: those of one family (answered by 2) and those whose sizes
-   cannot reach 0.8. A member beside a large block of a family is that family's guest and is compared with
-   it as in 2. What is left is counted by pair; where the two prefixes end bounds what can follow,
-   and only pairs that the bound admits are compared by their whole sets.
-4. Components of all links, over classes, then documents.
-
-Scale: a list of a frequent shingle is dealt to block pairs of about LIST members; a family to block pairs of
-about 2048 members or a million shingles. The driver holds a bitmap of fixed size and at most FREQUENT shingles. Sets
-are recomputed from the text where they are needed, not stored for all documents. Two large families that are just
-short of linking cost the product of their sizes in index pairs: nothing is dropped to avoid it.
+2. Relations. Classes that have a value of a 16-value sketch in common with one of a few leads are a family if
+   the sketches agree in ALIKE values; it is a guess about where answers lie, and no result hangs on it. Each
+   member is compared with one or two leads by its whole set, which links most of a family.
+3. The index. Shingles have one global order, frequent ones last (FREQUENT, by a constant-rate sample of
+   documents: the order decides cost, never the result). Sets with a Jaccard of 0.8 share a shingle among the
+   first |A| - ceil(0.8 |A|) + 1 of each, so a list holds the sets that have a shingle there, with its position.
+   A family's members of like size and position are one entry of a list. A list is cut into blocks by size and
+   sorted by position; a shingle at positions i and j of sets of n and m leaves min(i, j) + min(n - i, m - j)
+   shared shingles at most, so of each block that is not skipped by its sizes only a window of positions is read.
+   What is left is counted by pair of entries, and where the two prefixes end bounds what can follow.
+4. Answers. Pairs of single sets are compared by their whole sets. A set that the index pairs with a family, or a
+   member that its lead did not link, becomes the family's guest and meets the family in blocks: it is compared
+   with one pivot of the block, and the answers for the pivot's relatives follow from how they differ from it.
+   |x & p| + |y - p| bounds |x & y|, which settles most relatives at once; for the rest |x & y| is |x & p| less
+   the shared part of p - y plus that of y - p. A block reports a spanning forest of its links, never its pairs.
+5. Components of all links, over classes, then documents.
+
+Scale: a list of a frequent shingle is dealt to block pairs of about LIST entries; families and guests to blocks of
+BLOCK_MEMBERS sets or BLOCK_SHINGLES shingles, the number of which is known before any set is moved. The driver
+holds a bitmap sized by its count, 128 MB at most, and at most FREQUENT shingles. Sets are recomputed from the text
+where they are needed. Two large families that are just short of linking cost the product of their sizes
+in derived answers: nothing is dropped to avoid it.
 
 Defined results: null or empty texts and texts without a word have no shingles and are their own
 component; with fewer than five words the sequence is one shingle; equal texts link; rows that share a
-doc_id are one node; a null doc_id links with nothing and has a null component; an empty table gives an
-empty result.
+doc_id are one node; a null doc_id links with nothing and has a null component; ties do not exist, as a
+component is named by its least doc_id; a very long text is one set, and blocks hold fewer of such; an empty
+table gives an empty result; only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -38,14 +42,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarespan.llm.common import cut, sliced
+from rarespan.llm.common import cut, sliced, stored
 from rarespan.llm.graph import components
 
-WIDTH, PERCENT, SKETCH, ALIKE = 5, 80, 16, 5
+WIDTH, PERCENT, SKETCH, ALIKE, SURE = 5, 80, 16, 5, 10
 PIVOTS = (0, 0x2AAAAAAAAAAAAAAA, 0x1999999999999999)
 SAMPLE_RATE, SAMPLE_COUNT, FREQUENT, LIST = 8, 4, 1 << 17, 4096
-BLOCK_SHINGLES, BLOCK_MEMBERS, LARGE = 1 << 20, 2048, 16
-BITS = 25
+BLOCK_SHINGLES, BLOCK_MEMBERS, SALTS = 1 << 20, 512, 32
+MOST_BITS = 30
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3)) & (2**64 - 1) | 1 for i in range(SKETCH)], np.uint64)
@@ -89,36 +93,90 @@ def prefix_length(n, percent: int = PERCENT):
     return n - needed(n, percent) + 1
 
 
-def summarise(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """(doc_id, n, c1, c2, sketch): the size of each set, two sums that name it, and its sketch."""
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """The least value of the set under each of the sketch's orders."""
+    if not len(s):
+        return np.zeros(SKETCH, np.uint64)
+    return (s[:, None] * ODD).min(axis=0) if len(s) < 4096 else np.array([(s * o).min() for o in ODD], np.uint64)
+
+
+def summarise(docs: DataFrame, text: str, width: int, percent: int, often) -> DataFrame:
+    """(doc_id, n, c1, c2, sketch, end, head): the size of each set, two sums that name it, its sketch, and its prefix with the place where it ends."""
 
     def run(batches):
-        words = WordHashes()
+        words, table = WordHashes(), often.value[0]
+        longs = lambda x: pa.array(np.array(x, np.uint64).reshape(-1).view(np.int64))
         for b in sliced(batches):
-            n, c1, c2, sketch = [], [], [], []
+            n, c1, c2, sketch, ends, heads = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, words, width)
                 n.append(len(s))
                 c1.append(s.sum(dtype=np.uint64))
                 c2.append(mixed(s + GOLD).sum(dtype=np.uint64))
-                sketch.append([(s * o).min() for o in ODD] if len(s) else [0] * SKETCH)
-            longs = lambda x: pa.array(np.array(x, np.uint64).reshape(-1).view(np.int64))
+                sketch.append(sketch_of(s))
+                head, end = prefix(s, table, percent) if len(s) else (s, 0)
+                ends.append(end)
+                heads.append(head)
             lists = pa.ListArray.from_arrays(np.arange(0, SKETCH * (len(n) + 1), SKETCH, dtype=np.int32), longs(sketch))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), longs(c1), longs(c2), lists], ["doc_id", "n", "c1", "c2", "sketch"])
+            at = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+            heads = pa.ListArray.from_arrays(at, longs(np.concatenate(heads)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), longs(c1), longs(c2), lists, pa.array(ends, pa.int64()), heads], ["doc_id", "n", "c1", "c2", "sketch", "end", "head"])
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c1 long, c2 long, sketch array<long>")
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>, end long, head array<long>")
 
 
-def families(reps: DataFrame) -> DataFrame:
-    """(cls, fam) of the classes that have relatives."""
+def alike(reps: DataFrame) -> DataFrame:
+    """(cls, lead, same): classes and the leads whose sketches agree with theirs in ALIKE values or more."""
     values = reps.select("cls", F.posexplode("sketch").alias("j", "v"))
     leads = values.groupBy("j", "v").agg(*(f(F.col("cls").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"{f.__name__}{i}") for i, x in enumerate(PIVOTS) for f in (F.min, F.max))).where("min0 < max0")
     leads = cut(leads.select("j", "v", F.array_distinct(F.array(*(f"{f}{i}" for i in range(len(PIVOTS)) for f in ("min", "max")))).alias("leads")))
     pairs = values.join(leads, ["j", "v"]).select("cls", F.explode("leads").alias("lead")).where(F.col("cls") != F.col("lead")).distinct()
     pairs = pairs.join(reps.select("cls", F.col("sketch").alias("s1")), "cls").join(reps.select(F.col("cls").alias("lead"), F.col("sketch").alias("s2")), "lead")
     same = F.size(F.filter(F.zip_with("s1", "s2", lambda x, y: x == y), lambda x: x))
-    found = components(pairs.where(same >= ALIKE).select(F.col("cls").alias("a"), F.col("lead").alias("b")))
-    return found.select(F.col("node").alias("cls"), F.col("comp").alias("fam"))
+    return cut(pairs.select("cls", "lead", same.alias("same")).where(F.col("same") >= ALIKE))
+
+
+def own_leads(pairs: DataFrame) -> DataFrame:
+    """(cls, lead): for each class the least of the leads that are surely alike, and the most alike one."""
+    chosen = pairs.groupBy("cls").agg(F.min(F.when(F.col("same") >= SURE, F.col("lead"))).alias("first"), F.max(F.struct("same", "lead"))["lead"].alias("best"))
+    return chosen.select("cls", F.explode(F.array_distinct(F.array_compact(F.array("first", "best")))).alias("lead"))
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows (cls, key, ...) joined with facts, one row per key; each key's rows are dealt to SALTS, so that a hot one is no single task's."""
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit("salt")), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+
+
+def blocks(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): into how many blocks the sets of each key are dealt; rows are (key, n)."""
+    sizes = rows.groupBy(key).agg(F.sum("n").alias("all"), F.count("*").alias("m"))
+    return sizes.select(key, F.greatest(F.ceil(F.col("all") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("int").alias(name))
+
+
+def own_block(k: str) -> Column:
+    return F.pmod(F.xxhash64("cls", F.lit("block")), F.col(k)).cast("int")
+
+
+def lead_links(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the classes that link with their leads, by their whole sets; pairs (cls, lead), sizes (cls, n)."""
+    dealt = with_facts(pairs, blocks(pairs.join(sizes, "cls"), "lead", "k"), "lead").select("lead", own_block("k").alias("part"), "cls")
+    dealt = cut(dealt)
+    asked = dealt.select("lead", "part").distinct().select("lead", "part", F.col("lead").alias("cls"), F.lit(True).alias("is_lead"))
+    rows = dealt.withColumn("is_lead", F.lit(False)).unionByName(asked).join(sets, "cls")
+
+    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        leading = block["is_lead"].to_numpy()
+        members = [np.asarray(s, np.int64).view(np.uint64) for s in block["s"][~leading]]
+        out = []
+        for s in block["s"][leading]:
+            lead = np.asarray(s, np.int64).view(np.uint64)
+            both = np.array([found_in(m, lead).sum() for m in members], np.int64)
+            total = np.array([len(m) + len(lead) for m in members], np.int64)
+            out += block["cls"][~leading].to_numpy()[(100 + percent) * both >= percent * total].tolist()
+        return pd.DataFrame({"a": np.array(out, np.int64), "b": np.full(len(out), key[0], np.int64)})
+
+    return rows.groupBy("lead", "part").applyInPandas(run, "a long, b long")
 
 
 def frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,133 +205,171 @@ def found_in(h: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The first shingles of a set in the global order, and where they end: 16 bits of the last hash, 65535 if frequent."""
+    """The first shingles of a set in the global order, and where they end: 10 bits of the last hash, 1023 if frequent."""
     p = prefix_length(len(s), percent)
     head = s[: p + len(s) // 10 + 4]
     late = found_in(head, often)
     if (~late).sum() < p and len(head) < len(s):
         head, late = s, found_in(s, often)
     out = np.concatenate([head[~late], head[late]])[:p]
-    end = 65535 if (~late).sum() < p else min(int(out[-1] >> np.uint64(48)), 65534)
+    end = 1023 if (~late).sum() < p else min(int(out[-1] >> np.uint64(54)), 1022)
     return out, end
 
 
-def prefixes(docs: DataFrame, text: str, width: int, percent: int, often) -> DataFrame:
-    """(doc_id, pack, head): pack holds the size of the set, the end of its prefix and two bits for a role."""
+#: An entry's pack, from the top: a family's entry or a set's (1 bit), size (26), end of the prefix (10), role (2), position (24).
+FAMILY, SIZE, END, ROLE = 1 << 62, 36, 26, 24
+FEW = {"n": (1 << 26) - 1, "end": 1023, "role": 3, "at": (1 << 24) - 1}
+
+
+def coarse(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The size class of n by its five leading bits: the least size in it, and how many sizes it holds."""
+    shift = np.maximum(np.frexp(n.astype(np.float64))[1].astype(np.int64) - 5, 0)
+    return n >> shift << shift, np.int64(1) << shift
+
+
+def rank_of(n: np.ndarray) -> np.ndarray:
+    """Size classes as consecutive numbers."""
+    shift = np.maximum(np.frexp(n.astype(np.float64))[1].astype(np.int64) - 5, 0)
+    return 16 * shift + (n >> shift)
 
-    def run(batches):
-        words = WordHashes()
-        table = often.value[0]
-        for b in sliced(batches):
-            packs, heads = [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t, words, width)
-                head, end = prefix(s, table, percent) if len(s) else (s, 0)
-                packs.append(len(s) << 18 | end << 2)
-                heads.append(head.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packs, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "pack", "head"])
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pack long, head array<long>")
+def step_of(low: np.ndarray) -> np.ndarray:
+    """Positions that count as one in a family's entries."""
+    return np.maximum(low // 32, 1)
 
 
-def postings(heads: DataFrame, often) -> DataFrame:
-    """(h, cls, fam, pack) of (cls, fam, pack, head); a list that is expected to be long is dealt to block pairs."""
+def unique_rows(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows, sorted, and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    if not len(order):
+        return columns, order
+    edge = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+    return [c[edge] for c in columns], np.diff(np.r_[edge, len(order)])
+
+
+def entries(fam: np.ndarray, family: np.ndarray, n: np.ndarray, end: np.ndarray, at: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Packs of the shingles at `pos` of the sets `at`; members of a family keep their size class and a coarse position."""
+    low, _ = coarse(n)
+    step = step_of(low)[at]
+    single = (n << SIZE | end << END)[at] | pos
+    return np.where(family[at], (FAMILY | low << SIZE)[at] | pos // step * step, single)
+
+
+def postings(heads: DataFrame, often, most: int = 1 << 19) -> DataFrame:
+    """(h, fam, pack) of (fam, family, n, end, head): the entries of the lists.
+
+    Equal entries of a family's members are one before they move. A list that is expected to be long is dealt
+    to block pairs.
+    """
+
+    def dealt(h, fam, pack, long_h, parts):
+        is_long = found_in(h, long_h)
+        hs, fams, packs = [h[~is_long]], [fam[~is_long]], [pack[~is_long]]
+        for one in np.unique(h[is_long]):
+            k = int(parts[np.searchsorted(long_h, one)])
+            f, p = fam[h == one], pack[h == one]
+            own, other = (mixed(f.view(np.uint64)) % np.uint64(k)).astype(np.int64)[:, None], np.arange(k)[None, :]
+            cell = np.minimum(own, other) * k + np.maximum(own, other)
+            hs.append(mixed(one + (cell.astype(np.uint64) + np.uint64(1)) * GOLD).ravel())
+            fams.append(np.repeat(f, k))
+            packs.append((p[:, None] | np.where(other == own, 0, np.where(own < other, 1, 2)) << ROLE).ravel())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(fams)), pa.array(np.concatenate(packs))], ["h", "fam", "pack"])
 
     def run(batches):
         table, counts = often.value
         long_h, parts = table[counts > LIST], -(-counts[counts > LIST] // LIST)
+        held, size = [], 0
         for b in batches:
-            cls, fam, pack = (b.column(i).to_numpy() for i in range(3))
-            lists = b.column(3)
-            at, h = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().view(np.uint64)
-            is_long = found_in(h, long_h)
-            rows, keys, roles = [at[~is_long]], [h[~is_long]], [np.zeros((~is_long).sum(), np.int64)]
-            for i in np.flatnonzero(is_long):
-                k = int(parts[np.searchsorted(long_h, h[i])])
-                own = int(mixed(np.array([cls[at[i]]]).view(np.uint64))[0] % np.uint64(k))
-                other = np.arange(k)
-                pair = np.minimum(own, other) * k + np.maximum(own, other)
-                rows.append(np.full(k, at[i]))
-                keys.append(mixed(h[i] + (pair.astype(np.uint64) + np.uint64(1)) * GOLD))
-                roles.append(np.where(other == own, 0, np.where(own < other, 1, 2)))
-            rows = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(cls[rows]), pa.array(fam[rows]), pa.array(pack[rows] | np.concatenate(roles))], ["h", "cls", "fam", "pack"])
-
-    return heads.select("cls", "fam", "pack", "head").mapInArrow(run, "h long, cls long, fam long, pack long")
-
-
-def list_pairs(starts: np.ndarray, lengths: np.ndarray, most: int = 2_000_000):
-    """Index pairs inside each run, at most about `most` at a time."""
-    for length in np.unique(lengths):
-        s = starts[lengths == length]
-        if length <= 1024:
-            i, j = np.triu_indices(length, 1)
-            step = max(1, most // len(i))
-            for k in range(0, len(s), step):
-                yield (s[k : k + step, None] + i).ravel(), (s[k : k + step, None] + j).ravel()
-        else:
-            for start in s:
-                for i in range(0, length, 512):
-                    a, b = np.meshgrid(np.arange(i, min(i + 512, length)), np.arange(i, length), indexing="ij")
-                    keep = a < b
-                    yield start + a[keep], start + b[keep]
-
-
-def guests_of(cls: np.ndarray, fam: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one long list: which members are in no large family block, and the (cls, fam) of members that must meet a large block."""
-    names, at, size = np.unique(fam, return_inverse=True, return_counts=True)
-    guests, hosts = [], []
-    for big in np.flatnonzero(size >= LARGE):
-        inside = n[at == big]
-        meet = (size[at] < size[big]) | ((size[at] == size[big]) & (at < big))
-        meet &= (100 * n >= percent * inside.min()) & (percent * n <= 100 * inside.max())
-        guests.append(cls[meet])
-        hosts.append(np.full(meet.sum(), names[big]))
-    none = np.zeros(0, np.int64)
-    return size[at] < LARGE, np.concatenate(guests) if guests else none, np.concatenate(hosts) if hosts else none
+            fam, n, end = (b.column(i).to_numpy() for i in (0, 2, 3))
+            family, lists = b.column(1).to_numpy(zero_copy_only=False), b.column(4)
+            offsets = lists.offsets.to_numpy()
+            h, at = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(b.num_rows), np.diff(offsets))
+            pack = entries(fam, family, n, end, at, np.arange(len(h)) - (offsets - offsets[0])[at])
+            own = family[at]
+            yield dealt(h[~own], fam[at[~own]], pack[~own], long_h, parts)
+            held.append(unique_rows(h[own], fam[at[own]], pack[own])[0])
+            size += len(held[-1][0])
+            if size > most:
+                yield dealt(*unique_rows(*map(np.concatenate, zip(*held)))[0], long_h, parts)
+                held, size = [], 0
+        if size:
+            yield dealt(*unique_rows(*map(np.concatenate, zip(*held)))[0], long_h, parts)
+
+    return heads.select("fam", "family", "n", "end", "head").mapInArrow(run, "h long, fam long, pack long")
+
+
+def met_in_lists(h: np.ndarray, fam: np.ndarray, pack: np.ndarray, percent: int, most: int = 2_000_000, seen: dict | None = None):
+    """Index pairs (of the sorted entries that come first) of different families that can link, list by list.
+
+    A list's blocks are its size classes, sorted by position. A block meets those of sizes that can reach
+    `percent`, and each of its entries reads one window of positions there; all else is skipped unread. `seen`
+    takes the number of pairs in the lists and of those read.
+    """
+    (h, fam, pack), _ = unique_rows(h, fam, pack)
+    family, low, at, role = pack >= FAMILY, pack >> SIZE & FEW["n"], pack & FEW["at"], pack >> ROLE & FEW["role"]
+    high = np.where(family, low + coarse(low)[1] - 1, low)
+    last = at + np.where(family, step_of(low), 1) - 1
+    rank = rank_of(low)
+    order = np.lexsort((at, rank, h))
+    h, fam, pack, low, high, at, last, role, rank = (x[order] for x in (h, fam, pack, low, high, at, last, role, rank))
+    entry = (fam, pack)
+    if not len(h):
+        return
+    new_list = np.r_[True, h[1:] != h[:-1]]
+    edge = np.flatnonzero(new_list | np.r_[True, rank[1:] != rank[:-1]])
+    lists = np.cumsum(new_list)[edge]
+    block = np.cumsum(np.isin(np.arange(len(h)), edge)) - 1
+    least, most_n, widest = np.minimum.reduceat(low, edge), np.maximum.reduceat(high, edge), np.maximum.reduceat(last - at, edge)
+    key, place = lists * 1024 + rank[edge], block << 25 | at
+    farthest = rank_of(100 * most_n // percent + 1) - rank[edge]
+    if seen is not None:
+        lengths = np.diff(np.r_[np.flatnonzero(new_list), len(h)])
+        seen["possible"] = seen.get("possible", 0) + int((lengths * (lengths - 1) // 2).sum())
+    for d in range(int(farthest.max()) + 1):
+        other = np.minimum(np.searchsorted(key, key + d), len(key) - 1)
+        need = -(-percent * (least + least[other]) // (100 + percent))
+        meets = (key[other] == key + d) & (100 * most_n >= percent * least[other])
+        e = np.flatnonzero(meets[block])
+        b = block[e]
+        o = other[b]
+        low_at = np.maximum(at[e] - (most_n[b] - need[b]) - widest[o], 0)
+        high_at = np.minimum(last[e] + most_n[o] - need[b], FEW["at"])
+        start = np.searchsorted(place, o << 25 | low_at)
+        stop = np.searchsorted(place, o << 25 | np.maximum(high_at, 0), side="right")
+        start = np.maximum(start, e + 1) if d == 0 else start
+        count = np.where(high_at < 0, 0, np.maximum(stop - start, 0))
+        if seen is not None:
+            seen["read"] = seen.get("read", 0) + int(count.sum())
+        total = np.cumsum(count)
+        for lo in range(0, int(total[-1]) if len(total) else 0, most):
+            some = slice(int(np.searchsorted(total, lo, side="right")), int(np.searchsorted(total, min(lo + most, total[-1]) - 1, side="right")) + 1)
+            before = total[some] - count[some]
+            skip, take = np.maximum(lo - before, 0), np.minimum(count[some], lo + most - before)
+            width = take - skip
+            i = np.repeat(e[some], width)
+            j = np.repeat(start[some] + skip, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            good = (fam[i] != fam[j]) & (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
+            good &= (100 + percent) * (np.minimum(last[i], last[j]) + np.minimum(high[i] - at[i], high[j] - at[j])) >= percent * (low[i] + low[j])
+            good &= np.where(role[i] == 0, role[j] == 0, role[i] + role[j] == 3)
+            yield entry, i[good], j[good]
 
 
 def pairs_of_lists(posted: DataFrame, percent: int) -> DataFrame:
-    """(x, y, px, py, c): pairs of different families of a size that can link, with the number of lists they share here.
-
-    A member does not pair with each member of a large block of another family; it becomes that family's
-    guest, a row (x, family, -1, -1, c), and is compared with the family in blocks.
-    """
+    """(x, sx, y, sy, c): pairs of entries of different families that can link, with the number of lists that hold both; sx is a pack without role and position."""
 
-    def rows_of(x, y, px, py):
-        rows, c = np.unique(np.stack([x, y, px, py]), axis=1, return_counts=True)
-        return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(c.astype(np.int64))], ["x", "y", "px", "py", "c"])
-
-    def pairs(h, cls, fam, pack):
-        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        lengths = np.diff(np.r_[edge, len(h)])
-        kept, guests, hosts = np.ones(len(h), bool), [], []
-        for start, length in zip(edge[lengths > LARGE], lengths[lengths > LARGE]):
-            own = slice(start, start + length)
-            kept[own], g, f = guests_of(cls[own], fam[own], pack[own] >> 18, percent)
-            guests.append(g)
-            hosts.append(f)
-        if guests and (g := np.concatenate(guests)).size:
-            none = np.full(len(g), -1)
-            yield rows_of(g, np.concatenate(hosts), none, none)
-        h, cls, fam, pack = h[kept], cls[kept], fam[kept], pack[kept]
-        n, role = pack >> 18, pack & 3
-        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        lengths = np.diff(np.r_[edge, len(h)])
-        more = lengths > 1
-        for i, j in list_pairs(edge[more], lengths[more]):
-            good = (fam[i] != fam[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (cls[i] != cls[j])
-            good &= np.where(role[i] == 0, role[j] == 0, role[i] + role[j] == 3)
-            i, j = i[good], j[good]
-            turn = cls[i] > cls[j]
+    def pairs(h, fam, pack):
+        for (f, p), i, j in met_in_lists(h, fam, pack, percent):
+            turn = f[i] > f[j]
             i, j = np.where(turn, j, i), np.where(turn, i, j)
             if len(i):
-                yield rows_of(cls[i], cls[j], pack[i] & ~3, pack[j] & ~3)
+                rows, c = unique_rows(f[i], p[i] >> END, f[j], p[j] >> END)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(c.astype(np.int64))], ["x", "sx", "y", "sy", "c"])
 
     def run(batches):
         rest = None
         for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(4)]
+            cols = [b.column(i).to_numpy() for i in range(3)]
             if not len(cols[0]):
                 continue
             if rest is not None:
@@ -284,28 +380,44 @@ def pairs_of_lists(posted: DataFrame, percent: int) -> DataFrame:
         if rest is not None:
             yield from pairs(*rest)
 
-    return posted.mapInArrow(run, "x long, y long, px long, py long, c long")
+    return posted.mapInArrow(run, "x long, sx long, y long, sy long, c long")
+
+
+def is_family(s: str) -> Column:
+    return F.shiftright(s, SIZE - END + 26) > 0
+
+
+def low_size(s: str) -> Column:
+    return F.shiftright(s, SIZE - END).bitwiseAND(F.lit(FEW["n"]))
+
+
+def class_of(n: str) -> Column:
+    """The least size of n's size class."""
+    return F.expr(f"shiftleft(shiftright({n}, greatest(length(bin({n})) - 5, 0)), greatest(length(bin({n})) - 5, 0))")
 
 
 def admitted(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of (x, y, px, py, c), the pairs whose shared prefix shingles leave room for enough shared shingles."""
-    n = lambda p: F.shiftright(p, 18)
-    end = lambda p: F.shiftright(p, 2).bitwiseAND(F.lit(65535))
-    after = lambda p: F.ceil(n(F.col(p)) * percent / 100) - 1
-    room = F.when(end(F.col("px")) < end(F.col("py")), after("px")).when(end(F.col("px")) > end(F.col("py")), after("py")).otherwise(F.greatest(after("px"), after("py")))
-    return pairs.where((100 + percent) * (F.col("c") + room) >= percent * (n(F.col("px")) + n(F.col("py")))).select("x", "y")
+    """Of (x, sx, y, sy, c), the pairs whose shared prefix shingles leave room for enough shared shingles."""
+    rows = pairs.withColumns({f"low_{a}": low_size(f"s{a}") for a in "xy"})
+    high = {a: F.when(is_family(f"s{a}"), F.expr(f"low_{a} + shiftleft(1L, greatest(length(bin(low_{a})) - 5, 0)) - 1")).otherwise(F.col(f"low_{a}")) for a in "xy"}
+    end = {a: F.col(f"s{a}").bitwiseAND(F.lit(FEW["end"])) for a in "xy"}
+    first, final = ({a: F.when(is_family(f"s{a}"), F.lit(v)).otherwise(end[a]) for a in "xy"} for v in (0, FEW["end"]))
+    after = {a: F.ceil(high[a] * percent / 100) - 1 for a in "xy"}
+    room = F.when(final["x"] < first["y"], after["x"]).when(final["y"] < first["x"], after["y"]).otherwise(F.greatest(after["x"], after["y"]))
+    return rows.where((100 + percent) * (F.col("c") + room) >= percent * (F.col("low_x") + F.col("low_y"))).select("x", "sx", "y", "sy")
 
 
-def spot(key: str) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit("bitmap")), 64 - BITS)
+def spot(key: str, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit("bitmap")), 64 - bits)
 
 
-def bitmap_of(ids: DataFrame) -> np.ndarray:
-    """A bitmap of 2^BITS bits of hashed ids: no false negative, and a size that does not grow."""
-    rows = ids.select(spot("id").alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("m")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+def bitmap_of(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of hashed ids with eight bits an id, and its number of bits as a power of two: no false negative. Beyond 2^MOST_BITS bits it clears fewer ids and errs in none."""
+    bits = min(MOST_BITS, max(16, (8 * ids.count()).bit_length()))
+    rows = ids.select(spot("id", bits).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[rows["w"].to_numpy()] = rows["m"].to_numpy().view(np.uint64)
-    return out
+    return out, bits
 
 
 def in_bitmap(spots: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -313,20 +425,22 @@ def in_bitmap(spots: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return ((bitmap[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def maybe_in(df: DataFrame, key: str, bitmap: np.ndarray) -> DataFrame:
-    """df with the boolean _maybe: false where key is surely not in the bitmap."""
+def maybe_in(df: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
+    """df with the boolean `name`: false where key is surely not among ids."""
+    bitmap, bits = bitmap_of(ids)
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
     def probe(spots: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(spots.to_numpy(), shared.value))
 
-    return df.withColumn("_maybe", probe(spot(key)))
+    return df.withColumn(name, probe(spot(key, bits)))
 
 
 def sets_of(docs: DataFrame, text: str, width: int, ids: DataFrame) -> DataFrame:
     """(cls, s) for the documents with these ids; a bitmap of them spares the other texts the work."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids))
+    bitmap, bits = bitmap_of(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         words = WordHashes()
@@ -334,84 +448,101 @@ def sets_of(docs: DataFrame, text: str, width: int, ids: DataFrame) -> DataFrame
             b = b.filter(pa.array(in_bitmap(b.column(1).to_numpy(), shared.value)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words, width).view(np.int64) for t in b.column(2).to_pylist()], pa.list_(pa.int64()))], ["cls", "s"])
 
-    made = docs.where(F.col("doc_id").isNotNull()).select("doc_id", spot("doc_id").alias("spot"), text).mapInArrow(run, "cls long, s array<long>")
-    return made.join(ids.select(F.col("id").alias("cls")).distinct(), "cls", "left_semi")
-
-
-def forest(cls: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between left and right members (indices); all pairs of one side if both are equal."""
-    n = np.array([len(s) for s in sets], np.int64)
-    u, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    member = np.repeat(np.arange(len(sets)), n)
-    shared = count[inverse] > 1
-    member, column = member[shared], (np.cumsum(count > 1) - 1)[inverse[shared]]
-    order = np.argsort(column, kind="stable")
-    member, column = member[order], column[order]
-    both = np.zeros((len(left), len(right)), np.float32)
-    spot_l, spot_r = np.full(len(sets), -1), np.full(len(sets), -1)
-    spot_l[left], spot_r[right] = np.arange(len(left)), np.arange(len(right))
-    for at in range(0, int((count > 1).sum()), 2048):
-        lo, hi = np.searchsorted(column, [at, at + 2048])
-        m, c = member[lo:hi], column[lo:hi] - at
-        a, b = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
-        ok = spot_l[m] >= 0
-        a[spot_l[m[ok]], c[ok]] = 1
-        ok = spot_r[m] >= 0
-        b[spot_r[m[ok]], c[ok]] = 1
-        both += a @ b.T
-    linked = (100 + percent) * both.astype(np.int64) >= percent * (n[left][:, None] + n[right])
-    linked &= left[:, None] != right
-    out, seen = [], np.zeros(len(sets), bool)
-    rows, cols = {int(x): i for i, x in enumerate(left)}, {int(x): i for i, x in enumerate(right)}
-    for start in range(len(sets)):
-        if seen[start]:
-            continue
-        seen[start], todo = True, [start]
-        while todo:
-            x = todo.pop()
-            near = []
-            if x in rows:
-                near.append(right[linked[rows[x]]])
-            if x in cols:
-                near.append(left[linked[:, cols[x]]])
-            near = np.unique(np.concatenate(near)) if near else []
-            for y in near:
-                if not seen[y]:
-                    seen[y] = True
-                    out.append((int(cls[x]), int(cls[y])))
-                    todo.append(int(y))
+    made = docs.where(F.col("doc_id").isNotNull()).select("doc_id", spot("doc_id", bits).alias("spot"), text).mapInArrow(run, "cls long, s array<long>")
+    return made.where(F.size("s") > 0).join(ids.select(F.col("id").alias("cls")).distinct(), "cls", "left_semi")
+
+
+def columns_product(left_at, left_col, right_at, right_col, shape: tuple[int, int], width: int, step: int = 2048) -> np.ndarray:
+    """left @ right.T of two 0/1 matrices given by their ones (row, column), `step` columns at a time."""
+    out = np.zeros(shape, np.float32)
+    sides = []
+    for at, col in ((left_at, left_col), (right_at, right_col)):
+        order = np.argsort(col, kind="stable")
+        sides.append((at[order], col[order]))
+    for first in range(0, width, step):
+        dense = []
+        for (at, col), rows in zip(sides, shape):
+            lo, hi = np.searchsorted(col, [first, first + step])
+            m = np.zeros((rows, min(step, width - first)), np.float32)
+            m[at[lo:hi], col[lo:hi] - first] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
     return out
 
 
-def family_links(members: DataFrame, guests: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links inside families and between families and their guests; both are (fam, cls, n, s)."""
+def derived(guests: list[np.ndarray], hosts: list[np.ndarray], closed: np.ndarray, percent: int, seen: dict | None = None) -> np.ndarray:
+    """Whether guests link with hosts, relatives of each other: (guests, hosts), false where closed.
+
+    The guests' overlaps with one pivot are counted; a host's differences from the pivot bound what a guest
+    shares with it, and give it exactly where the bound leaves it open.
+    """
+    n_g, n_h = (np.array([len(s) for s in x], np.int64) for x in (guests, hosts))
+    pivot = hosts[int(np.argsort(n_h, kind="stable")[len(hosts) // 2])]
+    flat_g, flat_h = np.concatenate(guests), np.concatenate(hosts)
+    of_g, of_h = np.repeat(np.arange(len(guests)), n_g), np.repeat(np.arange(len(hosts)), n_h)
+    in_g, in_h = found_in(flat_g, pivot), found_in(flat_h, pivot)
+    base = np.bincount(of_g[in_g], minlength=len(guests))
+    beyond = np.bincount(of_h[~in_h], minlength=len(hosts))
+    need = percent * (n_g[:, None] + n_h)
+    bound = np.minimum(np.minimum(base[:, None] + beyond, n_g[:, None]), n_h)
+    open_ = ((100 + percent) * bound >= need) & ~closed
+    if seen is not None:
+        seen["settled"] = seen.get("settled", 0) + int((~open_ & ~closed).sum())
+        seen["counted"] = seen.get("counted", 0) + int(open_.sum())
+    if not open_.any():
+        return open_
+    shape = (len(guests), len(hosts))
+    # what the guests share of pivot - host: columns are the pivot's shingles that some host lacks
+    have = np.zeros((len(hosts), len(pivot)), bool)
+    have[of_h[in_h], np.searchsorted(pivot, flat_h[in_h])] = True
+    lacking = ~have.all(axis=0)
+    column = np.cumsum(lacking) - 1
+    at_g = np.searchsorted(pivot, flat_g[in_g])
+    some = lacking[at_g]
+    host, gone = np.nonzero(~have[:, lacking])
+    less = columns_product(of_g[in_g][some], column[at_g[some]], host, gone, shape, int(lacking.sum()))
+    # what they share of host - pivot
+    new = np.intersect1d(flat_g[~in_g], flat_h[~in_h])
+    g, h = found_in(flat_g, new) & ~in_g, found_in(flat_h, new) & ~in_h
+    more = columns_product(of_g[g], np.searchsorted(new, flat_g[g]), of_h[h], np.searchsorted(new, flat_h[h]), shape, len(new))
+    both = base[:, None] + np.rint(more - less).astype(np.int64)
+    return open_ & ((100 + percent) * both >= need)
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a bipartite graph given as a matrix, as (row, column) pairs."""
+    out, row_seen, col_seen = [], np.zeros(linked.shape[0], bool), np.zeros(linked.shape[1], bool)
+    for start in np.flatnonzero(linked.any(axis=1)):
+        todo = [] if row_seen[start] else [(0, int(start))]
+        row_seen[start] = True
+        while todo:
+            side, x = todo.pop()
+            seen, near = (col_seen, linked[x]) if side == 0 else (row_seen, linked[:, x])
+            for y in np.flatnonzero(near & ~seen):
+                seen[y] = True
+                out.append((x, int(y)) if side == 0 else (int(y), x))
+                todo.append((1 - side, int(y)))
+    return out
 
-    def dealt(rows: DataFrame, k: str) -> DataFrame:
-        sizes = rows.groupBy("fam").agg(F.sum("n").alias("all"), F.count("*").alias("m"))
-        return sizes.select("fam", F.greatest(F.ceil(F.col("all") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("int").alias(k))
 
-    own = lambda k: F.pmod(F.xxhash64("cls", F.lit("block")), F.col(k)).cast("int").alias("own")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias("other")
-    k, kg = cut(dealt(members, "k")), cut(dealt(guests, "kg"))
-    inside = members.join(k, "fam").select("fam", own("k"), "cls", "s", each("k"))
-    inside = inside.select("fam", F.lit(0).alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "cls", "s")
-    hosts = members.join(kg, "fam").join(k, "fam").select("fam", own("k"), "cls", "s", each("kg"))
-    hosts = hosts.select("fam", F.lit(1).alias("kind"), F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "cls", "s")
-    visit = guests.join(kg, "fam").join(k, "fam").select("fam", own("kg"), "cls", "s", each("k"))
-    visit = visit.select("fam", F.lit(1).alias("kind"), F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "cls", "s")
+def guest_links(guests: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between guests (fam, cls, root, n) and the members (fam, cls, root, n) of their host family."""
+    facts = cut(blocks(guests, "fam", "kg").join(blocks(members, "fam", "k"), "fam"))
+    hosts = with_facts(members, facts, "fam").select("fam", F.explode(F.sequence(F.lit(0), F.col("kg") - 1)).alias("i"), own_block("k").alias("j"), F.lit(False).alias("guest"), "cls", "root")
+    visit = with_facts(guests, facts, "fam").select("fam", own_block("kg").alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), F.lit(True).alias("guest"), "cls", "root")
+    rows = cut(hosts.unionByName(visit)).join(sets, "cls")
 
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        _, kind, i, j = key
-        sets = [np.asarray(s, np.int64).view(np.uint64) for s in block["s"]]
-        side, cls, every = block["side"].to_numpy(), block["cls"].to_numpy(), np.arange(len(block))
-        if kind:
-            left, right = every[side == 0], every[side == 1]
-        else:
-            left, right = (every, every) if i == j else (every[side == i], every[side == j])
-        links = forest(cls, sets, left, right, percent) if len(left) and len(right) and len(cls) > 1 else []
+        guest, cls, root = block["guest"].to_numpy(), block["cls"].to_numpy(), block["root"].to_numpy()
+        s = [np.asarray(x, np.int64).view(np.uint64) for x in block["s"]]
+        left, right = np.flatnonzero(guest), np.flatnonzero(~guest)
+        links = []
+        if len(left) and len(right):
+            linked = derived([s[i] for i in left], [s[i] for i in right], root[left][:, None] == root[right], percent)
+            links = [(int(cls[left[i]]), int(cls[right[j]])) for i, j in spanning(linked)]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return inside.unionByName(hosts).unionByName(visit).groupBy("fam", "kind", "i", "j").applyInPandas(run, "a long, b long")
+    return rows.groupBy("fam", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def cross_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -421,31 +552,60 @@ def cross_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where((100 + percent) * common >= percent * (F.size("sx") + F.size("sy"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def links_of(docs: DataFrame, known: DataFrame, reps: DataFrame, often, text: str, width: int, percent: int) -> DataFrame:
+    """(a, b): enough links between classes to connect all that are connected. known: rows with a set; reps (n, c1, c2, cls, sketch)."""
+    pairs = alike(reps)
+    fams = components(pairs.select(F.col("cls").alias("a"), F.col("lead").alias("b")))
+    fams = cut(fams.select(F.col("node").alias("cls"), F.col("comp").alias("fam")))
+    kin = cut(sets_of(docs, text, width, fams.select(F.col("cls").alias("id"))))
+    sizes = reps.select("cls", "n")
+    led = cut(lead_links(own_leads(pairs), sizes, kin, percent))
+    roots = components(led)
+    members = fams.join(sizes, "cls").join(roots.select(F.col("node").alias("cls"), F.col("comp").alias("root")), "cls", "left")
+    members = cut(members.select("fam", "cls", F.coalesce("root", "cls").alias("root"), "n"))
+
+    names = reps.select("n", "c1", "c2", "cls").join(fams, "cls", "left")
+    names = names.select("n", "c1", "c2", F.col("cls").alias("doc_id"), F.coalesce("fam", "cls").alias("fam"), F.col("fam").isNotNull().alias("family"))
+    heads = known.select("n", "c1", "c2", "doc_id", "end", "head").join(names, ["n", "c1", "c2", "doc_id"])
+    posted = postings(heads, often).repartition("h").sortWithinPartitions("h")
+    met = pairs_of_lists(posted, percent).groupBy("x", "sx", "y", "sy").agg(F.sum("c").alias("c"))
+    met = cut(admitted(met, percent))
+    alone = ~is_family("sx") & ~is_family("sy")
+    singles = met.where(alone).select("x", "y").distinct()
+
+    # guests: members that no lead linked with most of their family, and what the index pairs with a family
+    most = members.groupBy("fam", "root").agg(F.count("*").alias("m")).groupBy("fam").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
+    unled = with_facts(members, most, "fam").where(F.col("root") != F.col("main")).select("fam", "cls", "root", "n")
+    paired = met.where(~alone).select(*(F.when(is_family("sx"), F.col(f"{a}x")).otherwise(F.col(f"{a}y")).alias(f"{a}h") for a in ("", "s")), *(F.when(is_family("sx"), F.col(f"{a}y")).otherwise(F.col(f"{a}x")).alias(f"{a}g") for a in ("", "s")))
+    one = paired.where(~is_family("sg")).select(F.col("h").alias("fam"), F.col("g").alias("cls"), F.col("g").alias("root"), low_size("sg").alias("n"))
+    units = paired.where(is_family("sg")).select("h", F.col("g").alias("fam"), low_size("sg").alias("low")).distinct()
+    units = units.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_size = members.select("fam", "cls", "root", "n", class_of("n").alias("low"), F.pmod(F.xxhash64("cls", F.lit("salt")), F.lit(SALTS)).cast("int").alias("salt"))
+    many = by_size.join(units, ["fam", "low", "salt"]).select(F.col("h").alias("fam"), "cls", "root", "n")
+    guests = cut(unled.unionByName(one).unionByName(many).distinct())
+
+    ids = singles.select(F.col("x").alias("id")).unionByName(singles.select(F.col("y").alias("id"))).unionByName(one.select(F.col("cls").alias("id")))
+    sets = kin.unionByName(cut(sets_of(docs, text, width, cut(ids.distinct()))))
+    return led.unionByName(guest_links(guests, members, sets, percent)).unionByName(cross_links(singles, sets, percent))
+
+
 def join(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs; doc_id is a long."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    facts = cut(summarise(docs, text, width))
-    reps = facts.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("cls"), F.first("sketch").alias("sketch"))
-    reps = cut(reps)
-    fams = cut(families(reps))
-
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, width))
-    named = reps.select("cls").join(fams, "cls", "left").select("cls", F.coalesce("fam", "cls").alias("fam"))
-    heads = prefixes(docs, text, width, percent, often).join(named, F.col("doc_id") == F.col("cls"))
-    posted = postings(heads, often)
-    posted = posted.repartition("h").sortWithinPartitions("h")
-    met = cut(pairs_of_lists(posted, percent).groupBy("x", "y", "px", "py").agg(F.sum("c").alias("c")))
-    guests = met.where("px < 0").select(F.col("y").alias("fam"), F.col("x").alias("cls"))
-    pairs = cut(admitted(met.where("px >= 0"), percent))
-
-    ids = fams.select(F.col("cls").alias("id")).unionByName(guests.select(F.col("cls").alias("id"))).unionByName(pairs.select(F.col("x").alias("id"))).unionByName(pairs.select(F.col("y").alias("id")))
-    sets = cut(sets_of(docs, text, width, cut(ids.distinct())))
-    with_set = lambda rows: rows.join(sets, "cls").select("fam", "cls", F.size("s").alias("n"), "s")
-    links = family_links(with_set(fams), with_set(guests), percent).unionByName(cross_links(pairs, sets, percent))
-
-    joined = components(links)
-    keys = reps.select("n", "c1", "c2", "cls").join(joined, F.col("cls") == F.col("node"), "left").select("n", "c1", "c2", F.coalesce("comp", "cls").alias("comp"))
-    out = facts.drop("sketch").join(cut(keys), ["n", "c1", "c2"], "left")
+    every = stored(summarise(docs, text, width, percent, often))
+    facts = every.select("doc_id", "n", "c1", "c2")
+    known = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    reps = cut(known.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("cls"), F.first("sketch").alias("sketch")))
+    names = reps.select("n", "c1", "c2", "cls")
+    links = links_of(docs, known, reps, often, text, width, percent)
+
+    # a doc_id of several texts connects their classes
+    several = known.groupBy("doc_id").agg(*(f(F.struct("n", "c1", "c2")).alias(f.__name__) for f in (F.min, F.max))).where("min <> max").select("doc_id")
+    texts = known.select("doc_id", "n", "c1", "c2").join(several, "doc_id", "left_semi").join(names, ["n", "c1", "c2"])
+    joined = components(links.unionByName(texts.select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))))
+    keys = names.join(joined, F.col("cls") == F.col("node"), "left").select("n", "c1", "c2", F.coalesce("comp", "cls").alias("comp"))
+    out = facts.join(cut(keys), ["n", "c1", "c2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
@@ -456,6 +616,6 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     gone = cut(join(docs, text).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct())
     docs = docs.drop("_maybe", "_gone")
-    marked = maybe_in(docs, "doc_id", bitmap_of(gone.select(F.col("_gone").alias("id"))))
+    marked = maybe_in(docs, "doc_id", gone.select(F.col("_gone").alias("id")), "_maybe")
     unsure = marked.where("_maybe").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return marked.where(~F.col("_maybe")).unionByName(unsure).drop("_maybe")
+    return marked.where(~F.coalesce("_maybe", F.lit(False))).unionByName(unsure).drop("_maybe")

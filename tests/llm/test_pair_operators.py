@@ -57,17 +57,82 @@ def family_rows(seed: int, n: int, edits: int):
     return rows
 
 
-@pytest.mark.parametrize("large,block,alike,limit", [(16, 2048, 5, 4096), (3, 7, 12, 8), (2, 5, 16, 2)])
-def test_ngram_join_of_families(spark, monkeypatch, large, block, alike, limit):
-    """Guests, blocks of families, long lists and weak families give what all pairs give."""
-    for name, value in (("LARGE", large), ("BLOCK_MEMBERS", block), ("ALIKE", alike), ("LIST", limit)):
+@pytest.mark.parametrize("seed,block,alike,limit,sure", [(16, 512, 5, 4096, 10), (3, 7, 12, 8, 16), (2, 5, 16, 2, 17), (4, 3, 1, 4, 1)])
+def test_ngram_join_of_families(spark, monkeypatch, seed, block, alike, limit, sure):
+    """Guests, blocks of families, long lists, weak families and wrong ones give what all pairs give."""
+    for name, value in (("BLOCK_MEMBERS", block), ("ALIKE", alike), ("LIST", limit), ("SURE", sure)):
         monkeypatch.setattr(ngram_join, name, value)
-    rows = family_rows(large, 90, 5)
+    rows = family_rows(seed, 90, 5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: v for (i, _), v in brute_join(rows).items()}
     assert len({c for _, c in got.values()}) > 5
 
 
+def test_ngram_join_of_repeated_ids(spark):
+    """A doc_id of several texts connects what is alike any of them."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(4, a), (9, a), (9, c), (4, b), (7, f"{c} more"), (8, b), (20, "z " * 30), (21, "y"), (21, None)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(4, 4), (9, 4), (7, 4), (8, 4), (20, 20), (21, 21)} and len(got) == len(rows)
+
+
+def random_entries(rng: random.Random, sets: int, percent: int, family: float):
+    """Entries of the lists of random, partly alike sets, and the sets by family."""
+    of_family: dict[int, list] = {}
+    rows = []
+    for i in range(sets):
+        fam = i if rng.random() > family else 10**6 + rng.randrange(4)
+        n = rng.randrange(1, 60)
+        s = np.unique(np.array([rng.randrange(90) for _ in range(n)], np.uint64))
+        of_family.setdefault(fam, []).append(set(map(int, s)))
+        head = s[: ngram_join.prefix_length(len(s), percent)]
+        pack = ngram_join.entries(np.array([fam]), np.array([fam >= 10**6]), np.array([len(s)]), np.array([5]), np.zeros(len(head), int), np.arange(len(head)))
+        rows += [(int(h), fam, int(p)) for h, p in zip(head, pack)]
+    return [np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int64))], of_family
+
+
+@pytest.mark.parametrize("percent", [80, 55])
+def test_lists_skip_blocks_and_lose_no_pair(percent):
+    rng, seen = random.Random(5), {}
+    for trial in range(20):
+        (h, fam, pack), of_family = random_entries(rng, 120, percent, 0.3)
+        met = set()
+        for (f, _), i, j in ngram_join.met_in_lists(h, fam, pack, percent, most=rng.choice((7, 2_000_000)), seen=seen):
+            met |= {tuple(sorted(x)) for x in zip(f[i].tolist(), f[j].tolist())}
+        names = sorted(of_family)
+        for a in names:
+            for b in names:
+                if a < b and any(100 * len(x & y) >= percent * len(x | y) for x in of_family[a] for y in of_family[b]):
+                    assert (a, b) in met
+    assert seen["read"] < (0.5 if percent == 80 else 0.8) * seen["possible"]
+
+
+def test_answers_follow_from_a_pivot():
+    rng, seen = random.Random(6), {}
+    for trial in range(60):
+        base = rng.sample(range(1000), 80)
+        near = lambda lost: np.unique(np.array([x for x in base if rng.random() > lost] + [rng.randrange(1000, 3000) for _ in range(rng.randrange(1, 20))], np.uint64))
+        hosts = [near(0.08) for _ in range(rng.randrange(1, 20))]
+        guests = [near(rng.choice((0.05, 0.15, 0.6))) for _ in range(rng.randrange(1, 20))]
+        closed = np.array([[rng.random() < 0.1 for _ in hosts] for _ in guests])
+        wanted = np.array([[100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)) for y in hosts] for x in guests]) & ~closed
+        got = ngram_join.derived(guests, hosts, closed, 80, seen)
+        assert (got == wanted).all()
+        edges = ngram_join.spanning(got)
+        assert all(wanted[i, j] for i, j in edges) and {i for i, _ in edges} == set(np.flatnonzero(wanted.any(axis=1)))
+        assert {j for _, j in edges} == set(np.flatnonzero(wanted.any(axis=0))) and len(edges) < len(hosts) + len(guests)
+    assert seen["settled"] > 1000 and seen["counted"] > 1000
+
+
+def test_bitmap_has_no_false_negative(spark):
+    ids = spark.range(0, 300_000, 7)
+    bitmap, bits = ngram_join.bitmap_of(ids)
+    assert bits == (8 * ids.count()).bit_length() and len(bitmap) == 1 << (bits - 6)
+    marked = ngram_join.maybe_in(spark.range(300_000), "id", ids, "m").groupBy((F.col("id") % 7 == 0).alias("own"), "m").count().collect()
+    count = {(r["own"], r["m"]): r["count"] for r in marked}
+    assert (True, False) not in count and count[False, True] < 0.2 * count[False, False]
+
+
 def test_one_of_each(odd):
     rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
     brute = brute_join(rows)
