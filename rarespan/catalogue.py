@@ -14,10 +14,10 @@ from rarespan.config import Mating, Sampling
 from rarespan.functions import gamma
 from rarespan.functions import sequence as S
 from rarespan.operators import checks, composition, curve, mating_align, mating_kmer, ontology, rarefaction, reads
-from rarespan.session import share_path
+from rarespan.session import share_path, spread
 from rarespan.sources import sequences, sinks
 
-K, SEED, X_ALIGN, X_DRAW = 24, 1, 50, 100
+K, SEED, X_ALIGN, X_DRAW = 24, 1, 1000, 100
 ALIGN = Mating(kernel="alignment")
 DRAWS = Sampling(replicates=8, seed=SEED)
 
@@ -44,7 +44,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return share_path(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(share_path(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def doc_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +208,7 @@ def kmer_mates_corrected(spark, sf_dir):
 # Alignment mates
 
 
-TILES = f"{READS}, tiles AS (SELECT read_id * 1000 + t AS read_id, substr(seq, (1 + 50 * t)::INT, 50) AS seq FROM (SELECT read_id, seq, unnest(range(0, length(seq) // 50)) AS t FROM reads WHERE length(seq) >= 50)), aq AS (SELECT read_id AS query_id, seq FROM tiles ORDER BY md5('{SEED}|' || read_id), read_id LIMIT {X_ALIGN})"
+TILES = f"{READS}, tiles AS (SELECT read_id * 16777216 + t AS read_id, substr(seq, (1 + 50 * t)::INT, 50) AS seq FROM (SELECT read_id, seq, unnest(range(0, length(seq) // 50)) AS t FROM reads WHERE length(seq) >= 50)), aq AS (SELECT read_id AS query_id, seq FROM tiles ORDER BY md5('{SEED}|' || read_id), read_id LIMIT {X_ALIGN})"
 
 
 def _align_oracle(strands: str, plus: int = 0, match: str = "hamming(substr(q, a, w), substr(seq, b, w)) <= e") -> str:
@@ -252,7 +252,7 @@ def align_mates_nmismatch(spark, sf_dir):
     return mating_align.mates(align_queries(tiles), tiles, Mating(kernel="alignment", n_mismatch=True))
 
 
-_BENCH_TILES = f"bt AS (SELECT item_id * 1000 + t AS read_id, substr(seq, (1 + 50 * t)::INT, 50) AS seq FROM (SELECT item_id, seq, unnest(range(0, length(seq) // 50)) AS t FROM (SELECT item_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark) WHERE length(seq) >= 50)), aq AS (SELECT read_id AS query_id, seq FROM bt ORDER BY"
+_BENCH_TILES = f"bt AS (SELECT item_id * 16777216 + t AS read_id, substr(seq, (1 + 50 * t)::INT, 50) AS seq FROM (SELECT item_id, seq, unnest(range(0, length(seq) // 50)) AS t FROM (SELECT item_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark) WHERE length(seq) >= 50)), aq AS (SELECT read_id AS query_id, seq FROM bt ORDER BY"
 
 
 @query(_align_oracle(BOTH, plus=1).replace("aq AS (SELECT read_id AS query_id, seq FROM tiles ORDER BY", _BENCH_TILES))

@@ -3,30 +3,34 @@
 Reads a and b match if at some shift their overlap holds at least ceil(overlap * shorter) bases and at most
 int((1 - similarity) * width) mismatches, on either strand. The plan is seed and verify: an overlap of w
 bases with e mismatches holds an exact run of ceil((w - e) / (e + 1)), so some shared q-gram, q the least
-such run, names the shift; a pair is compared at the shifts its q-grams name, inside the stage that finds
-them. Queries are a bounded sample, and their q-grams are broadcast after a count. Without a useful q, or
-for the historic reverse complement, an Arrow kernel tries every shift.
+such run, names the shift, and a pair is compared at the shifts its q-grams name. Queries are a bounded sample:
+after a count they go to every task, where a batch of reads finds its seeds and compares all candidates at
+once, as matrices of bytes. More queries meet the reads in an equi join on q-grams. Without a useful q, or for
+the historic reverse complement, every shift is tried, for blocks of the queries.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rarespan.config import Mating
+from rarespan.functions import rolling
 from rarespan.functions import sequence as S
-from rarespan.operators.small import broadcast_if_small
+from rarespan.operators.iterate import durable
 
 
 def tiles(reads: DataFrame, width: int = 50) -> DataFrame:
-    """(read_id, seq): disjoint tiles of width bases; a tile's id is 1000 * read + number."""
+    """(read_id, seq): disjoint tiles of width bases; a tile's id is 2^24 * read + number, which no read's length reaches."""
     n = F.floor(F.length("seq") / width)
     every = reads.where(F.length("seq") >= width).select("read_id", "seq", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("t"))
-    return every.select((F.col("read_id") * 1000 + F.col("t")).alias("read_id"), F.substr("seq", F.col("t") * width + 1, F.lit(width)).alias("seq"))
+    return every.select((F.col("read_id") * (1 << 24) + F.col("t")).alias("read_id"), F.substr("seq", F.col("t") * width + 1, F.lit(width)).alias("seq"))
 
 
 def allowed(width: int, similarity: float) -> int:
@@ -72,13 +76,86 @@ def grams(df: DataFrame, seq: str, q: int, at: str) -> DataFrame:
     return df.select("*", F.posexplode(S.kmer_bytes(F.col(seq), q)).alias(at, "gram"))
 
 
-def pairs_seeded(queries: DataFrame, reads: DataFrame, q: int, m: Mating) -> DataFrame:
-    """Distinct (query_id, read_id) that match."""
-    left = broadcast_if_small(grams(strands(queries, m), "q", q, "at_q"))
+def pairs_joined(queries: DataFrame, reads: DataFrame, q: int, m: Mating) -> DataFrame:
+    """Distinct (query_id, read_id) that match, by an equi join on q-grams, for query sets of any size."""
+    left = grams(strands(queries, m), "q", q, "at_q")
     both = grams(reads.select("read_id", "seq"), "seq", q, "at_s").join(left, "gram")
     return both.where(accepts(F.col("q"), F.col("seq"), F.col("at_q") - F.col("at_s"), m)).select("query_id", "read_id").distinct()
 
 
+class Seeds:
+    """The q-grams of a bounded query set, sorted by hash, and what verifies a candidate."""
+
+    def __init__(self, rows: pa.Table, q: int, m: Mating):
+        seqs = rows["q"].combine_chunks()
+        self.ids, self.q, self.m = rows["query_id"].to_numpy(), q, m
+        self.flat, self.offsets = rolling.bytes_of(seqs)
+        at, h = rolling.gram_hashes(self.flat, self.offsets, q)
+        order = np.argsort(h, kind="stable")
+        self.hash, at = h[order], at[order]
+        self.query = np.searchsorted(self.offsets, at, side="right") - 1
+        self.at = at - self.offsets[self.query]
+
+    def candidates(self, flat: np.ndarray, offsets: np.ndarray, most: int = 2_000_000):
+        """(read, query, shift) of every shift that a common q-gram names, once in a slice of the reads."""
+        where, h = rolling.gram_hashes(flat, offsets, self.q)
+        left, right = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, side="right")
+        some = np.flatnonzero(right > left)
+        where, left, count = where[some], left[some], (right - left)[some]
+        read = np.searchsorted(offsets, where, side="right") - 1
+        done = np.cumsum(count)
+        for lo in range(0, int(done[-1]) if len(done) else 0, most):
+            part = slice(int(np.searchsorted(done, lo, side="right")), int(np.searchsorted(done, lo + most, side="right")) + 1)
+            c = count[part]
+            g = np.repeat(left[part], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            r = np.repeat(read[part], c)
+            shift = self.at[g] - np.repeat(where[part] - offsets[read[part]], c)
+            yield np.unique(np.stack([r, self.query[g], shift]), axis=1) if len(r) else np.zeros((3, 0), np.int64)
+
+    def accepted(self, flat, offsets, read, query, shift, cells: int = 1 << 24) -> np.ndarray:
+        """Which candidates overlap well enough, compared as matrices of bytes."""
+        m = self.m
+        la, lb = np.diff(self.offsets)[query], np.diff(offsets)[read]
+        at_a, at_b = np.maximum(shift, 0), np.maximum(-shift, 0)
+        w = np.minimum(la - at_a, lb - at_b)
+        out = w >= np.ceil(m.overlap * np.minimum(la, lb))
+        open_ = np.flatnonzero(out)
+        open_ = open_[np.argsort(w[open_], kind="stable")]
+        at = 0
+        while at < len(open_):
+            step = max(1, cells // max(1, int(w[open_[min(len(open_), at + 4096) - 1]])))
+            some = open_[at : at + min(step, 4096)]
+            at += len(some)
+            width = np.arange(int(w[some].max()))
+            inside = width < w[some, None]
+            x = self.flat[np.minimum((self.offsets[query[some]] + at_a[some])[:, None] + width, len(self.flat) - 1)]
+            y = flat[np.minimum((offsets[read[some]] + at_b[some])[:, None] + width, len(flat) - 1)]
+            differ = x != y
+            if m.n_mismatch:
+                differ |= x == ord("N")
+            out[some] = (differ & inside).sum(axis=1) <= ((1.0 - m.similarity) * w[some]).astype(np.int64)
+        return out
+
+
+def pairs_seeded(queries: DataFrame, reads: DataFrame, q: int, m: Mating, few: int = 20_000) -> DataFrame:
+    """Distinct (query_id, read_id) that match."""
+    asked = strands(queries, m).limit(few + 1).toArrow()
+    if asked.num_rows > few:
+        return pairs_joined(queries, reads, q, m)
+    shared = reads.sparkSession.sparkContext.broadcast(Seeds(asked, q, m))
+
+    def run(batches):
+        seeds = shared.value
+        for whole in batches:
+            for b in rolling.pieces(whole, 1, 1 << 20):
+                flat, offsets = rolling.bytes_of(b.column(1))
+                for read, query, shift in seeds.candidates(flat, offsets):
+                    good = seeds.accepted(flat, offsets, read, query, shift)
+                    yield pa.RecordBatch.from_arrays([pa.array(seeds.ids[query[good]]), b.column(0).take(pa.array(read[good]))], ["query_id", "read_id"])
+
+    return reads.select("read_id", "seq").mapInArrow(run, "query_id long, read_id long").distinct()
+
+
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
 
@@ -110,14 +187,22 @@ def match_matrix(short: np.ndarray, long_: np.ndarray, m: Mating) -> np.ndarray:
     return out
 
 
-def pairs_all(queries: DataFrame, reads: DataFrame, m: Mating, few: int = 32) -> DataFrame:
-    """The same by trying every shift, for all pairs of a few reads and the queries of one length at once.
+def pairs_all(queries: DataFrame, reads: DataFrame, m: Mating, most: int = 5000) -> DataFrame:
+    """The same by trying every shift, for blocks of about `most` queries one after the other, so that no more are on the driver."""
+    n = queries.count()
+    parts = max(1, math.ceil(n / most))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    done = [pairs_of_block(queries.where(block == i), reads, m) for i in range(parts)] if parts == 1 else [durable(pairs_of_block(queries.where(block == i), reads, m)) for i in range(parts)]
+    return reduce(DataFrame.unionByName, done)
+
+
+def pairs_of_block(queries: DataFrame, reads: DataFrame, m: Mating, few: int = 32) -> DataFrame:
+    """All pairs of a few reads and the queries of one length at once.
 
-    Queries are a bounded sample, sent to every task. The shorter of a pair is the one that is reversed; of
-    two of equal length that is the read.
+    The shorter of a pair is the one that is reversed; of two of equal length that is the read.
     """
     asked: dict[int, list] = {}
-    for r in queries.select("query_id", "seq").collect():
+    for r in queries.select("query_id", "seq").collect():  # a block is bounded
         asked.setdefault(len(r["seq"]), []).append((r["query_id"], r["seq"]))
     shared = reads.sparkSession.sparkContext.broadcast(asked)
 

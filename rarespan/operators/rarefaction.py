@@ -2,7 +2,7 @@
 
 Queries with equal mates are interchangeable, so every form works on the histogram (mates, queries): the
 closed form multiplies it with the grid, and the compressed Monte-Carlo form draws two binomials per
-(portion, replicate, mates) instead of two uniforms per query. The literal form, a uniform per query, is
+(portion, replicate, mates), as vectors, instead of two uniforms per query. The literal form, a uniform per query, is
 kept for small sets because other engines can repeat it draw for draw.
 """
 
@@ -67,33 +67,48 @@ def replicate_literal(mated: DataFrame, points: DataFrame, total_reads: int, s:
     return out.select("portion_idx", "portion", "replicate", F.when(F.col("inside") > 0, F.col("found") / F.col("inside")).otherwise(F.lit(0.0)).alias("redundancy"))
 
 
-def replicate(hist: DataFrame, points: DataFrame, total_reads: int, s: Sampling, chunk: int = 64) -> DataFrame:
-    """The same distribution from (mates, n_queries), by binomial draws whose generator depends on (seed, portion, replicate chunk, mates)."""
-    spark = hist.sparkSession
-    chunks = spark.range(math.ceil(s.replicates / chunk)).select(F.col("id").cast("int").alias("chunk"))
-    work = hist.crossJoin(F.broadcast(points.crossJoin(chunks)))
-    work = work.select("mates", "n_queries", "portion_idx", "portion", "chunk", found_probability(F.col("mates"), total_reads, F.col("portion")).alias("p"))
+def replicate(hist: DataFrame, points: DataFrame, total_reads: int, s: Sampling) -> DataFrame:
+    """The same distribution from (mates, n_queries): for each portion and number of mates two binomial draws of all replicates at once.
+
+    The generator depends on (seed, portion, mates) only, so the result is the same for any partitioning. A
+    batch adds up what it drew and emits one row per portion and replicate.
+    """
+    rows = hist.crossJoin(F.broadcast(points))  # the grid has tens of rows
+    rows = rows.select("mates", "n_queries", "portion_idx", "portion", found_probability(F.col("mates"), total_reads, F.col("portion")).alias("p"))
+    return drawn(rows, [], s)
+
+
+def drawn(rows: DataFrame, by: list[str], s: Sampling) -> DataFrame:
+    """([by,] portion_idx, portion, replicate, redundancy) of ([by,] mates, n_queries, portion_idx, portion, p)."""
     replicates, seed = s.replicates, s.seed
+    names = [*by, "portion_idx", "portion"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def draw(batches):
         for b in batches:
-            rows = []
-            for mates, n, idx, portion, c, p in b.itertuples(index=False):
-                rng = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), (int(idx) << 48) ^ (int(c) << 32) ^ int(mates)]))
-                size = min(chunk, replicates - c * chunk)
-                inside = rng.binomial(int(n), portion, size)
-                rows.append(pd.DataFrame({"portion_idx": idx, "portion": portion, "replicate": np.arange(c * chunk, c * chunk + size), "inside": inside, "found": rng.binomial(inside, p)}))
-            if rows:
-                yield pd.concat(rows)
-
-    drawn = work.mapInPandas(draw, "portion_idx int, portion double, replicate int, inside long, found long")
-    out = drawn.groupBy("portion_idx", "portion", "replicate").agg(F.sum("inside").alias("inside"), F.sum("found").alias("found"))
-    return out.select("portion_idx", "portion", "replicate", F.when(F.col("inside") > 0, F.col("found") / F.col("inside")).otherwise(F.lit(0.0)).alias("redundancy"))
-
-
-def summarise(replicates: DataFrame) -> DataFrame:
-    """(portion_idx, portion, avg, sd, q1, q2, q3): population deviation, and order statistics at n/4, n/2 and 3n/4."""
+            if not len(b):
+                continue
+            out = []
+            for key, own in b.groupby(names, dropna=False, sort=False):
+                inside, found = np.zeros(replicates, np.int64), np.zeros(replicates, np.int64)
+                portion, idx = key[-1], int(key[-2])
+                for mates, n, p in zip(own["mates"].to_numpy(), own["n_queries"].to_numpy(), own["p"].to_numpy()):
+                    rng = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), (idx << 48) ^ int(mates)]))
+                    some = rng.binomial(int(n), portion, replicates)
+                    inside += some
+                    found += rng.binomial(some, p)
+                out.append(pd.DataFrame(dict(zip(names, key)) | {"replicate": np.arange(replicates, dtype=np.int32), "inside": inside, "found": found}))
+            yield pd.concat(out)[[*names, "replicate", "inside", "found"]]
+
+    dealt = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *by, "portion_idx", "mates")  # a few rows hold all the work
+    done = dealt.mapInPandas(draw, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "replicate int, inside long, found long"]))
+    out = done.groupBy(*names, "replicate").agg(F.sum("inside").alias("inside"), F.sum("found").alias("found"))
+    return out.select(*names, "replicate", F.when(F.col("inside") > 0, F.col("found") / F.col("inside")).otherwise(F.lit(0.0)).alias("redundancy"))
+
+
+def summarise(replicates: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """([by,] portion_idx, portion, avg, sd, q1, q2, q3): population deviation, and order statistics at n/4, n/2 and 3n/4."""
     values = F.sort_array(F.collect_list("redundancy"))  # one number per replicate
-    out = replicates.groupBy("portion_idx", "portion").agg(F.avg("redundancy").alias("avg"), F.stddev_pop("redundancy").alias("sd"), values.alias("v"))
+    out = replicates.groupBy(*by, "portion_idx", "portion").agg(F.avg("redundancy").alias("avg"), F.stddev_pop("redundancy").alias("sd"), values.alias("v"))
     at = lambda q: F.coalesce(F.get("v", F.expr(f"cast(size(v) * {q} div 4 as int)")), F.lit(0.0))
-    return out.select("portion_idx", "portion", F.coalesce("avg", F.lit(0.0)).alias("avg"), F.coalesce("sd", F.lit(0.0)).alias("sd"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    return out.select(*by, "portion_idx", "portion", F.coalesce("avg", F.lit(0.0)).alias("avg"), F.coalesce("sd", F.lit(0.0)).alias("sd"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
