@@ -6,6 +6,9 @@ the upper-cased text. Queries that draw (top-X, Bernoulli, replicates) use hashe
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,13 +16,15 @@ from pyspark.sql import functions as F
 from rarespan.config import Mating, Sampling
 from rarespan.functions import gamma
 from rarespan.functions import sequence as S
-from rarespan.operators import checks, composition, curve, mating_align, mating_kmer, ontology, rarefaction, reads
+from rarespan.operators import checks, composition, curve, grouped, mating_align, mating_kmer, ontology, rarefaction, reads
+from rarespan.operators.iterate import durable, new_folder
 from rarespan.session import share_path, spread
-from rarespan.sources import sequences, sinks
+from rarespan.sources import curves as curve_source
+from rarespan.sources import dumps, sequences, sinks
 
-K, SEED, X_ALIGN, X_DRAW = 24, 1, 1000, 100
+K, SEED, X_ALIGN, X_VARIANT, X_DRAW = 24, 1, 1000, 200, 1000
 ALIGN = Mating(kernel="alignment")
-DRAWS = Sampling(replicates=8, seed=SEED)
+DRAWS, SPREAD = Sampling(replicates=8, seed=SEED), Sampling(replicates=32, seed=SEED)
 
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
@@ -78,22 +83,6 @@ def reads_stats(spark, sf_dir):
     return reads.stats(doc_reads(spark, sf_dir)).withColumn("mean_len", F.round("mean_len", 6))
 
 
-@query(f"WITH {READS} SELECT header, seq FROM reads WHERE length(seq) > 0")
-def fasta_scan(spark, sf_dir):
-    """Records with sequences in lines of 60, parsed."""
-    raw = doc_reads(spark, sf_dir).select(F.concat(F.lit(">"), "header", F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
-    return sequences.parse_fasta(raw).where(F.length("seq") > 0)
-
-
-@query(f"WITH {READS}, {QUALITY} SELECT reads.header, reads.seq, length(reads.seq) AS n_qual FROM reads JOIN ql USING (read_id)")
-def fastq_scan(spark, sf_dir):
-    """Records of four lines, parsed."""
-    r = with_quality(doc_reads(spark, sf_dir))
-    lines = F.array(F.concat(F.lit("@"), "header"), F.col("seq"), F.lit("+"), F.col("qual"))
-    raw = r.select(F.concat(F.lit("f"), F.col("read_id").cast("string")).alias("file"), F.posexplode(lines).alias("n", "value"))
-    return sequences.parse_fastq(raw).select("header", "seq", F.length("qual").cast("long").alias("n_qual"))
-
-
 @query(f"WITH {READS}, {QUALITY} SELECT reads.header, reads.seq FROM reads JOIN ql USING (read_id)")
 def fastq_to_fasta(spark, sf_dir):
     return sequences.to_fasta_reads(with_quality(doc_reads(spark, sf_dir))).select("header", "seq")
@@ -132,10 +121,11 @@ def revcomp_literal(spark, sf_dir):
     return reads.non_empty(doc_reads(spark, sf_dir)).select("read_id", S.literal_reverse_complement(F.col("seq")).alias("rc"))
 
 
-@query(f"WITH {READS} SELECT read_id, substr(seq, 1, 12) AS kmer, list_sum(list_transform(range(0, 12), lambda i: (instr('AGCT', substr(seq, (12 - i)::INT, 1)) - 1) * pow(4, i)))::BIGINT AS code FROM reads WHERE length(seq) >= 12")
+@query(f"WITH {READS} SELECT DISTINCT kmer, list_sum(list_transform(range(0, 12), lambda i: (instr('AGCT', substr(kmer, (12 - i)::INT, 1)) - 1) * pow(4, i)))::BIGINT AS code FROM (SELECT substr(seq, i, 12) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 10)) AS i FROM reads))")
 def kmer_code(spark, sf_dir):
-    kmer = F.substring("seq", 1, 12)
-    return doc_reads(spark, sf_dir).where(F.length("seq") >= 12).select("read_id", kmer.alias("kmer"), S.kmer_code(kmer).alias("code"))
+    """The code of every 12-mer of every read."""
+    kmers = mating_kmer.windows(doc_reads(spark, sf_dir), 12).select(F.decode("kmer", "UTF-8").alias("kmer")).distinct()
+    return kmers.select("kmer", S.kmer_code(F.col("kmer")).alias("code"))
 
 
 @query(f"WITH {READS}, {QUALITY} SELECT read_id AS query_id, round(1 - list_product(list_transform(p[1:{K}], lambda x: 1 - x)), 9) AS p_err FROM ql WHERE length(seq) >= {K}")
@@ -143,10 +133,10 @@ def kmer_error_prob(spark, sf_dir):
     return reads.kmer_queries(with_quality(doc_reads(spark, sf_dir)), K, True).select("query_id", F.round("p_err", 9).alias("p_err"))
 
 
-@query("WITH l AS (SELECT doc_id AS read_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents) SELECT read_id, regexp_replace(substr(s, 1, 8), '[^NACGTRYSWKMBDHV]', '.', 'g') AS label FROM l WHERE length(s) >= 8")
+@query("WITH l AS (SELECT doc_id AS read_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents) SELECT read_id, regexp_replace(s, '[^NACGTRYSWKMBDHV]', '.', 'g') AS label FROM l")
 def composition_labels(spark, sf_dir):
     r = reads.letters_from_text(table(spark, sf_dir, "documents"), "doc_id")
-    return r.where(F.length("seq") >= 8).select("read_id", S.composition_label(F.substring("seq", 1, 8)).alias("label"))
+    return r.select("read_id", S.composition_label(F.col("seq")).alias("label"))
 
 
 # Query sets
@@ -182,7 +172,7 @@ def kmer_mates(spark, sf_dir):
     return mating_kmer.mates(all_queries(spark, sf_dir), doc_reads(spark, sf_dir), K).select("query_id", "mates")
 
 
-CROSS = f"WITH {READS}, {KMERS}, b0 AS (SELECT item_id AS query_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark), q AS (SELECT query_id, substr(seq, 1, {K}) AS kmer, reverse(translate(substr(seq, 1, {K}), 'ACGT', 'TGCA')) AS kmer_rc FROM b0 WHERE length(seq) >= {K})"
+CROSS = f"WITH {READS}, b0 AS (SELECT item_id AS query_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark), q AS (SELECT query_id, substr(seq, 1, {K}) AS kmer, reverse(translate(substr(seq, 1, {K}), 'ACGT', 'TGCA')) AS kmer_rc FROM b0 WHERE length(seq) >= {K}), ks AS (SELECT kmer FROM q UNION SELECT kmer_rc FROM q), {KMERS.replace('FROM reads) GROUP BY 1', 'FROM reads) WHERE substr(seq, i, ' + str(K) + ') IN (SELECT kmer FROM ks) GROUP BY 1')}"
 
 
 @query(f"{CROSS} SELECT query_id, (coalesce(f.n, 0) + coalesce(b.n, 0))::BIGINT AS mates FROM q LEFT JOIN w f USING (kmer) LEFT JOIN w b ON b.kmer = q.kmer_rc")
@@ -211,10 +201,10 @@ def kmer_mates_corrected(spark, sf_dir):
 TILES = f"{READS}, tiles AS (SELECT read_id * 16777216 + t AS read_id, substr(seq, (1 + 50 * t)::INT, 50) AS seq FROM (SELECT read_id, seq, unnest(range(0, length(seq) // 50)) AS t FROM reads WHERE length(seq) >= 50)), aq AS (SELECT read_id AS query_id, seq FROM tiles ORDER BY md5('{SEED}|' || read_id), read_id LIMIT {X_ALIGN})"
 
 
-def _align_oracle(strands: str, plus: int = 0, match: str = "hamming(substr(q, a, w), substr(seq, b, w)) <= e") -> str:
+def _align_oracle(strands: str, plus: int = 0, match: str = "hamming(substr(q, a, w), substr(seq, b, w)) <= e", x: int = X_VARIANT) -> str:
     """Every query against every tile at every shift; all tiles have 50 bases."""
     return (
-        f"WITH {TILES}, s AS ({strands}), "
+        f"WITH {TILES.replace(f'LIMIT {X_ALIGN}', f'LIMIT {x}')}, s AS ({strands}), "
         "sh AS (SELECT greatest(i, 0) + 1 AS a, greatest(-i, 0) + 1 AS b, 50 - abs(i) AS w, cast(floor((1.0::DOUBLE - 0.95) * (50 - abs(i))) AS INT) AS e FROM (SELECT unnest(range(-25, 26))::INT AS i)), "
         f"hit AS (SELECT DISTINCT query_id, read_id FROM s, tiles, sh WHERE {match}) "
         f"SELECT query_id, (count(hit.read_id) + {plus})::BIGINT AS mates FROM aq LEFT JOIN hit USING (query_id) GROUP BY 1"
@@ -233,7 +223,7 @@ def align_queries(tiles: DataFrame, x: int = X_ALIGN) -> DataFrame:
     return reads.sample_fixed(tiles, x, SEED).select(F.col("read_id").alias("query_id"), "seq")
 
 
-@query(_align_oracle(BOTH))
+@query(_align_oracle(BOTH, x=X_ALIGN))
 def align_mates(spark, sf_dir):
     tiles = align_tiles(spark, sf_dir)
     return mating_align.mates(align_queries(tiles), tiles, ALIGN)
@@ -242,14 +232,54 @@ def align_mates(spark, sf_dir):
 @query(_align_oracle(FORWARD))
 def align_mates_one_strand(spark, sf_dir):
     tiles = align_tiles(spark, sf_dir)
-    return mating_align.mates(align_queries(tiles), tiles, Mating(kernel="alignment", both_strands=False))
+    return mating_align.mates(align_queries(tiles, X_VARIANT), tiles, Mating(kernel="alignment", both_strands=False))
+
+
+#: Reads of 44 to 62 bases, cut at the starts of texts, in which a base of most reads is N: read 5 has one in place 15.
+_UNEQUAL = (
+    f"{READS}, un AS (SELECT read_id, substr(seq, 1, (44 + read_id % 19)::INT) AS seq FROM reads WHERE length(seq) >= 62), "
+    "ur AS (SELECT read_id, CASE WHEN read_id % 3 = 0 THEN seq ELSE substr(seq, 1, (read_id % 40)::INT) || 'N' || substr(seq, (read_id % 40 + 2)::INT) END AS seq FROM un), "
+    f"uq AS (SELECT read_id AS query_id, seq FROM ur ORDER BY md5('{SEED}|' || read_id), read_id LIMIT {X_VARIANT})"
+)
 
 
-@query(_align_oracle(BOTH))
+def _unequal_oracle(differ: str) -> str:
+    """The shorter of a pair is a (of equal ones the read of the dataset); its reverse complement is tried too; every shift is."""
+    return (
+        f"WITH {_UNEQUAL}, pr AS (SELECT query_id, read_id, CASE WHEN length(q.seq) < length(r.seq) THEN q.seq ELSE r.seq END AS a, CASE WHEN length(q.seq) < length(r.seq) THEN r.seq ELSE q.seq END AS b FROM uq q, ur r), "
+        "st AS (SELECT query_id, read_id, a, b FROM pr UNION ALL SELECT query_id, read_id, reverse(translate(a, 'ACGT', 'TGCA')), b FROM pr), "
+        "sh AS (SELECT *, unnest(range((ceil(length(a) * 0.5) - length(b))::BIGINT, (length(a) - ceil(length(a) * 0.5) + 1)::BIGINT)) AS i FROM st), "
+        "ov AS (SELECT query_id, read_id, w, substr(a, (greatest(i, 0) + 1)::INT, w::INT) AS x, substr(b, (greatest(-i, 0) + 1)::INT, w::INT) AS y FROM (SELECT *, least(length(a) - greatest(i, 0), length(b) - greatest(-i, 0)) AS w FROM sh)), "
+        f"hit AS (SELECT DISTINCT query_id, read_id FROM ov WHERE {differ} <= floor((1.0::DOUBLE - 0.95) * w)) "
+        "SELECT query_id, count(hit.read_id)::BIGINT AS mates FROM uq LEFT JOIN hit USING (query_id) GROUP BY 1"
+    )
+
+
+def unequal_reads(spark, sf_dir) -> DataFrame:
+    r = doc_reads(spark, sf_dir).where(F.length("seq") >= 62).select("read_id", F.substr("seq", F.lit(1), (F.pmod("read_id", F.lit(19)) + 44).cast("int")).alias("seq"))
+    place = F.pmod("read_id", F.lit(40)).cast("int")
+    return r.withColumn("seq", F.when(F.col("read_id") % 3 == 0, F.col("seq")).otherwise(F.concat(F.substr("seq", F.lit(1), place), F.lit("N"), F.substr("seq", place + 2, F.lit(99)))))
+
+
+@query(_unequal_oracle("hamming(x, y)"))
+def align_mates_unequal(spark, sf_dir):
+    """Reads of unequal lengths with N: N against a base is a mismatch, N against N none."""
+    r = unequal_reads(spark, sf_dir)
+    return mating_align.mates(align_queries(r, X_VARIANT), r, ALIGN)
+
+
+@query(_unequal_oracle("(hamming(x, y) + list_sum(list_transform(range(1, w + 1), lambda j: CASE WHEN substr(x, j::INT, 1) = 'N' AND substr(y, j::INT, 1) = 'N' THEN 1 ELSE 0 END)))"))
 def align_mates_nmismatch(spark, sf_dir):
-    """Tiles hold bases only, so N rules change nothing here; fixtures with N are in the tests."""
-    tiles = align_tiles(spark, sf_dir)
-    return mating_align.mates(align_queries(tiles), tiles, Mating(kernel="alignment", n_mismatch=True))
+    """The same, where N against N is a mismatch too."""
+    r = unequal_reads(spark, sf_dir)
+    return mating_align.mates(align_queries(r, X_VARIANT), r, Mating(kernel="alignment", n_mismatch=True))
+
+
+@query(_unequal_oracle("list_sum(list_transform(range(1, w + 1), lambda j: CASE WHEN substr(x, j::INT, 1) <> substr(y, j::INT, 1) AND substr(x, j::INT, 1) <> 'N' AND substr(y, j::INT, 1) <> 'N' THEN 1 ELSE 0 END))"))
+def align_mates_nwildcard(spark, sf_dir):
+    """The same, where N matches anything, as documented: every shift is tried."""
+    r = unequal_reads(spark, sf_dir)
+    return mating_align.mates(align_queries(r, X_VARIANT), r, Mating(kernel="alignment", n_wildcard=True))
 
 
 _BENCH_TILES = f"bt AS (SELECT item_id * 16777216 + t AS read_id, substr(seq, (1 + 50 * t)::INT, 50) AS seq FROM (SELECT item_id, seq, unnest(range(0, length(seq) // 50)) AS t FROM (SELECT item_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark) WHERE length(seq) >= 50)), aq AS (SELECT read_id AS query_id, seq FROM bt ORDER BY"
@@ -258,14 +288,14 @@ _BENCH_TILES = f"bt AS (SELECT item_id * 16777216 + t AS read_id, substr(seq, (1
 @query(_align_oracle(BOTH, plus=1).replace("aq AS (SELECT read_id AS query_id, seq FROM tiles ORDER BY", _BENCH_TILES))
 def align_mates_cross(spark, sf_dir):
     other = mating_align.tiles(reads.from_text(table(spark, sf_dir, "benchmark"), "item_id"))
-    return mating_align.mates(align_queries(other), align_tiles(spark, sf_dir), ALIGN, cross=True)
+    return mating_align.mates(align_queries(other, X_VARIANT), align_tiles(spark, sf_dir), ALIGN, cross=True)
 
 
-@query(_align_oracle(FORWARD, match="hamming(substr(q, a, w), substr(seq, b, w)) <= e OR hamming(substr(q, a, w), substr('N' || reverse(translate(substr(seq, 2), 'ACGT', 'TGCA')), b, w)) <= e"))
+@query(_align_oracle(FORWARD, match="hamming(substr(q, a, w), substr(seq, b, w)) <= e OR hamming(substr(q, a, w), substr(rc, b, w)) <= e").replace("FROM s, tiles, sh", "FROM s, (SELECT *, 'N' || reverse(translate(substr(seq, 2), 'ACGT', 'TGCA')) AS rc FROM tiles) tiles, sh"))
 def align_mates_compat(spark, sf_dir):
     """The historic reverse complement, on the subject where lengths are equal."""
     tiles = align_tiles(spark, sf_dir)
-    return mating_align.mates(align_queries(tiles), tiles, Mating(kernel="alignment", literal_reverse=True))
+    return mating_align.mates(align_queries(tiles, X_VARIANT), tiles, Mating(kernel="alignment", literal_reverse=True))
 
 
 # Rarefaction
@@ -315,77 +345,88 @@ def replicate_summary(spark, sf_dir):
     return out.select("portion_idx", *(F.round(c, 6).alias(c) for c in ("avg", "sd", "q1", "q2", "q3")))
 
 
-@query()
-def replicate_binomial(spark, sf_dir):
+_EXACT = f"{MATES}, {TOTAL}, {POINTS}, ex AS (SELECT portion_idx, portion, any_value(total) AS total, count(*) AS n, avg(1 - pow(1 - least(1, greatest(0, (mates - 1)::DOUBLE / (total - 1))), greatest(0, floor(total * portion) - 1))) AS red FROM m, g, t GROUP BY 1, 2)"
+
+
+def binomial_summary(spark, sf_dir) -> DataFrame:
     """1024 replicates of all queries, by binomial draws."""
     total = reads.stats(doc_reads(spark, sf_dir)).head()["n_reads"]
     s = Sampling()
     return rarefaction.summarise(rarefaction.replicate(mates_histogram(spark, sf_dir), rarefaction.grid(spark, total, s), total, s))
 
 
-@query()
+@query(f"WITH {_EXACT} SELECT portion_idx, round(portion, 9) AS portion, TRUE AS mean_near, TRUE AS ordered, red > 0 AS spread FROM ex")
+def replicate_binomial(spark, sf_dir):
+    """The replicates' means lie within five standard errors of the closed form (times the chance that a query is drawn), quartiles are in order, and there is a spread wherever anything is found."""
+    total = reads.stats(doc_reads(spark, sf_dir)).head()["n_reads"]
+    hist = durable(mates_histogram(spark, sf_dir))
+    s = Sampling()
+    points = rarefaction.grid(spark, total, s)
+    drawn = durable(rarefaction.summarise(rarefaction.replicate(hist, points, total, s)))
+    n = hist.agg(F.sum("n_queries").alias("n"))
+    exact = rarefaction.expected(hist, points, total).select("portion_idx", "redundancy").crossJoin(F.broadcast(n))  # one row
+    both = drawn.join(exact, "portion_idx")
+    wanted = F.col("redundancy") * (1 - F.pow(1 - F.col("portion"), F.col("n")))
+    near = F.abs(F.col("avg") - wanted) <= 5 * F.col("sd") / math.sqrt(s.replicates) + 1e-3
+    return both.select("portion_idx", F.round("portion", 9).alias("portion"), near.alias("mean_near"), ((F.col("q1") <= F.col("q2")) & (F.col("q2") <= F.col("q3"))).alias("ordered"), (F.col("sd") > 0).alias("spread"))
+
+
+@query(f"WITH {_DRAWS}, su AS (SELECT portion_idx, portion, avg(redundancy) AS avg, list_sort(list(redundancy))[5] AS q2 FROM v GROUP BY 1, 2), f AS (SELECT arg_min(q2, portion_idx) FILTER (portion > 0.2) = 0 AS low, arg_max(avg, portion_idx) >= 0.95 AS high, coalesce(max(avg) FILTER (portion_idx = 5) >= 0.95 AND count(*) > 5, FALSE) AS steep FROM su) SELECT 'low_depth' AS status FROM f WHERE low UNION ALL SELECT 'high_coverage' FROM f WHERE high UNION ALL SELECT 'low_resolution' FROM f WHERE steep UNION ALL SELECT 'ok' FROM f WHERE NOT low AND NOT steep")
 def run_evaluation(spark, sf_dir):
-    return checks.evaluate(replicate_binomial(spark, sf_dir))
-
-
-# Curves: one per source
-
-
-def source_curves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Metadata and closed-form points of the reads of each source, mated within the source."""
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("source").alias("label"), F.col("doc_id").alias("read_id"), F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("seq")).where(F.length("seq") >= K)
-    facts = rows.groupBy("label").agg(F.count("*").alias("R"), F.avg(F.length("seq")).alias("L"))
-    meta = facts.select("label", F.lit("kmer").alias("kernel"), "L", (F.col("L") - (K - 1)).alias("AL"), "R", F.lit(50.0).alias("overlap"), F.lit(0.7).alias("divide"))
-    kmer = S.first_kmer(F.col("seq"), K)
-    q = rows.select("label", "read_id", kmer.alias("kmer"), S.reverse_complement(kmer).alias("kmer_rc"))
-    keys = q.select("label", F.explode(F.array("kmer", "kmer_rc")).alias("kmer")).distinct().select("label", F.encode("kmer", "UTF-8").alias("kmer"))
-    windows = rows.select("label", F.explode(S.kmer_bytes(F.col("seq"), K)).alias("kmer"))
-    hits = windows.join(keys, ["label", "kmer"], "left_semi").groupBy("label", "kmer").agg(F.count("*").alias("n")).select("label", F.decode("kmer", "UTF-8").alias("kmer"), "n")
-    m = q.join(hits.withColumnRenamed("n", "nf"), ["label", "kmer"], "left").join(hits.select("label", F.col("kmer").alias("kmer_rc"), F.col("n").alias("nb")), ["label", "kmer_rc"], "left")
-    hist = m.select("label", (F.coalesce("nf", F.lit(0)) + F.coalesce("nb", F.lit(0))).alias("mates")).groupBy("label", "mates").agg(F.count("*").alias("n"))
-    n_points = F.greatest(F.lit(2), F.ceil((F.ln(F.lit(2.0)) - F.ln(F.greatest("R", F.lit(2)))) / F.ln(F.lit(0.7))) + 2).cast("int")
-    grid = meta.select("label", "R", n_points.alias("np")).select("label", "R", "np", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("i"))
-    grid = grid.select("label", "R", "i", F.when(F.col("i") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(0.7), F.col("np") - 1 - F.col("i"))).alias("portion"))
-    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("mates") - 1).cast("double") / F.greatest(F.col("R") - 1, F.lit(1)).cast("double")))
-    found = 1 - F.pow(1 - p, F.greatest(F.lit(0), F.floor(F.col("R") * F.col("portion")) - 1))
-    points = hist.join(grid, "label").groupBy("label", "i", "R", "portion").agg((F.sum(F.col("n") * found) / F.sum("n")).alias("avg"))
-    points = points.select("label", (F.col("portion") * F.col("R")).alias("x_obs"), "avg", F.lit(0.0).alias("sd"), *(F.col("avg").alias(c) for c in ("q1", "q2", "q3")))
-    return meta, points
+    return checks.evaluate(rarefaction.summarise(_literal(spark, sf_dir))).select("status")
+
+
+# Curves: one per language, from replicates that other engines can repeat
+
+
+def language_curves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Metadata and points of the reads of each language, mated within it, with the spread of 32 replicates."""
+    r = reads.from_text(table(spark, sf_dir, "documents"), "doc_id", keep=("lang",)).select(F.col("lang").alias("label"), "read_id", "seq")
+    return grouped.curve_tables(r, "label", K, SPREAD, literal=True)
 
 
 _CURVES = (
-    f"rs AS (SELECT source AS label, doc_id AS read_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents), r AS (SELECT * FROM rs WHERE length(seq) >= {K}), "
+    f"rs AS (SELECT lang AS label, doc_id AS read_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents), r AS (SELECT * FROM rs WHERE length(seq) >= {K}), "
     f"meta AS (SELECT label, count(*) AS R, avg(length(seq)) AS L, avg(length(seq)) - {K - 1} AS AL FROM r GROUP BY 1), "
     f"w AS (SELECT label, substr(seq, i, {K}) AS kmer, count(*) AS n FROM (SELECT label, seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM r) GROUP BY 1, 2), "
-    f"q AS (SELECT label, substr(seq, 1, {K}) AS kmer, reverse(translate(substr(seq, 1, {K}), 'ACGT', 'TGCA')) AS rc FROM r), "
-    "m AS (SELECT q.label, coalesce(f.n, 0) + coalesce(b.n, 0) AS mates FROM q LEFT JOIN w f ON f.label = q.label AND f.kmer = q.kmer LEFT JOIN w b ON b.label = q.label AND b.kmer = q.rc), "
-    "g AS (SELECT label, R, i, CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE pow(0.7::DOUBLE, n - 1 - i) END AS portion FROM (SELECT label, R, n, unnest(range(0, n)) AS i FROM (SELECT label, R, greatest(2, ceil((ln(2) - ln(greatest(R, 2))) / ln(0.7::DOUBLE))::BIGINT + 2) AS n FROM meta))), "
-    "p AS (SELECT label, portion * R AS x_obs, avg(1 - pow(1 - least(1, greatest(0, (mates - 1)::DOUBLE / greatest(R - 1, 1))), greatest(0, floor(R * portion) - 1))) AS red FROM m JOIN g USING (label) GROUP BY label, i, R, portion), "
-    "c AS (SELECT label, x_obs, red, pow(red, 1 - exp(2.23e-2 * 50 - 3.5698)) AS cov, row_number() OVER (PARTITION BY label ORDER BY x_obs) AS i FROM p), "
+    f"q AS (SELECT label, read_id, substr(seq, 1, {K}) AS kmer, reverse(translate(substr(seq, 1, {K}), 'ACGT', 'TGCA')) AS rc FROM r), "
+    "m AS (SELECT q.label, q.read_id AS query_id, coalesce(f.n, 0) + coalesce(b.n, 0) AS mates FROM q LEFT JOIN w f ON f.label = q.label AND f.kmer = q.kmer LEFT JOIN w b ON b.label = q.label AND b.kmer = q.rc), "
+    "g AS (SELECT label, R, i::INT AS portion_idx, CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE pow(0.7::DOUBLE, n - 1 - i) END AS portion FROM (SELECT label, R, n, unnest(range(0, n)) AS i FROM (SELECT label, R, greatest(2, ceil((ln(2) - ln(greatest(R, 2))) / ln(0.7::DOUBLE))::BIGINT + 2) AS n FROM meta))), "
+    f"dr AS (SELECT label, R, portion_idx, portion, replicate, (('0x' || substr(md5('{SEED}|' || label || '|' || portion_idx || '|' || replicate || '|' || query_id || '|in'), 1, 8))::BIGINT / 4294967296.0) < portion AS inside, "
+    f"(('0x' || substr(md5('{SEED}|' || label || '|' || portion_idx || '|' || replicate || '|' || query_id || '|hit'), 1, 8))::BIGINT / 4294967296.0) < 1 - pow(1 - least(1, greatest(0, (mates - 1)::DOUBLE / greatest(R - 1, 1))), greatest(0, floor(R * portion) - 1)) AS hit FROM m JOIN g USING (label), (SELECT unnest(range(0, 32)) AS replicate)), "
+    "vr AS (SELECT label, portion * R AS x_obs, replicate, CASE WHEN count(*) FILTER (inside) > 0 THEN count(*) FILTER (inside AND hit)::DOUBLE / count(*) FILTER (inside) ELSE 0 END AS v FROM dr GROUP BY label, portion * R, portion_idx, replicate), "
+    "p AS (SELECT label, x_obs, avg(v) AS red, stddev_pop(v) AS s, list_sort(list(v))[9] AS q1, list_sort(list(v))[17] AS q2, list_sort(list(v))[25] AS q3 FROM vr GROUP BY 1, 2), "
+    "cf AS (SELECT 1 - exp(2.23e-2 * 50 - 3.5698) AS f), "
+    "c AS (SELECT label, x_obs, red, pow(red, f) AS cov, pow(s, f) AS sd, pow(q1, f) AS p25, pow(q2, f) AS p50, pow(q3, f) AS p75, row_number() OVER (PARTITION BY label ORDER BY x_obs) AS i FROM p, cf), "
     "z AS (SELECT *, max(x_obs) OVER l AS mx, arg_max(cov, x_obs) OVER l AS C FROM c WINDOW l AS (PARTITION BY label)), "
-    "y AS (SELECT label, i, x_obs, red, cov, CASE WHEN x_obs > 0 THEN exp(ln(mx) + pow(C, 0.27) * (ln(x_obs) - ln(mx))) ELSE 0 END AS xa FROM z), "
-    "pts AS (SELECT y.label, i::INT AS i, x_obs, red, cov, xa * AL * R / max(xa) OVER (PARTITION BY y.label) AS x_adj FROM y JOIN meta USING (label))"
+    "y AS (SELECT *, CASE WHEN x_obs > 0 THEN exp(ln(mx) + pow(C, 0.27) * (ln(x_obs) - ln(mx))) ELSE 0 END AS xa FROM z), "
+    "pts AS (SELECT y.label, i::INT AS i, x_obs, red, cov, sd, p25, p50, p75, xa * AL * R / max(xa) OVER (PARTITION BY y.label) AS x_adj FROM y JOIN meta USING (label))"
 )
 
 
-def source_points(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    meta, raw = source_curves(spark, sf_dir)
-    return meta, curve.points(raw, meta)
+def language_points(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    meta, raw = language_curves(spark, sf_dir)
+    return meta, durable(curve.points(raw, meta))
 
 
-@query(f"WITH {_CURVES} SELECT label, i, round(x_obs, 6) AS x_obs, round(x_adj, 3) AS x_adj, round(red, 6) AS red, round(cov, 6) AS cov FROM pts")
+_ROUNDED = ", ".join(f"round({c}, {n}) AS {c}" for c, n in (("x_obs", 6), ("x_adj", 3), ("red", 6), ("cov", 6), ("sd", 6), ("p25", 6), ("p50", 6), ("p75", 6)))
+
+
+def rounded(df: DataFrame, **places: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
+@query(f"WITH {_CURVES} SELECT label, i, {_ROUNDED} FROM pts")
 def coverage_points(spark, sf_dir):
-    pts = source_points(spark, sf_dir)[1]
-    return pts.select("label", "i", F.round("x_obs", 6).alias("x_obs"), F.round("x_adj", 3).alias("x_adj"), F.round("red", 6).alias("red"), F.round("cov", 6).alias("cov"))
+    return rounded(language_points(spark, sf_dir)[1], x_obs=6, x_adj=3, red=6, cov=6, sd=6, p25=6, p50=6, p75=6)
 
 
 @query(
-    f"WITH {_CURVES}, h AS (SELECT *, max(x_adj) OVER (PARTITION BY label) * 0.5 AS half FROM pts) SELECT label, round(arg_max(red, x_obs), 6) AS kappa, round(arg_max(cov, x_obs), 6) AS C, coalesce(arg_max(cov, x_adj) FILTER (x_adj <= half), arg_max(cov, x_obs)) = 0 AS median_zero, "
+    f"WITH {_CURVES}, h AS (SELECT *, max(x_adj) OVER (PARTITION BY label) * 0.5 AS half FROM pts) SELECT label, round(arg_max(red, x_obs), 6) AS kappa, round(arg_max(cov, x_obs), 6) AS C, coalesce(arg_max(p50, x_adj) FILTER (x_adj <= half), arg_max(p50, x_obs)) = 0 AS median_zero, "
     "arg_max(red, x_obs) <= 1e-5 AS too_low, coalesce(max(cov) FILTER (i = 2), 0) >= 1 - 1e-5 AS too_steep, count(*) FILTER (cov > 0 AND cov < 0.9) <= 10 AS few_points FROM h GROUP BY 1"
 )
 def curve_checks(spark, sf_dir):
-    out = curve.checks(source_points(spark, sf_dir)[1])
+    out = curve.checks(language_points(spark, sf_dir)[1])
     return out.select("label", F.round("kappa", 6).alias("kappa"), F.round("C", 6).alias("C"), "median_zero", "too_low", "too_steep", "few_points")
 
 
@@ -399,87 +440,236 @@ def gamma_cdf_grid(spark, sf_dir):
     return grid.select("x", "a", "b", F.round(gamma.gamma_cdf("x", "a", "b"), 8).alias("p"))
 
 
-@query("SELECT p::DOUBLE / 20 AS p, a::DOUBLE AS a, b::DOUBLE AS b, p::DOUBLE / 20 AS back FROM (SELECT unnest(range(1, 20)) AS p), (SELECT unnest([1.0, 5.5, 20.0]) AS a), (SELECT unnest([0.5, 1.0, 3.0]) AS b)")
+#: x of a probability by halving [0, 64] sixty times.
+_QUANTILE = (
+    "WITH RECURSIVE g AS (SELECT p::DOUBLE / 20 AS p, a::DOUBLE AS a, b::DOUBLE AS b FROM (SELECT unnest(range(1, 20)) AS p), (SELECT unnest([1.0, 5.5, 20.0]) AS a), (SELECT unnest([0.5, 1.0, 3.0]) AS b)), "
+    "h AS (SELECT p, a, b, 0.0::DOUBLE AS lo, 64.0::DOUBLE AS hi, 0 AS step FROM g UNION ALL SELECT p, a, b, CASE WHEN below THEN (lo + hi) / 2 ELSE lo END, CASE WHEN below THEN hi ELSE (lo + hi) / 2 END, step + 1 "
+    f"FROM (SELECT *, ({_GAMMA.format(x='((lo + hi) / 2)', a='a', b='b')}) < p AS below FROM h WHERE step < 60)) SELECT p, a, b, round((lo + hi) / 2, 6) AS x FROM h WHERE step = 60"
+)
+
+
+@query(_QUANTILE)
 def gamma_quantile_grid(spark, sf_dir):
-    """The distribution function of the quantile is the probability again."""
     ps = share_path(spark).range(1, 20).select((F.col("id") / 20).alias("p"))
     grid = ps.select("p", F.explode(F.array(*map(F.lit, (1.0, 5.5, 20.0)))).alias("a")).select("p", "a", F.explode(F.array(*map(F.lit, (0.5, 1.0, 3.0)))).alias("b"))
-    return grid.withColumn("x", gamma.gamma_quantile("p", "a", "b")).select("p", "a", "b", F.round(gamma.gamma_cdf("x", "a", "b"), 9).alias("back"))
+    return grid.select("p", "a", "b", F.round(gamma.gamma_quantile("p", "a", "b"), 6).alias("x"))
 
 
 _AB = "ab AS (SELECT a::DOUBLE AS a, b::DOUBLE AS b FROM (SELECT unnest(range(2, 40, 4)) AS a), (SELECT unnest([0.5, 1.0, 1.5, 2.0, 3.0]) AS b))"
+_INSIDE = "cov > 0 AND cov < 0.9"
 
 
 @query(
-    f"WITH {_CURVES}, {_AB}, s AS (SELECT label, a, b, round(sum(pow(cov - ({_GAMMA.format(x='ln(1 + x_adj)', a='a', b='b')}), 2)), 9) AS sse FROM pts, ab WHERE cov > 0 AND cov < 0.9 GROUP BY 1, 2, 3), "
+    f"WITH {_CURVES}, {_AB}, s AS (SELECT label, a, b, round(sum(pow(cov - ({_GAMMA.format(x='ln(1 + x_adj)', a='a', b='b')}), 2)), 9) AS sse FROM pts, ab WHERE {_INSIDE} GROUP BY 1, 2, 3), "
     "o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sse, a, b) AS rn FROM s) SELECT label, a, b, round(sse, 6) AS sse FROM o WHERE rn = 1"
 )
 def curve_fit_grid(spark, sf_dir):
     grid = share_path(spark).range(2, 40, 4).select(F.col("id").cast("double").alias("a"), F.explode(F.array(*map(F.lit, (0.5, 1.0, 1.5, 2.0, 3.0)))).alias("b"))
-    return curve.fit_on_grid(source_points(spark, sf_dir)[1], grid).withColumn("sse", F.round("sse", 6))
+    return curve.fit_on_grid(language_points(spark, sf_dir)[1], grid).withColumn("sse", F.round("sse", 6))
+
+
+def _fit_oracle(exponent: str) -> str:
+    """The weighted optimum by zooming: forty rounds over a 9 x 9 window in ln a and ln(a / b), around the best of the last round."""
+    model = _GAMMA.format(x="x", a="exp(la)", b="exp(la - lm)").replace("range(0, 400)", "range(0, 200)")
+    window = "(SELECT unnest(range(-4, 5)) AS i), (SELECT unnest(range(-4, 5)) AS j)"
+    return (
+        f"WITH RECURSIVE {_CURVES}, d AS (SELECT label, ln(1 + x_adj) AS x, cov, pow(sd, {exponent}) AS wt FROM pts WHERE {_INSIDE}), "
+        "o AS (SELECT label FROM d GROUP BY label HAVING count(*) >= 3 AND bool_and(isfinite(wt)) AND max(wt) > 0), "
+        "zo AS (SELECT label, ln(20.0) AS la, ln(14.0) AS lm, 1.0::DOUBLE AS r, 0 AS step FROM o UNION ALL "
+        "SELECT label, arg_min(la, e), arg_min(lm, e), any_value(r) * 0.75, any_value(step) + 1 FROM ("
+        f"SELECT k.label, la, lm, any_value(r) AS r, any_value(step) AS step, sum(wt * pow(cov - ({model}), 2)) AS e FROM (SELECT label, la + i * r / 4 AS la, lm + j * r / 8 AS lm, r, step FROM zo, {window} WHERE step < 40) k JOIN d ON d.label = k.label GROUP BY k.label, la, lm) GROUP BY label) "
+        "SELECT label, round(sum(wt * pow(cov - (" + model + "), 2)), 8) AS sse FROM zo JOIN d USING (label) WHERE step = 40 GROUP BY label"
+    )
 
 
-@query()
+def weighted_sse(spark, sf_dir, exponent: float) -> DataFrame:
+    """The weighted sum of squares that the solver reaches for one exponent; labels whose fit converges."""
+    meta, pts = language_points(spark, sf_dir)
+    params = curve.fit(pts, meta, weights=(exponent,), enforce=False).where("has_model").select("label", "a", "b")
+    both = pts.where(_INSIDE).join(params, "label")
+    both = both.withColumn("z", gamma.gamma_cdf(F.log1p("x_adj"), "a", "b"))
+    return both.groupBy("label").agg(F.round(F.sum(F.pow("sd", F.lit(exponent)) * F.pow(F.col("cov") - F.col("z"), F.lit(2.0))), 8).alias("sse"))
+
+
+@query(_fit_oracle("0.0"))
 def curve_fit(spark, sf_dir):
-    meta, pts = source_points(spark, sf_dir)
-    return curve.fit(pts, meta, enforce=False)
+    """Unweighted least squares, the first choice of weights, against a search of its own in SQL."""
+    return weighted_sse(spark, sf_dir, 0.0)
+
+
+@query(_fit_oracle("1.0"))
+def curve_fit_weighted(spark, sf_dir):
+    """Weights of the deviations' first power."""
+    return weighted_sse(spark, sf_dir, 1.0)
+
+
+def fitted(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    meta, pts = language_points(spark, sf_dir)
+    return meta, pts, durable(curve.fit(pts, meta, enforce=False))
 
 
-@query()
-def curve_summary_by_source(spark, sf_dir):
-    meta, pts = source_points(spark, sf_dir)
-    return curve.summary(pts, meta, curve.fit(pts, meta, enforce=False))
+@query(f"WITH {_CURVES}, n AS (SELECT label, count(*) FILTER ({_INSIDE}) AS n FROM pts GROUP BY 1) SELECT label, n >= 3 AS has_model, n >= 3 AS at_optimum, n >= 3 AS consistent_facts FROM n")
+def curve_fit_properties(spark, sf_dir):
+    """Of each label's model: the residuals are orthogonal to its derivatives (by differences of the gamma function), and diversity, target and correlation follow from a and b."""
+    meta, pts, params = fitted(spark, sf_dir)
+    both = pts.where(_INSIDE).join(params.where("has_model"), "label")
+    at = lambda da, db: gamma.gamma_cdf(F.log1p("x_adj"), F.col("a") * da, F.col("b") * db)
+    h = 1e-5
+    both = both.withColumns({"w": F.pow("sd", "weight_exp"), "z": at(1.0, 1.0), "za": (at(1 + h, 1.0) - at(1 - h, 1.0)) / (2 * h), "zb": (at(1.0, 1 + h) - at(1.0, 1 - h)) / (2 * h)})
+    r = F.col("cov") - F.col("z")
+    cosine = lambda d: F.abs(F.sum(F.col("w") * r * F.col(d))) / (F.sqrt(F.sum(F.col("w") * r * r) * F.sum(F.col("w") * F.col(d) * F.col(d))) + F.lit(1e-12))
+    facts = both.groupBy("label").agg(F.greatest(cosine("za"), cosine("zb")).alias("cosine"), F.sum(r * r).alias("sse"), F.corr("cov", "z").alias("r"), *(F.first(c).alias(c) for c in ("a", "b", "diversity", "LRstar", "modelR")), F.first("sse").alias("own_sse"))
+    star = gamma.gamma_cdf(F.log1p("LRstar"), "a", "b")
+    same = lambda x, y: F.abs(x - y) <= 1e-6 * (1 + F.abs(y))
+    nd = F.when(F.col("a") > 1, (F.col("a") - 1) / F.col("b")).otherwise(F.lit(0.0))
+    facts = facts.withColumn("star", star)
+    ok = same(F.col("diversity"), nd) & same(F.col("modelR"), F.col("r")) & same(F.col("own_sse"), F.col("sse")) & ((F.col("LRstar") == float("inf")) | same(F.col("star"), F.lit(0.95)))
+    facts = facts.select("label", (F.col("cosine") < 1e-3).alias("at_optimum"), ok.alias("consistent_facts"))
+    out = params.select("label", "has_model").join(facts, "label", "left")
+    return out.select("label", "has_model", F.coalesce("at_optimum", F.lit(False)).alias("at_optimum"), F.coalesce("consistent_facts", F.lit(False)).alias("consistent_facts"))
 
 
-def given_model(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    meta, pts = source_points(spark, sf_dir)
-    return pts, meta.select("label", F.lit(True).alias("has_model"), F.lit(20.0).alias("a"), F.lit(1.5).alias("b"), F.lit(12.5).alias("diversity"))
+@query(f"WITH {_CURVES} SELECT label, round(arg_max(red, x_obs), 6) AS kappa, round(arg_max(cov, x_obs), 6) AS C, round(any_value(L * R), 3) AS LR, count(*) FILTER ({_INSIDE}) >= 3 AS has_model FROM pts JOIN meta USING (label) GROUP BY label")
+def curve_summary_by_language(spark, sf_dir):
+    meta, pts, params = fitted(spark, sf_dir)
+    out = curve.summary(pts, meta, params)
+    whole = F.col("diversity").isNotNull() & F.col("LRstar").isNotNull() & F.col("modelR").isNotNull()
+    return out.select("label", F.round("kappa", 6).alias("kappa"), F.round("C", 6).alias("C"), F.round("LR", 3).alias("LR"), whole.alias("has_model"))
+
+
+def given_model(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Metadata, points, and one known model for every label."""
+    meta, pts = language_points(spark, sf_dir)
+    return meta, pts, meta.select("label", F.lit(True).alias("has_model"), F.lit(20.0).alias("a"), F.lit(1.5).alias("b"), F.lit(12.5).alias("diversity"))
 
 
 @query(f"WITH {_CURVES} SELECT label, round(x_adj, 3) AS effort, round({_GAMMA.format(x='ln(1 + x_adj)', a='20.0', b='1.5')}, 6) AS coverage FROM pts WHERE x_adj > 0")
 def predict_coverage(spark, sf_dir):
-    pts, params = given_model(spark, sf_dir)
+    _, pts, params = given_model(spark, sf_dir)
     out = curve.predict(params, pts.where("x_adj > 0").select("label", F.col("x_adj").alias("effort")))
     return out.select("label", F.round("effort", 3).alias("effort"), F.round("coverage", 6).alias("coverage"))
 
 
-@query(f"WITH {_CURVES} SELECT label, round(x_adj, 3) AS x_adj, round(greatest(cov - 1.9 * 0, 1e-7), 6) AS lower, round(cov, 6) AS upper FROM pts")
+_BANDS = " UNION ALL ".join(
+    [f"SELECT label, '{name}' AS kind, i, greatest(cov - {z} * sd, 1e-7) AS lower, cov + {z} * sd AS upper FROM pts" for name, z in (("sd", 1.0), ("ci95", 1.9), ("ci90", 1.64), ("ci50", 0.67))] + ["SELECT label, 'iq', i, greatest(p25, 1e-7), p75 FROM pts"]
+)
+
+
+@query(f"WITH {_CURVES}, b AS ({_BANDS}) SELECT label, kind, i, round(lower, 6) AS lower, round(upper, 6) AS upper FROM b")
 def dispersion_bands(spark, sf_dir):
-    out = curve.bands(source_points(spark, sf_dir)[1], "ci95")
-    return out.select("label", *(F.round(c, n).alias(c) for c, n in (("x_adj", 3), ("lower", 6), ("upper", 6))))
+    pts = language_points(spark, sf_dir)[1]
+    every = [curve.bands(pts, kind).withColumn("kind", F.lit(kind)) for kind in (*curve.BANDS, "iq")]
+    return rounded(reduce(DataFrame.unionByName, every), lower=6, upper=6).select("label", "kind", "i", "lower", "upper")
 
 
-@query()
+_EFFORTS = (
+    "tp AS (SELECT label, 10 * max(x_adj) AS t FROM pts GROUP BY 1 HAVING max(x_adj) > 0), tq AS (SELECT label, round(t / pow(10, floor(log10(t)))) * pow(10, floor(log10(t))) AS t FROM tp), "
+    "ef AS (SELECT label, i, exp(ln(1e3) + (ln(t) - ln(1e3)) * i / 999) AS x FROM tq, (SELECT unnest(range(0, 1000)) AS i))"
+)
+
+
+@query(f"WITH {_CURVES}, {_EFFORTS} SELECT label, 'observed' AS series, round(ln(1 + x_adj), 6) AS x, round(cov, 6) AS y FROM pts UNION ALL SELECT label, 'model', round(ln(1 + x), 6), round({_GAMMA.format(x='ln(1 + x)', a='20.0', b='1.5')}, 6) FROM ef")
 def plot_series(spark, sf_dir):
-    pts, params = given_model(spark, sf_dir)
-    return curve.plot_series(pts, params)
+    _, pts, params = given_model(spark, sf_dir)
+    return curve.plot_series(pts, params).select("label", "series", F.round(F.log1p("x"), 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query()
+@query(f"WITH {_CURVES} SELECT NULL AS label, 'coverage' AS guide, 0.0::DOUBLE AS value UNION ALL SELECT NULL, 'target', round(ln(0.95), 6) UNION ALL SELECT NULL, 'effort', round(ln(pow(10, e)), 6) FROM (SELECT unnest(range(0, 16, 3)) AS e) UNION ALL SELECT label, 'diversity', 12.5 FROM meta")
 def plot_guides(spark, sf_dir):
-    return curve.plot_guides(given_model(spark, sf_dir)[1])
+    return curve.plot_guides(given_model(spark, sf_dir)[2]).withColumn("value", F.round(F.log("value"), 6))
 
 
-@query()
+@query(
+    f"WITH {_CURVES}, {_EFFORTS}, e AS (SELECT label, round(ln(max(x)), 6) AS top, round(max({_GAMMA.format(x='ln(1 + x)', a='20.0', b='1.5')}), 6) AS top_y, count(*) AS n_model FROM ef GROUP BY 1) "
+    "SELECT label, 31::INT AS n_slots, any_value(R) AS R, 'kmer' AS kernel, round(any_value(L * R), 3) AS LR, count(*)::INT AS n_points, round(arg_max(red, x_obs), 6) AS kappa, round(arg_max(cov, x_obs), 6) AS C, round(list_sum(list(p75)), 6) AS sum_p75, TRUE AS has_model, any_value(n_model)::INT AS n_model, any_value(top) AS top, any_value(top_y) AS top_y FROM pts JOIN meta USING (label) JOIN e USING (label) GROUP BY label"
+)
 def curve_json(spark, sf_dir):
-    meta, pts = source_points(spark, sf_dir)
-    return curve.to_json(pts, meta, given_model(spark, sf_dir)[1].select("label", "has_model", "a", "b", "diversity"))
+    """Facts read from the exported JSON of each curve."""
+    meta, pts, params = given_model(spark, sf_dir)
+    made = curve.to_json(pts, meta, params)
+    j = F.from_json("json", "label string, R long, kernel string, LR double, `x.obs` array<double>, kappa double, C double, `y.p75` array<double>, `has.model` boolean, `x.model` array<double>, `y.model` array<double>")
+    out = made.select(F.json_object_keys("json").alias("keys"), j.alias("j"))
+    last = lambda c: F.element_at(F.col(f"j.`{c}`"), -1)
+    return out.select(
+        "j.label", F.size("keys").alias("n_slots"), "j.R", "j.kernel", F.round("j.LR", 3).alias("LR"), F.size(F.col("j.`x.obs`")).alias("n_points"), F.round("j.kappa", 6).alias("kappa"), F.round("j.C", 6).alias("C"),
+        F.round(F.aggregate(F.col("j.`y.p75`"), F.lit(0.0), lambda a, x: a + x), 6).alias("sum_p75"), F.col("j.`has.model`").alias("has_model"), F.size(F.col("j.`x.model`")).alias("n_model"), F.round(F.log(last("x.model")), 6).alias("top"), F.round(last("y.model"), 6).alias("top_y"),
+    )
 
 
-@query(f"WITH {MATES}, {TOTAL}, {POINTS} SELECT portion_idx, format('{{:.0f}}', portion * total) || chr(9) || format('{{:.5f}}', v) || chr(9) || '0.00000' || chr(9) || format('{{:.5f}}', v) || chr(9) || format('{{:.5f}}', v) || chr(9) || format('{{:.5f}}', v) AS value FROM (SELECT portion_idx, portion, any_value(total) AS total, avg(1 - pow(1 - least(1, greatest(0, (mates - 1)::DOUBLE / (total - 1))), greatest(0, floor(total * portion) - 1))) AS v FROM m, g, t GROUP BY 1, 2)")
+@query(
+    f"WITH {_DRAWS} SELECT portion_idx, format('{{:.0f}}', any_value(portion) * any_value(total)) || chr(9) || format('{{:.5f}}', avg(redundancy)) || chr(9) || format('{{:.5f}}', stddev_pop(redundancy)) || chr(9) || format('{{:.5f}}', list_sort(list(redundancy))[3]) || chr(9) || format('{{:.5f}}', list_sort(list(redundancy))[5]) || chr(9) || format('{{:.5f}}', list_sort(list(redundancy))[7]) AS value FROM v, t GROUP BY 1"
+)
 def curve_file_lines(spark, sf_dir):
     total = reads.stats(doc_reads(spark, sf_dir)).head()["n_reads"]
-    points = rarefaction.expected(mates_histogram(spark, sf_dir), rarefaction.grid(spark, total, Sampling()), total)
-    summary = points.select("portion_idx", "portion", F.col("redundancy").alias("avg"), F.lit(0.0).alias("sd"), *(F.col("redundancy").alias(c) for c in ("q1", "q2", "q3")))
-    return sinks.curve_lines(summary, total)
+    return sinks.curve_lines(rarefaction.summarise(_literal(spark, sf_dir)), total)
 
 
 @query(f"WITH {_CURVES} SELECT label, i, round(cov, 6) AS cov FROM pts UNION ALL SELECT 'again:' || label, i, round(cov, 6) FROM pts")
 def curve_set_add(spark, sf_dir):
-    pts = source_points(spark, sf_dir)[1].select("label", "i", F.round("cov", 6).alias("cov"))
+    pts = language_points(spark, sf_dir)[1].select("label", "i", F.round("cov", 6).alias("cov"))
     return curve.add(pts, pts.withColumn("label", F.concat(F.lit("again:"), "label")))
 
 
+# Files: tables written in the reference's formats below the checkpoint folder and read by the public readers
+
+
+def _written(lines: DataFrame, order: str, **options) -> str:
+    """The path of (order, value) as text files in that order."""
+    path = new_folder(lines.sparkSession, "files")
+    lines.repartitionByRange(order).sortWithinPartitions(order).select("value").write.options(**options).text(path)
+    return path
+
+
+def _fasta_lines(df: DataFrame) -> DataFrame:
+    """Sequences in lines of 60; a read without bases has a header only."""
+    return df.select("read_id", F.concat(F.lit(">"), "header", F.when(F.length("seq") > 0, F.concat(F.lit("\n"), F.rtrim(F.regexp_replace("seq", "(.{60})", "$1\n")))).otherwise("")).alias("value"))
+
+
+def _fastq_lines(df: DataFrame) -> DataFrame:
+    return df.select("read_id", F.concat(F.lit("@"), "header", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"))
+
+
+_IDS = "SELECT row_number() OVER (ORDER BY read_id) AS read_id, header, {} FROM ({})"
+
+
+@query(f"WITH {READS} {_IDS.format('seq', 'SELECT * FROM reads WHERE length(seq) > 0')}")
+def fasta_scan(spark, sf_dir):
+    """FASTA files, read with dense ids in the order of files and records."""
+    return sequences.read_fasta(spark, _written(_fasta_lines(doc_reads(spark, sf_dir)), "read_id")).select("read_id", "header", "seq")
+
+
+@query(f"WITH {READS} {_IDS.format('seq', 'SELECT * FROM reads WHERE length(seq) > 0')}")
+def fasta_gz_scan(spark, sf_dir):
+    return sequences.read_fasta(spark, _written(_fasta_lines(doc_reads(spark, sf_dir)), "read_id", compression="gzip")).select("read_id", "header", "seq")
+
+
+@query(f"WITH {READS}, {QUALITY} {_IDS.format('seq, n_qual', 'SELECT reads.*, length(reads.seq) AS n_qual FROM reads JOIN ql USING (read_id)')}")
+def fastq_scan(spark, sf_dir):
+    """FASTQ files of four lines a record, read in splits."""
+    path = _written(_fastq_lines(with_quality(doc_reads(spark, sf_dir))), "read_id")
+    return sequences.read_fastq(spark, path).select("read_id", "header", "seq", F.length("qual").cast("long").alias("n_qual"))
+
+
+@query(f"WITH {READS}, {QUALITY} {_IDS.format('seq, n_qual', 'SELECT reads.*, length(reads.seq) AS n_qual FROM reads JOIN ql USING (read_id)')}")
+def fastq_gz_scan(spark, sf_dir):
+    path = _written(_fastq_lines(with_quality(doc_reads(spark, sf_dir))), "read_id", compression="gzip")
+    return sequences.read_fastq(spark, path).select("read_id", "header", "seq", F.length("qual").cast("long").alias("n_qual"))
+
+
+@query(
+    f"WITH {_DRAWS} SELECT round(portion * any_value(total)) AS x_obs, round(avg(redundancy), 5) AS avg, round(stddev_pop(redundancy), 5) AS sd, round(list_sort(list(redundancy))[3], 5) AS q1, round(list_sort(list(redundancy))[5], 5) AS q2, round(list_sort(list(redundancy))[7], 5) AS q3, any_value(total) AS R, 'kmer' AS kernel, {K}::INT AS ksize, round(any_value((SELECT avg(length(seq)) FROM reads WHERE length(seq) > 0)), 3) AS L, 0.7::DOUBLE AS divide FROM v, t GROUP BY portion_idx, portion"
+)
+def curve_file_scan(spark, sf_dir):
+    """A curve file, written and read: its points and its header."""
+    facts = reads.stats(doc_reads(spark, sf_dir)).head()
+    meta = {"impl": "rarespan", "version": "1.0", "R": facts["n_reads"], "L": facts["mean_len"], "AL": facts["mean_len"] - K + 1, "overlap": 50.0, "divide": 0.7, "ksize": K}
+    path = f"{new_folder(spark, 'files')}/a.npo"
+    sinks.write_curve(rarefaction.summarise(_literal(spark, sf_dir)), meta, path, facts["n_reads"])
+    points = curve_source.read_points(spark, path).drop("label")
+    head = curve_source.read_metadata(spark, path).select("R", "kernel", "ksize", "L", "divide").limit(1)  # one file
+    return points.crossJoin(F.broadcast(head))
+
+
 # Composition
 
 
@@ -522,26 +712,34 @@ def nuc_composition_sampled(spark, sf_dir):
     return composition.counts(_letters(spark, sf_dir), 2, 0.3, SEED)
 
 
-# Ontology: regions are roots, nations and suppliers are below them
+# Ontology: regions are roots, nations and suppliers are below them, and parts have several suppliers as parents
 
 
 def _ontology(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Paths and terms. Suppliers have a nation, and every third one also a region, as a parent; so terms have several paths of several lengths."""
     region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
     term = lambda df, key, kind, offset, root: df.select((F.col(key) + offset).cast("long").alias("id"), F.lit(kind).alias("term_type"), F.format_string("GO:%07d", (F.col(key) + offset).cast("long")).alias("acc"), F.lit(root).alias("is_root"))
     terms = term(region, "r_regionkey", "biological_process", 1, 1).unionByName(term(nation, "n_nationkey", "molecular_function", 101, 0)).unionByName(term(supplier, "s_suppkey", "cellular_component", 1001, 0))
-    one = nation.select((F.col("n_regionkey") + 1).cast("long").alias("t1"), (F.col("n_nationkey") + 101).cast("long").alias("t2"))
-    two = supplier.select((F.col("s_nationkey") + 101).cast("long").alias("t1"), (F.col("s_suppkey") + 1001).cast("long").alias("t2"))
-    far = one.join(two.select(F.col("t1").alias("m"), F.col("t2").alias("low")), F.col("t2") == F.col("m")).select("t1", F.col("low").alias("t2"), F.lit(2).alias("distance"))
+    edge = lambda df, up, a, down, b: df.select((F.col(up) + a).cast("long").alias("t1"), (F.col(down) + b).cast("long").alias("t2"))
+    one = edge(nation, "n_regionkey", 1, "n_nationkey", 101)
+    two = edge(supplier, "s_nationkey", 101, "s_suppkey", 1001)
+    skip = edge(supplier.where("s_suppkey % 3 = 0").withColumn("r", F.pmod("s_suppkey", F.lit(5))), "r", 1, "s_suppkey", 1001)
+    peer = edge(supplier.where("s_suppkey % 4 = 1 AND s_suppkey > 1").withColumn("p", F.expr("s_suppkey div 2")), "p", 1001, "s_suppkey", 1001)
+    near = durable(one.unionByName(two).unionByName(skip).unionByName(peer).distinct())
+    paths, step = near.withColumn("distance", F.lit(1)), near
+    for d in (2, 3):
+        step = step.join(near.select(F.col("t1").alias("t2"), F.col("t2").alias("low")), "t2").select("t1", F.col("low").alias("t2")).distinct()
+        paths = paths.unionByName(step.withColumn("distance", F.lit(d)))
     own = terms.select(F.col("id").alias("t1"), F.col("id").alias("t2"), F.lit(0).alias("distance"))
-    near = one.unionByName(two).withColumn("distance", F.lit(1))
-    paths = near.unionByName(far).unionByName(own).select(F.col("t1").alias("term1_id"), F.col("t2").alias("term2_id"), F.lit(1).cast("long").alias("relationship_type_id"), "distance")
+    paths = paths.unionByName(own).select(F.col("t1").alias("term1_id"), F.col("t2").alias("term2_id"), F.lit(1).cast("long").alias("relationship_type_id"), "distance")
     return paths, terms
 
 
 _GO = (
     "tm AS (SELECT r_regionkey + 1 AS id, 'biological_process' AS term_type, printf('GO:%07d', (r_regionkey + 1)::BIGINT) AS acc, 1 AS is_root FROM region UNION ALL SELECT n_nationkey + 101, 'molecular_function', printf('GO:%07d', (n_nationkey + 101)::BIGINT), 0 FROM nation UNION ALL SELECT s_suppkey + 1001, 'cellular_component', printf('GO:%07d', (s_suppkey + 1001)::BIGINT), 0 FROM supplier), "
-    "near AS (SELECT n_regionkey + 1 AS t1, n_nationkey + 101 AS t2 FROM nation UNION ALL SELECT s_nationkey + 101, s_suppkey + 1001 FROM supplier), "
-    "gp AS (SELECT t1, t2, 1 AS distance FROM near UNION ALL SELECT a.t1, b.t2, 2 FROM near a JOIN near b ON a.t2 = b.t1 UNION ALL SELECT id, id, 0 FROM tm), "
+    "near AS (SELECT n_regionkey + 1 AS t1, n_nationkey + 101 AS t2 FROM nation UNION SELECT s_nationkey + 101, s_suppkey + 1001 FROM supplier UNION SELECT s_suppkey % 5 + 1, s_suppkey + 1001 FROM supplier WHERE s_suppkey % 3 = 0 UNION SELECT s_suppkey // 2 + 1001, s_suppkey + 1001 FROM supplier WHERE s_suppkey % 4 = 1 AND s_suppkey > 1), "
+    "s2 AS (SELECT DISTINCT a.t1, b.t2 FROM near a JOIN near b ON a.t2 = b.t1), s3 AS (SELECT DISTINCT a.t1, b.t2 FROM s2 a JOIN near b ON a.t2 = b.t1), "
+    "gp AS (SELECT t1, t2, 1 AS distance FROM near UNION ALL SELECT t1, t2, 2 FROM s2 UNION ALL SELECT t1, t2, 3 FROM s3 UNION ALL SELECT id, id, 0 FROM tm), "
     "edge AS (SELECT c.acc, p.acc AS parent_acc FROM near JOIN tm c ON c.id = t2 JOIN tm p ON p.id = t1)"
 )
 
@@ -567,22 +765,22 @@ def go_parent_sets(spark, sf_dir):
     return ontology.parent_sets(*_ontology(spark, sf_dir)).withColumn("parents", F.array_join("parents", ","))
 
 
-_UP = "RECURSIVE up AS (SELECT acc AS start, acc, 0 AS level FROM tm UNION SELECT start, parent_acc, level + 1 FROM up JOIN edge USING (acc))"
-_PAIRS = "pr AS (SELECT acc AS a, lead(acc) OVER (ORDER BY acc) AS b FROM tm), pp AS (SELECT * FROM pr WHERE b IS NOT NULL)"
+_UP = "up AS (SELECT acc AS start, acc, 0 AS level FROM tm UNION SELECT start, parent_acc, level + 1 FROM up JOIN edge USING (acc)), ul AS (SELECT start, acc, min(level) AS level FROM up GROUP BY 1, 2)"
+_PAIRS = "pp AS (SELECT a.acc AS a, b.acc AS b FROM tm a JOIN tm b ON b.id = a.id + 1)"
 
 
 def _pairs(terms: DataFrame) -> DataFrame:
-    """Each term with the next accession; the harness ontology is a few hundred terms."""
-    return terms.select(F.col("acc").alias("a"), F.lead("acc").over(W.orderBy("acc")).alias("b")).where("b IS NOT NULL")
+    """Each term with the one of the next id."""
+    return terms.select(F.col("acc").alias("a"), (F.col("id") + 1).alias("next")).join(terms.select(F.col("id").alias("next"), F.col("acc").alias("b")), "next").select("a", "b")
 
 
-@query(f"WITH RECURSIVE {_GO}, {_UP.removeprefix('RECURSIVE ')}, {_PAIRS}, l AS (SELECT a, b, min(greatest(x.level, y.level))::INT AS distance FROM pp JOIN up x ON x.start = a JOIN up y ON y.start = b AND x.acc = y.acc GROUP BY 1, 2) SELECT a, b, distance FROM pp LEFT JOIN l USING (a, b)")
+@query(f"WITH RECURSIVE {_GO}, {_UP}, {_PAIRS}, l AS (SELECT a, b, min(greatest(x.level, y.level))::INT AS distance FROM pp JOIN ul x ON x.start = a JOIN ul y ON y.start = b AND x.acc = y.acc GROUP BY 1, 2) SELECT a, b, distance FROM pp LEFT JOIN l USING (a, b)")
 def go_distance(spark, sf_dir):
     paths, terms = _ontology(spark, sf_dir)
     return ontology.distance(ontology.parents(paths, terms), _pairs(terms))
 
 
-@query(f"WITH RECURSIVE {_GO}, {_UP.removeprefix('RECURSIVE ')}, {_PAIRS} SELECT DISTINCT a, b, x.acc FROM pp JOIN up x ON x.start = a JOIN up y ON y.start = b AND x.acc = y.acc")
+@query(f"WITH RECURSIVE {_GO}, {_UP}, {_PAIRS} SELECT DISTINCT a, b, x.acc FROM pp JOIN ul x ON x.start = a JOIN ul y ON y.start = b AND x.acc = y.acc")
 def go_common_ancestors(spark, sf_dir):
     paths, terms = _ontology(spark, sf_dir)
     return ontology.common_ancestors(ontology.parents(paths, terms), _pairs(terms))
@@ -592,3 +790,13 @@ def go_common_ancestors(spark, sf_dir):
 def go_union_distinct(spark, sf_dir):
     paths, terms = _ontology(spark, sf_dir)
     return ontology.union_distinct(terms.select("acc"), ontology.parents(paths, terms).select(F.col("parent_acc").alias("acc")))
+
+
+@query("SELECT s_suppkey + 1001 AS id, 'it''s ' || s_name || '; (a, \"b\")' AS name, 'cellular_component' AS term_type, printf('GO:%07d', (s_suppkey + 1001)::BIGINT) AS acc, 0 AS is_obsolete, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 0 END AS is_root, 0 AS is_relation FROM supplier")
+def dump_scan(spark, sf_dir):
+    """The terms of a MySQL dump, with quotes, separators and NULLs in values and rows that repeat."""
+    s = table(spark, sf_dir, "supplier")
+    row = F.format_string("(%d,'it\\'s %s; (a, \"b\")','cellular_component','GO:%07d',0,%s,0)", (F.col("s_suppkey") + 1001).cast("long"), "s_name", (F.col("s_suppkey") + 1001).cast("long"), F.when(F.col("s_suppkey") % 7 == 0, "NULL").otherwise("0"))
+    twice = s.select("s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("n")).where("n = 0 OR s_suppkey % 5 = 0").join(s, "s_suppkey")
+    lines = twice.select((F.col("s_suppkey") * 2 + F.col("n")).alias("read_id"), F.concat(F.lit("INSERT INTO `term` VALUES "), row, F.lit(";")).alias("value"))
+    return dumps.read_dump(spark, _written(lines, "read_id"))["term"]

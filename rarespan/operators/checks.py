@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from rarespan.config import Mating, Sampling
 
 SATURATED = 0.95
+#: No grid is made finer than this factor, or than a step of its complement: a flat curve stays flat.
+FINEST = 0.999
 
 
 def evaluate(summary: DataFrame) -> DataFrame:
     """(status, message), one row per finding of (portion_idx, portion, avg, q2, ...)."""
     facts = summary.agg(
-        F.min_by("q2", F.when(F.col("portion") >= 0.2, F.col("portion_idx"))).alias("q2_at_20"),
+        F.min_by("q2", F.when(F.col("portion") > 0.2, F.col("portion_idx"))).alias("q2_at_20"),  # the first point beyond 20%
         F.max_by("avg", "portion_idx").alias("last"),
         F.max(F.when(F.col("portion_idx") == 5, F.col("avg"))).alias("sixth"),
         F.count("*").alias("n"),
@@ -27,7 +29,7 @@ def evaluate(summary: DataFrame) -> DataFrame:
             F.when(low, F.struct(F.lit("low_depth").alias("status"), F.lit("The median is zero at 20% of the reads: query more reads or ask for less overlap.").alias("message"))),
             F.when(high, F.struct(F.lit("high_coverage").alias("status"), F.lit("The coverage is very high; its precise value may be off.").alias("message"))),
             F.when(steep, F.struct(F.lit("low_resolution").alias("status"), F.lit("The curve is nearly saturated in six points or fewer: use a finer grid.").alias("message"))),
-            F.when(~F.coalesce(low, F.lit(False)) & ~F.coalesce(steep, F.lit(False)), F.struct(F.lit("ok").alias("status"), F.lit("Everything seems correct.").alias("message"))),
+            F.when(~F.coalesce(low, F.lit(False)) & ~F.coalesce(steep, F.lit(False)), F.struct(F.lit("ok").alias("status"), F.lit("No finding: the curve can be used.").alias("message"))),
         )
     )
     return facts.select(F.explode(found).alias("f")).select("f.*")
@@ -46,6 +48,8 @@ def adjust(statuses: set[str], mating: Mating, sampling: Sampling, total_reads:
         raise ValueError("sequencing depth is under the detection limit")
     if "low_resolution" in statuses:
         if sampling.factor > 0:
-            return mating, sampling.with_(factor=1 - (1 - sampling.factor) / 2)
-        return mating, sampling.with_(step=sampling.step / 2)
+            finer = sampling.with_(factor=1 - (1 - sampling.factor) / 2)
+        else:
+            finer = sampling.with_(step=sampling.step / 2)
+        return (mating, finer) if finer.factor < FINEST or finer.step > 1 - FINEST and not finer.factor else None
     return None

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from rarespan.functions import sequence as S
 
+#: Counts from here on take another order of magnitude (fixed value: (2^32 - 1) div 1024).
+WIDE = 4_194_303
+
 
 def counts(reads: DataFrame, k: int, portion: float = 1.0, seed: int = 1) -> DataFrame:
     """(kmer, count): windows of k in sequences longer than k; portion: of the sequences."""
@@ -27,8 +30,12 @@ def with_zeroes(counted: DataFrame, k: int) -> DataFrame:
 
 
 def extended(counted: DataFrame) -> DataFrame:
-    """With the fields of the emulated wide counter; a LONG never leaves its first order of magnitude."""
-    return counted.select("kmer", "count", F.col("count").alias("base"), F.lit(1).cast("long").alias("omag"), F.lit(0).cast("long").alias("hang"))
+    """With the fields of the emulated wide counter, count = base * omag + hang: base is below WIDE, and omag the least power of 1024 for that."""
+    omag = F.lit(1024**4)
+    for k in (3, 2, 1, 0):
+        omag = F.when(F.col("count") < WIDE * 1024**k, F.lit(1024**k)).otherwise(omag)
+    rows = counted.select("kmer", "count", omag.cast("long").alias("omag"))
+    return rows.select("kmer", "count", F.expr("count div omag").alias("base"), "omag", F.pmod("count", "omag").alias("hang"))
 
 
 def in_label_order(counted: DataFrame) -> DataFrame:

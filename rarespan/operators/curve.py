@@ -7,6 +7,8 @@ every operator works by label, so many curves run as independent groups.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,18 +72,33 @@ def checks(pts: DataFrame) -> DataFrame:
     return out.withColumn("warnings", warnings).withColumn("consistent", F.size("warnings") == 0)
 
 
-def least_squares(x: np.ndarray, y: np.ndarray, w: np.ndarray, start=(1.0, 0.1), rounds: int = 1024) -> tuple[float, float] | None:
-    """(a, b) of the gamma model by Levenberg-Marquardt steps in their logarithms; None if it does not converge."""
-    if len(x) < 3 or not np.isfinite(w).all() or not (w > 0).any():
-        return None
+def gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(residuals, Jacobian, cosines of the residuals with its columns, cost) of the weighted model at logarithms of (a, b)."""
     root = np.sqrt(w)
-    at, damping = np.log(np.array(start)), 1e-3
     rest = lambda t: root * (y - gamma.model(x, *np.exp(t)))
-    r = rest(at)
+    steps = np.eye(2) * 1e-5
+    r, j = rest(at), np.stack([(rest(at + s) - rest(at - s)) / 2e-5 for s in steps], 1)
     cost = float(r @ r)
+    norm = np.sqrt((j * j).sum(axis=0)) * math.sqrt(cost) + 1e-300
+    return r, j, np.abs(j.T @ r) / norm, cost
+
+
+def least_squares(x: np.ndarray, y: np.ndarray, w: np.ndarray, start=(1.0, 0.1), rounds: int = 1024) -> tuple[float, float] | None:
+    """(a, b) of the gamma model by Levenberg-Marquardt steps in their logarithms; None if it does not converge.
+
+    It has converged where the residuals are orthogonal to the model's derivatives, or vanish; steps that have become too
+    small to help without that are a failure.
+    """
+    if len(x) < 3 or not np.isfinite(w).all() or not (w > 0).any():
+        return None
+    root, at, damping = np.sqrt(w), np.log(np.array(start)), 1e-3
+    scale = float((w * y * y).sum())
     for _ in range(rounds):
-        steps = np.eye(2) * 1e-6
-        j = np.stack([(rest(at + s) - rest(at - s)) / 2e-6 for s in steps], 1)
+        r, j, slopes, cost = gradient(x, y, w, at)
+        if not np.isfinite(cost):
+            return None
+        if slopes.max() < 1e-7 or cost <= 1e-18 * scale:
+            return float(np.exp(at[0])), float(np.exp(at[1]))
         g, h = j.T @ r, j.T @ j
         moved = False
         while damping < 1e12:
@@ -89,16 +106,13 @@ def least_squares(x: np.ndarray, y: np.ndarray, w: np.ndarray, start=(1.0, 0.1),
                 step = np.clip(-np.linalg.solve(h + damping * np.diag(np.diag(h) + 1e-12), g), -0.5, 0.5)
             except np.linalg.LinAlgError:
                 return None
-            new = rest(at + step)
-            if (better := float(new @ new)) < cost:
-                done = abs(step).max() < 1e-9 or cost - better <= 1e-14 * cost
-                at, r, cost, damping, moved = at + step, new, better, max(damping / 10, 1e-12), True
-                if done:
-                    return float(np.exp(at[0])), float(np.exp(at[1]))
+            new = root * (y - gamma.model(x, *np.exp(at + step)))
+            if float(new @ new) < cost:
+                at, damping, moved = at + step, max(damping / 10, 1e-12), True
                 break
             damping *= 10
         if not moved:
-            return (float(np.exp(at[0])), float(np.exp(at[1]))) if np.isfinite(cost) else None
+            return (float(np.exp(at[0])), float(np.exp(at[1]))) if slopes.max() < 1e-4 else None
     return None
 
 
@@ -154,12 +168,12 @@ def predict(params: DataFrame, efforts: DataFrame) -> DataFrame:
 
 
 def bands(pts: DataFrame, kind: str = "sd", floor: float = 1e-7) -> DataFrame:
-    """(label, x_adj, lower, upper) of a dispersion; 'iq' is the quartiles."""
+    """(label, i, x_adj, lower, upper) of a dispersion; 'iq' is the quartiles."""
     if kind == "iq":
         low, high = F.col("p25"), F.col("p75")
     else:
         low, high = F.col("cov") - BANDS[kind] * F.col("sd"), F.col("cov") + BANDS[kind] * F.col("sd")
-    return pts.select("label", "x_adj", F.greatest(low, F.lit(floor)).alias("lower"), high.alias("upper"))
+    return pts.select("label", "i", "x_adj", F.greatest(low, F.lit(floor)).alias("lower"), high.alias("upper"))
 
 
 def add(one: DataFrame, other: DataFrame) -> DataFrame:
@@ -192,13 +206,16 @@ def plot_guides(params: DataFrame, star: float = 95.0) -> DataFrame:
     return lines.unionByName(params.where("has_model").select("label", F.lit("diversity").alias("guide"), F.exp("diversity").alias("value")))
 
 
-def to_json(pts: DataFrame, meta: DataFrame, params: DataFrame) -> DataFrame:
-    """(label, json): metadata, scalars, point vectors and the model's 1000 points of each curve."""
+def to_json(pts: DataFrame, meta: DataFrame, params: DataFrame, star: float = 95.0) -> DataFrame:
+    """(label, json): the slots of each curve by their public names, and the model's 1000 points if it has one."""
     vectors = pts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x_obs", "x_adj", "red", "cov", "sd", "p25", "p50", "p75"))).alias("v"))
     vectors = vectors.select("label", *(F.col(f"v.{a}").alias(b) for a, b in (("x_obs", "x.obs"), ("x_adj", "x.adj"), ("red", "y.red"), ("cov", "y.cov"), ("sd", "y.sd"), ("p25", "y.p25"), ("p50", "y.p50"), ("p75", "y.p75"))))
     fitted = model_efforts(pts).join(params.where("has_model").select("label"), "label", "left_semi")
     made = predict(params, fitted.select("label", "effort"))
     made = made.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("effort", "coverage"))).alias("m")).select("label", F.col("m.effort").alias("x.model"), F.col("m.coverage").alias("y.model"))
     every = effort(meta).join(checks(pts), "label").join(params, "label", "left").join(vectors, "label").join(made, "label", "left")
-    return every.select("label", F.to_json(F.struct(*(F.col(f"`{c}`") for c in every.columns))).alias("json"))
-
+    given = lambda c, t: F.col(c) if c in every.columns else F.lit(None).cast(t).alias(c)
+    slots = [given("file", "string"), F.col("label"), given("col", "string"), F.col("L"), F.col("AL"), F.col("R"), F.col("LR"), F.col("overlap"), given("ksize", "int"), F.col("divide").alias("log.sample"), F.col("kernel"), given("version", "string")]
+    slots += [F.col(f"`{c}`") for c in vectors.columns[1:]]
+    slots += [F.col("kappa"), F.col("C"), F.col("consistent"), F.lit(star).alias("star"), F.coalesce("has_model", F.lit(False)).alias("has.model"), F.col("warnings").alias("warning"), given("LRstar", "double"), given("modelR", "double"), given("diversity", "double"), F.col("`x.model`"), F.col("`y.model`")]
+    return every.select("label", F.to_json(F.struct(*slots), {"ignoreNullFields": "false"}).alias("json"))

@@ -5,16 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, written below the checkpoint folder that the session names and read again; only a local master may use a temporary one.
-
-    A written table has statistics and no origin plan; a checkpoint's kept constraints break unions of its
-    own columns in this version of Spark. The files stay as long as the folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; only a local master may use a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,6 +18,25 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="rarespan-")
         sc.setCheckpointDir(shared)
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, kind: str = "table") -> str:
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results, wherever it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, written below the checkpoint folder and read again.
+
+    A written table has statistics and no origin plan; a checkpoint's kept constraints break unions of its
+    own columns in this version of Spark. The files stay as long as the folder, or until remove().
+    """
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

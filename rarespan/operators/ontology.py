@@ -7,6 +7,8 @@ term1_id, term2_id, complete), term2term_metadata and term_subset. term1 is the
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,13 +47,13 @@ def parent_sets(paths: DataFrame, terms: DataFrame, asked: DataFrame | None = No
     return parents(paths, terms, asked).groupBy("acc").agg(F.array_sort(F.collect_set("parent_acc")).alias("parents"))
 
 
-def ancestors(edges: DataFrame, start: DataFrame, levels: int = 64) -> DataFrame:
-    """(start, acc, level): every ancestor with its least level; edges (acc, parent_acc), start (acc). Stops when a level adds nothing."""
+def ancestors(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(start, acc, level): every ancestor with its least level; edges (acc, parent_acc), start (acc). Climbs until a level adds nothing, so cycles end too."""
     from rarespan.operators.iterate import durable
 
     found = durable(start.select(F.col("acc").alias("start"), "acc", F.lit(0).alias("level")).distinct())
-    front = found
-    for level in range(1, levels + 1):
+    front, edges = found, durable(edges)
+    for level in count(1):
         up = front.join(edges, "acc").select("start", F.col("parent_acc").alias("acc")).distinct()
         front = durable(up.join(found.select("start", "acc"), ["start", "acc"], "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():

@@ -9,10 +9,10 @@ from rarespan.config import Mating, Sampling
 from rarespan.functions import sequence as S
 
 
-def from_text(table: DataFrame, key: str, text: str = "text", header: list[str] | None = None) -> DataFrame:
-    """(read_id, header, seq): the bases of a text column, upper-cased. Other characters go first, as upper case may make letters of them."""
+def from_text(table: DataFrame, key: str, text: str = "text", header: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """([keep,] read_id, header, seq): the bases of a text column, upper-cased. Other characters go first, as upper case may make letters of them."""
     name = F.concat_ws(":", *(header or [key]))
-    return table.select(F.col(key).alias("read_id"), name.alias("header"), F.upper(F.regexp_replace(text, "[^ACGTacgt]+", "")).alias("seq"))
+    return table.select(*keep, F.col(key).alias("read_id"), name.alias("header"), F.upper(F.regexp_replace(text, "[^ACGTacgt]+", "")).alias("seq"))
 
 
 def letters_from_text(table: DataFrame, key: str, text: str = "text") -> DataFrame:

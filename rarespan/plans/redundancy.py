@@ -38,14 +38,15 @@ def queries_of(subjects: DataFrame, mating: Mating, sampling: Sampling, total: i
     return reads.sample_bernoulli(source, portion, sampling.seed).select(F.col("read_id").alias("query_id"), "seq")
 
 
-def run(subjects: DataFrame, mating: Mating = Mating(), sampling: Sampling = Sampling(), other: DataFrame | None = None, adjust: bool = False, rounds: int = 16) -> Run:
+def run(subjects: DataFrame, mating: Mating = Mating(), sampling: Sampling = Sampling(), other: DataFrame | None = None, adjust: bool = False) -> Run:
     """Subjects (read_id, seq[, qual]); other: another dataset that the queries come from; adjust: repeat with adjusted parameters."""
     facts = reads.stats(subjects).head()
     total, mean = facts["n_reads"], facts["mean_len"]
     if not total:
         raise ValueError("no reads found")
-    mated, last = None, None
-    for _ in range(rounds):
+    mated, last, changed = None, None, (mating, sampling)
+    while changed is not None:  # ends by itself: portions double up to 1, overlaps and steps have a floor
+        mating, sampling = changed
         if mated is None or (mating, sampling.query_portion) != last:
             last = (mating, sampling.query_portion)
             queries = durable(queries_of(subjects, mating, sampling, total, other))
@@ -60,9 +61,6 @@ def run(subjects: DataFrame, mating: Mating = Mating(), sampling: Sampling = Sam
         summary = rarefaction.summarise(replicates)
         findings = checks.evaluate(summary)
         changed = checks.adjust({r["status"] for r in findings.collect()}, mating, sampling, total) if adjust else None
-        if changed is None:
-            break
-        mating, sampling = changed
     meta = {"impl": "rarespan", "version": "1.0", "R": total, "L": mean, "overlap": 100 * mating.overlap, "divide": sampling.factor, "maxL": facts["max_len"]}
     if mating.kernel == "kmer":
         meta |= {"ksize": mating.k, "AL": mean - mating.k + 1}

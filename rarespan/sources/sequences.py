@@ -1,81 +1,139 @@
 """FASTA and FASTQ sources; .gz files are inflated by Spark's text reader.
 
-FASTA splits into records at "newline >", so a plain file is read in parallel. FASTQ records are four
-lines: lines are numbered within their file and grouped by fours, since a quality line may start with @.
-A .gz file is one split; callers that go on to shuffle-free work should repartition it.
+FASTA splits into records at "newline >", so a plain file is read in parallel. FASTQ records are four lines:
+lines are numbered within their file from the counts of its splits, and records are put together where they
+lie, since a quality line may start with @; only the lines of a record that two splits share are moved.
+Reading writes a table of the records, the index, in the session's checkpoint folder; ids are dense in the order of the
+files' names and of the records in a file, and come from the counts per split, so nothing is sorted.
+A .gz file is one split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from rarespan.schema import table
+from rarespan.operators.iterate import durable
+from rarespan.operators.small import broadcast_if_small
 from rarespan.session import share_path
 
+SPLIT = ("file", "block")
 
-LINES = table("file STRING, block LONG, value STRING, i LONG")
+
+def split_of() -> list:
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+
+
+def in_file_order(counts: DataFrame, whole: bool = True) -> DataFrame:
+    """(file, block, before): rows of the splits before this one, of all files or of the file; counts is (file, block, rows), a row per split."""
+    order = W.orderBy("file", "block") if whole else W.partitionBy("file").orderBy("block")
+    return counts.withColumn("before", F.sum("rows").over(order) - F.col("rows")).drop("rows")
 
 
 def dense_ids(df: DataFrame) -> DataFrame:
-    """df with read_id, counting from 1 in the order of its rows: one job counts partitions, then rows are numbered where they lie."""
-    numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return df.sparkSession.createDataFrame(numbered, T.StructType([*df.schema.fields, T.StructField("read_id", T.LongType())]))
+    """df (file, block, at, ...), a written table, with read_id for these: at orders the rows of a split without gaps."""
+    splits = df.groupBy(*SPLIT).agg(F.count("*").alias("rows"), F.min("at").alias("first"))
+    numbered = df.join(broadcast_if_small(in_file_order(splits)), list(SPLIT))
+    return numbered.withColumn("read_id", F.col("at") - F.col("first") + F.col("before") + 1).drop(*SPLIT, "at", "first", "before")
 
 
-def parse_fasta(records: DataFrame, value: str = "value") -> DataFrame:
-    """(header, seq) of raw records, with or without their leading >."""
+def parse_fasta(records: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """([keep,] header, seq) of raw records, with or without their leading >."""
     body = F.regexp_replace(value, r"^>", "")
     header = F.regexp_extract(body, r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace(body, r"^[^\r\n]*", ""), r"[\r\n]", "")
-    return records.select(header.alias("header"), seq.alias("seq"))
+    return records.select(*keep, header.alias("header"), seq.alias("seq"))
 
 
 def read_fasta(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """(header, seq[, read_id]); records without bases are dropped."""
-    raw = share_path(spark).read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
-    reads = parse_fasta(raw).where(F.length("seq") > 0)
-    return dense_ids(reads) if ids else reads
+    raw = share_path(spark).read.option("lineSep", "\n>").text(path).select(*split_of(), "value")
+    reads = parse_fasta(raw.where(F.length(F.trim("value")) > 0), keep=SPLIT).where(F.length("seq") > 0)
+    if not ids:
+        return reads.drop(*SPLIT)
+    return dense_ids(durable(reads.withColumn("at", F.monotonically_increasing_id())))
 
 
-def parse_fastq(lines: DataFrame) -> DataFrame:
-    """(file, header, seq, qual) of (file, n, value), n counting lines from 0; a broken record is an error."""
-    grouped = lines.groupBy("file", F.floor(F.col("n") / 4).alias("record")).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("l"))
-    at = lambda i: F.get("l", F.lit(i))["value"]
-    problem = (
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, n, value): lines with their number in their file, from 0, split by split and in order."""
+    lines = spark.read.text(path).select(*split_of(), F.monotonically_increasing_id().alias("at"), "value")
+    splits = lines.groupBy(*SPLIT).agg(F.count("*").alias("rows"), F.min("at").alias("first"))
+    both = lines.join(F.broadcast(in_file_order(splits, whole=False)), list(SPLIT))  # a row per split
+    return both.select(*SPLIT, (F.col("at") - F.col("first") + F.col("before")).alias("n"), "value")
+
+
+def broken(l: str) -> Column:
+    """What is wrong with the lines of a record, an array of strings; null if nothing is."""
+    at = lambda i: F.get(l, F.lit(i))
+    return (
         F.when(~F.startswith(at(0), F.lit("@")), "a record does not start with @")
-        .when(F.size("l") < 2, "missing sequence")
-        .when(F.size("l") < 3, "missing separator")
+        .when(F.size(l) < 2, "missing sequence")
+        .when(F.size(l) < 3, "missing separator")
         .when(~F.startswith(at(2), F.lit("+")), "wrong separator")
-        .when(F.size("l") < 4, "missing quality")
+        .when(F.size(l) < 4, "missing quality")
         .when(F.length(at(1)) != F.length(at(3)), "sequence and quality differ in length")
     )
-    checked = grouped.withColumn("bad", problem)
-    seq = F.when(F.col("bad").isNotNull(), F.raise_error(F.concat("file", F.lit(": "), "bad")).cast("string")).otherwise(at(1))
-    return checked.select("file", "record", F.substring(at(0), 2, 2147483647).alias("header"), seq.alias("seq"), at(3).alias("qual"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, value): lines with their number in their file, from 0.
+def checked(records: DataFrame) -> DataFrame:
+    """(..., header, seq, qual) of (..., file, l); a broken record is an error."""
+    at = lambda i: F.get("l", F.lit(i))
+    seq = F.when(broken("l").isNotNull(), F.raise_error(F.concat("file", F.lit(": "), broken("l"))).cast("string")).otherwise(at(1))
+    return records.withColumns({"header": F.substring(at(0), 2, 2147483647), "seq": seq, "qual": at(3)}).drop("l")
+
 
-    A split of a file is read by one task, in order; what precedes it is the sum of the counts of the
-    file's splits before it, a table of one row per split.
+def parse_fastq(lines: DataFrame) -> DataFrame:
+    """(file, block, at, header, seq, qual) of numbered lines, split by split; at orders the records of a split.
+
+    A record belongs to the split of its first line. Records inside a split are put together in place; of the
+    others only the lines at the splits' edges are grouped. Lines after the last record may be blank.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    rows = spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), LINES)
-    blocks = rows.groupBy("file", "block").agg(F.min("i").alias("first"), F.count("*").alias("lines"))
-    blocks = blocks.withColumn("before", F.sum("lines").over(W.partitionBy("file").orderBy("block")) - F.col("lines")).drop("lines")
-    return rows.join(blocks, ["file", "block"]).select("file", (F.col("i") - F.col("first") + F.col("before")).alias("n"), "value")
+
+    def run(batches):
+        split, record, held = None, None, []
+
+        def fold(out, end: bool):
+            """Closes the record that is open: whole if all four lines were seen here, else its lines go on."""
+            nonlocal held
+            if held:
+                out.append((*split, record, [v for _, v in held] if len(held) == 4 else None, held if len(held) < 4 else None))
+            held = []
+
+        for b in batches:
+            out = []
+            for file, block, n, value in zip(*(c.to_pylist() for c in b.columns)):
+                if split != (file, block) or record != n // 4:
+                    fold(out, False)
+                    split, record = (file, block), n // 4
+                held.append((n, value))
+            yield rows_of(out)
+        out = []
+        fold(out, True)
+        yield rows_of(out)
+
+    def rows_of(out):
+        files, block, record, l, part = zip(*out) if out else ([],) * 5
+        return pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(block, pa.int64()), pa.array(record, pa.int64()), pa.array(l, pa.list_(pa.string())), pa.array(part, pa.list_(pa.struct([("n", pa.int64()), ("value", pa.string())])))], ["file", "block", "record", "l", "part"])
+
+    made = durable(lines.select(*SPLIT, "n", "value").mapInArrow(run, "file string, block long, record long, l array<string>, part array<struct<n: long, value: string>>"))
+    whole = made.where("l IS NOT NULL").select(*SPLIT, "record", "l")
+    edges = made.where("l IS NULL").groupBy("file", "record").agg(F.min("block").alias("block"), F.array_sort(F.flatten(F.collect_list("part")))["value"].alias("l"))
+    every = whole.unionByName(edges.select(*SPLIT, "record", "l")).where(F.exists("l", lambda v: v != ""))
+    return checked(every).select(*SPLIT, F.col("record").alias("at"), "header", "seq", "qual")
 
 
 def read_fastq(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """(header, seq, qual[, read_id]); records without bases are dropped."""
-    numbered = numbered_lines(share_path(spark), path)
-    reads = parse_fastq(numbered.where(F.length("value") > 0)).where(F.length("seq") > 0)
-    reads = reads.orderBy("file", "record").select("header", "seq", "qual")
-    return dense_ids(reads) if ids else reads
+    reads = parse_fastq(numbered_lines(share_path(spark), path))
+    some = reads.where(F.length("seq") > 0)
+    if not ids:
+        return some.drop(*SPLIT, "at")
+    some = durable(some)
+    gaps = broadcast_if_small(durable(reads.where(F.length("seq") == 0).groupBy(*SPLIT).agg(F.array_sort(F.collect_list("at")).alias("gone"))))
+    closed = some.join(gaps, list(SPLIT), "left").withColumn("at", F.col("at") - F.coalesce(F.size(F.filter("gone", lambda g: g < F.col("at"))), F.lit(0))).drop("gone")
+    return dense_ids(closed)
 
 
 def read_sequences(spark: SparkSession, path: str, form: str) -> DataFrame:

@@ -53,8 +53,12 @@ def write_summary(summary: DataFrame, path: str, form: str = "tsv") -> None:
 
 
 def write_json(curves: DataFrame, path: str) -> None:
-    """One JSON object a line, of (label, json)."""
-    curves.select("json").write.mode("overwrite").text(path)
+    """A set of (label, json) as one object keyed by label, in one file with a line per curve."""
+    last = curves.agg(F.max("label").alias("last"))
+    body = curves.crossJoin(F.broadcast(last)).select("label", F.concat(F.expr("left(to_json(array(label)), length(to_json(array(label))) - 1)").substr(2, 2147483647), F.lit(": "), "json", F.when(F.col("label") < F.col("last"), ",").otherwise("")).alias("value"))  # one row
+    spark = curves.sparkSession
+    ends = spark.createDataFrame([(0, None, "{"), (2, None, "}")], "part int, label string, value string")
+    body.withColumn("part", F.lit(1)).unionByName(ends).coalesce(1).sortWithinPartitions("part", "label").select("value").write.mode("overwrite").text(path)
 
 
 def write_fasta(reads: DataFrame, path: str) -> None:

@@ -6,6 +6,9 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from rarespan.functions import sequence
 from rarespan.operators import composition, curve
 from rarespan.plans import cli
 from rarespan.sources import curves, dumps, sequences, sinks
@@ -39,11 +42,23 @@ def test_split_files_number_their_lines(spark, files):
     d, seqs = files
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
     try:
-        rows = sequences.read_fastq(spark, str(d / "a.fastq")).collect()
-        assert sorted(r["seq"] for r in rows) == sorted(seqs)
-        assert sorted(r["seq"] for r in sequences.read_fasta(spark, str(d / "a.fasta")).collect()) == sorted(seqs)
+        for rows in (sequences.read_fastq(spark, str(d / "a.fastq")).collect(), sequences.read_fasta(spark, str(d / "a.fasta")).collect()):
+            assert [r["seq"] for r in sorted(rows, key=lambda r: r["read_id"])] == seqs
+            assert sorted(r["read_id"] for r in rows) == list(range(1, len(seqs) + 1))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_ids_of_several_files_and_empty_records(spark, tmp_path):
+    for name, first in (("a.fastq", 0), ("b.fastq", 100)):
+        (tmp_path / name).write_text("".join(f"@r{first + i}\n{'' if i % 7 == 3 else 'ACGT'}\n+\n{'' if i % 7 == 3 else '@@II'}\n" for i in range(40)) + "\n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    try:
+        rows = sorted(sequences.read_fastq(spark, str(tmp_path)).collect(), key=lambda r: r["read_id"])
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["header"] for r in rows] == [f"r{first + i}" for first in (0, 100) for i in range(40) if i % 7 != 3]
+    assert [r["read_id"] for r in rows] == list(range(1, len(rows) + 1))
 
 
 @pytest.mark.parametrize("text,what", [("@a\nAC\n-\nII\n", "wrong separator"), ("@a\nAC\n+\n", "missing quality"), ("@a\n", "missing sequence"), ("@a\nAC\n", "missing separator")])
@@ -110,7 +125,7 @@ def test_streamed_hits(spark, tmp_path):
     run = kmers.start(kmers.hits(kmers.read_stream(spark, str(tmp_path / "in"), per_trigger=1), q, 4), "hits", str(tmp_path / "cp"))
     run.processAllAvailable()
     run.stop()
-    assert {tuple(r) for r in spark.table("hits").collect()} == {tuple(r) for r in mating_kmer.counts(q, rows, 4).collect()}
+    assert {tuple(r) for r in spark.table("hits").select(sequence.kmer_code(F.col("kmer")), "n").collect()} == {tuple(r) for r in mating_kmer.counts(q, rows, 4).collect()}
 
 
 def test_other_sinks(spark, tmp_path):
