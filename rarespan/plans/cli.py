@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import argparse
 import logging
+import time
 
 from rarespan.config import Mating, Sampling
 
+FOUND = 25  # between information and warnings
 VERSION = "1.0"
+LOG = logging.getLogger("rarespan")
+#: Verbosity 0 to 9: nothing below 1, errors, warnings from 3, what a run finds from 5, steps from 7, all at 9.
+LEVELS = (logging.CRITICAL, logging.ERROR, logging.ERROR, logging.WARNING, logging.WARNING, FOUND, FOUND, logging.INFO, logging.INFO, logging.DEBUG)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,22 +42,30 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("-N", dest="n_mismatch", action="store_true")
     r.add_argument("-A", dest="adjust", action="store_true")
     r.add_argument("-F", dest="portion_label", action="store_true")
-    r.add_argument("-r", dest="seed", type=int, default=1)
-    r.add_argument("-a", dest="all_data")
+    r.add_argument("-r", dest="seed", type=int, default=int(time.time()), help="by default the time")
+    r.add_argument("-a", dest="all_data", help="'' writes none, - to the standard output; so do -C and -o")
     r.add_argument("-C", dest="mates")
     r.add_argument("-o", dest="summary")
-    r.add_argument("-l", dest="log")
+    r.add_argument("-l", dest="log", help="by default the standard error")
     r.add_argument("-v", dest="verbosity", type=int, default=7)
 
     c = commands.add_parser("curves", help="coverage, model and projections of curve files")
-    c.add_argument("files", nargs="+")
-    c.add_argument("--labels", help="comma-separated")
+    c.add_argument("files", nargs="*")
+    c.add_argument("--sheet", help="a table of File, Name and Col instead of files")
+    c.add_argument("--labels", help="comma-separated; used again if there are fewer than files")
+    c.add_argument("--col", help="comma-separated colours #rrggbb")
     c.add_argument("--star", type=float, default=95.0)
     c.add_argument("--json")
     c.add_argument("--tsv")
     c.add_argument("--csv")
+    c.add_argument("--pdf")
+    c.add_argument("--pdf-size", type=float, default=7.0, help="inches")
+    c.add_argument("--xlim", default="1e3,10e12", help="least and most effort of the drawing")
     c.add_argument("--series", help="folder for plot-ready tables")
-    c.add_argument("--dispersion", default="sd", choices=("sd", "ci95", "ci90", "ci50", "iq"))
+    c.add_argument("--dispersion", choices=("sd", "ci95", "ci90", "ci50", "iq"))
+    c.add_argument("--weights", help="comma-separated exponents of the deviation, tried in order")
+    c.add_argument("--skip-model", action="store_true")
+    c.add_argument("--ignore-consistency", action="store_true")
     c.add_argument("--no-observed", action="store_true")
     c.add_argument("--no-model", action="store_true")
     c.add_argument("--no-correction", action="store_true")
@@ -79,8 +92,10 @@ def main(args: list[str] | None = None, spark=None) -> None:
     a = parser().parse_args(args)
     from rarespan.session import local_session
 
-    level = {0: logging.ERROR, 1: logging.WARNING}.get(min(getattr(a, "verbosity", 7) // 4, 2), logging.INFO)
-    logging.basicConfig(level=level, filename=getattr(a, "log", None), format="[%(relativeCreated)d ms] %(message)s")
+    handler = logging.FileHandler(a.log) if getattr(a, "log", None) else logging.StreamHandler()
+    handler.setFormatter(logging.Formatter("[%(relativeCreated)d ms] %(message)s"))
+    LOG.handlers[:] = [handler]
+    LOG.setLevel(LEVELS[max(0, min(9, getattr(a, "verbosity", 7)))])
     spark = spark or local_session(getattr(a, "threads", "*"), memory=f"{max(1024, getattr(a, 'memory', 4096))}m")
     {"redundancy": redundancy, "curves": curves, "composition": composition, "ontology": ontology}[a.command](spark, a)
 
@@ -94,39 +109,49 @@ def redundancy(spark, a) -> None:
     subjects = sequences.read_sequences(spark, a.reads, a.form)
     other = sequences.read_sequences(spark, a.other, a.form) if a.other else None
     result = plan.run(subjects, mating, sampling, other, a.adjust)
-    sinks.write_curve(result.summary, result.meta, a.summary or f"{a.prefix}.npo", result.meta["R"], a.portion_label)
-    sinks.write_replicates(result.replicates, a.all_data or f"{a.prefix}.npa")
-    sinks.write_mates(result.mates, a.mates or f"{a.prefix}.npc")
-    for row in result.findings.collect():
-        logging.info("%s: %s", row["status"], row["message"])
+    outputs = (
+        (a.summary, ".npo", sinks.curve_text(result.summary, result.meta, result.meta["R"], a.portion_label), lambda path: sinks.write_curve(result.summary, result.meta, path, result.meta["R"], a.portion_label)),
+        (a.all_data, ".npa", sinks.replicate_lines(result.replicates).orderBy("portion_idx", "replicate"), lambda path: sinks.write_replicates(result.replicates, path)),
+        (a.mates, ".npc", sinks.mate_lines(result.mates), lambda path: sinks.write_mates(result.mates, path)),
+    )
+    for given, suffix, lines, write in outputs:
+        target = given if given is not None else (f"{a.prefix}{suffix}" if a.prefix else "")
+        if target == "-":
+            for row in lines.select("value").toLocalIterator():
+                print(row["value"])
+        elif target:
+            write(target)
+    for row in result.findings.collect():  # at most a few
+        LOG.log(FOUND, "%s: %s", row["status"], row["message"])
 
 
 def curves(spark, a) -> None:
     from pyspark.sql import functions as F
 
     from rarespan.operators import curve
-    from rarespan.sources import curves as source
+    from rarespan.plans import curves as plan
     from rarespan.sources import sinks
 
-    meta, raw = source.read_metadata(spark, a.files), source.read_points(spark, a.files)
-    if a.labels:
-        names = spark.createDataFrame(list(zip([f.rsplit("/", 1)[-1].removesuffix(".npo") for f in a.files], a.labels.split(","))), "label string, name string")
-        rename = lambda df: df.join(F.broadcast(names), "label").drop("label").withColumnRenamed("name", "label")
-        meta, raw = rename(meta), rename(raw)
-    points = curve.points(raw, meta, not a.no_correction)
-    params = curve.fit(points, meta, a.star)
-    summary = curve.summary(points, meta, params)
+    split = lambda text: text.split(",") if text else None
+    options = dict(enforce=not a.ignore_consistency, star=a.star, corrected=not a.no_correction, weights=tuple(map(float, split(a.weights) or ())) or None, skip_model=a.skip_model)
+    made = plan.read_sheet(spark, a.sheet, **options) if a.sheet else plan.read_set(spark, a.files, split(a.labels), split(a.col), **options)
+    for row in made.warnings().collect():
+        LOG.warning("%s: %s", row["label"], row["warning"])
+    summary = made.summary()
     if a.json:
-        sinks.write_json(curve.to_json(points, meta, params), a.json)
+        sinks.write_json(made.json(), a.json)
     for form in ("tsv", "csv"):
         if getattr(a, form):
             sinks.write_summary(summary, getattr(a, form), form)
+    if a.pdf:
+        low, high = map(float, a.xlim.split(","))
+        plan.draw(made, a.pdf, a.pdf_size, (low, high), a.dispersion, not a.no_observed, not a.no_model)
     if a.series:
-        series = curve.plot_series(points, params)
+        series = curve.plot_series(made.points, made.params)
         hidden = [n for n, off in (("observed", a.no_observed), ("model", a.no_model)) if off]
         series.where(~F.col("series").isin(*hidden) if hidden else F.lit(True)).write.mode("overwrite").parquet(f"{a.series}/series")
-        curve.bands(points, a.dispersion).write.mode("overwrite").parquet(f"{a.series}/bands")
-        curve.plot_guides(params, a.star).write.mode("overwrite").parquet(f"{a.series}/guides")
+        curve.bands(made.points, a.dispersion or "sd").write.mode("overwrite").parquet(f"{a.series}/bands")
+        curve.plot_guides(made.params, a.star).write.mode("overwrite").parquet(f"{a.series}/guides")
     summary.show(truncate=False)
 
 

@@ -20,23 +20,35 @@ def curve_lines(summary: DataFrame, total_reads: int, portion_as_label: bool = F
     return summary.select("portion_idx", F.concat_ws("\t", label, *numbers).alias("value"))
 
 
-def write_curve(summary: DataFrame, meta: dict, path: str, total_reads: int, portion_as_label: bool = False) -> None:
-    """One text file part: the header, then a line per portion."""
+def curve_text(summary: DataFrame, meta: dict, total_reads: int, portion_as_label: bool = False) -> DataFrame:
+    """(portion_idx, value): a curve file's lines, header first, in one ordered partition; a curve has tens of points."""
     spark = summary.sparkSession
     head = spark.createDataFrame([(i - 1000, line) for i, line in enumerate(header_lines(meta))], "portion_idx int, value string")
-    lines = head.unionByName(curve_lines(summary, total_reads, portion_as_label)).coalesce(1).sortWithinPartitions("portion_idx")
-    lines.select("value").write.mode("overwrite").text(path)
+    return head.unionByName(curve_lines(summary, total_reads, portion_as_label)).coalesce(1).sortWithinPartitions("portion_idx")
+
+
+def write_curve(summary: DataFrame, meta: dict, path: str, total_reads: int, portion_as_label: bool = False) -> None:
+    """One text file part: the header, then a line per portion."""
+    curve_text(summary, meta, total_reads, portion_as_label).select("value").write.mode("overwrite").text(path)
+
+
+def replicate_lines(replicates: DataFrame) -> DataFrame:
+    """(portion_idx, replicate, value): portion (two decimals), replicate, value (ten decimals)."""
+    return replicates.select("portion_idx", "replicate", F.concat_ws("\t", F.format_string("%.2f", "portion"), F.col("replicate").cast("string"), F.format_string("%.10f", "redundancy")).alias("value"))
 
 
 def write_replicates(replicates: DataFrame, path: str) -> None:
-    """portion (two decimals), replicate, value (ten decimals), partitioned by the portion's index, which two decimals cannot tell."""
-    out = replicates.select("portion_idx", F.concat_ws("\t", F.format_string("%.2f", "portion"), F.col("replicate").cast("string"), F.format_string("%.10f", "redundancy")).alias("value"))
-    out.write.mode("overwrite").partitionBy("portion_idx").text(path)
+    """Lines of replicates, partitioned by the portion's index, which two decimals cannot tell."""
+    replicate_lines(replicates).drop("replicate").write.mode("overwrite").partitionBy("portion_idx").text(path)
+
+
+def mate_lines(mated: DataFrame) -> DataFrame:
+    """(value): one integer a line."""
+    return mated.select(F.col("mates").cast("string").alias("value"))
 
 
 def write_mates(mated: DataFrame, path: str) -> None:
-    """One integer a line."""
-    mated.select(F.col("mates").cast("string").alias("value")).write.mode("overwrite").text(path)
+    mate_lines(mated).write.mode("overwrite").text(path)
 
 
 def write_composition(counted: DataFrame, path: str, extended: bool = False) -> None:
@@ -55,7 +67,7 @@ def write_summary(summary: DataFrame, path: str, form: str = "tsv") -> None:
 def write_json(curves: DataFrame, path: str) -> None:
     """A set of (label, json) as one object keyed by label, in one file with a line per curve."""
     last = curves.agg(F.max("label").alias("last"))
-    body = curves.crossJoin(F.broadcast(last)).select("label", F.concat(F.expr("left(to_json(array(label)), length(to_json(array(label))) - 1)").substr(2, 2147483647), F.lit(": "), "json", F.when(F.col("label") < F.col("last"), ",").otherwise("")).alias("value"))  # one row
+    body = curves.crossJoin(F.broadcast(last)).select("label", F.concat(F.regexp_replace(F.to_json(F.array("label")), r"^\[|\]$", ""), F.lit(": "), "json", F.when(F.col("label") < F.col("last"), ",").otherwise("")).alias("value"))  # one row
     spark = curves.sparkSession
     ends = spark.createDataFrame([(0, None, "{"), (2, None, "}")], "part int, label string, value string")
     body.withColumn("part", F.lit(1)).unionByName(ends).coalesce(1).sortWithinPartitions("part", "label").select("value").write.mode("overwrite").text(path)

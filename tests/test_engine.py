@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rarespan.config import Mating, Sampling
 from rarespan.functions import gamma
 from rarespan.functions import sequence as S
-from rarespan.operators import checks, composition, curve, mating_align, mating_kmer, ontology, rarefaction, reads
+from rarespan.operators import checks, composition, curve, grouped, mating_align, mating_kmer, ontology, rarefaction, reads
 from rarespan.plans import redundancy
 
 
@@ -120,6 +120,78 @@ def test_composition(spark):
     assert composition.in_label_order(composition.counts(r, 2)).first()["kmer"] == "AC"
 
 
+def test_wide_counter(spark):
+    """The fields against a counter that is counted up in steps."""
+    def emulated(n, step=1_000_003):
+        base, omag, hang = 0, 1, 0
+        for add in [step] * (n // step) + [n % step]:
+            hang += add
+            base, hang = base + hang // omag, hang % omag
+            while base >= 4_194_303:
+                whole = base * omag + hang
+                omag *= 1024
+                base, hang = whole // omag, whole % omag
+        return base, omag, hang
+
+    sizes = [0, 1, 4_194_302, 4_194_303, 4_194_304, 5_000_000, 4_294_966_271, 4_294_966_272, 10**10]
+    got = {r["count"]: (r["base"], r["omag"], r["hang"]) for r in composition.extended(frame(spark, [("A", n) for n in sizes], "kmer string, count long")).collect()}
+    assert got == {n: emulated(n) for n in sizes}
+
+
+def test_many_query_codes_use_a_bitmap(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choices("ACGTN", weights=(5, 5, 5, 5, 1), k=rng.randrange(0, 90))), rng.choice(("x", "y", None))) for i in range(300)]
+    r = frame(spark, rows, "read_id long, seq string, g string")
+    asked = reads.kmer_queries(r, 6)
+    few = {x["query_id"]: x["mates"] for x in mating_kmer.mates(asked, r, 6).collect()}
+    monkeypatch.setattr(mating_kmer, "FEW_CODES", 10)
+    assert {x["query_id"]: x["mates"] for x in mating_kmer.mates(asked, r, 6).collect()} == few and len(few) > 60
+    kmers = [s[i : i + 6] for _, s, _ in rows for i in range(len(s) - 5)]
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    for x in asked.collect():
+        assert few[x["query_id"]] == kmers.count(x["kmer"]) + kmers.count(rc(x["kmer"]))
+    grouped_mates = {x["query_id"]: x["mates"] for x in grouped.mates(r.where("g IS NOT NULL"), "g", 6).collect()}
+    for i, s, g in rows:
+        if i in grouped_mates:
+            own = [t[j : j + 6] for _, t, h in rows if h == g for j in range(len(t) - 5)]
+            assert grouped_mates[i] == own.count(s[:6]) + own.count(rc(s[:6]))
+
+
+def test_evaluation_reads_the_first_point_beyond_a_fifth(spark):
+    points = [(i, i / 10, 0.5, 0.0 if i == 2 else 0.4) for i in range(11)]
+    ddl = "portion_idx int, portion double, avg double, q2 double"
+    assert {r["status"] for r in checks.evaluate(frame(spark, points, ddl)).collect()} == {"ok"}
+    assert "low_depth" in {r["status"] for r in checks.evaluate(frame(spark, [(i, p, a, 0.0 if i == 3 else q) for i, p, a, q in points], ddl)).collect()}
+
+
+def test_adjusted_runs_return_what_ran(spark):
+    import random
+
+    rng = random.Random(8)
+    base = "".join(rng.choices("ACGT", k=400))
+    r = frame(spark, [(i, base[(at := rng.randrange(0, 330)) : at + 60]) for i in range(300)], "read_id long, seq string")
+    out = redundancy.run(r, Mating(), Sampling(max_queries=60, replicates=16), adjust=True)
+    assert out.meta["divide"] == out.sampling.factor >= 0.7
+    assert out.summary.count() == rarefaction.grid(spark, 300, out.sampling).count()
+
+
+def test_tile_ids_do_not_collide(spark):
+    r = frame(spark, [(1, "ACGTA" * 20_000), (2, "ACGTA" * 10)], "read_id long, seq string")
+    t = mating_align.tiles(r)
+    assert t.count() == t.select("read_id").distinct().count() == 2001
+
+
+def test_query_blocks_give_the_same_pairs(spark):
+    r = frame(spark, list(enumerate(ALIGNED)), "read_id long, seq string")
+    q = r.select(F.col("read_id").alias("query_id"), "seq")
+    m = Mating(kernel="alignment")
+    wanted = {tuple(x) for x in mating_align.pairs_all(q, r, m).distinct().collect()}
+    assert {tuple(x) for x in mating_align.pairs_all(q, r, m, most=2).distinct().collect()} == wanted
+    assert {tuple(x) for x in mating_align.pairs_seeded(q, r, 10, m, few=3).collect()} == {tuple(x) for x in mating_align.pairs_seeded(q, r, 10, m).collect()}
+
+
 def test_gamma():
     for a, b in ((1, 1), (5.5, 0.3), (60, 3)):
         for p in (0.01, 0.3, 0.5, 0.95):
@@ -169,6 +241,9 @@ def test_bad_parameters(bad):
 
 
 def test_ontology(spark):
+    chain = frame(spark, [(f"n{i}", f"n{i + 1}") for i in range(70)], "acc string, parent_acc string")
+    far = ontology.distance(chain, frame(spark, [("n0", "n70")], "a string, b string")).head()
+    assert far["distance"] == 70
     edges = frame(spark, [("b", "a"), ("c", "a"), ("d", "b"), ("e", "c"), ("z", "y")], "acc string, parent_acc string")
     pairs = frame(spark, [("d", "e"), ("d", "b"), ("b", "c"), ("d", "z"), ("a", "a")], "a string, b string")
     got = {(x["a"], x["b"]): x["distance"] for x in ontology.distance(edges, pairs).collect()}

@@ -1,6 +1,8 @@
 """Files in, files out."""
 
 import gzip
+import json
+import math
 import os
 from pathlib import Path
 
@@ -8,9 +10,10 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from rarespan.functions import sequence
+from rarespan.functions import gamma, sequence, sql
 from rarespan.operators import composition, curve
 from rarespan.plans import cli
+from rarespan.plans import curves as plan
 from rarespan.sources import curves, dumps, sequences, sinks
 
 
@@ -68,6 +71,10 @@ def test_broken_fastq(spark, tmp_path, text, what):
         sequences.read_fastq(spark, str(tmp_path / "b.fastq")).collect()
 
 
+def json_of(folder):
+    return json.loads("\n".join(p.read_text() for p in sorted(folder.glob("part-*"))))
+
+
 @pytest.mark.parametrize("kernel", ["kmer", "alignment"])
 @pytest.mark.parametrize("name,form", [("a.fasta.gz", "fasta"), ("a.fastq", "fastq")])
 def test_command_lines(spark, files, tmp_path, kernel, name, form):
@@ -81,10 +88,70 @@ def test_command_lines(spark, files, tmp_path, kernel, name, form):
     assert len(parts) == 1
     (tmp_path / "c.npo").write_text(parts[0].read_text())
     cli.main(["curves", str(tmp_path / "c.npo"), "--json", str(tmp_path / "j"), "--tsv", str(tmp_path / "t"), "--series", str(tmp_path / "s")], spark)
-    assert spark.read.json(str(tmp_path / "j")).head()["label"] == "c"
+    assert json_of(tmp_path / "j")["c"]["label"] == "c"
     assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "t")).columns == ["label", "kappa", "C", "LR", "modelR", "LRstar", "diversity"]
 
 
+def curve_file(path, a, b, reads=10**8):
+    """A curve that follows a model: redundancy = coverage ^ (1 / 0.914...), at the efforts that the adjustment undoes."""
+    top = gamma.cdf(math.log1p(reads * 77.0), a, b)
+    lines = ["# @impl: own", "# @ksize: 24", "# @version: 1.0", "# @L: 100.000", "# @AL: 77.000", f"# @R: {reads}", "# @overlap: 50.00", "# @divide: 0.70"]
+    rows = [(0.0, 0.0)]
+    for i in range(41):
+        x = reads * 0.7 ** (40 - i)
+        adjusted = math.exp(math.log(reads) + top**0.27 * (math.log(x) - math.log(reads))) * 77
+        rows.append((x, gamma.cdf(math.log1p(adjusted), a, b) ** (1 / 0.9141196302)))
+    path.write_text("\n".join([*lines, *(f"{x:.6f}\t{y:.12f}\t0.01\t{y:.12f}\t{y:.12f}\t{y:.12f}" for x, y in rows)]) + "\n")
+    return str(path)
+
+
+def test_sets_of_curves(spark, tmp_path):
+    """Labels and colours that run out, a sheet, models known beforehand, exports and the drawing."""
+    known = {"one": (60.0, 3.2), "two": (55.0, 3.1), "three": (70.0, 3.6)}
+    files = [curve_file(tmp_path / f"{n}.npo", a, b) for n, (a, b) in known.items()]
+    made = plan.read_set(spark, files, cols=["#102030", "#405060"])
+    params = {r["label"]: r for r in made.params.collect()}
+    for n, (a, b) in known.items():
+        assert params[n]["a"] == pytest.approx(a, rel=1e-3) and params[n]["b"] == pytest.approx(b, rel=1e-3)
+        assert params[n]["diversity"] == pytest.approx((a - 1) / b, rel=1e-3) and params[n]["modelR"] > 0.99999
+        assert gamma.cdf(math.log1p(params[n]["LRstar"]), a, b) == pytest.approx(0.95, abs=1e-4)
+    assert {r["label"]: r["col"] for r in made.meta.collect()} == {"one": "#102030", "two": "#405060", "three": "#102030"}
+    with pytest.raises(ValueError):
+        plan.read_set(spark, files, labels=["x", "y"])
+    assert not plan.read_set(spark, files[:1], skip_model=True).params.where("has_model").count()
+    assert plan.read_set(spark, files[:1], weights=(1.0,)).params.head()["weight_exp"] == 1.0
+    both = plan.read_set(spark, files[:1]).add(plan.read_set(spark, files[1:]))
+    assert both.summary().count() == 3
+
+    (tmp_path / "sheet.tsv").write_text("File\tName\tCol\n" + "".join(f"{f}\tn{i}\t#00000{i}\n" for i, f in enumerate(files)))
+    cli.main(["curves", "--sheet", str(tmp_path / "sheet.tsv"), "--json", str(tmp_path / "j"), "--pdf", str(tmp_path / "p.pdf"), "--pdf-size", "5", "--xlim", "1e3,1e13", "--dispersion", "ci95", "--csv", str(tmp_path / "c")], spark)
+    out = json_of(tmp_path / "j")
+    assert sorted(out) == ["n0", "n1", "n2"] and out["n1"]["col"] == "#000001" and len(out["n0"]["x.model"]) == 1000 and len(out["n0"]) == 31
+    pdf = (tmp_path / "p.pdf").read_bytes()
+    assert pdf.startswith(b"%PDF-1.4") and pdf.count(b" S\n") > 10 and b"(n2)" in pdf and int(pdf.split(b"startxref\n")[1].split()[0]) == pdf.index(b"xref\n")
+
+
+def test_outputs_to_nowhere_and_to_stdout(spark, files, tmp_path, capsys):
+    d, _ = files
+    out = str(tmp_path / "o")
+    cli.main(["redundancy", "-s", str(d / "a.fasta"), "-T", "kmer", "-f", "fasta", "-X", "30", "-n", "8", "-b", out, "-o", "-", "-a", "", "-C", "-", "-r", "3"], spark)
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].startswith("# @impl") and len([x for x in lines if x.isdigit()]) == 30
+    assert not list(tmp_path.iterdir())
+
+
+def test_colours():
+    assert plan.rgb("#ff0080") == (1.0, 0.0, pytest.approx(128 / 255)) and plan.with_alpha("#102030", 0.5) == "#10203080"
+    assert plan.default_colour("a") == plan.default_colour("a") != plan.default_colour("b") and max(plan.rgb(plan.default_colour("a"))) < 200 / 255
+
+
+def test_sql_names(spark):
+    sql.register(spark)
+    q = "SELECT is_mate('ACGTTGCAAGTCCGATAGCT', 'AGCTATCGGACTTGCAACGT', 0.5, 0.95) AS rc, is_mate('ACGTTGCAAGTCCGATAGCT', 'GGGGGGGGGGGGGGGGGGGG', 0.5, 0.95) AS no, is_mate(NULL, 'A', 0.5, 0.95) AS n, reverse_complement('ACN') AS r, phred_error('5') AS p, gamma_cdf(2.0D, 1.0D, 0.5D) AS g"
+    row = spark.sql(q).head()
+    assert (row["rc"], row["no"], row["n"], row["r"]) == (True, False, None, "NGT") and row["p"] == pytest.approx(0.01) and row["g"] == pytest.approx(1 - math.exp(-1))
+
+
 def test_composition_command(spark, files, tmp_path):
     d, seqs = files
     cli.main(["composition", "-s", str(d / "a.fasta"), "-k", "1", "-z", "-e", "-o", str(tmp_path / "c")], spark)
