@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarespan.session import share_path
+from rarespan.session import share_path, spread
 
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 8 << 20
@@ -19,9 +19,9 @@ WS_CHARS = " \t\n\x0b\f\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus. Arrow batches are bounded by bytes, as texts may be long."""
+    """A table of the corpus, on all cores even if it has few splits. Arrow batches are bounded by bytes, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return share_path(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(share_path(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -65,6 +65,14 @@ def sliced(batches, rows: int = 512):
             yield b.slice(at, rows)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, whatever the number of its uses inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -5,8 +5,9 @@ and compares them with THRESHOLDS. No shuffle, no user function: one scan, one p
 cost is linear in the text and a hot source or a group of copies changes nothing.
 
 Defined results: a null or empty text has no words and fails the base rule; repeated rows are judged
-alike, each on its own; an empty table gives an empty result; columns beside the text pass through.
-A clash of an input column with a result column is resolved in favour of the result.
+alike, each on its own; there are no ties, as no row is compared with another; a very long text is one row
+and is measured whole; an empty table gives an empty result; columns beside the text pass through. A clash of
+an input column with a result column is resolved in favour of the result, and no other column is lost.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarespan.llm.common import WS, WS_CHARS, let, symbol_count, word_array
+from rarespan.llm.common import WS, WS_CHARS, fresh, let, symbol_count, word_array
 
 #: Frequent function words of English, French, German and Spanish (fixed values).
 STOP_WORDS = (
@@ -58,22 +59,25 @@ def measures(text: Column) -> dict[str, Column]:
 def repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more: sorted windows put equal ones side by side.
 
-    Texts without a repeated window (most) are told by the number of distinct windows and skip the sort.
+    Windows are first told apart by 64-bit hashes: a text with as many distinct hashes as windows has no
+    repeated one (most texts) and is done. The others are sorted by hash and then by the words themselves, so that equal
+    hashes of different windows change nothing.
     """
     n = F.size(words)
     ends = lambda w: F.sequence(F.lit(1), F.size(w) - 2)
 
-    def counted(windows: Column) -> Column:
+    def counted(w: Column, hashes: Column) -> Column:
         def positions(s: Column) -> Column:
-            twin = lambda j: ((j > 0) & (s[F.greatest(j - 1, F.lit(0))]["w"] == s[j]["w"])) | ((j < F.size(s) - 1) & (s[F.least(j + 1, F.size(s) - 1)]["w"] == s[j]["w"]))
+            same = lambda x, y: (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+            twin = lambda j: ((j > 0) & same(s[F.greatest(j - 1, F.lit(0))], s[j])) | ((j < F.size(s) - 1) & same(s[F.least(j + 1, F.size(s) - 1)], s[j]))
             at = F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), twin), lambda j: s[j]["i"])
             return F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
 
-        ordered = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(ordered, positions))
+        windows = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(F.array_sort(windows), positions))
 
-    windows = lambda w: F.transform(ends(w), lambda i: F.concat_ws(" ", w[i - 1], w[i], w[i + 1]))
-    return F.when(n < 4, F.lit(0)).otherwise(let(words, lambda w: let(windows(w), counted))).cast("long")
+    hashed = lambda w: F.transform(ends(w), lambda i: F.xxhash64(w[i - 1], w[i], w[i + 1]))
+    return F.when(n < 4, F.lit(0)).otherwise(let(words, lambda w: let(hashed(w), lambda h: counted(w, h)))).cast("long")
 
 
 def verdict(rules: tuple[Rule, ...]) -> Column:
@@ -91,16 +95,17 @@ def verdict(rules: tuple[Rule, ...]) -> Column:
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """docs with the measures, base_failed and kept."""
     made = measures(F.col(text))
-    out = docs.withColumns({"_words": made["words"], "_lines": made["lines"], "word_chars": made["word_chars"], "n_symbols": made["n_symbols"]})
+    words, lines = fresh(docs, "_words"), fresh(docs, "_lines")
+    out = docs.withColumns({words: made["words"], lines: made["lines"], "word_chars": made["word_chars"], "n_symbols": made["n_symbols"]})
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeat_words(F.col("_words")),
-            "n_stop": F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
+            "n_words": F.size(words).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            "n_repeat_words": repeat_words(F.col(words)),
+            "n_stop": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
         }
-    ).drop("_words", "_lines")
+    ).drop(words, lines)
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 

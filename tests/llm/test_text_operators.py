@@ -46,6 +46,17 @@ def test_quality(odd, empty, clashing):
             assert tuple(r[c] for c in columns) == brute_quality(r["text"])
             assert not (r["kept"] and r["base_failed"])
     assert quality.judge(empty).collect() == []
+    wide = quality.judge(clashing)
+    assert set(clashing.columns) <= set(wide.columns) and {r["_words"] for r in wide.collect()} == {"clash"}
+
+
+def test_quality_of_repeated_windows(spark):
+    import random
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("abcdefgh"[: rng.randrange(2, 9)]) for _ in range(rng.randrange(0, 70)))) for i in range(200)]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute_quality(t)[4] for i, t in rows} and len(set(got.values())) > 20
 
 
 def test_quality_keeps_good_documents(spark, sf):
