@@ -12,7 +12,9 @@ each range also gets the first document of the next one; no row crosses more tha
 
 Defined results: a null text counts as empty; a text without words has the fingerprint '' and is alike (1)
 to such a text only; rows are ordered by doc_id, nulls first, then by text, and repeated rows follow each
-other; a single row is its own neighbour; an empty table gives an empty result.
+other; a single row is its own neighbour; ties between a term's scores do not matter, as a sample is the least
+score; a very long text is a bag like others; an empty table gives an empty result; only doc_id and text are
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ embedding and the layer fold into one table of BUCKETS x languages, which is wha
 
 Defined results: a null text or one without a letter is `und` with score 0, not accepted; without
 labelled rows every text is; a null doc_id is never held out and never trains; repeated rows get equal
-results; an empty table gives an empty result.
+results; of languages with equal scores the first by name is predicted; a very long text is read whole; an
+empty table gives an empty result; only doc_id, text and (to learn) lang are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

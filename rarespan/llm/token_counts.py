@@ -12,11 +12,12 @@ costs one byte-fallback token per byte, each at the score of the last rank less
 fewer tokens.
 
 One narrow map: no shuffle. A worker's trie is emptied when it has more than MAX_NODES nodes, which bounds
-memory and changes no result; pre-tokens longer than LONG characters are scored by the same recurrence
-without being stored.
+memory and changes no result; the trie holds the first LONG characters of a pre-token, and what follows
+them is scored by the same recurrence without being stored.
 
-Defined results: null and empty texts have no words and no tokens; repeated rows count alike; an empty
-table gives an empty result.
+Defined results: null and empty texts have no words and no tokens; repeated rows count alike; ties between
+segmentations prefer fewer tokens; a very long text, or a text of one very long word, is counted whole; an
+empty table gives an empty result; only the key and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -76,12 +77,12 @@ class Unigram:
     def count(self, word: str) -> int:
         """Tokens of one pre-token."""
         text = SPACE + word
-        node, scores, counts, store = self.root, [0.0], [0], len(text) <= LONG
+        node, scores, counts = self.root, [0.0], [0]
         for i, c in enumerate(text, 1):
-            after = node[0].get(c) if store else None
+            after = node[0].get(c) if i <= LONG else None
             if after is None:
                 after = [{}, *self.extend(text, i, scores, counts)]
-                if store:
+                if i <= LONG:
                     node[0][c] = after
                     self.nodes += 1
             node = after
@@ -98,6 +99,7 @@ def unigram(path: str) -> Unigram:
     names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
     log_size = math.log(math.log(len(names)))
     pieces = {name: -math.log(rank + 2) - log_size for rank, name in enumerate(names)}
+    gc.disable()  # nodes hold no cycles, and a worker makes many of them
     return Unigram(pieces, min(pieces.values()) - UNKNOWN_PENALTY)
 
 
@@ -108,7 +110,6 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
         model = unigram(path)
         terminal: dict[str, int] = {}
         for b in sliced(batches):
-            gc.disable()  # nodes hold no cycles, and there are many of them
             words, tokens = [], []
             for t in b.column(1).to_pylist():
                 bag = Counter(WORD.findall(t or ""))
@@ -120,8 +121,6 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
                         terminal[w] = model.count(w)
                 words.append(bag.total())
                 tokens.append(sum(c * terminal[w] for w, c in bag.items()))
-            gc.freeze()
-            gc.enable()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], [key, "n_words", "n_tokens"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_words long, n_tokens long")
