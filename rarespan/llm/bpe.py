@@ -9,7 +9,8 @@ the byte table's inverse and joins bytes; characters that are split over tokens
 One narrow map over the input: no shuffle, memory of one Arrow batch, whole texts.
 
 Defined results: a null text counts as empty; an empty text has no tokens; rows that repeat are encoded
-alike; an empty table gives an empty result.
+alike; there are no ties, as ranks are distinct; a very long text is encoded whole, in a batch of its own if
+need be; an empty table gives an empty result; only the key and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rarespan.llm.common import sliced
+
 
 def byte_table() -> dict[int, str]:
     """Bytes to characters: printable Latin-1 stands for itself, the others follow from U+0100 in order."""
@@ -52,11 +55,13 @@ class Codec:
 
     def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """First and end character of each token; a token inside a character covers that character."""
+        lengths = self.lengths[np.asarray(ids, np.int64)]
+        ends = np.cumsum(lengths)
+        if text.isascii():
+            return ends - lengths, ends
         raw = np.frombuffer(text.encode(), np.uint8)
-        char = np.append(np.cumsum((raw & 0xC0) != 0x80) - 1, len(text))  # of each byte
-        ends = np.cumsum(self.lengths[np.asarray(ids, np.int64)])
-        starts = ends - self.lengths[np.asarray(ids, np.int64)]
-        return char[starts], (char[np.maximum(ends - 1, 0)] + 1)
+        char = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32) - 1  # of each byte
+        return char[ends - lengths], char[ends - 1] + 1
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -79,33 +84,42 @@ def with_text(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def lists(values: list) -> pa.Array:
+    """Lists of 32-bit integers as one Arrow column."""
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    flat = np.concatenate([np.asarray(v, np.int32) for v in values]) if values else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(ends, flat)
+
+
+def batches_of(batches, path: str, pattern: str, rows: int):
+    """(codec, keys, texts, ids, spans) of slices of the batches; spans are (starts, ends) in characters."""
+    c = codec(path, pattern)
+    for b in sliced(batches, rows):
+        texts = b.column(1).to_pylist()
+        ids = c.encode(texts)
+        yield c, b.column(0), texts, ids, [c.offsets(t, i) for t, i in zip(texts, ids)]
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", rows: int = 256) -> DataFrame:
     """(key, ids, starts, ends)."""
 
     def run(batches):
-        c = codec(path, pattern)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            ids = c.encode(texts)
-            spans = [c.offsets(t, i) for t, i in zip(texts, ids)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), *(pa.array([s[k].astype(np.int32) for s in spans], pa.list_(pa.int32())) for k in (0, 1))], [key, "ids", "starts", "ends"])
+        for _, keys, _, ids, spans in batches_of(batches, path, pattern, rows):
+            yield pa.RecordBatch.from_arrays([keys, lists(ids), lists([s for s, _ in spans]), lists([e for _, e in spans])], [key, "ids", "starts", "ends"])
 
     return with_text(docs.select(key, text), text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, {ENCODED}")
 
 
 def tokenise(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", rows: int = 256) -> DataFrame:
-    """(key, n_tokens, ids, round_trip): round_trip tells whether the decoded ids are the text's bytes."""
+    """(key, n_tokens, ids, starts, ends, round_trip): round_trip tells whether the decoded ids are the text's bytes."""
 
     def run(batches):
-        c = codec(path, pattern)
-        for whole in batches:
-            for b in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
-                texts = b.column(1).to_pylist()
-                ids = c.encode(texts)
-                same = [c.decode(i) == t.encode() for t, i in zip(texts, ids)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], [key, "n_tokens", "ids", "round_trip"])
+        for c, keys, texts, ids, spans in batches_of(batches, path, pattern, rows):
+            same = [c.decode(i) == t.encode() for t, i in zip(texts, ids)]
+            columns = [keys, pa.array(list(map(len, ids)), pa.int64()), lists(ids), lists([s for s, _ in spans]), lists([e for _, e in spans]), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids", "starts", "ends", "round_trip"])
 
-    return with_text(docs.select(key, text), text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids array<int>, round_trip boolean")
+    return with_text(docs.select(key, text), text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, {ENCODED}, round_trip boolean")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
@@ -120,16 +134,16 @@ def decode(tokens: DataFrame, path: str, pattern: str, key: str = "doc_id") -> D
 
 
 def digest(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", rows: int = 256) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encodes, then decodes the ids, and keeps digests only."""
+    """(key, n_tokens, ids_sha256, decoded_sha256, offsets_sha256): encodes with offsets, then decodes the ids, and keeps digests only.
+
+    offsets_sha256 is of each token's first and end character, in turn, as little-endian unsigned 32-bit integers.
+    """
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
 
     def run(batches):
-        c = codec(path, pattern)
-        for whole in batches:
-            for b in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
-                ids = c.encode(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(c.decode(i)).hexdigest() for i in ids], pa.string())],
-                    [key, "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return with_text(docs.select(key, text), text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for c, keys, _, ids, spans in batches_of(batches, path, pattern, rows):
+            offsets = [sha(np.stack(s, axis=1).astype("<u4").tobytes()) for s in spans]
+            columns = [keys, pa.array(list(map(len, ids)), pa.int64()), *(pa.array(x, pa.string()) for x in ([sha(np.array(i, "<u4").tobytes()) for i in ids], [sha(c.decode(i)) for i in ids], offsets))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"])
+
+    return with_text(docs.select(key, text), text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string")

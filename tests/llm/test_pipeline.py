@@ -113,7 +113,7 @@ def chained(spark, docs, sf):
 def test_run_is_the_chain_of_brute_force(spark, sf):
     wanted = chained(spark, table(spark, sf, "documents").repartition(3), sf)
     rows = corpus_pipeline.run(spark, sf)
-    assert rows.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and wanted
+    assert rows.columns == ["doc_id", "n_tokens", "ids", "starts", "ends", "round_trip"] and wanted
     assert Counter((r["doc_id"], tuple(r["ids"]), r["round_trip"]) for r in rows.collect()) == wanted
 
 

@@ -174,7 +174,10 @@ def test_bpe_equals_merging_by_rank(odd, empty, clashing, tiktoken_model):
         assert multiset((r["doc_id"], r["text"]) for r in back.collect()) == multiset((i, t or "") for i, t in texts_of(df))
         digests = bpe.digest(df, PATH(), token_pattern()).collect()
         assert multiset((r["doc_id"], r["ids_sha256"], r["decoded_sha256"]) for r in digests) == multiset((i, hashlib.sha256(np.array(tiktoken_model.encode_ordinary(t or ""), "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in texts_of(df))
-        assert all(r["round_trip"] for r in bpe.tokenise(df, PATH(), token_pattern()).collect())
+        spans = {(r["doc_id"], tuple(r["ids"])): hashlib.sha256(np.array([r["starts"], r["ends"]], "<u4").T.tobytes()).hexdigest() for r in rows}
+        assert multiset((r["doc_id"], r["ids_sha256"], r["offsets_sha256"]) for r in digests) == multiset((i, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), spans[i, ids]) for i, ids in wanted.elements())
+        made = bpe.tokenise(df, PATH(), token_pattern()).collect()
+        assert all(r["round_trip"] for r in made) and multiset((r["doc_id"], tuple(r["starts"]), tuple(r["ends"])) for r in made) == multiset((r["doc_id"], tuple(r["starts"]), tuple(r["ends"])) for r in rows)
     assert bpe.digest(empty, PATH(), token_pattern()).collect() == []
 
 
@@ -230,6 +233,9 @@ def test_token_counts(odd, empty, clashing):
     model.clear()
     assert model.count("sharing") == viterbi("sharing") and model.count("shared") == viterbi("shared")
     assert model.nodes < len("sharing") + len("shared") + 2  # the prefix was scored once
+    model.clear()
+    long_ones = ["ab" * 100 + end for end in ("", "c", "日本")]
+    assert [model.count(w) for w in long_ones] == [viterbi(w) for w in long_ones] and model.nodes == token_counts.LONG
 
 
 def test_language(odd, empty, clashing, spark, sf):
@@ -251,6 +257,35 @@ def test_language(odd, empty, clashing, spark, sf):
     assert {r["lang_pred"] for r in language.predict(odd, language.fit(empty)).collect()} == {"und"}
 
 
+def test_language_predictions_by_hand(odd, spark, sf):
+    """Scores again from the model's table, gram by gram in plain Python."""
+    docs = table(spark, sf, "documents")
+    model = language.fit(docs)
+    mask = 2**32 - 1
+
+    def scores(text):
+        raw = f" {re.sub(r'[\W\d_]+', ' ', text.lower())} ".encode("utf-8", "replace")
+        total, n = np.zeros(len(model.labels)), 0
+        for size in (2, 3, 4):
+            for i in range(len(raw) - size + 1):
+                h = raw[i] * 0x9E3779B1 & mask
+                for j in range(1, size):
+                    h = ((h ^ (h >> 15)) * 0x9E3779B1 + raw[i + j] * (0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)[j - 1]) & mask
+                total += model.table[(h * 0x85EBCA77 & mask) >> 18]
+                n += 1
+        z = (total / n + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        return p / p.sum()
+
+    for df in (odd, docs.limit(40)):
+        texts = {(r["doc_id"], r["text"]) for r in df.collect() if r["text"] and len(r["text"]) < 20_000}
+        got = {r["doc_id"]: r for r in language.predict(df, model).collect()}
+        for i, text in texts:
+            if any(c.isalpha() for c in text):
+                p = scores(text)
+                assert got[i]["lang_pred"] == model.labels[int(p.argmax())] and got[i]["score"] == pytest.approx(p.max(), rel=1e-4)
+
+
 def test_language_learns_from_its_fold_only(spark):
     import zlib
 
