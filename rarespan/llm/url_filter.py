@@ -1,39 +1,47 @@
 """URL filters: rules by longest match, and a Bloom filter cascade for a list of keys.
 
-The cascade gives exact membership over a known key universe without a join: level 0 is a Bloom filter
-of the listed keys, level 1 one of the universe's keys that level 0 passes by mistake, level 2 one of the
-listed keys that level 1 passes by mistake, and so on until a level makes no mistake. A key is listed if
-the first level that rejects it is an odd one.
+A key is a url's host and path. The cascade gives exact membership over a known key universe without a join:
+level 0 is a Bloom filter of the listed keys, level 1 one of the universe's keys that level 0 passes by mistake,
+level 2 one of the listed keys that level 1 passes by mistake, and so on until a level makes no mistake. A key
+is listed if the first level that rejects it is an odd one.
 
-The universe is every distinct host of the corpus, so no key that is ever asked is outside it. Levels are
-built by jobs over distinct hosts only, and each is a table of 64-bit words whose sizes are known before
-they are gathered: about 1.44 * log2(1 / p) bits a key. The whole cascade is broadcast only if it is below
-`max_bytes`; beyond that the same answer comes from a join of distinct hosts.
+The universe is every distinct key of the corpus, so no key that is ever asked is outside it. Levels are built by
+jobs over distinct keys, as tables of 64-bit words whose sizes are known before they are gathered: about
+1.44 * log2(1 / p) bits a key. Keys are dealt to shards by hash, as many as it takes for a shard's cascade to stay
+below `max_bytes`; shards are built, broadcast and asked one after the other, each over its own rows. One
+shard is the usual case, and needs no writing.
+
+The production list is made from the corpus: keys of hosts with one of LISTED_LABELS, and keys of a page whose
+title holds a run of junk symbols.
 
 Defined results: a null url and one without :// have an empty host and path, fit no rule, are in no list
-and are allowed; repeated rows are judged alike; an empty table or an empty list gives a cascade of no
-levels, in which nothing is listed.
+and are allowed; of rules of equal length that fit, the later one in the table counts; repeated rows are
+judged alike; a very long url is a key like others; an empty table or an empty list gives a cascade of no
+levels, in which nothing is listed; only page_id, url and html are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from rarespan.llm.common import cut
+from rarespan.llm.common import cut, ensure_checkpoint_dir, remove
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host, path) of the production rules (fixed values).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Names of the production list: a host is listed if one of its labels is one of these.
-LISTED_LABELS = ("casino-win", "cheap-pills", "ads-track")
+#: The production list: labels of a host, and what a page's title holds.
+LISTED_LABELS = ("casino-win", "cheap-pills", "ads-track", "free-bets")
+LISTED_TITLES = r"<title>[^<]*[#*$%]{3}"
 
 
 def host_of(url: Column) -> Column:
@@ -117,17 +125,27 @@ def passed(keys: DataFrame, level: Level, i: int) -> DataFrame:
     return keys.where(has("h1", "h2"))
 
 
-def build(universe: DataFrame, max_bytes: int, first_p: float | None = None, most: int = 64) -> list[Level] | None:
-    """The cascade of a universe (h1, h2, listed); None if it would exceed max_bytes."""
-    universe = cut(universe.select("h1", "h2", "listed").distinct())
+def first_rate(n_in: int, n_out: int) -> float:
+    return min(0.5, max(1e-6, math.sqrt(0.5) * n_in / max(1, n_out)))
+
+
+def expected_bytes(n_in: int, n_out: int) -> float:
+    """Of a whole cascade: later levels halve what is left, two levels at a time."""
+    p = first_rate(n_in, n_out)
+    return 1.4427 / 8 * (n_in * math.log2(1 / p) + 2 * (p * n_out + n_in / 2))
+
+
+def counts(universe: DataFrame) -> tuple[int, int]:
     n = {bool(r["listed"]): r["count"] for r in universe.groupBy("listed").count().collect()}
-    inside, outside, levels, used = universe.where("listed"), universe.where(~F.col("listed")), [], 0
-    n_in, n_out = n.get(True, 0), n.get(False, 0)
-    p = first_p or min(0.5, max(1e-6, math.sqrt(0.5) * n_in / max(1, n_out)))
+    return n.get(True, 0), n.get(False, 0)
+
+
+def build(universe: DataFrame, first_p: float | None = None, most: int = 64) -> list[Level]:
+    """The cascade of a universe (h1, h2, listed) of distinct keys."""
+    inside, outside, levels = universe.where("listed"), universe.where(~F.col("listed")), []
+    n_in, n_out = counts(universe)
+    p = first_p or first_rate(n_in, n_out)
     while n_in:
-        used += n_in * 1.4427 * math.log2(1 / p) / 8
-        if used > max_bytes:
-            return None
         if len(levels) == most:
             raise RuntimeError("two keys of the universe share both hashes")
         level = encode(inside, n_in, len(levels), p)
@@ -137,30 +155,52 @@ def build(universe: DataFrame, max_bytes: int, first_p: float | None = None, mos
     return levels
 
 
-def membership(rows: DataFrame, levels: list[Level], key: str) -> DataFrame:
-    """rows with the boolean `listed`."""
+def membership(rows: DataFrame, levels: list[Level]) -> DataFrame:
+    """rows (h1, h2, ...) with the boolean `listed`."""
     shared = rows.sparkSession.sparkContext.broadcast(levels)
 
     @F.pandas_udf("boolean")
     def listed(h1: pd.Series, h2: pd.Series) -> pd.Series:
         return pd.Series(listed_by(shared.value, h1.to_numpy(), h2.to_numpy()))
 
-    return rows.withColumn("listed", listed(*hashes(F.col(key))))
-
+    return rows.withColumn("listed", listed("h1", "h2"))
 
-def in_list(host: Column, labels=LISTED_LABELS) -> Column:
-    return F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, labels)))
 
-
-def judge(spark: SparkSession, pages: DataFrame, listed=in_list, rules=RULES, max_bytes: int = 64 << 20) -> DataFrame:
-    """(page_id, host, path, rule, listed, verdict); listed: a predicate of the host that defines the list."""
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    hosts = rows.groupBy("host").agg(F.lit(1).alias("_")).select("host", listed(F.col("host")).alias("listed"), *(h.alias(f"h{i + 1}") for i, h in enumerate(hashes(F.col("host")))))
-    levels = build(hosts, max_bytes)
-    if levels is None:
-        rows = rows.join(hosts.where("listed").select(F.col("host"), F.lit(True).alias("listed")), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    else:
-        rows = membership(rows, levels, "host")
+def exact_members(rows: DataFrame, universe: DataFrame, max_bytes: int) -> DataFrame:
+    """rows (h1, h2, ...) with `listed`, by as many cascades as it takes; universe is (h1, h2, listed)."""
+    universe = cut(universe.select("h1", "h2", "listed").distinct())
+    shards = max(1, math.ceil(expected_bytes(*counts(universe)) / max_bytes))
+    if shards == 1:
+        return membership(rows, build(universe))
+    spark, folder = rows.sparkSession, f"{ensure_checkpoint_dir(rows.sparkSession)}/shards-{uuid.uuid4().hex}"
+    own = F.pmod("h2", F.lit(shards)).cast("int")
+    rows.withColumn("shard", own).write.partitionBy("shard").parquet(f"{folder}/rows")
+    for k in range(shards):
+        part = spark.read.schema(rows.schema).parquet(f"{folder}/rows/shard={k}") if rows_in(spark, f"{folder}/rows/shard={k}") else None
+        if part is not None:
+            membership(part, build(cut(universe.where(own == k)))).write.parquet(f"{folder}/listed/{k}")
+    remove(spark, f"{folder}/rows")
+    return spark.read.schema(StructType([*rows.schema, StructField("listed", BooleanType())])).parquet(f"{folder}/listed/*")
+
+
+def rows_in(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def in_list(host: Column, html: Column) -> Column:
+    """The production list, of one page."""
+    named = F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, LISTED_LABELS)))
+    return (host != "") & (named | F.coalesce(html.rlike(LISTED_TITLES), F.lit(False)))
+
+
+def judge(spark: SparkSession, pages: DataFrame, listing=in_list, rules=RULES, max_bytes: int = 64 << 20) -> DataFrame:
+    """(page_id, host, path, rule, listed, verdict); a key is listed if listing(host, html) holds for one of its pages."""
+    url = F.col("url")
+    rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "html")
+    rows = rows.withColumns(dict(zip(("h1", "h2"), hashes(F.concat("host", "path")))))
+    universe = rows.select("h1", "h2", listing(F.col("host"), F.col("html")).alias("listed")).groupBy("h1", "h2").agg(F.max("listed").alias("listed"))
+    rows = exact_members(rows.drop("html"), universe, max_bytes)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", rule.alias("rule"), "listed", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
@@ -168,12 +208,14 @@ def judge(spark: SparkSession, pages: DataFrame, listed=in_list, rules=RULES, ma
 ORACLE = f"""
 WITH u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+k AS (
+  SELECT host || path AS key, bool_or(host <> '' AND (list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in LISTED_LABELS)}]) OR coalesce(regexp_matches(html, '{LISTED_TITLES}'), FALSE))) AS listed FROM u GROUP BY 1),
 r AS (
   SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM u)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in LISTED_LABELS)}]) THEN 'block' ELSE 'allow' END AS verdict FROM r
+  WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM r JOIN k ON k.key = host || path
 """

@@ -177,26 +177,29 @@ URLS = [
 
 
 def test_url_rules(spark):
-    pages = spark.createDataFrame([(i, u[0], "clash") for i, u in enumerate(URLS)] + [(0, URLS[0][0], "clash")], "page_id long, url string, host string")
-    for max_bytes in (64 << 20, -1):  # the cascade, and the join beyond the bound
+    pages = spark.createDataFrame([(i, u[0], "<p>", "clash") for i, u in enumerate(URLS)] + [(0, URLS[0][0], None, "clash")], "page_id long, url string, html string, host string")
+    for max_bytes in (64 << 20, 1):  # one cascade, and one per shard
         got = sorted(url_filter.judge(spark, pages, max_bytes=max_bytes).collect(), key=lambda r: r["page_id"])
         assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == [u[1:] for u in [URLS[0], *URLS]]
     assert url_filter.judge(spark, pages.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("n_in,n_out,p", [(0, 50, None), (50, 0, None), (300, 5000, None), (2000, 2000, 0.5), (7, 3000, 0.4)])
-def test_cascade_is_exact(spark, n_in, n_out, p):
-    keys = spark.range(n_in + n_out).select(F.concat(F.lit("host"), F.col("id").cast("string")).alias("key"), (F.col("id") < n_in).alias("truth"))
-    universe = keys.select("truth", *(h.alias(f"h{i + 1}") for i, h in enumerate(url_filter.hashes(F.col("key"))))).withColumnRenamed("truth", "listed")
-    levels = url_filter.build(universe, 1 << 20, p)
-    assert url_filter.membership(keys, levels, "key").where("listed <> truth").count() == 0
-    if n_in > 100 and n_out > 100:
-        assert len(levels) > 1
+def test_url_list_from_pages(spark):
+    """A key is listed by any of its pages, whatever the scheme and the query; a page without a url lists nothing."""
+    rows = [(1, "http://a.com/x?1", "<title>fine</title>"), (2, "https://A.com/x", "<title>b%%%d</title>"), (3, "http://a.com/y", "<title>50% off $</title>$$$"), (4, None, "<title>###</title>"), (5, "", None), (6, "http://free-bets.a.com/z", None)]
+    for max_bytes in (64 << 20, 1):
+        got = {r["page_id"]: r["listed"] for r in url_filter.judge(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), max_bytes=max_bytes).collect()}
+        assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
 
 
-def test_cascade_refuses_beyond_its_bound(spark):
-    universe = spark.range(1000).select((F.col("id") < 900).alias("listed"), F.col("id").alias("h1"), F.col("id").alias("h2"))
-    assert url_filter.build(universe, 10) is None
+@pytest.mark.parametrize("max_bytes", [1 << 20, 600])
+def test_sharded_membership_is_exact(spark, max_bytes):
+    """Thousands of keys against the set that they were made from, in one cascade and in many."""
+    keys = spark.range(6000).select(F.col("id"), F.concat(F.lit("h"), F.col("id")).alias("key")).withColumn("wanted", F.pmod(F.xxhash64("key", F.lit(9)), F.lit(4)) == 0)
+    keys = keys.withColumns(dict(zip(("h1", "h2"), url_filter.hashes(F.col("key")))))
+    rows = keys.unionByName(keys.where("id < 50"))
+    got = url_filter.exact_members(rows, keys.select("h1", "h2", F.col("wanted").alias("listed")), max_bytes)
+    assert got.count() == 6050 and got.where("listed <> wanted").count() == 0
 
 
 def record(record_id, url, ts, kind="response", status=200, etag=None, last_modified=None, digest=None, headers=None):
@@ -247,14 +250,3 @@ def test_warc_against_brute_force(spark):
     for span in (7, 100, 10**6):
         got = {r["record_id"]: (r["refers_to"], r["outcome"]) for r in warc.resolve(spark.createDataFrame(rows, RECORD), span).collect()}
         assert got == wanted
-
-
-def test_forest_spans_its_links():
-    rng = np.random.default_rng(1)
-    base = np.arange(100, dtype=np.uint64)
-    sets = [np.unique(np.where(rng.random(100) < 0.04, rng.integers(1000, 10**6, 100).astype(np.uint64), base)) for _ in range(40)]
-    links = ngram_join.forest(np.arange(40), sets, np.arange(40), np.arange(40), 80)
-    assert len(links) < 40
-    for a, b in links:
-        inter = len(np.intersect1d(sets[a], sets[b]))
-        assert 100 * inter >= 80 * (len(sets[a]) + len(sets[b]) - inter)
