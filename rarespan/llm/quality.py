@@ -56,28 +56,34 @@ def measures(text: Column) -> dict[str, Column]:
     return {"words": word_array(text), "lines": lines, "word_chars": word_chars, "n_symbols": symbol_count(text)}
 
 
+#: Bits of a packed window that hold its position; the others hold its hash.
+PLACE = 28
+
+
 def repeat_words(words: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more: sorted windows put equal ones side by side.
+    """Words that lie in a 3-word window found twice or more.
 
-    Windows are first told apart by 64-bit hashes: a text with as many distinct hashes as windows has no
-    repeated one (most texts) and is done. The others are sorted by hash and then by the words themselves, so that equal
-    hashes of different windows change nothing.
+    A window is packed into one long, the upper bits of its hash and its position, and the longs are sorted; windows
+    beside one of equal hash bits, repeated ones and a few others, are then sorted by their words, where
+    equal ones lie side by side.
     """
     n = F.size(words)
     ends = lambda w: F.sequence(F.lit(1), F.size(w) - 2)
 
-    def counted(w: Column, hashes: Column) -> Column:
-        def positions(s: Column) -> Column:
-            same = lambda x, y: (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
-            twin = lambda j: ((j > 0) & same(s[F.greatest(j - 1, F.lit(0))], s[j])) | ((j < F.size(s) - 1) & same(s[F.least(j + 1, F.size(s) - 1)], s[j]))
-            at = F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), twin), lambda j: s[j]["i"])
-            return F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
+    def candidates(s: Column, w: Column) -> Column:
+        beside = F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.when(F.shiftrightunsigned(x.bitwiseXOR(y), PLACE) == 0, F.array(x, y)))
+        place = lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
+        some = F.transform(F.array_distinct(F.flatten(F.array_compact(beside))), place)
+        return F.transform(some, lambda i: F.struct(w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.alias("i")))
 
-        windows = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.alias("i")))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(F.array_sort(windows), positions))
+    def positions(s: Column) -> Column:
+        same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+        at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: same(F.get(s, j - 1), s[j]) | same(s[j], F.get(s, j + 1)))
+        return F.size(F.array_distinct(F.flatten(F.transform(at, lambda j: F.array(s[j]["i"], s[j]["i"] + 1, s[j]["i"] + 2)))))
 
-    hashed = lambda w: F.transform(ends(w), lambda i: F.xxhash64(w[i - 1], w[i], w[i + 1]))
-    return F.when(n < 4, F.lit(0)).otherwise(let(words, lambda w: let(hashed(w), lambda h: counted(w, h)))).cast("long")
+    packed = lambda w: F.transform(ends(w), lambda i: F.shiftleft(F.shiftright(F.xxhash64(w[i - 1], w[i], w[i + 1]), PLACE), PLACE).bitwiseOR((i - 1).cast("long")))
+    found = lambda w: let(F.sort_array(packed(w)), lambda s: let(F.sort_array(candidates(s, w)), lambda c: F.when(F.size(c) < 2, F.lit(0)).otherwise(positions(c))))
+    return F.when(n < 4, F.lit(0)).otherwise(let(words, found)).cast("long")
 
 
 def verdict(rules: tuple[Rule, ...]) -> Column:
