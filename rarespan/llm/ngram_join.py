@@ -160,23 +160,27 @@ def own_block(k: str) -> Column:
 
 def lead_links(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the classes that link with their leads, by their whole sets; pairs (cls, lead), sizes (cls, n)."""
-    dealt = with_facts(pairs, blocks(pairs.join(sizes, "cls"), "lead", "k"), "lead").select("lead", own_block("k").alias("part"), "cls")
-    dealt = cut(dealt)
-    asked = dealt.select("lead", "part").distinct().select("lead", "part", F.col("lead").alias("cls"), F.lit(True).alias("is_lead"))
-    rows = dealt.withColumn("is_lead", F.lit(False)).unionByName(asked).join(sets, "cls")
+    dealt = cut(with_facts(pairs, blocks(pairs.join(sizes, "cls"), "lead", "k"), "lead").select("lead", own_block("k").alias("part"), "cls"))
+    asked = dealt.select("lead", "part").distinct().select("lead", "part", F.col("lead").alias("cls"), F.lit(0).alias("turn"))
+    rows = dealt.withColumn("turn", F.lit(1)).unionByName(asked).join(sets, "cls").select("lead", "part", "turn", "cls", "s")
+    rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "turn")  # a lead comes before its members
 
-    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        leading = block["is_lead"].to_numpy()
-        members = [np.asarray(s, np.int64).view(np.uint64) for s in block["s"][~leading]]
-        out = []
-        for s in block["s"][leading]:
-            lead = np.asarray(s, np.int64).view(np.uint64)
-            both = np.array([found_in(m, lead).sum() for m in members], np.int64)
-            total = np.array([len(m) + len(lead) for m in members], np.int64)
-            out += block["cls"][~leading].to_numpy()[(100 + percent) * both >= percent * total].tolist()
-        return pd.DataFrame({"a": np.array(out, np.int64), "b": np.full(len(out), key[0], np.int64)})
-
-    return rows.groupBy("lead", "part").applyInPandas(run, "a long, b long")
+    def run(batches):
+        of, leads = None, []
+        for b in batches:
+            a, c = [], []
+            flat, offsets = b.column(4).flatten().to_numpy().view(np.uint64), b.column(4).offsets.to_numpy() - b.column(4).offsets[0].as_py()
+            for i, (lead, part, turn, cls) in enumerate(zip(*(b.column(j).to_pylist() for j in range(4)))):
+                own = flat[offsets[i] : offsets[i + 1]]
+                if turn == 0:
+                    leads = [*leads, own.copy()] if of == (lead, part) else [own.copy()]
+                    of = lead, part
+                elif any((100 + percent) * int(found_in(own, s).sum()) >= percent * (len(own) + len(s)) for s in leads):
+                    a.append(cls)
+                    c.append(lead)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
