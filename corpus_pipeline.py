@@ -47,7 +47,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @keeping_columns
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose later occurrences of repeated passages of three lines or more; documents that lose every word go."""
-    out = line_dedup.dedup(docs).where(~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))))
+    out = line_dedup.dedup(docs)
+    once = out.select(F.explode(F.array(F.struct("*"))).alias("r")).select("r.*")  # the filter cannot move below this and measure every text again
+    out = once.where(~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -100,7 +100,7 @@ def batches_of(batches, path: str, pattern: str, rows: int):
         yield c, b.column(0), texts, ids, [c.offsets(t, i) for t, i in zip(texts, ids)]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", rows: int = 256) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", rows: int = 64) -> DataFrame:
     """(key, ids, starts, ends)."""
 
     def run(batches):
@@ -110,7 +110,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
     return with_text(docs.select(key, text), text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, {ENCODED}")
 
 
-def tokenise(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", rows: int = 256) -> DataFrame:
+def tokenise(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", rows: int = 64) -> DataFrame:
     """(key, n_tokens, ids, starts, ends, round_trip): round_trip tells whether the decoded ids are the text's bytes."""
 
     def run(batches):
@@ -133,7 +133,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, key: str = "doc_id") -> D
     return tokens.select(key, "ids").mapInArrow(run, f"{key} {tokens.schema[key].dataType.simpleString()}, text string")
 
 
-def digest(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", rows: int = 256) -> DataFrame:
+def digest(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", rows: int = 64) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256, offsets_sha256): encodes with offsets, then decodes the ids, and keeps digests only.
 
     offsets_sha256 is of each token's first and end character, in turn, as little-endian unsigned 32-bit integers.

@@ -303,7 +303,7 @@ def postings(heads: DataFrame, often, most: int = 1 << 19) -> DataFrame:
     return heads.select("fam", "family", "n", "end", "head").mapInArrow(run, "h long, fam long, pack long")
 
 
-def met_in_lists(h: np.ndarray, fam: np.ndarray, pack: np.ndarray, percent: int, most: int = 2_000_000, seen: dict | None = None):
+def met_in_lists(h: np.ndarray, fam: np.ndarray, pack: np.ndarray, percent: int, most: int = 1 << 18, seen: dict | None = None):
     """Index pairs (of the sorted entries that come first) of different families that can link, list by list.
 
     A list's blocks are its size classes, sorted by position. A block meets those of sizes that can reach
