@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarespan.llm import bpe, fingerprint, language, line_dedup, mixing, ngram_join, quality, token_counts, url_filter, warc
+from rarespan.llm import bpe, chat, fill_middle, fingerprint, language, line_dedup, mixing, ngram_join, quality, token_counts, url_filter, warc
 from rarespan.llm.common import table
 
 
@@ -63,9 +63,17 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.conversations(chat.chain(chat.with_trap(table(spark, sf_dir, "conversations"))), unique=True))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": warc.ORACLE, "op3_mix_sources": mixing.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_url_filter": url_filter.ORACLE, "op9_quality_rules": quality.ORACLE}
+    return {"op1_warc_revisits": warc.ORACLE, "op3_mix_sources": mixing.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_url_filter": url_filter.ORACLE, "op9_quality_rules": quality.ORACLE, "op12_chat_formatting": chat.ORACLE, "op13_fill_in_middle": fill_middle.ORACLE}
