@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarespan.llm import bpe, chat, fill_middle, fingerprint, language, line_dedup, mixing, ngram_join, quality, token_counts, url_filter, warc
+from rarespan.llm import alignment, bpe, chat, fill_middle, fingerprint, language, line_dedup, mixing, ngram_join, quality, token_counts, url_filter, warc
 from rarespan.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.conversations(chat.chain(chat.with_trap(table(spark, sf_dir, "conversations"))), unique=True))
 
