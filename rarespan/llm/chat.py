@@ -25,6 +25,8 @@ result; other columns are not read, so names cannot clash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,33 +65,41 @@ def upward(left: DataFrame, at: str, right: DataFrame, columns: dict[str, str],
 
 
 def jumps(links: DataFrame) -> list[DataFrame]:
-    """Tables (tree, node, up, depth, total): the ancestor 1, 2, 4 ... steps up, and the nodes and scores below it; in the last no node has one, but those without a root."""
+    """Tables (tree, node, up, depth, total) of 1, 2, 4 ... steps: the ancestor so many steps up, and the nodes and scores below it.
+
+    A table holds the nodes that had an ancestor in the one before; a node whose `up` is null reaches its root there.
+    """
     step = upward(links, "parent", links.select("tree", "node", F.col("node").alias("it")), {"it": "up"})
     rounds = [stored(step.select("tree", "node", "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")))]
     left = None
     while True:
-        last, before = rounds[-1], left
-        left = last.where("up IS NOT NULL").count()
-        if not left or left == before:  # what no round shortens hangs on a ring
+        open_, before = rounds[-1].where("up IS NOT NULL"), left
+        left = open_.count()
+        if not left or left == before:  # what a round does not shorten hangs on a ring
             return rounds
-        step = upward(last, "up", last, {"up": "up2", "depth": "depth2", "total": "total2"})
+        step = upward(open_, "up", rooted(rounds).unionByName(open_), {"up": "up2", "depth": "depth2", "total": "total2"})
         more = lambda c: F.col(c) + F.coalesce(F.col(f"{c}2"), F.lit(0))
         rounds.append(stored(step.select("tree", "node", F.col("up2").alias("up"), more("depth").alias("depth"), more("total").alias("total"))))
 
 
+def rooted(rounds: list[DataFrame]) -> DataFrame:
+    """The nodes that have reached their roots."""
+    return reduce(DataFrame.unionByName, [r.where("up IS NULL") for r in rounds])
+
+
 def paths(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     """(tree, leaf, branch, score, position, node): the `keep` best root-to-leaf paths of each tree, all of them if None; branch and position count from 0."""
     links = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     rounds = jumps(links)
     parents = links.select(F.col("tree").alias("_tree"), F.col("parent").alias("_node")).where("_node IS NOT NULL").distinct()
-    leaves = rounds[-1].where("up IS NULL").join(parents, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node")), "left_anti")
+    leaves = rooted(rounds).join(parents, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node")), "left_anti")
     leaves = leaves.withColumn("score", F.col("total") / F.col("depth"))
     best = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "depth", "node")) - 1
     chosen = leaves.withColumn("branch", best.cast("long"))
     if keep is not None:
         chosen = chosen.where(F.col("branch") < keep)
     at = chosen.select("tree", F.col("node").alias("leaf"), "branch", "score", (F.col("depth") - 1).alias("position"), "node")
-    for k in reversed(range(len(rounds) - 1)):
+    for k in reversed(range(len(rounds))):
         both = upward(at, "node", rounds[k].where("up IS NOT NULL"), {"up": "up"})
         here, there = F.struct("position", "node"), F.struct((F.col("position") - 2**k).alias("position"), F.col("up").alias("node"))
         at = both.withColumn("step", F.explode(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there)))).select("tree", "leaf", "branch", "score", "step.position", "step.node")
