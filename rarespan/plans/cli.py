@@ -15,6 +15,18 @@ LOG = logging.getLogger("rarespan")
 LEVELS = (logging.CRITICAL, logging.ERROR, logging.ERROR, logging.WARNING, logging.WARNING, FOUND, FOUND, logging.INFO, logging.INFO, logging.DEBUG)
 
 
+def positive(text: str) -> int:
+    if int(text) < 1:
+        raise argparse.ArgumentTypeError("a whole number above 0 is needed")
+    return int(text)
+
+
+def share(text: str) -> float:
+    if not 0 < float(text) <= 1:
+        raise argparse.ArgumentTypeError("a number above 0 and up to 1 is needed")
+    return float(text)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="rarespan")
     top.add_argument("-V", "--version", action="version", version=VERSION)
@@ -73,12 +85,12 @@ def parser() -> argparse.ArgumentParser:
     n = commands.add_parser("composition", help="poly-nucleotide counts")
     n.add_argument("-s", dest="reads", required=True)
     n.add_argument("-f", dest="form", default="fasta", choices=("fasta", "fastq"))
-    n.add_argument("-k", dest="k", type=int, default=2)
-    n.add_argument("-o", dest="out", required=True)
+    n.add_argument("-k", dest="k", type=positive, default=1)
+    n.add_argument("-o", dest="out", default="-", help="- (by default) is the standard output, '' writes nothing")
     n.add_argument("-e", dest="extended", action="store_true")
     n.add_argument("-z", dest="zeroes", action="store_true")
-    n.add_argument("-x", dest="portion", type=float, default=1.0)
-    n.add_argument("-r", dest="seed", type=int, default=1)
+    n.add_argument("-x", dest="portion", type=share, default=1.0, help="chance of a sequence to be counted, above 0 up to 1")
+    n.add_argument("-r", dest="seed", type=int, default=int(time.time()), help="by default the time")
     n.add_argument("-v", dest="verbosity", type=int, default=7)
 
     g = commands.add_parser("ontology", help="a dump as Parquet tables")
@@ -103,6 +115,7 @@ def main(args: list[str] | None = None, spark=None) -> None:
 def redundancy(spark, a) -> None:
     from rarespan.plans import redundancy as plan
     from rarespan.sources import sequences, sinks
+    from rarespan.sources.result_file import emit
 
     mating = Mating(kernel=a.kernel, k=a.k, overlap=a.overlap / 100, similarity=a.similarity, both_strands=not a.one_strand, n_mismatch=a.n_mismatch)
     sampling = Sampling(max_queries=a.queries, query_portion=a.portion, replicates=a.replicates, factor=a.factor, low=a.low, high=a.high, step=a.step, seed=a.seed, portion_as_label=a.portion_label)
@@ -110,17 +123,12 @@ def redundancy(spark, a) -> None:
     other = sequences.read_sequences(spark, a.other, a.form) if a.other else None
     result = plan.run(subjects, mating, sampling, other, a.adjust)
     outputs = (
-        (a.summary, ".npo", sinks.curve_text(result.summary, result.meta, result.meta["R"], a.portion_label), lambda path: sinks.write_curve(result.summary, result.meta, path, result.meta["R"], a.portion_label)),
-        (a.all_data, ".npa", sinks.replicate_lines(result.replicates).orderBy("portion_idx", "replicate"), lambda path: sinks.write_replicates(result.replicates, path)),
-        (a.mates, ".npc", sinks.mate_lines(result.mates), lambda path: sinks.write_mates(result.mates, path)),
+        (a.summary, ".npo", sinks.curve_text(result.summary, result.meta, result.meta["R"], a.portion_label)),
+        (a.all_data, ".npa", sinks.replicate_lines(result.replicates).orderBy("portion_idx", "replicate")),
+        (a.mates, ".npc", sinks.mate_lines(result.mates)),
     )
-    for given, suffix, lines, write in outputs:
-        target = given if given is not None else (f"{a.prefix}{suffix}" if a.prefix else "")
-        if target == "-":
-            for row in lines.select("value").toLocalIterator():
-                print(row["value"])
-        elif target:
-            write(target)
+    for given, suffix, lines in outputs:
+        emit(lines.select("value"), given if given is not None else f"{a.prefix}{suffix}" if a.prefix else "")
     for row in result.findings.collect():  # at most a few
         LOG.log(FOUND, "%s: %s", row["status"], row["message"])
 
@@ -158,9 +166,10 @@ def curves(spark, a) -> None:
 def composition(spark, a) -> None:
     from rarespan.operators import composition as op
     from rarespan.sources import sequences, sinks
+    from rarespan.sources.result_file import emit
 
     counted = op.counts(sequences.read_sequences(spark, a.reads, a.form), a.k, a.portion, a.seed)
-    sinks.write_composition(op.with_zeroes(counted, a.k) if a.zeroes else counted, a.out, a.extended)
+    emit(sinks.composition_lines(op.with_zeroes(counted, a.k) if a.zeroes else counted, a.extended), a.out)
 
 
 def ontology(spark, a) -> None:

@@ -53,15 +53,15 @@ class CurveSet:
 
 def read_set(spark: SparkSession, files: list[str], labels: list[str] | None = None, cols: list[str] | None = None, enforce: bool = True, star: float = 95.0, corrected: bool = True, weights: tuple[float, ...] | None = None, skip_model: bool = False, compat: bool = False) -> CurveSet:
     """Curves of files. Labels (by default the files' names) and colours are used again from the start if there are fewer of them than files."""
-    names = [f.rstrip("/").rsplit("/", 1)[-1] for f in files]
-    own = [n.removesuffix(".npo") for n in names]
+    own = [f.rstrip("/").rsplit("/", 1)[-1].removesuffix(".npo") for f in files]
     label = [labels[i % len(labels)] for i in range(len(files))] if labels else own
     col = [cols[i % len(cols)] for i in range(len(files))] if cols else [default_colour(x) for x in label]
     if len(set(own)) < len(own) or len(set(label)) < len(label):
         raise ValueError("two curves of a set have the same name")
     table = spark.createDataFrame(list(zip(own, files, label, col)), "own string, file string, name string, col string")
     named = lambda df, extra: df.join(F.broadcast(table), df["label"] == table["own"]).drop("label", "own", *([] if extra else ["file", "col"])).withColumnRenamed("name", "label")
-    meta, raw = named(source.read_metadata(spark, files, compat), True), named(source.read_points(spark, files), False)
+    found, rows = source.read_files(spark, files, compat)
+    meta, raw = named(found, True), named(rows, False)
     points = durable(curve.points(raw, meta, corrected))
     params = curve.fit(points.where(F.lit(not skip_model)), meta, star, weights, enforce)
     return CurveSet(meta, points, durable(params), star)
@@ -120,8 +120,8 @@ def draw(curves: CurveSet, path: str, size: float = 7.0, xlim: tuple[float, floa
     if legend:
         for i, label in enumerate(sorted(colour)):
             text(margin + 6, side - margin - 12 - 10 * i, label, rgb(colour[label]))
-    text(side / 2 - 50, 16, "Sequencing effort (bp)")
-    text(8, side - 30, "Estimated average coverage")
+    text(side / 2 - 50, 16, "bases sequenced")
+    text(8, side - 30, "share of the population seen")
     write_pdf("\n".join(out), side, path)
 
 

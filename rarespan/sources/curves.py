@@ -42,6 +42,14 @@ def parse_metadata(lines: DataFrame, compat: bool = False) -> DataFrame:
     )
 
 
+def complete(df: DataFrame, labels, what: str) -> DataFrame:
+    """df, if it has rows of every label; a file that gives none is an error, not a curve less."""
+    missing = set(labels) - {r["label"] for r in df.select("label").distinct().collect()}  # a row per file
+    if missing:
+        raise ValueError(f"no {what} in the files of {', '.join(sorted(missing))}")
+    return df
+
+
 def read_metadata(spark: SparkSession, paths, compat: bool = False) -> DataFrame:
     return parse_metadata(spark.read.text(paths).select(label_of(F.col(FILE)).alias("label"), "value"), compat)
 
@@ -57,9 +65,17 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.SAMPLE_SHEET).option("sep", "\t").option("header", True).csv(path)
 
 
+def read_files(spark: SparkSession, files: list[str], compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Metadata and points of curve files, by the files' labels; each file holds a header and points."""
+    labels = [f.rstrip("/").rsplit("/", 1)[-1].removesuffix(".npo") for f in files]
+    if not files or len(set(labels)) < len(labels):
+        raise ValueError("a set needs files of different names")
+    return complete(read_metadata(spark, files, compat), labels, "header"), complete(read_points(spark, files), labels, "points")
+
+
 def read_set(spark: SparkSession, sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Metadata and points of all files of a sheet, labelled by its names; a sheet has one row per file."""
-    files = [r["File"] for r in sheet.collect()]
     names = F.broadcast(sheet.select(label_of(F.col("File")).alias("label"), "Name"))
     named = lambda df: df.join(names, "label").drop("label").withColumnRenamed("Name", "label")
-    return named(read_metadata(spark, files)), named(read_points(spark, files))
+    meta, points = read_files(spark, [r["File"] for r in sheet.collect()])
+    return named(meta), named(points)

@@ -1,10 +1,12 @@
-"""Result files. Tables of many rows go out as Spark writes them; a curve's file has tens of lines."""
+"""Result files, each one file of the name given. Reads go out as Spark writes them, as a folder of parts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rarespan.sources.result_file import one_file, write_lines
+
 
 def header_lines(meta: dict) -> list[str]:
     """'# @key: value' in the order of the kernel's files."""
@@ -28,8 +30,8 @@ def curve_text(summary: DataFrame, meta: dict, total_reads: int, portion_as_labe
 
 
 def write_curve(summary: DataFrame, meta: dict, path: str, total_reads: int, portion_as_label: bool = False) -> None:
-    """One text file part: the header, then a line per portion."""
-    curve_text(summary, meta, total_reads, portion_as_label).select("value").write.mode("overwrite").text(path)
+    """The header, then a line per portion."""
+    write_lines(curve_text(summary, meta, total_reads, portion_as_label).select("value"), path)
 
 
 def replicate_lines(replicates: DataFrame) -> DataFrame:
@@ -38,8 +40,13 @@ def replicate_lines(replicates: DataFrame) -> DataFrame:
 
 
 def write_replicates(replicates: DataFrame, path: str) -> None:
-    """Lines of replicates, partitioned by the portion's index, which two decimals cannot tell."""
-    replicate_lines(replicates).drop("replicate").write.mode("overwrite").partitionBy("portion_idx").text(path)
+    """Lines of replicates by portion and replicate."""
+    write_lines(replicate_lines(replicates).orderBy("portion_idx", "replicate").select("value"), path)
+
+
+def save_replicates(replicates: DataFrame, folder: str) -> None:
+    """A table by the portion's index, which the two decimals of a file's lines cannot tell."""
+    replicates.write.mode("overwrite").partitionBy("portion_idx").parquet(folder)
 
 
 def mate_lines(mated: DataFrame) -> DataFrame:
@@ -48,20 +55,25 @@ def mate_lines(mated: DataFrame) -> DataFrame:
 
 
 def write_mates(mated: DataFrame, path: str) -> None:
-    mate_lines(mated).write.mode("overwrite").text(path)
+    write_lines(mate_lines(mated), path)
 
 
-def write_composition(counted: DataFrame, path: str, extended: bool = False) -> None:
-    """kmer, count[, base, omag, hang], tab-separated, in label order."""
+def composition_lines(counted: DataFrame, extended: bool = False) -> DataFrame:
+    """(value): kmer, count[, base, omag, hang], tab-separated, in label order."""
     from rarespan.operators import composition
 
-    out = composition.extended(counted) if extended else counted.select("kmer", "count")
-    composition.in_label_order(out).write.mode("overwrite").option("sep", "\t").csv(path)
+    out = composition.in_label_order(composition.extended(counted) if extended else counted.select("kmer", "count"))
+    return out.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in out.columns)).alias("value"))
+
+
+def write_composition(counted: DataFrame, path: str, extended: bool = False) -> None:
+    write_lines(composition_lines(counted, extended), path)
 
 
 def write_summary(summary: DataFrame, path: str, form: str = "tsv") -> None:
     """tsv or csv with a header; a set has one row per curve."""
-    summary.coalesce(1).write.mode("overwrite").option("header", True).option("sep", {"tsv": "\t", "csv": ","}[form]).csv(path)
+    rows = summary.coalesce(1).write.option("header", True).option("sep", {"tsv": "\t", "csv": ","}[form])
+    one_file(summary.sparkSession, path, rows.csv)
 
 
 def write_json(curves: DataFrame, path: str) -> None:
@@ -70,7 +82,7 @@ def write_json(curves: DataFrame, path: str) -> None:
     body = curves.crossJoin(F.broadcast(last)).select("label", F.concat(F.regexp_replace(F.to_json(F.array("label")), r"^\[|\]$", ""), F.lit(": "), "json", F.when(F.col("label") < F.col("last"), ",").otherwise("")).alias("value"))  # one row
     spark = curves.sparkSession
     ends = spark.createDataFrame([(0, None, "{"), (2, None, "}")], "part int, label string, value string")
-    body.withColumn("part", F.lit(1)).unionByName(ends).coalesce(1).sortWithinPartitions("part", "label").select("value").write.mode("overwrite").text(path)
+    write_lines(body.withColumn("part", F.lit(1)).unionByName(ends).coalesce(1).sortWithinPartitions("part", "label").select("value"), path)
 
 
 def write_fasta(reads: DataFrame, path: str) -> None:

@@ -14,7 +14,7 @@ from rarespan.functions import gamma, sequence, sql
 from rarespan.operators import composition, curve
 from rarespan.plans import cli
 from rarespan.plans import curves as plan
-from rarespan.sources import curves, dumps, sequences, sinks
+from rarespan.sources import curves, dumps, result_file, sequences, sinks
 
 
 @pytest.fixture(scope="module")
@@ -71,25 +71,62 @@ def test_broken_fastq(spark, tmp_path, text, what):
         sequences.read_fastq(spark, str(tmp_path / "b.fastq")).collect()
 
 
-def json_of(folder):
-    return json.loads("\n".join(p.read_text() for p in sorted(folder.glob("part-*"))))
-
-
 @pytest.mark.parametrize("kernel", ["kmer", "alignment"])
 @pytest.mark.parametrize("name,form", [("a.fasta.gz", "fasta"), ("a.fastq", "fastq")])
 def test_command_lines(spark, files, tmp_path, kernel, name, form):
+    """A run, then curves of the file that it has written, under its own name."""
     d, _ = files
     out = str(tmp_path / "o")
     cli.main(["redundancy", "-s", str(d / name), "-T", kernel, "-f", form, "-X", "50", "-n", "32", "-b", out], spark)
-    lines = [r["value"] for r in spark.read.text(f"{out}.npo").collect()]
-    assert any(x.startswith("# @R: 120") for x in lines) and len([x for x in lines if x[0] != "#"]) >= 13
-    assert spark.read.text(f"{out}.npc").count() > 0
-    parts = list((tmp_path / "o.npo").glob("part-*"))
-    assert len(parts) == 1
-    (tmp_path / "c.npo").write_text(parts[0].read_text())
-    cli.main(["curves", str(tmp_path / "c.npo"), "--json", str(tmp_path / "j"), "--tsv", str(tmp_path / "t"), "--series", str(tmp_path / "s")], spark)
-    assert json_of(tmp_path / "j")["c"]["label"] == "c"
-    assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "t")).columns == ["label", "kappa", "C", "LR", "modelR", "LRstar", "diversity"]
+    assert sorted(p.name for p in tmp_path.iterdir() if p.suffix != ".crc") == ["o.npa", "o.npc", "o.npo"]
+    lines = (tmp_path / "o.npo").read_text().splitlines()
+    head, rows = [x for x in lines if x.startswith("# @")], [x.split("\t") for x in lines if not x.startswith("#")]
+    assert lines == head + ["\t".join(r) for r in rows] and "# @R: 120" in head and len(rows) >= 13
+    assert [float(r[0]) for r in rows] == sorted(float(r[0]) for r in rows) and all(len(r) == 6 for r in rows)
+    replicates = (tmp_path / "o.npa").read_text().splitlines()
+    assert len(replicates) == 32 * len(rows) and [int(x.split("\t")[1]) for x in replicates[:33]] == [*range(32), 0]
+    assert all(x.isdigit() for x in (tmp_path / "o.npc").read_text().splitlines())
+
+    made = plan.read_set(spark, [f"{out}.npo"])
+    assert sorted(tuple(r) for r in made.points.select("label", "x_obs", "red").collect()) == sorted(("o", float(r[0]), float(r[1])) for r in rows)
+    meta = made.meta.head()
+    assert (meta["label"], meta["R"], meta["kernel"]) == ("o", 120, kernel)
+    cli.main(["curves", f"{out}.npo", "--json", str(tmp_path / "j"), "--tsv", str(tmp_path / "t"), "--csv", str(tmp_path / "t.csv"), "--series", str(tmp_path / "s")], spark)
+    assert json.loads((tmp_path / "j").read_text())["o"]["label"] == "o"
+    for file, sep in (("t", "\t"), ("t.csv", ",")):
+        table = [x.split(sep) for x in (tmp_path / file).read_text().splitlines()]
+        assert table[0] == ["label", "kappa", "C", "LR", "modelR", "LRstar", "diversity"] and len(table) == 2 and table[1][0] == "o"
+
+
+def test_files_that_hold_no_curve(spark, tmp_path):
+    (tmp_path / "empty.npo").write_text("")
+    (tmp_path / "no_header.npo").write_text("0\t0\t0\t0\t0\t0\n")
+    (tmp_path / "no_points.npo").write_text("# @R: 10\n")
+    (tmp_path / "folder.npo").mkdir()
+    (tmp_path / "folder.npo" / "part-0").write_text("# @R: 10\n1\t1\t0\t1\t1\t1\n")
+    good = curve_file(tmp_path / "good.npo", 20.0, 1.5)
+    for name in ("empty", "no_header", "no_points", "folder"):
+        with pytest.raises(ValueError, match=name):
+            plan.read_set(spark, [good, str(tmp_path / f"{name}.npo")])
+    with pytest.raises(ValueError):
+        plan.read_set(spark, [])
+
+
+def test_one_file(spark, tmp_path):
+    """Parts in order, a name that is taken, nothing left beside the file."""
+    lines = spark.range(0, 5000, 1, 7).select(F.col("id").cast("string").alias("value"))
+    target = tmp_path / "deep" / "a b.txt"
+    for _ in range(2):
+        result_file.write_lines(lines, str(target))
+        assert target.read_text().split() == list(map(str, range(5000)))
+    result_file.write_lines(lines.where("id < 0"), str(tmp_path / "none"))
+    assert (tmp_path / "none").read_text() == ""
+    with pytest.raises(IsADirectoryError):
+        result_file.write_lines(lines, str(tmp_path / "deep"))
+    with pytest.raises(Exception, match="broken on purpose"):
+        result_file.write_lines(lines.select(F.when(F.col("value") == "4000", F.raise_error(F.lit("broken on purpose"))).otherwise(F.col("value"))), str(target))
+    assert target.read_text().split() == list(map(str, range(5000)))
+    assert [p.name for p in target.parent.iterdir() if p.suffix != ".crc"] == ["a b.txt"]
 
 
 def curve_file(path, a, b, reads=10**8):
@@ -125,7 +162,7 @@ def test_sets_of_curves(spark, tmp_path):
 
     (tmp_path / "sheet.tsv").write_text("File\tName\tCol\n" + "".join(f"{f}\tn{i}\t#00000{i}\n" for i, f in enumerate(files)))
     cli.main(["curves", "--sheet", str(tmp_path / "sheet.tsv"), "--json", str(tmp_path / "j"), "--pdf", str(tmp_path / "p.pdf"), "--pdf-size", "5", "--xlim", "1e3,1e13", "--dispersion", "ci95", "--csv", str(tmp_path / "c")], spark)
-    out = json_of(tmp_path / "j")
+    out = json.loads((tmp_path / "j").read_text())
     assert sorted(out) == ["n0", "n1", "n2"] and out["n1"]["col"] == "#000001" and len(out["n0"]["x.model"]) == 1000 and len(out["n0"]) == 31
     pdf = (tmp_path / "p.pdf").read_bytes()
     assert pdf.startswith(b"%PDF-1.4") and pdf.count(b" S\n") > 10 and b"(n2)" in pdf and int(pdf.split(b"startxref\n")[1].split()[0]) == pdf.index(b"xref\n")
@@ -152,11 +189,22 @@ def test_sql_names(spark):
     assert (row["rc"], row["no"], row["n"], row["r"]) == (True, False, None, "NGT") and row["p"] == pytest.approx(0.01) and row["g"] == pytest.approx(1 - math.exp(-1))
 
 
-def test_composition_command(spark, files, tmp_path):
+def test_composition_command(spark, files, tmp_path, capsys):
     d, seqs = files
-    cli.main(["composition", "-s", str(d / "a.fasta"), "-k", "1", "-z", "-e", "-o", str(tmp_path / "c")], spark)
-    rows = spark.read.option("sep", "\t").csv(str(tmp_path / "c")).collect()
-    assert len(rows) == 16 and sum(int(r[1]) for r in rows) == sum(map(len, seqs))
+    command = ["composition", "-s", str(d / "a.fasta"), "-z", "-e"]
+    cli.main([*command, "-o", str(tmp_path / "c")], spark)
+    lines = (tmp_path / "c").read_text().splitlines()
+    rows = [x.split("\t") for x in lines]
+    assert [r[0] for r in rows] == list("NACGTRYSWKMBDHV.") and sum(int(r[1]) for r in rows) == sum(map(len, seqs)) and all(len(r) == 5 for r in rows)
+    assert not capsys.readouterr().out
+    for out in (["-o", "-"], []):
+        cli.main([*command, *out], spark)
+        assert capsys.readouterr().out.splitlines() == lines
+    cli.main([*command, "-o", ""], spark)
+    assert not capsys.readouterr().out and [p.name for p in tmp_path.iterdir() if p.suffix != ".crc"] == ["c"]
+    for bad in (["-k", "0"], ["-x", "0"], ["-x", "1.5"]):
+        with pytest.raises(SystemExit):
+            cli.main([*command, *bad], spark)
 
 
 def test_curve_metadata(spark, tmp_path):
@@ -200,6 +248,8 @@ def test_other_sinks(spark, tmp_path):
     sinks.write_replicates(r, str(tmp_path / "r"))
     assert spark.read.text(str(tmp_path / "r")).head()["value"] == "0.00\t1\t0.2500000000"
     c = composition.counts(spark.createDataFrame([(1, "ACGT")], "read_id long, seq string"), 2)
+    sinks.save_replicates(r, str(tmp_path / "rt"))
+    assert spark.read.parquet(str(tmp_path / "rt")).where("portion_idx = 0").count() == 1
     sinks.write_composition(c, str(tmp_path / "c"))
     assert spark.read.text(str(tmp_path / "c")).count() == 3
     sinks.write_fasta(spark.createDataFrame([("h", "AC")], "header string, seq string"), str(tmp_path / "f"))
