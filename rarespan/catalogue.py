@@ -791,11 +791,11 @@ def go_union_distinct(spark, sf_dir):
     return ontology.union_distinct(terms.select("acc"), ontology.parents(paths, terms).select(F.col("parent_acc").alias("acc")))
 
 
-@query("SELECT s_suppkey + 1001 AS id, 'it''s ' || s_name || '; (a, \"b\")' AS name, 'cellular_component' AS term_type, printf('GO:%07d', (s_suppkey + 1001)::BIGINT) AS acc, 0 AS is_obsolete, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 0 END AS is_root, 0 AS is_relation FROM supplier")
+@query("SELECT s_suppkey + 1001 AS id, 'it''s ' || s_name || ';' || chr(10) || 'a \\ (b, \"c\"); -- d' AS name, 'cellular_component' AS term_type, printf('GO:%07d', (s_suppkey + 1001)::BIGINT) AS acc, 0 AS is_obsolete, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 0 END AS is_root, 0 AS is_relation FROM supplier")
 def dump_scan(spark, sf_dir):
-    """The terms of a MySQL dump, with quotes, separators and NULLs in values and rows that repeat."""
+    """The terms of a MySQL dump, with quotes, ends of statements and of lines, backslashes and NULLs in values, and rows that repeat."""
     s = table(spark, sf_dir, "supplier")
-    row = F.format_string("(%d,'it\\'s %s; (a, \"b\")','cellular_component','GO:%07d',0,%s,0)", (F.col("s_suppkey") + 1001).cast("long"), "s_name", (F.col("s_suppkey") + 1001).cast("long"), F.when(F.col("s_suppkey") % 7 == 0, "NULL").otherwise("0"))
+    row = F.format_string("(%d,'it\\'s %s;\na \\\\ (b, \"c\"); -- d','cellular_component','GO:%07d',0,%s,0)", (F.col("s_suppkey") + 1001).cast("long"), "s_name", (F.col("s_suppkey") + 1001).cast("long"), F.when(F.col("s_suppkey") % 7 == 0, "NULL").otherwise("0"))
     twice = s.select("s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("n")).where("n = 0 OR s_suppkey % 5 = 0").join(s, "s_suppkey")
-    lines = twice.select((F.col("s_suppkey") * 2 + F.col("n")).alias("read_id"), F.concat(F.lit("INSERT INTO `term` VALUES "), row, F.lit(";")).alias("value"))
+    lines = twice.select((F.col("s_suppkey") * 2 + F.col("n")).alias("read_id"), F.concat(F.lit("INSERT INTO `term` VALUES "), row, F.lit("; -- it's one")).alias("value"))
     return dumps.read_dump(spark, _written(lines, "read_id"))["term"]

@@ -230,6 +230,61 @@ def test_dump(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/term")).count() == 2
 
 
+NAMES = ["plain", "it's", "a; b", "two\nlines", "(a, 'b');\n", "back\\slash", 'say "x"', "-- no comment", "/* nor this */", "# nor that;", "tab\there", "", "ends with \\", "NULL", "INSERT INTO `term` VALUES (9);"]
+
+
+def dump_text(rows: int) -> tuple[str, dict]:
+    """A dump whose values hold all that ends a value, a line or a statement, in three ways to quote."""
+    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    doubled = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "''").replace("\n", "\\n") + "'"
+    wide = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '""') + '"'
+    out, terms = ["-- a dump; it's one", "/* with ; and ' in\n a comment */;", "CREATE TABLE `te;rm` (`id` int);", "# another; 'comment"], {}
+    for i in range(0, rows, 3):
+        values = []
+        for j in range(i, min(i + 3, rows)):
+            terms[j] = f"{NAMES[j % len(NAMES)]} {j}" if j % 2 else NAMES[j % len(NAMES)]
+            values.append(f"({j},{(quoted, doubled, wide)[j % 3](terms[j])},'t','GO:{j:07d}', 0 ,0,NULL)")
+        out.append(("INSERT INTO `term` VALUES " if i % 2 else "insert into term values\n") + (",\n" if i % 4 else ",").join(values) + ";" + (" -- done; 'yes" if i % 5 == 0 else ""))
+    return "\n".join(out) + "\n", terms
+
+
+@pytest.mark.parametrize("split", ["70", "333", "10000000"])
+def test_dump_values_across_splits(spark, tmp_path, split):
+    text, terms = dump_text(90)
+    (tmp_path / "d.sql").write_text(text)
+    (tmp_path / "e.sql").write_text("INSERT INTO `term_subset` VALUES (1,2),(3,4)\n;\nUNLOCK TABLES;")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        t = dumps.read_dump(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {r["id"]: r["name"] for r in t["term"].collect()} == terms and t["term"].where("is_relation IS NOT NULL").count() == 0
+    assert sorted(tuple(r) for r in t["term_subset"].collect()) == [(1, 2), (3, 4)]
+
+
+@pytest.mark.parametrize("text", ["INSERT INTO `term` VALUES (1,'a);\n", "INSERT INTO `term_subset` VALUES (1,2),(3;\n", "INSERT INTO `term_subset` VALUES (1,2) (3,4);\n", "INSERT INTO `term_subset` VALUES (1,2), x;\n", "INSERT INTO `term_subset` VALUES (1,2)", "INSERT INTO `term_subset` VALUES;\n", "INSERT INTO `term_subset` VALUES (1,2,3);\n", "INSERT `term_subset` SET a=1;\n", "INSERT INTO `term_subset` VALUES (1 2);\n"])
+def test_broken_dumps_are_errors(spark, tmp_path, text):
+    (tmp_path / "d.sql").write_text("INSERT INTO `term_subset` VALUES (7,8);\n" + text)
+    with pytest.raises(Exception, match="statement 2|has other than 2 values"):
+        dumps.read_dump(spark, str(tmp_path / "d.sql"))["term_subset"].collect()
+
+
+def test_pieces_of_lines_do_not_depend_on_the_cut():
+    """Lines one by one, from the state that the line before leaves, give what a scan of the whole text gives."""
+    text, _ = dump_text(60)
+    state, found, open_ = dumps.OUTSIDE, [], ""
+    for line in text.split("\n"):
+        parts, state = dumps.pieces(line, state)
+        for part in parts[:-1]:
+            found.append(open_ + part)
+            open_ = ""
+        open_ += parts[-1] + "\n"
+    rows = [r for s in found for r in (dumps.rows_of(s) or ("", []))[1]]
+    assert [int(r[0]) for r in rows] == list(range(60)) and state == dumps.OUTSIDE and not open_.strip()
+
+
 def test_streamed_hits(spark, tmp_path):
     from rarespan.operators import mating_kmer, reads
     from rarespan.streaming import kmers
