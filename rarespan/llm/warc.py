@@ -27,13 +27,17 @@ from pyspark.sql import functions as F
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that name no resource of their own (fixed values).
 TRACKING = r"^(utm_[^=]*|ref|gclid|fbclid)(=|$)"
+#: Ports that a scheme implies (fixed values).
+DEFAULT_PORTS = {"http": 80, "https": 443}
 SPAN = 86_400
 
 
 def canonical(url: Column) -> Column:
-    """Host lower-cased without scheme, user, www., default port; path without last slash; sorted query without tracking."""
+    """Host lower-cased without scheme, user, www. and the scheme's own port; path without last slash; sorted query without tracking."""
     part = lambda n: F.regexp_extract(url, r"(?s)^([^:/?#]+)://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?", n)
-    host = F.regexp_replace(F.regexp_replace(F.lower(part(2)), r"^www\d*\.", ""), r":(80|443)?$", "")
+    host, scheme = F.regexp_replace(F.regexp_replace(F.lower(part(2)), r"^www\d*\.", ""), ":$", ""), F.lower(part(1))
+    for own, port in DEFAULT_PORTS.items():
+        host = F.when(scheme == own, F.regexp_replace(host, f":{port}$", "")).otherwise(host)
     query = F.array_join(F.array_sort(F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))), "&")
     return F.when(part(1) != "", F.concat(host, F.regexp_replace(part(3), "/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
@@ -107,9 +111,10 @@ ORACLE = r"""
 WITH p AS (
   SELECT page_id, url, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, page_id * 10 AS at, length(coalesce(html, '')) AS n,
     CASE WHEN page_id % 4 <> 3 THEN page_id * 10 + 5 ELSE page_id * 10 - 5 END AS again,
-    regexp_replace(regexp_replace(lower(regexp_extract(url, '(?s)^[^:/?#]+://(?:[^/?#@]*@)?([^/?#]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)?$', '') AS host,
+    CASE WHEN starts_with(lower(url), 'http://') AND ends_with(authority, ':80') THEN left(authority, length(authority) - 3) WHEN starts_with(lower(url), 'https://') AND ends_with(authority, ':443') THEN left(authority, length(authority) - 4) ELSE rtrim(authority, ':') END AS host,
     regexp_replace(regexp_extract(url, '(?s)^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
-    regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1) AS query FROM pages WHERE url IS NOT NULL),
+    regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1) AS query
+  FROM (SELECT *, regexp_replace(lower(regexp_extract(url, '(?s)^[^:/?#]+://(?:[^/?#@]*@)?([^/?#]*)', 1)), '^www[0-9]*\.', '') AS authority FROM pages WHERE url IS NOT NULL)),
 c AS (
   SELECT *, host || path || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))), '&'), ''), '') AS canonical_url,
     CASE WHEN page_id % 5 = 0 THEN '"other"' ELSE 'W/' || tag END AS validator FROM p),
