@@ -99,7 +99,6 @@ def unigram(path: str) -> Unigram:
     names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
     log_size = math.log(math.log(len(names)))
     pieces = {name: -math.log(rank + 2) - log_size for rank, name in enumerate(names)}
-    gc.disable()  # nodes hold no cycles, and a worker makes many of them
     return Unigram(pieces, min(pieces.values()) - UNKNOWN_PENALTY)
 
 
@@ -109,18 +108,23 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     def run(batches):
         model = unigram(path)
         terminal: dict[str, int] = {}
-        for b in sliced(batches):
-            words, tokens = [], []
-            for t in b.column(1).to_pylist():
-                bag = Counter(WORD.findall(t or ""))
-                if model.nodes > MAX_NODES or len(terminal) > MAX_NODES:
-                    model.clear()
-                    terminal = {}
-                for w in bag:
-                    if w not in terminal:
-                        terminal[w] = model.count(w)
-                words.append(bag.total())
-                tokens.append(sum(c * terminal[w] for w, c in bag.items()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], [key, "n_words", "n_tokens"])
+        gc.disable()  # nodes hold no cycles, and a worker makes many of them
+        try:
+            for b in sliced(batches):
+                words, tokens = [], []
+                for t in b.column(1).to_pylist():
+                    bag = Counter(WORD.findall(t or ""))
+                    if model.nodes > MAX_NODES or len(terminal) > MAX_NODES:
+                        model.clear()
+                        terminal = {}
+                    for w in bag:
+                        if w not in terminal:
+                            terminal[w] = model.count(w)
+                    words.append(bag.total())
+                    tokens.append(sum(c * terminal[w] for w, c in bag.items()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], [key, "n_words", "n_tokens"])
+        finally:
+            gc.freeze()  # the nodes that are kept are not gone through again
+            gc.enable()
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_words long, n_tokens long")
