@@ -2,15 +2,16 @@
 
 A text is the average of the embeddings of its byte 2-, 3- and 4-grams (lower-cased, runs of non-letters
 as one space), hashed into BUCKETS rows; a linear layer and a softmax follow. Training takes a sample of
-at most `sample` labelled rows, the ones with the least hash of doc_id; the driver holds their counted
-features, at most BUCKETS numbers each. A fifth of the sample trains nothing and calibrates: a
-temperature that fits its likelihood, and the least score at which accepted predictions are wrong at most
-once in a hundred (`accepted` is false below). Predictions read whole texts in one narrow map; the
-embedding and the layer fold into one table of BUCKETS x languages, which is what tasks are sent.
+at most `sample` labelled rows: of each language in turn the one with the next hash of id and text, equal rows once,
+so that neither a large language nor an id that repeats takes the place of the others. Spark ranks and limits them;
+the driver holds the counted features of the sample, at most BUCKETS numbers each. The texts with a fifth of the hashes,
+with all their copies, train nothing and calibrate: a temperature that fits their likelihood, and the least score at which
+accepted predictions are wrong at most once in a hundred (`accepted` is false below). Predictions read whole texts in one
+narrow map; the embedding and the layer fold into one table of BUCKETS x languages, which is what tasks are sent.
 
 Defined results: a null text or one without a letter is `und` with score 0, not accepted; without
-labelled rows every text is; a null doc_id is never held out and never trains; repeated rows get equal
-results; of languages with equal scores the first by name is predicted; a very long text is read whole; an
+labelled rows every text is; a null doc_id is never held out and never trains; repeated rows count once in
+training and get equal results; of languages with equal scores the first by name is predicted; a very long text is read whole; an
 empty table gives an empty result; only doc_id, text and (to learn) lang are read, so other columns cannot clash.
 """
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS, DIM, SAMPLE, EPOCHS, RATE, SEED = 1 << 14, 16, 3000, 6, 0.5, 7
@@ -68,19 +69,20 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-    """rows: distinct buckets, their shares (sum 1), label; every fifth calibrates."""
-    labels = tuple(sorted({r[2] for r in rows}))
+def train(rows: list[tuple[np.ndarray, np.ndarray, str, bool]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
+    """rows: distinct buckets, their shares (sum 1), label, whether it calibrates; a language that only calibrates is not learned."""
+    kept = [r for r in rows if not r[3]] or rows
+    labels = tuple(sorted({r[2] for r in kept}))
+    held = [r for r in rows if r[3] and r[2] in labels] or kept
     rng = np.random.default_rng(seed)
     e, w, b = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(labels))), np.zeros(len(labels))
     if not rows:
         return Model((), np.zeros((BUCKETS, 0), np.float32), b, 1.0, 0.0)
-    held, kept = rows[::5], [r for i, r in enumerate(rows) if i % 5] or rows
     scale = 20.0  # averages are small; the input of the layer is scaled up
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(kept)):
-            at, share, label = kept[i]
+            at, share, label, _ = kept[i]
             x = scale * (share @ e[at])
             g = softmax(x @ w + b)
             g[labels.index(label)] -= 1
@@ -89,7 +91,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = EPOCHS,
             b -= step * 0.1 * g
             e[at] -= step * share[:, None] * back
     table = (scale * e @ w).astype(np.float32)
-    z, y = np.array([share @ table[at] + b for at, share, _ in held]), np.array([labels.index(r[2]) for r in held])
+    z, y = np.array([share @ table[at] + b for at, share, *_ in held]), np.array([labels.index(r[2]) for r in held])
     fits = {t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(0.1, 20, 60)}
     temperature = float(min(fits, key=fits.get))
     p = softmax(z / temperature)
@@ -105,7 +107,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(rank, at, share, lang) of (rank, text, lang)."""
+    """(rank, at, share, lang, held) of (rank, text, lang, held)."""
 
     def run(batches):
         for b in batches:
@@ -113,21 +115,25 @@ def features(docs: DataFrame) -> DataFrame:
             for text in b.column("text").to_pylist():
                 at, count = np.unique(grams(text), return_counts=True)
                 made.append((at.astype(np.int32), (count / count.sum()).astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([b.column("rank"), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32())), b.column("lang")], ["rank", "at", "share", "lang"])
+            yield pa.RecordBatch.from_arrays([b.column("rank"), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32())), b.column("lang"), b.column("held")], ["rank", "at", "share", "lang", "held"])
 
-    return docs.select("rank", "text", "lang").mapInArrow(run, "rank long, at array<int>, share array<float>, lang string")
+    return docs.select("rank", "text", "lang", "held").mapInArrow(run, "rank long, at array<int>, share array<float>, lang string, held boolean")
+
+
+def sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """(rank, text, lang, held): at most `sample` distinct rows of docs, languages in turn."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    known = known.select("lang", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(SEED)).alias("rank"), "text")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
+    chosen = known.select("lang", "rank").distinct().withColumn("turn", turn).where(F.col("turn") <= sample).orderBy("turn", "rank", "lang").limit(sample).drop("turn")
+    rows = known.join(F.broadcast(chosen), ["lang", "rank"])  # at most `sample` pairs of a name and a number
+    return rows.groupBy("lang", "rank").agg(F.min("text").alias("text")).withColumn("held", F.pmod(F.xxhash64("text"), F.lit(5)) == 0)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from (doc_id, text, lang) rows that are labelled and not held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    n = known.select("doc_id").count()
-    known = known.withColumn("rank", F.xxhash64("doc_id", F.lit(SEED)))
-    if n > sample:  # about as many as asked for, so that no texts beyond them travel
-        known = known.where(F.col("rank") < F.lit(int(-(2**63) + 2**64 * min(1.0, 1.2 * sample / n)) - 1))
-    known = known.where(F.col("text").rlike(r"\p{L}"))
-    rows = features(known).toArrow().sort_by("rank").slice(0, sample)
-    return train([(np.asarray(a.values), np.asarray(s.values, np.float64), lang.as_py()) for a, s, lang in zip(rows["at"], rows["share"], rows["lang"])])
+    rows = features(sampled(docs, sample)).toArrow().sort_by([("rank", "ascending"), ("lang", "ascending")])
+    return train([(np.asarray(a.values), np.asarray(s.values, np.float64), lang.as_py(), held.as_py()) for a, s, lang, held in zip(rows["at"], rows["share"], rows["lang"], rows["held"])])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
