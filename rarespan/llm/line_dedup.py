@@ -7,7 +7,7 @@ or more goes as a whole. Lines without a word are not counted and stay.
 
 Shuffles: the runs of three once for the count, which combines before it moves, and once for the join with
 the repeated runs, which is a plain equi join that adaptive execution may split where one run is very
-common; the texts move once, as the probe side of a hash join, so they are neither sorted nor spilled.
+common; the texts move once, to a sort-merge join by document, whose sides may spill.
 
 Defined results: a null text stays null and has no lines; fewer than three lines form no run; rows that
 repeat both doc_id and text are one document, each gets the same result and none is a later occurrence of
@@ -58,7 +58,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """docs with the text that is left, n_lines and n_removed."""
     gone = removals(docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "gone")
     docs = docs.drop("n_lines", "n_removed", "_id", "_th", "gone")
-    rows = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
+    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
     lines = counted_lines(F.col("text"))
 
     def rest(gone_at):
