@@ -11,8 +11,9 @@ jobs over distinct keys, as tables of 64-bit words whose sizes are known before
 below `max_bytes`; shards are built, broadcast and asked one after the other, each over its own rows. One
 shard is the usual case, and needs no writing.
 
-The production list is made from the corpus: keys of hosts with one of LISTED_LABELS, and keys of a page whose
-title holds a run of junk symbols.
+The production list is a rule over the corpus: keys of pages whose title is junk, a run of symbols in it, and all keys of
+hosts of at least HOST_PAGES pages of which at least HOST_SHARE are junk. Hosts are counted with a map-side combine and
+join back by name, which adaptive execution may split where a host has many pages.
 
 Defined results: a null url and one without :// have an empty host and path, fit no rule, are in no list
 and are allowed; of rules of equal length that fit, the later one in the table counts; repeated rows are
@@ -39,9 +40,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path) of the production rules (fixed values).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: The production list: labels of a host, and what a page's title holds.
-LISTED_LABELS = ("casino-win", "cheap-pills", "ads-track", "free-bets")
-LISTED_TITLES = r"<title>[^<]*[#*$%]{3}"
+#: The production list: what a junk page's title holds; the least pages of a host that is judged, and the share of junk that lists it.
+JUNK_TITLE = r"<title>[^<]*[#*$%]{3}"
+HOST_PAGES, HOST_SHARE = 10, 0.04
 
 
 def host_of(url: Column) -> Column:
@@ -174,12 +175,14 @@ def exact_members(rows: DataFrame, universe: DataFrame, max_bytes: int) -> DataF
         return membership(rows, build(universe))
     spark, folder = rows.sparkSession, f"{ensure_checkpoint_dir(rows.sparkSession)}/shards-{uuid.uuid4().hex}"
     own = F.pmod("h2", F.lit(shards)).cast("int")
-    rows.withColumn("shard", own).write.partitionBy("shard").parquet(f"{folder}/rows")
+    for name, df in (("rows", rows), ("universe", universe)):  # each is read once, shard by shard
+        df.withColumn("shard", own).write.partitionBy("shard").parquet(f"{folder}/{name}")
     for k in range(shards):
-        part = spark.read.schema(rows.schema).parquet(f"{folder}/rows/shard={k}") if rows_in(spark, f"{folder}/rows/shard={k}") else None
-        if part is not None:
-            membership(part, build(cut(universe.where(own == k)))).write.parquet(f"{folder}/listed/{k}")
+        if rows_in(spark, f"{folder}/rows/shard={k}"):
+            part, keys = (spark.read.schema(df.schema).parquet(f"{folder}/{name}/shard={k}") for name, df in (("rows", rows), ("universe", universe)))
+            membership(part, build(keys)).write.parquet(f"{folder}/listed/{k}")
     remove(spark, f"{folder}/rows")
+    remove(spark, f"{folder}/universe")
     return spark.read.schema(StructType([*rows.schema, StructField("listed", BooleanType())])).parquet(f"{folder}/listed/*")
 
 
@@ -188,19 +191,22 @@ def rows_in(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def in_list(host: Column, html: Column) -> Column:
-    """The production list, of one page."""
-    named = F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, LISTED_LABELS)))
-    return (host != "") & (named | F.coalesce(html.rlike(LISTED_TITLES), F.lit(False)))
+def list_of(rows: DataFrame, least: int = HOST_PAGES, share: float = HOST_SHARE) -> DataFrame:
+    """(h1, h2, listed) of (host, html, h1, h2): the production list; a key is listed if one of its pages is."""
+    pages = rows.select("h1", "h2", "host", ((F.col("host") != "") & F.coalesce(F.col("html").rlike(JUNK_TITLE), F.lit(False))).alias("junk"))
+    hosts = pages.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if("junk").alias("bad"))
+    hosts = hosts.where((F.col("n") >= least) & (F.col("bad") >= share * F.col("n"))).select(F.col("host").alias("_host"))
+    keys = pages.groupBy("h1", "h2", "host").agg(F.max("junk").alias("junk"))
+    keys = keys.join(hosts, F.col("host") == F.col("_host"), "left")
+    return keys.groupBy("h1", "h2").agg(F.max(F.col("junk") | F.col("_host").isNotNull()).alias("listed"))
 
 
-def judge(spark: SparkSession, pages: DataFrame, listing=in_list, rules=RULES, max_bytes: int = 64 << 20) -> DataFrame:
-    """(page_id, host, path, rule, listed, verdict); a key is listed if listing(host, html) holds for one of its pages."""
+def judge(spark: SparkSession, pages: DataFrame, listing=list_of, rules=RULES, max_bytes: int = 64 << 20) -> DataFrame:
+    """(page_id, host, path, rule, listed, verdict); listing gives (h1, h2, listed) of rows (host, html, h1, h2)."""
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "html")
     rows = rows.withColumns(dict(zip(("h1", "h2"), hashes(F.concat("host", "path")))))
-    universe = rows.select("h1", "h2", listing(F.col("host"), F.col("html")).alias("listed")).groupBy("h1", "h2").agg(F.max("listed").alias("listed"))
-    rows = exact_members(rows.drop("html"), universe, max_bytes)
+    rows = exact_members(rows.drop("html"), listing(rows), max_bytes)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", rule.alias("rule"), "listed", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
@@ -209,8 +215,12 @@ ORACLE = f"""
 WITH u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+j AS (
+  SELECT host || path AS key, host, host <> '' AND coalesce(regexp_matches(html, '{JUNK_TITLE}'), FALSE) AS junk FROM u),
+b AS (
+  SELECT host FROM j WHERE host <> '' GROUP BY host HAVING count(*) >= {HOST_PAGES} AND count(*) FILTER (junk) >= {HOST_SHARE} * count(*)),
 k AS (
-  SELECT host || path AS key, bool_or(host <> '' AND (list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in LISTED_LABELS)}]) OR coalesce(regexp_matches(html, '{LISTED_TITLES}'), FALSE))) AS listed FROM u GROUP BY 1),
+  SELECT key, bool_or(junk OR host IN (SELECT host FROM b)) AS listed FROM j GROUP BY 1),
 r AS (
   SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
