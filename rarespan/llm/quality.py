@@ -6,7 +6,7 @@ cost is linear in the text and a hot source or a group of copies changes nothing
 
 Defined results: a null or empty text has no words and fails the base rule; repeated rows are judged
 alike, each on its own; there are no ties, as no row is compared with another; a very long text is one row
-and is measured whole; an empty table gives an empty result; columns beside the text pass through. A clash of
+and is measured whole, up to 2^28 - 1 words, beyond which it is an error; an empty table gives an empty result; columns beside the text pass through. A clash of
 an input column with a result column is resolved in favour of the result, and no other column is lost.
 """
 
@@ -82,8 +82,9 @@ def repeat_words(words: Column) -> Column:
         return F.size(F.array_distinct(F.flatten(F.transform(at, lambda j: F.array(s[j]["i"], s[j]["i"] + 1, s[j]["i"] + 2)))))
 
     packed = lambda w: F.transform(ends(w), lambda i: F.shiftleft(F.shiftright(F.xxhash64(w[i - 1], w[i], w[i + 1]), PLACE), PLACE).bitwiseOR((i - 1).cast("long")))
+    too_long = F.raise_error(F.lit(f"a text has {1 << PLACE} words or more, which a packed window cannot place")).cast("int")
     found = lambda w: let(F.sort_array(packed(w)), lambda s: let(F.sort_array(candidates(s, w)), lambda c: F.when(F.size(c) < 2, F.lit(0)).otherwise(positions(c))))
-    return F.when(n < 4, F.lit(0)).otherwise(let(words, found)).cast("long")
+    return F.when(n < 4, F.lit(0)).when(n >= 1 << PLACE, too_long).otherwise(let(words, found)).cast("long")
 
 
 def verdict(rules: tuple[Rule, ...]) -> Column:
