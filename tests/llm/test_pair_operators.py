@@ -177,7 +177,7 @@ URLS = [
 
 
 def test_url_rules(spark):
-    pages = spark.createDataFrame([(i, u[0], "<p>", "clash") for i, u in enumerate(URLS)] + [(0, URLS[0][0], None, "clash")], "page_id long, url string, html string, host string")
+    pages = spark.createDataFrame([(i, u[0], "<title>win $$$ now</title>" if u[1].startswith("casino") else "<p>", "clash") for i, u in enumerate(URLS)] + [(0, URLS[0][0], None, "clash")], "page_id long, url string, html string, host string")
     for max_bytes in (64 << 20, 1):  # one cascade, and one per shard
         got = sorted(url_filter.judge(spark, pages, max_bytes=max_bytes).collect(), key=lambda r: r["page_id"])
         assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == [u[1:] for u in [URLS[0], *URLS]]
@@ -185,11 +185,12 @@ def test_url_rules(spark):
 
 
 def test_url_list_from_pages(spark):
-    """A key is listed by any of its pages, whatever the scheme and the query; a page without a url lists nothing."""
-    rows = [(1, "http://a.com/x?1", "<title>fine</title>"), (2, "https://A.com/x", "<title>b%%%d</title>"), (3, "http://a.com/y", "<title>50% off $</title>$$$"), (4, None, "<title>###</title>"), (5, "", None), (6, "http://free-bets.a.com/z", None)]
+    """A key is listed by any of its pages, whatever the scheme and the query, and by its host's share of junk; a page without a url lists nothing."""
+    rows = [(1, "http://a.com/x?1", "<title>fine</title>"), (2, "https://A.com/x", "<title>b%%%d</title>"), (3, "http://a.com/y", "<title>50% off $</title>$$$"), (4, None, "<title>###</title>"), (5, "", None), (6, "http://few.com/z", None), (7, "http://few.com/junk", "<title>$$$</title>")]
+    rows += [(100 + i, f"http://bad.com/{i}", "<title>***</title>" if i == 3 else None) for i in range(25)] + [(200 + i, f"http://good.com/{i}", "<title>***</title>" if i == 3 else None) for i in range(26)]
     for max_bytes in (64 << 20, 1):
         got = {r["page_id"]: r["listed"] for r in url_filter.judge(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), max_bytes=max_bytes).collect()}
-        assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
+        assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: True} | {100 + i: True for i in range(25)} | {200 + i: i == 3 for i in range(26)}
 
 
 @pytest.mark.parametrize("max_bytes", [1 << 20, 600])
@@ -250,3 +251,17 @@ def test_warc_against_brute_force(spark):
     for span in (7, 100, 10**6):
         got = {r["record_id"]: (r["refers_to"], r["outcome"]) for r in warc.resolve(spark.createDataFrame(rows, RECORD), span).collect()}
         assert got == wanted
+
+
+def test_ports_belong_to_their_scheme(spark):
+    """A port is left out only where the scheme implies it, so a revisit never takes another server's response."""
+    urls = {"http://a.com:80/x": "a.com/x", "HTTPS://www.a.com:443/x/": "a.com/x", "http://a.com:443/x": "a.com:443/x", "https://a.com:80/x": "a.com:80/x", "http://a.com:/x": "a.com/x", "http://u:p@a.com:8080/x": "a.com:8080/x", "ftp://a.com:80/x": "a.com:80/x"}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r["url"]: r["c"] for r in df.select("url", warc.canonical(F.col("url")).alias("c")).collect()} == urls
+
+
+def test_captures_of_odd_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/", None), (None, "http://a.com/", "<p>"), (3, None, "<p>"), (None, None, None)], "page_id long, url string, html string")
+    got = warc.resolve(warc.captures(pages)).collect()
+    assert len(got) == 4 and {r["record_id"]: r["outcome"] for r in got if r["record_id"]} == {3: "resolved", 7: "no_response"}
+    assert all(r["outcome"] == "no_response" for r in got if r["record_id"] is None)

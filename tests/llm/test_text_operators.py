@@ -286,6 +286,50 @@ def test_language_predictions_by_hand(odd, spark, sf):
                 assert got[i]["lang_pred"] == model.labels[int(p.argmax())] and got[i]["score"] == pytest.approx(p.max(), rel=1e-4)
 
 
+def test_language_with_one_row_on_most_rows(spark):
+    """Every language is learned, the driver gets `sample` rows at most, and copies are on one side of the calibration."""
+    rows = [(1, "der die das und ein", "de")] * 4000 + [(1, f"der die das und {i}", "de") for i in range(900)] + [(i, f"the of and to {i}", "en") for i in range(2, 400)] + [(i, f"le la les {i}", "fr") for i in range(400, 408)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    chosen = language.sampled(docs, 90).collect()
+    of = Counter(r["lang"] for r in chosen)
+    assert len(chosen) == 90 and 1 <= of["fr"] <= 8 and abs(of["de"] - of["en"]) <= 1
+    assert len({(r["lang"], r["text"]) for r in chosen}) == 90
+    assert language.fit(docs).labels == ("de", "en", "fr")
+    held = {}
+    for r in language.sampled(docs, 3000).collect():
+        assert held.setdefault(r["text"], r["held"]) == r["held"]
+    assert 0.1 < sum(held.values()) / len(held) < 0.3
+
+
+def test_language_training_by_hand():
+    """Embeddings, layer, temperature and least score again, by plain loops over the formulas."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(40):
+        at = np.unique(rng.integers(0, 50, 6)) + (100 if i % 2 else 0)
+        rows.append((at, np.full(len(at), 1 / len(at)), "b" if i % 2 else "a", i % 5 == 0))
+    model = language.train(rows, epochs=2, rate=0.3, seed=5)
+    r = np.random.default_rng(5)
+    e, w, b = r.normal(0, 0.1, (language.BUCKETS, language.DIM)), r.normal(0, 0.1, (language.DIM, 2)), np.zeros(2)
+    kept, held = [x for x in rows if not x[3]], [x for x in rows if x[3]]
+    for epoch in range(2):
+        step = 0.3 * (1 - epoch / 2)
+        for i in r.permutation(len(kept)):
+            at, share, label, _ = kept[i]
+            x = sum(20.0 * s * e[a] for a, s in zip(at, share))
+            z = x @ w + b
+            g = np.exp(z) / np.exp(z).sum() - np.array([label == "a", label == "b"])
+            back = 20.0 * (w @ g)
+            w = w - step * 0.1 * np.array([[xi * gi for gi in g] for xi in x])
+            b = b - step * 0.1 * g
+            for a, s in zip(at, share):
+                e[a] = e[a] - step * s * back
+    assert np.allclose(model.bias, b) and np.allclose(model.table, 20.0 * e @ w, rtol=1e-4, atol=1e-5)
+    loss = lambda t: -np.mean([np.log(np.exp(z / t)[y] / np.exp(z / t).sum()) for z, y in ((sum(s * model.table[a].astype(float) for a, s in zip(at, share)) + b, "ab".index(label)) for at, share, label, _ in held)])
+    assert all(loss(model.temperature) <= loss(t) + 1e-9 for t in np.geomspace(0.1, 20, 60))
+    assert model.labels == ("a", "b") and 0.5 <= model.least <= 1
+
+
 def test_language_learns_from_its_fold_only(spark):
     import zlib
 
@@ -293,10 +337,32 @@ def test_language_learns_from_its_fold_only(spark):
     assert language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).labels == ("en",)
 
 
+def in_order(rows):
+    """(doc_id, text) by doc_id, nulls first, then by Spark's xxhash64 of the text."""
+    import xxhash
+
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    rows = [(i, t or "") for i, t in rows]
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), r[1]))
+
+
+def test_fingerprints_of_ids_that_most_rows_share(spark):
+    """No range is hot and no halo holds more than one row, whether texts differ or not; each row's next text is the right one."""
+    rows = [(7, f"text {i} of one id") for i in range(1500)] + [(7, "the same row")] * 900 + [(None, f"no id {i % 400}") for i in range(1200)] + [(i, f"own {i}") for i in range(-200, 200)] + [(2**62, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    made = fingerprint.ranges(docs, 40).groupBy("p").agg(F.sum(F.when(F.col("halo") == 0, 1).otherwise(0)).alias("own"), F.sum("halo").alias("halo")).collect()
+    own = [r["own"] for r in made]
+    assert len(own) > 25 and max(own) <= 3 * sum(own) / 40 and max(r["halo"] for r in made) == 1
+    ordered, wanted = in_order(rows), Counter()
+    for (i, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
+        k = len(t) // 4
+        wanted[(i, len(t), hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest())] += 1
+    assert multiset((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprint.fingerprints(docs).collect()) == wanted
+
+
 def test_fingerprints(odd, empty, clashing):
     for df in (odd, clashing):
-        rows = sorted(texts_of(df), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-        rows = [(i, t or "") for i, t in rows]
+        rows = in_order(texts_of(df))
         got = fingerprint.fingerprints(df).collect()
         assert len(got) == len(rows)
         wanted = Counter()
