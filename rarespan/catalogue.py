@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rarespan.config import Mating, Sampling
 from rarespan.functions import gamma
 from rarespan.functions import sequence as S
-from rarespan.operators import checks, composition, curve, grouped, mating_align, mating_kmer, ontology, rarefaction, reads
+from rarespan.operators import checks, composition, curve, grouped, kmer_runs, mating_align, mating_kmer, ontology, rarefaction, reads
 from rarespan.operators.iterate import durable, new_folder
 from rarespan.session import share_path, spread
 from rarespan.sources import curves as curve_source
@@ -24,7 +24,7 @@ from rarespan.sources import dumps, sequences, sinks
 
 K, SEED, X_ALIGN, X_VARIANT, X_DRAW = 24, 1, 1000, 200, 1000
 ALIGN = Mating(kernel="alignment")
-DRAWS, SPREAD = Sampling(replicates=8, seed=SEED), Sampling(replicates=32, seed=SEED)
+DRAWS = Sampling(replicates=8, seed=SEED)
 
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
@@ -164,12 +164,13 @@ def query_number(spark, sf_dir):
 
 @query(f"WITH {READS}, w AS (SELECT substr(seq, i, 12) AS kmer, count(*) AS c FROM (SELECT seq, unnest(range(1, length(seq) - 10)) AS i FROM reads) GROUP BY 1) SELECT c AS occurrences, count(*) AS n_kmers FROM w GROUP BY 1")
 def kmer_spectrum(spark, sf_dir):
-    return mating_kmer.spectrum(doc_reads(spark, sf_dir), 12)
+    return kmer_runs.spectrum(doc_reads(spark, sf_dir), 12)
 
 
 @query(f"WITH {MATES} SELECT query_id, mates FROM m")
 def kmer_mates(spark, sf_dir):
-    return mating_kmer.mates(all_queries(spark, sf_dir), doc_reads(spark, sf_dir), K).select("query_id", "mates")
+    """Every read asks for its first k-mer."""
+    return kmer_runs.mates(doc_reads(spark, sf_dir), K)
 
 
 CROSS = f"WITH {READS}, b0 AS (SELECT item_id AS query_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark), q AS (SELECT query_id, substr(seq, 1, {K}) AS kmer, reverse(translate(substr(seq, 1, {K}), 'ACGT', 'TGCA')) AS kmer_rc FROM b0 WHERE length(seq) >= {K}), ks AS (SELECT kmer FROM q UNION SELECT kmer_rc FROM q), {KMERS.replace('FROM reads) GROUP BY 1', 'FROM reads) WHERE substr(seq, i, ' + str(K) + ') IN (SELECT kmer FROM ks) GROUP BY 1')}"
@@ -376,13 +377,16 @@ def run_evaluation(spark, sf_dir):
     return checks.evaluate(rarefaction.summarise(_literal(spark, sf_dir))).select("status")
 
 
-# Curves: one per language, from replicates that other engines can repeat
+# Curves: one per language, in closed form, which other engines can repeat
+
+
+def language_reads(spark, sf_dir) -> DataFrame:
+    return reads.from_text(table(spark, sf_dir, "documents"), "doc_id", keep=("lang",)).select(F.col("lang").alias("label"), "read_id", "seq")
 
 
 def language_curves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Metadata and points of the reads of each language, mated within it, with the spread of 32 replicates."""
-    r = reads.from_text(table(spark, sf_dir, "documents"), "doc_id", keep=("lang",)).select(F.col("lang").alias("label"), "read_id", "seq")
-    return grouped.curve_tables(r, "label", K, SPREAD, literal=True)
+    """Metadata and points of the reads of each language, mated within it."""
+    return grouped.curve_tables(language_reads(spark, sf_dir), "label", K, Sampling(), closed=True)
 
 
 _CURVES = (
@@ -392,10 +396,10 @@ _CURVES = (
     f"q AS (SELECT label, read_id, substr(seq, 1, {K}) AS kmer, reverse(translate(substr(seq, 1, {K}), 'ACGT', 'TGCA')) AS rc FROM r), "
     "m AS (SELECT q.label, q.read_id AS query_id, coalesce(f.n, 0) + coalesce(b.n, 0) AS mates FROM q LEFT JOIN w f ON f.label = q.label AND f.kmer = q.kmer LEFT JOIN w b ON b.label = q.label AND b.kmer = q.rc), "
     "g AS (SELECT label, R, i::INT AS portion_idx, CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE pow(0.7::DOUBLE, n - 1 - i) END AS portion FROM (SELECT label, R, n, unnest(range(0, n)) AS i FROM (SELECT label, R, greatest(2, ceil((ln(2) - ln(greatest(R, 2))) / ln(0.7::DOUBLE))::BIGINT + 2) AS n FROM meta))), "
-    f"dr AS (SELECT label, R, portion_idx, portion, replicate, (('0x' || substr(md5('{SEED}|' || label || '|' || portion_idx || '|' || replicate || '|' || query_id || '|in'), 1, 8))::BIGINT / 4294967296.0) < portion AS inside, "
-    f"(('0x' || substr(md5('{SEED}|' || label || '|' || portion_idx || '|' || replicate || '|' || query_id || '|hit'), 1, 8))::BIGINT / 4294967296.0) < 1 - pow(1 - least(1, greatest(0, (mates - 1)::DOUBLE / greatest(R - 1, 1))), greatest(0, floor(R * portion) - 1)) AS hit FROM m JOIN g USING (label), (SELECT unnest(range(0, 32)) AS replicate)), "
-    "vr AS (SELECT label, portion * R AS x_obs, replicate, CASE WHEN count(*) FILTER (inside) > 0 THEN count(*) FILTER (inside AND hit)::DOUBLE / count(*) FILTER (inside) ELSE 0 END AS v FROM dr GROUP BY label, portion * R, portion_idx, replicate), "
-    "p AS (SELECT label, x_obs, avg(v) AS red, stddev_pop(v) AS s, list_sort(list(v))[9] AS q1, list_sort(list(v))[17] AS q2, list_sort(list(v))[25] AS q3 FROM vr GROUP BY 1, 2), "
+    "fd AS (SELECT label, R, portion_idx, portion, 1 - pow(1 - least(1, greatest(0, (mates - 1)::DOUBLE / greatest(R - 1, 1))), greatest(0, floor(R * portion) - 1)) AS p FROM m JOIN g USING (label)), "
+    "fs AS (SELECT label, portion_idx, portion, portion * R AS x_obs, count(*) AS n, avg(p) AS red, greatest(1, portion * count(*)) AS mm, avg(p * (1 - p)) AS wi, greatest(0, avg(p * p) - avg(p) * avg(p)) AS be FROM fd GROUP BY label, portion_idx, portion, R), "
+    "fz AS (SELECT *, sqrt((wi + be * greatest(0, n - mm) / greatest(1, n - 1)) / mm) AS s, pow(1 - red, mm) AS z FROM fs), "
+    "p AS (SELECT label, x_obs, red, s, CASE WHEN z >= 0.25 THEN 0 ELSE least(1, greatest(0, red - 0.6744897501960817 * s)) END AS q1, CASE WHEN z >= 0.5 THEN 0 ELSE red END AS q2, CASE WHEN z >= 0.75 THEN 0 ELSE least(1, greatest(0, red + 0.6744897501960817 * s)) END AS q3 FROM fz), "
     "cf AS (SELECT 1 - exp(2.23e-2 * 50 - 3.5698) AS f), "
     "c AS (SELECT label, x_obs, red, pow(red, f) AS cov, pow(s, f) AS sd, pow(q1, f) AS p25, pow(q2, f) AS p50, pow(q3, f) AS p75, row_number() OVER (PARTITION BY label ORDER BY x_obs) AS i FROM p, cf), "
     "z AS (SELECT *, max(x_obs) OVER l AS mx, arg_max(cov, x_obs) OVER l AS C FROM c WINDOW l AS (PARTITION BY label)), "
@@ -409,6 +413,22 @@ def language_points(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return meta, durable(curve.points(raw, meta))
 
 
+@query(f"WITH {_CURVES} SELECT label, portion_idx, round(portion, 9) AS portion, TRUE AS mean_near, TRUE AS spread_near, TRUE AS quartiles_near FROM fz")
+def curves_by_draws(spark, sf_dir):
+    """The curves of all languages from 1024 binomial replicates: means within five standard errors of the closed form (times the chance that a query is drawn), deviations and quartiles near it wherever replicates draw queries enough."""
+    r, s = language_reads(spark, sf_dir).where(F.length("seq") >= K), Sampling()
+    meta = durable(grouped.metadata(r, "label", K, s))
+    mated = durable(grouped.mates(r, "label", K))
+    drawn = grouped.summaries(mated, meta, "label", s)
+    wanted = grouped.summaries(mated, meta, "label", s, closed=True).select("label", "portion_idx", *(F.col(c).alias(f"{c}_w") for c in ("avg", "sd", "q1", "q2", "q3")))
+    both = drawn.join(wanted, ["label", "portion_idx"]).join(mated.groupBy("label").agg(F.count("*").alias("n")), "label")
+    held, size = 1 - F.pow(1 - F.col("portion"), F.col("n")), F.greatest(F.lit(1.0), F.col("portion") * F.col("n"))
+    near = F.abs(F.col("avg") - F.col("avg_w") * held) <= 5 * F.col("sd") / math.sqrt(s.replicates) + 1e-3
+    spread_near = (size < 30) | (F.abs(F.col("sd") - F.col("sd_w")) <= 0.15 * F.col("sd_w") + 1e-3)
+    close = [F.abs(F.col(c) - F.col(f"{c}_w")) <= 0.4 * F.col("sd_w") + 1 / size for c in ("q1", "q2", "q3")]
+    return both.select("label", "portion_idx", F.round("portion", 9).alias("portion"), near.alias("mean_near"), spread_near.alias("spread_near"), ((size < 30) | (close[0] & close[1] & close[2])).alias("quartiles_near"))
+
+
 _ROUNDED = ", ".join(f"round({c}, {n}) AS {c}" for c, n in (("x_obs", 6), ("x_adj", 3), ("red", 6), ("cov", 6), ("sd", 6), ("p25", 6), ("p50", 6), ("p75", 6)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rarespan.config import Sampling
 from rarespan.functions import sequence as S
-from rarespan.operators import mating_kmer, rarefaction
+from rarespan.operators import kmer_runs, mating_kmer, rarefaction
 from rarespan.operators.iterate import durable
 
 
@@ -32,25 +32,14 @@ def found_probability(mates: str = "mates", total: str = "R", portion: str = "po
 
 def mates(reads: DataFrame, by: str, k: int) -> DataFrame:
     """(by, query_id, mates): every read with bases first is a query of its group."""
-    kmer = S.first_kmer(F.col("seq"), k)
-    queries = reads.where(S.is_kmer(F.substring("seq", 1, k), k)).select(by, F.col("read_id").alias("query_id"), kmer.alias("kmer"), S.reverse_complement(kmer).alias("kmer_rc"))
-    return mating_kmer.mates(queries, reads, k, by).select(by, "query_id", "mates")
-
-
-def summaries(mated: DataFrame, meta: DataFrame, by: str, s: Sampling, literal: bool = False) -> DataFrame:
-    """(by, portion_idx, portion, R, avg, sd, q1, q2, q3) from replicates; literal draws a uniform per query, as other engines can repeat it."""
-    points = durable(grid(meta, by, s))
-    if literal:
-        runs = F.explode(F.sequence(F.lit(0), F.lit(s.replicates - 1))).alias("replicate")
-        draws = mated.join(points, by).select("*", runs)
-        at = lambda tag: S.uniform(s.seed, F.col(by), F.col("portion_idx"), F.col("replicate"), F.col("query_id"), F.lit(tag))
-        inside = at("in") < F.col("portion")
-        out = draws.groupBy(by, "portion_idx", "portion", "replicate").agg(F.count_if(inside).alias("inside"), F.count_if(inside & (at("hit") < found_probability())).alias("found"))
-        drawn = out.withColumn("redundancy", F.when(F.col("inside") > 0, F.col("found") / F.col("inside")).otherwise(F.lit(0.0)))
-    else:
-        rows = mating_kmer.histogram(mated, by).join(points, by).select(by, "mates", "n_queries", "portion_idx", "portion", found_probability().alias("p"))
-        drawn = rarefaction.drawn(rows, [by], s)
-    return rarefaction.summarise(drawn, (by,)).join(meta.select(by, "R"), by)
+    return kmer_runs.mates(reads, k, by=by)
+
+
+def summaries(mated: DataFrame, meta: DataFrame, by: str, s: Sampling, closed: bool = False) -> DataFrame:
+    """(by, portion_idx, portion, R, avg, sd, q1, q2, q3) from binomial draws of each number of mates, or in closed form. No row is made for a single query."""
+    rows = mating_kmer.histogram(mated, by).join(durable(grid(meta, by, s)), by).select(by, "mates", "n_queries", "portion_idx", "portion", found_probability().alias("p"))
+    out = rarefaction.closed_summary(rows, (by,)) if closed else rarefaction.summarise(rarefaction.drawn(rows, [by], s), (by,))
+    return out.join(meta.select(by, "R"), by)
 
 
 def expected(mated: DataFrame, meta: DataFrame, by: str, s: Sampling) -> DataFrame:
@@ -59,10 +48,10 @@ def expected(mated: DataFrame, meta: DataFrame, by: str, s: Sampling) -> DataFra
     return both.groupBy(by, "portion_idx", "portion", "R").agg((F.sum(F.col("n_queries") * found_probability()) / F.sum("n_queries")).alias("redundancy"))
 
 
-def curve_tables(reads: DataFrame, by: str, k: int, s: Sampling, literal: bool = False) -> tuple[DataFrame, DataFrame]:
+def curve_tables(reads: DataFrame, by: str, k: int, s: Sampling, closed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Curve metadata and points of each group, labelled by it, for the operators on curves."""
     reads = reads.where(F.length("seq") >= k)
     meta = durable(metadata(reads, by, k, s))
-    points = summaries(mates(reads, by, k), meta, by, s, literal)
+    points = summaries(mates(reads, by, k), meta, by, s, closed)
     points = points.select(F.col(by).alias("label"), (F.col("portion") * F.col("R")).alias("x_obs"), "avg", "sd", "q1", "q2", "q3")
     return meta.withColumnRenamed(by, "label"), points

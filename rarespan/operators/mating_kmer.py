@@ -4,7 +4,7 @@ Windows are 64-bit codes, made for a batch of reads at once in numpy and counted
 query set's codes (k-mers and their reverse complements) go ahead of the scan: as they are if they are few,
 else as a bitmap whose size comes from their count and has a bound. So nearly only hits leave the scan, and
 they meet the exact keys in a left semi join. With `by`, reads and queries meet within groups (a curve per
-source), in one scan for all groups.
+source), in one scan for all groups. Where every read is a query, operators.kmer_runs moves less.
 """
 
 from __future__ import annotations
@@ -101,11 +101,6 @@ def window_counts(reads: DataFrame, k: int, by: str | None = None, asked: Filter
     return reads.select(*columns, "seq").mapInArrow(run, schema).groupBy(*columns, "code").agg(F.sum("n").alias("n"))
 
 
-def spectrum(reads: DataFrame, k: int) -> DataFrame:
-    """(occurrences, n_kmers): how many k-mers occur so often."""
-    return window_counts(reads, k).groupBy(F.col("n").alias("occurrences")).agg(F.count("*").alias("n_kmers"))
-
-
 def counts(queries: DataFrame, reads: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """([by,] code, n): occurrences of the queries' k-mers and of their reverse complements in the reads, by two-bit code.
 

@@ -1,7 +1,7 @@
 """Rarefaction: the grid of portions, Monte-Carlo replicates, their closed form, and summaries.
 
 Queries with equal mates are interchangeable, so every form works on the histogram (mates, queries): the
-closed form multiplies it with the grid, and the compressed Monte-Carlo form draws two binomials per
+closed forms, of the mean and of the whole summary, multiply it with the grid, and the compressed Monte-Carlo form draws two binomials per
 (portion, replicate, mates), as vectors, instead of two uniforms per query. The literal form, a uniform per query, is
 kept for small sets because other engines can repeat it draw for draw.
 """
@@ -55,6 +55,32 @@ def expected(hist: DataFrame, points: DataFrame, total_reads: int) -> DataFrame:
     return both.groupBy("portion_idx", "portion").agg((F.sum(F.col("n_queries") * p) / F.sum("n_queries")).alias("redundancy"))
 
 
+#: Quartiles of the normal distribution (fixed values).
+QUARTILES = {"q1": (0.25, -0.6744897501960817), "q2": (0.5, 0.0), "q3": (0.75, 0.6744897501960817)}
+
+
+def closed_summary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """([by,] portion_idx, portion, avg, sd, q1, q2, q3) of ([by,] mates, n_queries, portion_idx, portion, p): what many replicates come to, without drawing any.
+
+    A replicate is the share of found queries among about m = portion * queries drawn without repetition. Its variance is that of
+    the finds, E[p (1 - p)] / m, and of the choice, Var[p] / m times the part of the queries that is not drawn. A quartile is 0 if
+    at least its share of replicates finds nothing, (1 - avg) ^ m, else that of a normal distribution, inside 0..1.
+    """
+    n, mean = F.sum("n_queries"), lambda x: F.sum(F.col("n_queries") * x) / F.sum("n_queries")
+    facts = rows.groupBy(*by, "portion_idx", "portion").agg(n.alias("n"), mean(F.col("p")).alias("avg"), mean(F.col("p") * (1 - F.col("p"))).alias("inner"), mean(F.col("p") * F.col("p")).alias("square"))
+    m = F.greatest(F.lit(1.0), F.col("portion") * F.col("n"))
+    between = F.greatest(F.lit(0.0), F.col("square") - F.col("avg") * F.col("avg")) * F.greatest(F.lit(0.0), F.col("n") - m) / F.greatest(F.lit(1), F.col("n") - 1)
+    facts = facts.withColumns({"none": F.pow(1 - F.col("avg"), m), "sd": F.sqrt((F.col("inner") + between) / m)})
+    at = lambda share, z: F.when(F.col("none") >= share, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("avg") + z * F.col("sd"))))
+    return facts.select(*by, "portion_idx", "portion", "avg", "sd", *(at(*q).alias(name) for name, q in QUARTILES.items()))
+
+
+def expected_summary(hist: DataFrame, points: DataFrame, total_reads: int) -> DataFrame:
+    """(portion_idx, portion, avg, sd, q1, q2, q3) of (mates, n_queries) in closed form."""
+    both = hist.crossJoin(F.broadcast(points))  # the grid has tens of rows
+    return closed_summary(both.withColumn("p", found_probability(F.col("mates"), total_reads, F.col("portion"))))
+
+
 def replicate_literal(mated: DataFrame, points: DataFrame, total_reads: int, s: Sampling) -> DataFrame:
     """(portion_idx, portion, replicate, redundancy): a uniform for inclusion and one for the match of each query."""
     spark = mated.sparkSession

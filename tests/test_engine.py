@@ -1,6 +1,8 @@
 """Hand-computed fixtures, invariants, and plans against brute force."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from rarespan.config import Mating, Sampling
 from rarespan.functions import gamma
 from rarespan.functions import sequence as S
-from rarespan.operators import checks, composition, curve, grouped, mating_align, mating_kmer, ontology, rarefaction, reads
+from rarespan.operators import checks, composition, curve, grouped, kmer_runs, mating_align, mating_kmer, ontology, rarefaction, reads
 from rarespan.plans import redundancy
 
 
@@ -27,7 +29,7 @@ def test_kmer_mates(spark):
     r = frame(spark, [(1, "ACGTA"), (2, "TACGT"), (3, "ACGTN"), (4, "GGGGG"), (5, "CCCCC")], "read_id long, seq string")
     got = {x["query_id"]: x["mates"] for x in mating_kmer.mates(reads.kmer_queries(r, 4), r, 4).collect()}
     assert got == {1: 6, 2: 2, 3: 6, 4: 4, 5: 4}
-    assert {x[0]: x[1] for x in mating_kmer.spectrum(r, 4).collect()} == {3: 1, 2: 2, 1: 2}
+    assert {x[0]: x[1] for x in kmer_runs.spectrum(r, 4).collect()} == {3: 1, 2: 2, 1: 2}
 
 
 ALIGNED = ["ACGTTGCAAGTCCGATAGCT", "ACGTTGCAAGACCGATAGCT", "AGCTATCGGACTTGCAACGT", "TCCGATAGCTTTTTTCCCCC", "G" * 20, "ACGTTNCAAGTCCGATAGCT"]
@@ -265,3 +267,51 @@ def test_whole_runs(spark):
         assert values[0] == 0 and values[-1] > values[len(values) // 2]
         meta, points = redundancy.curve_tables(out, "x")
         assert curve.points(points, meta).count() == len(values)
+
+
+def test_runs_by_minimizer(spark):
+    """All k-mers by plain counting, with other characters, lower case, nulls, groups, and a read that most rows repeat; runs take a fraction of what windows take."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(("a", "b", None)), "".join(rng.choice("ACGTN") if rng.random() < 0.05 else rng.choice("ACgt") for _ in range(rng.choice((0, 3, 8, 9, 40, 300))))) for i in range(200)]
+    rows += [(1000 + i, "a", "A" * rng.choice((9, 50))) for i in range(300)] + [(2000, "b", None)]
+    df = spark.createDataFrame(rows, "read_id long, g string, seq string").repartition(5)
+    comp = str.maketrans("ACGT", "TGCA")
+    for k in (1, 9, 13, 32):
+        every, within = Counter(), Counter()
+        for _, g, s in rows:
+            s = (s or "").upper()
+            for w in (s[i : i + k] for i in range(len(s) - k + 1)):
+                if set(w) <= set("ACGT"):
+                    every[w] += 1
+                    within[g, w] += 1
+        firsts = {i: (g, (s or "").upper()[:k]) for i, g, s in rows if len(s or "") >= k and set((s or "").upper()[:k]) <= set("ACGT")}
+        rc = lambda w: w.translate(comp)[::-1]
+        assert {r["query_id"]: r["mates"] for r in kmer_runs.mates(df, k).collect()} == {i: every[w] + every[rc(w)] for i, (_, w) in firsts.items()}
+        assert {r["query_id"]: (r["g"], r["mates"]) for r in kmer_runs.mates(df, k, by="g").collect()} == {i: (g, within[g, w] + within[g, rc(w)]) for i, (g, w) in firsts.items()}
+        assert {r["occurrences"]: r["n_kmers"] for r in kmer_runs.spectrum(df, k).collect()} == dict(Counter(every.values()))
+    assert kmer_runs.mates(df.limit(0), 9).count() == kmer_runs.spectrum(df.limit(0), 9).count() == 0
+    moved = kmer_runs.runs(df.where("read_id < 1000"), 24).agg(F.sum(F.length("run") + 16).alias("bytes"), F.sum("n").alias("n")).head()
+    windows = sum(len(s) - 23 for i, _, s in rows if i < 1000 and len(s or "") > 23)
+    assert moved["bytes"] < 0.5 * 16 * windows
+    assert kmer_runs.runs(df.where("read_id BETWEEN 1000 AND 1999").coalesce(1), 9).count() <= 2  # equal runs travel once
+
+
+def test_closed_summary_of_many_draws(spark):
+    """The closed form against replicates drawn query by query in numpy."""
+    import numpy as np
+
+    mates, n, total = np.array([1, 2, 5, 40, 300]), np.array([300, 200, 200, 200, 100]), 5000
+    hist = spark.createDataFrame([(int(a), int(b)) for a, b in zip(mates, n)], "mates long, n_queries long")
+    points = spark.createDataFrame([(0, 0.0), (1, 0.002), (2, 0.05), (3, 0.3), (4, 1.0)], "portion_idx int, portion double")
+    rng = np.random.default_rng(3)
+    every = np.repeat((mates - 1) / (total - 1), n)
+    for r in rarefaction.expected_summary(hist, points, total).collect():
+        found = 1 - (1 - every) ** max(0, int(total * r["portion"]) - 1)
+        draws = []
+        for _ in range(3000):
+            inside = rng.random(len(every)) < r["portion"]
+            draws.append((rng.random(inside.sum()) < found[inside]).mean() if inside.any() else 0.0)
+        assert r["avg"] * (1 - (1 - r["portion"]) ** len(every)) == pytest.approx(np.mean(draws), abs=0.004)
+        if r["portion"] * len(every) >= 30:
+            assert r["sd"] == pytest.approx(np.std(draws), rel=0.12, abs=1e-3)
+            assert [r["q1"], r["q2"], r["q3"]] == pytest.approx(list(np.quantile(draws, [0.25, 0.5, 0.75])), abs=0.02)
