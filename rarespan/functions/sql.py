@@ -13,19 +13,27 @@ from rarespan.functions import gamma
 
 @F.pandas_udf(T.BooleanType())
 def is_mate(a: pd.Series, b: pd.Series, overlap: pd.Series, similarity: pd.Series) -> pd.Series:
-    """Whether two reads overlap well enough on either strand; null if a value is null."""
-    from rarespan.operators.mating_align import match_matrix, matrix, reversed_strand
-
-    def one(x, y, least, alike):
-        if x is None or y is None or pd.isna(least) or pd.isna(alike):
-            return None
-        short, long_ = (x, y) if len(x) < len(y) else (y, x)
-        if not short:
-            return False
-        m = Mating(kernel="alignment", overlap=float(least), similarity=float(alike))
-        return any(bool(match_matrix(matrix([s]), matrix([long_]), m)[0, 0]) for s in (short, reversed_strand(short, False)))
-
-    return pd.Series([one(*v) for v in zip(a, b, overlap, similarity)], dtype=object)
+    """Whether two reads overlap well enough on either strand; null if a value is null, false for an empty read.
+
+    Pairs of equal lengths and thresholds are compared as matrices, a shift at a time.
+    """
+    from rarespan.operators.mating_align import match_rows, matrix, reversed_strand
+
+    rows = pd.DataFrame({"a": a, "b": b, "overlap": overlap, "similarity": similarity})
+    rows["n"], rows["m"] = rows["a"].str.len(), rows["b"].str.len()
+    out = pd.Series([None] * len(rows), index=rows.index, dtype=object)
+    for (least, alike, n, m), own in rows.dropna().groupby(["overlap", "similarity", "n", "m"]):
+        short, long_ = (own["a"].tolist(), own["b"].tolist()) if n < m else (own["b"].tolist(), own["a"].tolist())
+        if not short[0]:
+            out[own.index] = False
+            continue
+        mating = Mating(kernel="alignment", overlap=float(least), similarity=float(alike))
+        found = match_rows(matrix(short), matrix(long_), mating)
+        open_ = ~found
+        if open_.any():
+            found[open_] = match_rows(matrix([reversed_strand(s, False) for s, o in zip(short, open_) if o]), matrix(long_)[open_], mating)
+        out[own.index] = found.astype(object)
+    return out
 
 
 def register(spark: SparkSession) -> None:

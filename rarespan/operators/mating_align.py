@@ -170,20 +170,35 @@ def matrix(seqs: list[str]) -> np.ndarray:
     return np.frombuffer("".join(seqs).encode(), np.uint8).reshape(len(seqs), -1)
 
 
-def match_matrix(short: np.ndarray, long_: np.ndarray, m: Mating) -> np.ndarray:
-    """(shorts, longs): whether some shift aligns them; all rows of a side have one length."""
-    la, lb = short.shape[1], long_.shape[1]
+def shifts(la: int, lb: int, m: Mating):
+    """(columns of the shorter, columns of the longer, mismatches allowed) of every shift that may be accepted."""
     least = math.ceil(m.overlap * la)
-    out = np.zeros((len(short), len(long_)), bool)
     for i in range(least - lb, la - least + 1):
         w = min(la, lb + i) if i < 0 else la - i
-        x, y = short[:, None, max(i, 0) : max(i, 0) + w], long_[None, :, max(-i, 0) : max(-i, 0) + w]
-        d = x != y
-        if m.n_mismatch:
-            d = d | (x == ord("N"))
-        if m.n_wildcard:
-            d = d & (x != ord("N")) & (y != ord("N"))
-        out |= d.sum(axis=2, dtype=np.int32) <= allowed(w, m.similarity)
+        yield slice(max(i, 0), max(i, 0) + w), slice(max(-i, 0), max(-i, 0) + w), allowed(w, m.similarity)
+
+
+def differing(x: np.ndarray, y: np.ndarray, m: Mating) -> np.ndarray:
+    d = x != y
+    if m.n_mismatch:
+        d = d | (x == ord("N"))
+    return d & (x != ord("N")) & (y != ord("N")) if m.n_wildcard else d
+
+
+def match_matrix(short: np.ndarray, long_: np.ndarray, m: Mating) -> np.ndarray:
+    """(shorts, longs): whether some shift aligns them; all rows of a side have one length."""
+    out = np.zeros((len(short), len(long_)), bool)
+    for x, y, most in shifts(short.shape[1], long_.shape[1], m):
+        out |= differing(short[:, None, x], long_[None, :, y], m).sum(axis=2, dtype=np.int32) <= most
+    return out
+
+
+def match_rows(short: np.ndarray, long_: np.ndarray, m: Mating) -> np.ndarray:
+    """Whether some shift aligns each row with the row beside it."""
+    out = np.zeros(len(short), bool)
+    for x, y, most in shifts(short.shape[1], long_.shape[1], m):
+        open_ = np.flatnonzero(~out)
+        out[open_] = differing(short[open_, x], long_[open_, y], m).sum(axis=1, dtype=np.int32) <= most
     return out
 
 

@@ -7,6 +7,7 @@ term1_id, term2_id, complete), term2term_metadata and term_subset. term1 is the
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -48,18 +49,22 @@ def parent_sets(paths: DataFrame, terms: DataFrame, asked: DataFrame | None = No
 
 
 def ancestors(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(start, acc, level): every ancestor with its least level; edges (acc, parent_acc), start (acc). Climbs until a level adds nothing, so cycles end too."""
+    """(start, acc, level): every ancestor with its least level; edges (acc, parent_acc), start (acc).
+
+    Climbs level by level; a level is written once and holds what no lower one has, so cycles end, and what was found before is
+    never written again.
+    """
     from rarespan.operators.iterate import durable
 
-    found = durable(start.select(F.col("acc").alias("start"), "acc", F.lit(0).alias("level")).distinct())
-    front, edges = found, durable(edges)
+    levels = [durable(start.select(F.col("acc").alias("start"), "acc", F.lit(0).alias("level")).distinct())]
+    edges = durable(edges.distinct())
     for level in count(1):
-        up = front.join(edges, "acc").select("start", F.col("parent_acc").alias("acc")).distinct()
+        found = reduce(DataFrame.unionByName, levels)
+        up = levels[-1].join(edges, "acc").select("start", F.col("parent_acc").alias("acc")).distinct()
         front = durable(up.join(found.select("start", "acc"), ["start", "acc"], "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
-            break
-        found = durable(found.unionByName(front))
-    return found
+            return found
+        levels.append(front)
 
 
 def distance(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -70,9 +70,31 @@ def long_enough(reads: DataFrame, mating: Mating) -> DataFrame:
     return reads.withColumn("seq", F.coalesce(short, "seq"))
 
 
-def sample_fixed(reads: DataFrame, x: int, seed: int) -> DataFrame:
-    """x reads without replacement, each equally likely, the same on each run: the first by a hash of the id."""
-    return reads.withColumn("_u", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("read_id").cast("string")))).orderBy("_u", "read_id").limit(x).drop("_u")
+def sample_fixed(reads: DataFrame, x: int, seed: int, few: int = 50_000) -> DataFrame:
+    """x reads without replacement, each equally likely, the same on each run: the first by a hash of the id, then by the id.
+
+    Up to `few` reads are a top-k. A larger sample, which may grow with the data, is a filter: counts per range of hashes,
+    four digits at a time, lead to the range that holds the last read of the sample, and that one's hash and id are the bound. So
+    nothing is sorted but the rows of one small range, and the reads do not move.
+    """
+    u = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("read_id").cast("string")))
+    if x <= few:
+        return reads.withColumn("_u", u).orderBy("_u", "read_id").limit(x).drop("_u")
+    keys, prefix, left = reads.select("read_id", u.alias("u")), "", x
+    while True:
+        inside = keys.where(F.startswith("u", F.lit(prefix))) if prefix else keys
+        counts = sorted((r["p"], r["count"]) for r in inside.groupBy(F.substring("u", 1, len(prefix) + 4).alias("p")).count().collect())  # 65536 rows at most
+        for p, n in counts:
+            if n >= left:
+                break
+            left -= n
+        else:
+            return reads  # no more than x
+        prefix = p
+        if n <= few or len(prefix) >= 32:
+            break
+    last = keys.where(F.startswith("u", F.lit(prefix))).orderBy("u", "read_id").limit(left).orderBy(F.desc("u"), F.desc("read_id")).head()
+    return reads.where((u < last["u"]) | (u == last["u"]) & (F.col("read_id") <= last["read_id"]))
 
 
 def sample_bernoulli(reads: DataFrame, portion: float, seed: int) -> DataFrame:

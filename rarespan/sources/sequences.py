@@ -10,7 +10,9 @@ A .gz file is one split.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from rarespan.operators.small import broadcast_if_small
 from rarespan.session import share_path
 
 SPLIT = ("file", "block")
+PART = pa.list_(pa.struct([("n", pa.int64()), ("value", pa.string())]))
 
 
 def split_of() -> list:
@@ -60,8 +63,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, n, value): lines with their number in their file, from 0, split by split and in order."""
     lines = spark.read.text(path).select(*split_of(), F.monotonically_increasing_id().alias("at"), "value")
     splits = lines.groupBy(*SPLIT).agg(F.count("*").alias("rows"), F.min("at").alias("first"))
-    both = lines.join(F.broadcast(in_file_order(splits, whole=False)), list(SPLIT))  # a row per split
-    return both.select(*SPLIT, (F.col("at") - F.col("first") + F.col("before")).alias("n"), "value")
+    before = in_file_order(splits, whole=False)
+    known = broadcast_if_small(before)
+    both = lines.join(known, list(SPLIT)).select(*SPLIT, (F.col("at") - F.col("first") + F.col("before")).alias("n"), "value")
+    return both if known is not before else both.repartition(*SPLIT).sortWithinPartitions(*SPLIT, "n")  # a shuffle loses the order of the scan
 
 
 def broken(l: str) -> Column:
@@ -92,30 +97,49 @@ def parse_fastq(lines: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        split, record, held = None, None, []
-
-        def fold(out, end: bool):
-            """Closes the record that is open: whole if all four lines were seen here, else its lines go on."""
-            nonlocal held
-            if held:
-                out.append((*split, record, [v for _, v in held] if len(held) == 4 else None, held if len(held) < 4 else None))
-            held = []
-
+        held = None  # lines of a split that no whole record has taken yet
         for b in batches:
-            out = []
-            for file, block, n, value in zip(*(c.to_pylist() for c in b.columns)):
-                if split != (file, block) or record != n // 4:
-                    fold(out, False)
-                    split, record = (file, block), n // 4
-                held.append((n, value))
-            yield rows_of(out)
-        out = []
-        fold(out, True)
-        yield rows_of(out)
-
-    def rows_of(out):
-        files, block, record, l, part = zip(*out) if out else ([],) * 5
-        return pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(block, pa.int64()), pa.array(record, pa.int64()), pa.array(l, pa.list_(pa.string())), pa.array(part, pa.list_(pa.struct([("n", pa.int64()), ("value", pa.string())])))], ["file", "block", "record", "l", "part"])
+            for own in splits_of(b):
+                if held is not None and split_of_rows(held) == split_of_rows(own):
+                    own = pa.concat_batches([held, own])
+                elif held is not None:
+                    yield partial(held)
+                held = None
+                first = -own.column("n")[0].as_py() % 4
+                full = max(0, own.num_rows - first) // 4
+                if first and own.column("n")[0].as_py() % 4:
+                    yield partial(own.slice(0, first))
+                if full:
+                    yield whole(own.slice(first, 4 * full))
+                if own.num_rows > first + 4 * full:
+                    held = own.slice(first + 4 * full)
+        if held is not None:
+            yield partial(held)
+
+    def splits_of(b):
+        block, file = b.column("block").to_numpy(), b.column("file").dictionary_encode().indices.to_numpy()
+        edge = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (file[1:] != file[:-1])]) if len(block) else []
+        return [b.slice(lo, hi - lo) for lo, hi in zip(edge, [*edge[1:], len(block)])]
+
+    def split_of_rows(rows):
+        return rows.column("file")[0].as_py(), rows.column("block")[0].as_py()
+
+    def whole(rows):
+        """Records of four lines each, as slices of the lines' column."""
+        n = rows.num_rows // 4
+        start = pa.array(np.arange(0, 4 * n, 4))
+        record = pa.compute.divide(rows.column("n").take(start), 4)
+        return batch(rows.column("file").take(start), rows.column("block").take(start), record, pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * n + 1, 4, np.int32)), pa.concat_arrays([rows.column("value")])), pa.nulls(n, PART))
+
+    def partial(rows):
+        """Three lines at most, of a record that another split shares."""
+        numbers = rows.column("n").to_pylist()
+        file, block = split_of_rows(rows)
+        part = [{"n": n, "value": v} for n, v in zip(numbers, rows.column("value").to_pylist())]
+        return batch(pa.array([file]), pa.array([block], pa.int64()), pa.array([numbers[0] // 4], pa.int64()), pa.nulls(1, pa.list_(pa.string())), pa.array([part], PART))
+
+    def batch(*columns):
+        return pa.RecordBatch.from_arrays(list(columns), ["file", "block", "record", "l", "part"])
 
     made = durable(lines.select(*SPLIT, "n", "value").mapInArrow(run, "file string, block long, record long, l array<string>, part array<struct<n: long, value: string>>"))
     whole = made.where("l IS NOT NULL").select(*SPLIT, "record", "l")
@@ -136,6 +160,21 @@ def read_fastq(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     return dense_ids(closed)
 
 
+def fastq_of_files(files: DataFrame) -> DataFrame:
+    """(file, header, seq, qual) of whole files (file, value), a row each, as a stream brings them; column functions only, so streams take it."""
+    lines = F.split(F.regexp_replace("value", r"(\r?\n)+\z", ""), r"\r?\n", -1)
+    count = F.ceil(F.size("lines") / 4).cast("int")
+    records = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice("lines", i * 4 + 1, F.lit(4)))
+    rows = files.where(F.length("value") > 0).select("file", lines.alias("lines")).select("file", F.explode(records).alias("l"))
+    return checked(rows).where(F.length("seq") > 0)
+
+
+def stream_fastq(spark: SparkSession, folder: str, per_trigger: int = 16) -> DataFrame:
+    """A stream of the reads of FASTQ files (plain or .gz) that arrive in a folder; a file is one row while it is cut, so large files are read as a batch."""
+    files = share_path(spark).readStream.option("maxFilesPerTrigger", per_trigger).text(folder, wholetext=True)
+    return fastq_of_files(files.select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
 def read_sequences(spark: SparkSession, path: str, form: str) -> DataFrame:
     """By format name, fasta or fastq."""
     if form not in ("fasta", "fastq"):

@@ -315,3 +315,55 @@ def test_closed_summary_of_many_draws(spark):
         if r["portion"] * len(every) >= 30:
             assert r["sd"] == pytest.approx(np.std(draws), rel=0.12, abs=1e-3)
             assert [r["q1"], r["q2"], r["q3"]] == pytest.approx(list(np.quantile(draws, [0.25, 0.5, 0.75])), abs=0.02)
+
+
+def test_large_samples_are_filters(spark):
+    """The rows of a top-k by hash and id, found without a sort or a limit in the plan; ids that repeat count as rows."""
+    rows = spark.range(3000).select((F.col("id") % 2900).alias("read_id"), F.lit("ACGT").alias("seq")).repartition(6)
+    for x in (1, 50, 1999, 2999):
+        wanted = sorted(r["read_id"] for r in reads.sample_fixed(rows, x, 5).collect())
+        made = reads.sample_fixed(rows, x, 5, few=0)
+        assert len(wanted) == x and set(r["read_id"] for r in made.collect()) == set(wanted) and x <= made.count() <= x + 1
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "TakeOrdered" not in plan and "Limit" not in plan
+    assert reads.sample_fixed(rows, 5000, 5, few=0).count() == 3000
+
+
+def test_composition_of_any_window(spark):
+    """Dense, sparse and long windows against plain counting; letters outside of the alphabet, lower case and wide characters are dots."""
+    rng = random.Random(9)
+    seqs = ["".join(rng.choice("NACGTRYSWKMBDHVxn é") for _ in range(rng.choice((1, 2, 5, 40)))) for _ in range(60)] + ["A" * 300, "日本語ACGT", ""]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)] + [(999, None)], "read_id long, seq string").repartition(3)
+    from rarespan.operators import composition
+
+    clean = ["".join(c if c in "NACGTRYSWKMBDHV" else "." for c in s) for s in seqs]
+    for k in (1, 3, 4, 6, 17):
+        wanted = Counter(s[i : i + k] for s in clean if len(s) > k for i in range(len(s) - k + 1))
+        assert {r["kmer"]: r["count"] for r in composition.counts(df, k).collect()} == dict(wanted)
+    zeroes = {r["kmer"]: r["count"] for r in composition.with_zeroes(composition.counts(df, 3), 3).collect()}
+    assert len(zeroes) == 16**3 and sum(zeroes.values()) == sum(max(0, len(s) - 2) for s in clean if len(s) > 3)
+
+
+def test_is_mate_in_sql(spark):
+    """Row by row against every shift of each pair, on either strand."""
+    from rarespan.functions import sql
+
+    rng = random.Random(2)
+    read = lambda n: "".join(rng.choice("ACGTN" if rng.random() < 0.03 else "ACGT") for _ in range(n))
+    rows = []
+    for i in range(150):
+        a = read(rng.choice((0, 10, 20, 31)))
+        b = a[rng.randrange(0, 6) :] + read(4) if rng.random() < 0.7 else read(20)
+        b = mating_align.reversed_strand(b, False) if rng.random() < 0.5 else b
+        rows.append((i, a if i % 17 else None, b, rng.choice((0.5, 0.8)), rng.choice((0.9, 0.95)) if i % 19 else None))
+    sql.register(spark)
+    got = spark.createDataFrame(rows, "i long, a string, b string, o double, s double").selectExpr("i", "is_mate(a, b, o, s) AS y").collect()
+    for r in got:
+        _, a, b, o, s = rows[r["i"]]
+        if a is None or s is None:
+            assert r["y"] is None
+            continue
+        short, long_ = (a, b) if len(a) < len(b) else (b, a)
+        m = Mating(kernel="alignment", overlap=o, similarity=s)
+        assert r["y"] == (bool(short) and any(mating_align.match_matrix(mating_align.matrix([x]), mating_align.matrix([long_]), m)[0, 0] for x in (short, mating_align.reversed_strand(short, False))))
+    assert {r["y"] for r in got} == {True, False, None}

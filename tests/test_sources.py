@@ -285,6 +285,28 @@ def test_pieces_of_lines_do_not_depend_on_the_cut():
     assert [int(r[0]) for r in rows] == list(range(60)) and state == dumps.OUTSIDE and not open_.strip()
 
 
+def test_streamed_fastq(spark, files, tmp_path):
+    """A stream of files gives the reads that a batch gives; blank lines at the end are none, a broken record is an error."""
+    d, seqs = files
+    (tmp_path / "in").mkdir()
+    text = (d / "a.fastq").read_text()
+    (tmp_path / "in" / "a.fastq").write_text(text + "\n\n")
+    with gzip.open(tmp_path / "in" / "b.fastq.gz", "wt") as f:
+        f.write(text.replace("@r", "@s").replace("\n", "\r\n"))
+    (tmp_path / "in" / "empty.fastq").write_text("")
+
+    def all_of(name):
+        run = sequences.stream_fastq(spark, str(tmp_path / "in"), 1).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        return sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / name)).select("header", "seq", "qual").collect())
+
+    wanted = sorted(tuple(r) for r in sequences.read_fastq(spark, str(d / "a.fastq")).select("header", "seq", "qual").collect())
+    assert all_of("out") == sorted(wanted + [("s" + h[1:], s, q) for h, s, q in wanted])
+    (tmp_path / "in" / "c.fastq").write_text("@x\nAC\n+\n")
+    with pytest.raises(Exception, match="missing quality"):
+        all_of("again")
+
+
 def test_streamed_hits(spark, tmp_path):
     from rarespan.operators import mating_kmer, reads
     from rarespan.streaming import kmers
