@@ -308,9 +308,26 @@ def portion_grid_log(spark, sf_dir):
     return rarefaction.grid(spark, total, Sampling()).withColumn("portion", F.round("portion", 9))
 
 
-@query("SELECT i::INT AS portion_idx, round(i * 0.01::DOUBLE, 9) AS portion FROM (SELECT unnest(range(0, 101)) AS i)")
+_LINEAR = "g AS (SELECT i::INT AS portion_idx, i * 0.01::DOUBLE AS portion FROM (SELECT unnest(range(0, 101)) AS i))"
+
+
+@query(f"WITH {READS}, rs AS (SELECT source, count(*) AS total FROM reads WHERE length(seq) > 0 GROUP BY 1), {_LINEAR} SELECT source, portion_idx, round(portion, 9) AS portion, round(portion * total, 6) AS x_obs FROM rs, g")
 def portion_grid_linear(spark, sf_dir):
-    return rarefaction.grid(spark, 1, Sampling(factor=0.0)).withColumn("portion", F.round("portion", 9))
+    """The linear grid in reads of each source."""
+    r = reads.from_text(table(spark, sf_dir, "documents"), "doc_id", keep=("source",)).where(F.length("seq") > 0)
+    points = rarefaction.grid(spark, 1, Sampling(factor=0.0))
+    out = r.groupBy("source").agg(F.count("*").alias("total")).crossJoin(F.broadcast(points))  # the grid has about a hundred rows
+    return out.select("source", "portion_idx", F.round("portion", 9).alias("portion"), F.round(F.col("portion") * F.col("total"), 6).alias("x_obs"))
+
+
+@query(f"WITH {MATES}, {TOTAL}, {_LINEAR} SELECT portion_idx, round(portion, 9) AS portion, round(avg(1 - pow(1 - least(1, greatest(0, (mates - 1)::DOUBLE / (total - 1))), greatest(0, floor(total * portion + 1e-9) - 1))), 6) AS redundancy FROM m, g, t GROUP BY 1, 2")
+def expected_redundancy_linear(spark, sf_dir):
+    """The closed form on the linear grid."""
+    total = reads.stats(doc_reads(spark, sf_dir)).head()["n_reads"]
+    points = rarefaction.grid(spark, total, Sampling(factor=0.0))
+    points = points.withColumn("portion", F.col("portion") + F.lit(1e-9 / total))  # whole numbers of reads stay whole in both engines
+    out = rarefaction.expected(mates_histogram(spark, sf_dir), points, total)
+    return out.select("portion_idx", F.round("portion", 9).alias("portion"), F.round("redundancy", 6).alias("redundancy"))
 
 
 @query(f"WITH {MATES}, {TOTAL}, {POINTS} SELECT portion_idx, round(portion, 9) AS portion, round(avg(1 - pow(1 - least(1, greatest(0, (mates - 1)::DOUBLE / (total - 1))), greatest(0, floor(total * portion) - 1))), 6) AS redundancy FROM m, g, t GROUP BY 1, 2")
@@ -453,16 +470,25 @@ def curve_checks(spark, sf_dir):
 _GAMMA = "CASE WHEN {x} > 0 THEN list_sum(list_transform(range(0, 400), lambda n: exp(({a} + n) * ln({x} * {b}) - {x} * {b} - lgamma({a} + n + 1)))) ELSE 0 END"
 
 
-@query("SELECT x::DOUBLE AS x, a::DOUBLE AS a, b::DOUBLE AS b, round(" + _GAMMA.format(x="x", a="a", b="b") + ", 8) AS p FROM (SELECT unnest(range(0, 41)) AS x), (SELECT unnest([1.0, 5.5, 20.0]) AS a), (SELECT unnest([0.5, 1.0, 3.0]) AS b)")
+_GRID = "(SELECT unnest([1.0, 5.5, 20.0])::DOUBLE AS a), (SELECT unnest([0.5, 1.0, 3.0])::DOUBLE AS b)"
+
+
+def _gamma_grid(df: DataFrame) -> DataFrame:
+    every = df.select("*", F.explode(F.array(*map(F.lit, (1.0, 5.5, 20.0)))).alias("a"))
+    return every.select("*", F.explode(F.array(*map(F.lit, (0.5, 1.0, 3.0)))).alias("b"))
+
+
+@query(f"WITH {READS}, x AS (SELECT DISTINCT round(ln(1 + length(seq)), 9) AS x FROM reads) SELECT x, a, b, round({_GAMMA.format(x='x', a='a', b='b')}, 8) AS p FROM x, {_GRID}")
 def gamma_cdf_grid(spark, sf_dir):
-    xs = share_path(spark).range(41).select(F.col("id").cast("double").alias("x"))
-    grid = xs.select("x", F.explode(F.array(*map(F.lit, (1.0, 5.5, 20.0)))).alias("a")).select("x", "a", F.explode(F.array(*map(F.lit, (0.5, 1.0, 3.0)))).alias("b"))
-    return grid.select("x", "a", "b", F.round(gamma.gamma_cdf("x", "a", "b"), 8).alias("p"))
+    """The model at the logarithm of every length of a read, for a grid of parameters."""
+    x = doc_reads(spark, sf_dir).select(F.round(F.log1p(F.length("seq").cast("double")), 9).alias("x")).where("x IS NOT NULL").distinct()
+    return _gamma_grid(x).select("x", "a", "b", F.round(gamma.gamma_cdf("x", "a", "b"), 8).alias("p"))
 
 
 #: x of a probability by halving [0, 64] sixty times.
 _QUANTILE = (
-    "WITH RECURSIVE g AS (SELECT p::DOUBLE / 20 AS p, a::DOUBLE AS a, b::DOUBLE AS b FROM (SELECT unnest(range(1, 20)) AS p), (SELECT unnest([1.0, 5.5, 20.0]) AS a), (SELECT unnest([0.5, 1.0, 3.0]) AS b)), "
+    f"WITH RECURSIVE {READS}, c AS (SELECT length(seq) AS n, count(*) AS c FROM reads GROUP BY 1), pq AS (SELECT DISTINCT round(sum(c) OVER (ORDER BY n) / (sum(c) OVER () + 1.0::DOUBLE), 2)::DOUBLE AS p FROM c WHERE n IS NOT NULL), "
+    f"g AS (SELECT p, a, b FROM pq, {_GRID} WHERE p > 0 AND p < 1), "
     "h AS (SELECT p, a, b, 0.0::DOUBLE AS lo, 64.0::DOUBLE AS hi, 0 AS step FROM g UNION ALL SELECT p, a, b, CASE WHEN below THEN (lo + hi) / 2 ELSE lo END, CASE WHEN below THEN hi ELSE (lo + hi) / 2 END, step + 1 "
     f"FROM (SELECT *, ({_GAMMA.format(x='((lo + hi) / 2)', a='a', b='b')}) < p AS below FROM h WHERE step < 60)) SELECT p, a, b, round((lo + hi) / 2, 6) AS x FROM h WHERE step = 60"
 )
@@ -470,9 +496,11 @@ _QUANTILE = (
 
 @query(_QUANTILE)
 def gamma_quantile_grid(spark, sf_dir):
-    ps = share_path(spark).range(1, 20).select((F.col("id") / 20).alias("p"))
-    grid = ps.select("p", F.explode(F.array(*map(F.lit, (1.0, 5.5, 20.0)))).alias("a")).select("p", "a", F.explode(F.array(*map(F.lit, (0.5, 1.0, 3.0)))).alias("b"))
-    return grid.select("p", "a", "b", F.round(gamma.gamma_quantile("p", "a", "b"), 6).alias("x"))
+    """The inverse at the share of reads that are no longer than each length, in hundredths."""
+    n = doc_reads(spark, sf_dir).where("seq IS NOT NULL").groupBy(F.length("seq").alias("n")).agg(F.count("*").alias("c"))
+    share = F.sum("c").over(W.orderBy("n")) / (F.sum("c").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) + F.lit(1.0))  # a row per length
+    p = n.select(F.round(share, 2).alias("p")).distinct().where("p > 0 AND p < 1")
+    return _gamma_grid(p).select("p", "a", "b", F.round(gamma.gamma_quantile("p", "a", "b"), 6).alias("x"))
 
 
 _AB = "ab AS (SELECT a::DOUBLE AS a, b::DOUBLE AS b FROM (SELECT unnest(range(2, 40, 4)) AS a), (SELECT unnest([0.5, 1.0, 1.5, 2.0, 3.0]) AS b))"

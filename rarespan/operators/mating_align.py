@@ -5,8 +5,8 @@ int((1 - similarity) * width) mismatches, on either strand. The plan is seed and
 bases with e mismatches holds an exact run of ceil((w - e) / (e + 1)), so some shared q-gram, q the least
 such run, names the shift, and a pair is compared at the shifts its q-grams name. Queries are a bounded sample:
 after a count they go to every task, where a batch of reads finds its seeds and compares all candidates at
-once, as matrices of bytes. More queries meet the reads in an equi join on q-grams. Without a useful q, or for
-the historic reverse complement, every shift is tried, for blocks of the queries.
+once, as matrices of bytes. More queries meet the reads in an equi join on q-grams. Without a useful q, for N as a
+wildcard, and for the historic reverse complement, every shift is tried, on bit planes, for blocks of the queries.
 """
 
 from __future__ import annotations
@@ -185,11 +185,45 @@ def differing(x: np.ndarray, y: np.ndarray, m: Mating) -> np.ndarray:
     return d & (x != ord("N")) & (y != ord("N")) if m.n_wildcard else d
 
 
+#: Bit planes of the bases and of N (fixed values); other bytes have none.
+PLANES = {base: code for code, base in enumerate(b"ACGT")}
+COMMON = np.isin(np.arange(256), list(b"ACGTN"))
+
+
+def packed(rows: np.ndarray) -> np.ndarray:
+    """(3, rows, words): the two bits of each base and whether it is N, 64 places a word."""
+    width = -(-rows.shape[1] // 64) * 64
+    code = np.zeros(256, np.uint8)
+    for base, number in PLANES.items():
+        code[base] = number
+    out = []
+    for plane in (code[rows] & 1, code[rows] >> 1, rows == ord("N")):
+        wide = np.zeros((len(rows), width), np.uint8)
+        wide[:, : rows.shape[1]] = plane
+        out.append(np.packbits(wide, axis=1).view(np.uint64))
+    return np.stack(out)
+
+
 def match_matrix(short: np.ndarray, long_: np.ndarray, m: Mating) -> np.ndarray:
-    """(shorts, longs): whether some shift aligns them; all rows of a side have one length."""
+    """(shorts, longs): whether some shift aligns them; all rows of a side have one length.
+
+    A shift's columns are packed once a side and compared as words: xor of the planes, then the number of bits. Sequences with
+    other characters are compared byte by byte.
+    """
     out = np.zeros((len(short), len(long_)), bool)
+    if not (COMMON[short].all() and COMMON[long_].all()):
+        for x, y, most in shifts(short.shape[1], long_.shape[1], m):
+            out |= differing(short[:, None, x], long_[None, :, y], m).sum(axis=2, dtype=np.int32) <= most
+        return out
     for x, y, most in shifts(short.shape[1], long_.shape[1], m):
-        out |= differing(short[:, None, x], long_[None, :, y], m).sum(axis=2, dtype=np.int32) <= most
+        (a0, a1, an), (b0, b1, bn) = packed(short[:, x]), packed(long_[:, y])
+        differ = (a0[:, None] ^ b0[None]) | (a1[:, None] ^ b1[None])
+        unknown = an[:, None] | bn[None]
+        if m.n_wildcard:
+            differ &= ~unknown
+        else:
+            differ |= unknown if m.n_mismatch else an[:, None] ^ bn[None]
+        out |= np.bitwise_count(differ).sum(axis=2, dtype=np.int32) <= most
     return out
 
 
@@ -202,7 +236,7 @@ def match_rows(short: np.ndarray, long_: np.ndarray, m: Mating) -> np.ndarray:
     return out
 
 
-def pairs_all(queries: DataFrame, reads: DataFrame, m: Mating, most: int = 5000) -> DataFrame:
+def pairs_all(queries: DataFrame, reads: DataFrame, m: Mating, most: int = 20_000) -> DataFrame:
     """The same by trying every shift, for blocks of about `most` queries one after the other, so that no more are on the driver."""
     n = queries.count()
     parts = max(1, math.ceil(n / most))
@@ -211,7 +245,7 @@ def pairs_all(queries: DataFrame, reads: DataFrame, m: Mating, most: int = 5000)
     return reduce(DataFrame.unionByName, done)
 
 
-def pairs_of_block(queries: DataFrame, reads: DataFrame, m: Mating, few: int = 32) -> DataFrame:
+def pairs_of_block(queries: DataFrame, reads: DataFrame, m: Mating, few: int = 128) -> DataFrame:
     """All pairs of a few reads and the queries of one length at once.
 
     The shorter of a pair is the one that is reversed; of two of equal length that is the read.

@@ -367,3 +367,26 @@ def test_is_mate_in_sql(spark):
         m = Mating(kernel="alignment", overlap=o, similarity=s)
         assert r["y"] == (bool(short) and any(mating_align.match_matrix(mating_align.matrix([x]), mating_align.matrix([long_]), m)[0, 0] for x in (short, mating_align.reversed_strand(short, False))))
     assert {r["y"] for r in got} == {True, False, None}
+
+
+def test_bit_planes_compare_as_bytes_do():
+    """Words and bytes give the same matches, for every rule of N, over and across word edges; other characters take the bytes."""
+    import numpy as np
+
+    rng = random.Random(6)
+    for la, lb in ((20, 20), (30, 64), (64, 65), (70, 200)):
+        base = "".join(rng.choice("ACGT") for _ in range(400))
+
+        def read(n):
+            at = rng.randrange(0, 400 - n)
+            return "".join(c if rng.random() > 0.06 else rng.choice("ACGTNN") for c in base[at : at + n])
+
+        short, long_ = mating_align.matrix([read(la) for _ in range(40)]), mating_align.matrix([read(lb) for _ in range(40)])
+        for m in (Mating(kernel="alignment", overlap=0.5, similarity=0.8), Mating(kernel="alignment", overlap=0.5, similarity=0.8, n_mismatch=True), Mating(kernel="alignment", overlap=0.3, similarity=0.9, n_wildcard=True)):
+            plain = np.zeros((40, 40), bool)
+            for x, y, most in mating_align.shifts(la, lb, m):
+                plain |= mating_align.differing(short[:, None, x], long_[None, :, y], m).sum(axis=2) <= most
+            assert np.array_equal(mating_align.match_matrix(short, long_, m), plain) and plain.any() and not plain.all()
+            odd = short.copy()
+            odd[0, 0] = ord("x")
+            assert mating_align.match_matrix(odd, long_, m).shape == plain.shape
