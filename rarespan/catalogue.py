@@ -22,7 +22,7 @@ from rarespan.session import share_path, spread
 from rarespan.sources import curves as curve_source
 from rarespan.sources import dumps, sequences, sinks
 
-K, SEED, X_ALIGN, X_VARIANT, X_DRAW = 24, 1, 1000, 200, 1000
+K, SEED, X_ALIGN, X_UNEQUAL, X_DRAW = 24, 1, 1000, 200, 1000
 ALIGN = Mating(kernel="alignment")
 DRAWS = Sampling(replicates=8, seed=SEED)
 
@@ -202,7 +202,7 @@ def kmer_mates_corrected(spark, sf_dir):
 TILES = f"{READS}, tiles AS (SELECT read_id * 16777216 + t AS read_id, substr(seq, (1 + 50 * t)::INT, 50) AS seq FROM (SELECT read_id, seq, unnest(range(0, length(seq) // 50)) AS t FROM reads WHERE length(seq) >= 50)), aq AS (SELECT read_id AS query_id, seq FROM tiles ORDER BY md5('{SEED}|' || read_id), read_id LIMIT {X_ALIGN})"
 
 
-def _align_oracle(strands: str, plus: int = 0, match: str = "hamming(substr(q, a, w), substr(seq, b, w)) <= e", x: int = X_VARIANT) -> str:
+def _align_oracle(strands: str, plus: int = 0, match: str = "hamming(substr(q, a, w), substr(seq, b, w)) <= e", x: int = X_ALIGN) -> str:
     """Every query against every tile at every shift; all tiles have 50 bases."""
     return (
         f"WITH {TILES.replace(f'LIMIT {X_ALIGN}', f'LIMIT {x}')}, s AS ({strands}), "
@@ -224,7 +224,7 @@ def align_queries(tiles: DataFrame, x: int = X_ALIGN) -> DataFrame:
     return reads.sample_fixed(tiles, x, SEED).select(F.col("read_id").alias("query_id"), "seq")
 
 
-@query(_align_oracle(BOTH, x=X_ALIGN))
+@query(_align_oracle(BOTH))
 def align_mates(spark, sf_dir):
     tiles = align_tiles(spark, sf_dir)
     return mating_align.mates(align_queries(tiles), tiles, ALIGN)
@@ -233,14 +233,15 @@ def align_mates(spark, sf_dir):
 @query(_align_oracle(FORWARD))
 def align_mates_one_strand(spark, sf_dir):
     tiles = align_tiles(spark, sf_dir)
-    return mating_align.mates(align_queries(tiles, X_VARIANT), tiles, Mating(kernel="alignment", both_strands=False))
+    return mating_align.mates(align_queries(tiles), tiles, Mating(kernel="alignment", both_strands=False))
 
 
-#: Reads of 44 to 62 bases, cut at the starts of texts, in which a base of most reads is N: read 5 has one in place 15.
+#: Reads of 44 to 62 bases, one in every 62 bases of a text and one of a last part of 44 or more, in which a base of most reads is N. A query set of 200 is what every pair at every shift in SQL allows.
 _UNEQUAL = (
-    f"{READS}, un AS (SELECT read_id, substr(seq, 1, (44 + read_id % 19)::INT) AS seq FROM reads WHERE length(seq) >= 62), "
+    f"{READS}, pc AS (SELECT read_id * 16777216 + t AS read_id, substr(seq, (1 + 62 * t)::INT, 62) AS seq FROM (SELECT read_id, seq, unnest(range(0, (length(seq) + 18) // 62)) AS t FROM reads WHERE length(seq) >= 44)), "
+    "un AS (SELECT read_id, substr(seq, 1, (44 + read_id % 19)::INT) AS seq FROM pc), "
     "ur AS (SELECT read_id, CASE WHEN read_id % 3 = 0 THEN seq ELSE substr(seq, 1, (read_id % 40)::INT) || 'N' || substr(seq, (read_id % 40 + 2)::INT) END AS seq FROM un), "
-    f"uq AS (SELECT read_id AS query_id, seq FROM ur ORDER BY md5('{SEED}|' || read_id), read_id LIMIT {X_VARIANT})"
+    f"uq AS (SELECT read_id AS query_id, seq FROM ur ORDER BY md5('{SEED}|' || read_id), read_id LIMIT {X_UNEQUAL})"
 )
 
 
@@ -257,7 +258,10 @@ def _unequal_oracle(differ: str) -> str:
 
 
 def unequal_reads(spark, sf_dir) -> DataFrame:
-    r = doc_reads(spark, sf_dir).where(F.length("seq") >= 62).select("read_id", F.substr("seq", F.lit(1), (F.pmod("read_id", F.lit(19)) + 44).cast("int")).alias("seq"))
+    r = doc_reads(spark, sf_dir).where(F.length("seq") >= 44)
+    r = r.select("read_id", "seq", F.explode(F.sequence(F.lit(0), F.expr("(length(seq) + 18) div 62 - 1").cast("int"))).alias("t"))
+    r = r.select((F.col("read_id") * (1 << 24) + F.col("t")).alias("read_id"), F.substr("seq", F.col("t") * 62 + 1, F.lit(62)).alias("seq"))
+    r = r.select("read_id", F.substr("seq", F.lit(1), (F.pmod("read_id", F.lit(19)) + 44).cast("int")).alias("seq"))
     place = F.pmod("read_id", F.lit(40)).cast("int")
     return r.withColumn("seq", F.when(F.col("read_id") % 3 == 0, F.col("seq")).otherwise(F.concat(F.substr("seq", F.lit(1), place), F.lit("N"), F.substr("seq", place + 2, F.lit(99)))))
 
@@ -266,21 +270,21 @@ def unequal_reads(spark, sf_dir) -> DataFrame:
 def align_mates_unequal(spark, sf_dir):
     """Reads of unequal lengths with N: N against a base is a mismatch, N against N none."""
     r = unequal_reads(spark, sf_dir)
-    return mating_align.mates(align_queries(r, X_VARIANT), r, ALIGN)
+    return mating_align.mates(align_queries(r, X_UNEQUAL), r, ALIGN)
 
 
-@query(_unequal_oracle("(hamming(x, y) + list_sum(list_transform(range(1, w + 1), lambda j: CASE WHEN substr(x, j::INT, 1) = 'N' AND substr(y, j::INT, 1) = 'N' THEN 1 ELSE 0 END)))"))
+@query(_unequal_oracle("hamming(translate(x, 'N', '1'), translate(y, 'N', '2'))"))
 def align_mates_nmismatch(spark, sf_dir):
     """The same, where N against N is a mismatch too."""
     r = unequal_reads(spark, sf_dir)
-    return mating_align.mates(align_queries(r, X_VARIANT), r, Mating(kernel="alignment", n_mismatch=True))
+    return mating_align.mates(align_queries(r, X_UNEQUAL), r, Mating(kernel="alignment", n_mismatch=True))
 
 
-@query(_unequal_oracle("list_sum(list_transform(range(1, w + 1), lambda j: CASE WHEN substr(x, j::INT, 1) <> substr(y, j::INT, 1) AND substr(x, j::INT, 1) <> 'N' AND substr(y, j::INT, 1) <> 'N' THEN 1 ELSE 0 END))"))
+@query(_unequal_oracle("(hamming(x, y) - hamming(translate(x, 'ACGT', '....'), translate(y, 'ACGT', '....')))"))
 def align_mates_nwildcard(spark, sf_dir):
     """The same, where N matches anything, as documented: every shift is tried."""
     r = unequal_reads(spark, sf_dir)
-    return mating_align.mates(align_queries(r, X_VARIANT), r, Mating(kernel="alignment", n_wildcard=True))
+    return mating_align.mates(align_queries(r, X_UNEQUAL), r, Mating(kernel="alignment", n_wildcard=True))
 
 
 _BENCH_TILES = f"bt AS (SELECT item_id * 16777216 + t AS read_id, substr(seq, (1 + 50 * t)::INT, 50) AS seq FROM (SELECT item_id, seq, unnest(range(0, length(seq) // 50)) AS t FROM (SELECT item_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark) WHERE length(seq) >= 50)), aq AS (SELECT read_id AS query_id, seq FROM bt ORDER BY"
@@ -289,14 +293,14 @@ _BENCH_TILES = f"bt AS (SELECT item_id * 16777216 + t AS read_id, substr(seq, (1
 @query(_align_oracle(BOTH, plus=1).replace("aq AS (SELECT read_id AS query_id, seq FROM tiles ORDER BY", _BENCH_TILES))
 def align_mates_cross(spark, sf_dir):
     other = mating_align.tiles(reads.from_text(table(spark, sf_dir, "benchmark"), "item_id"))
-    return mating_align.mates(align_queries(other, X_VARIANT), align_tiles(spark, sf_dir), ALIGN, cross=True)
+    return mating_align.mates(align_queries(other), align_tiles(spark, sf_dir), ALIGN, cross=True)
 
 
 @query(_align_oracle(FORWARD, match="hamming(substr(q, a, w), substr(seq, b, w)) <= e OR hamming(substr(q, a, w), substr(rc, b, w)) <= e").replace("FROM s, tiles, sh", "FROM s, (SELECT *, 'N' || reverse(translate(substr(seq, 2), 'ACGT', 'TGCA')) AS rc FROM tiles) tiles, sh"))
 def align_mates_compat(spark, sf_dir):
     """The historic reverse complement, on the subject where lengths are equal."""
     tiles = align_tiles(spark, sf_dir)
-    return mating_align.mates(align_queries(tiles, X_VARIANT), tiles, Mating(kernel="alignment", literal_reverse=True))
+    return mating_align.mates(align_queries(tiles), tiles, Mating(kernel="alignment", literal_reverse=True))
 
 
 # Rarefaction
