@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -45,9 +47,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of intermediate tables that this driver has made, with their sessions.
+MADE: list[tuple[SparkSession, str]] = []
+
+
+def new_folder(spark: SparkSession, kind: str = "table") -> str:
+    """A folder of a new name in the shared checkpoint folder; it goes when the driver ends, or with release()."""
+    MADE.append((spark, f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"))
+    return MADE[-1][1]
+
+
+def release() -> None:
+    """Deletes the intermediate tables of this driver. What was made of them and is not written yet cannot be read afterwards."""
+    while MADE:
+        with contextlib.suppress(Exception):  # a session that has ended takes its file system along
+            remove(*MADE.pop())
+
+
+atexit.register(release)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared checkpoint folder, where later reads take the columns that they need."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -24,7 +24,6 @@ levels, in which nothing is listed; only page_id, url and html are read, so othe
 from __future__ import annotations
 
 import math
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from rarespan.llm.common import cut, ensure_checkpoint_dir, remove
+from rarespan.llm.common import cut, new_folder, remove
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -173,7 +172,7 @@ def exact_members(rows: DataFrame, universe: DataFrame, max_bytes: int) -> DataF
     shards = max(1, math.ceil(expected_bytes(*counts(universe)) / max_bytes))
     if shards == 1:
         return membership(rows, build(universe))
-    spark, folder = rows.sparkSession, f"{ensure_checkpoint_dir(rows.sparkSession)}/shards-{uuid.uuid4().hex}"
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "shards")
     own = F.pmod("h2", F.lit(shards)).cast("int")
     for name, df in (("rows", rows), ("universe", universe)):  # each is read once, shard by shard
         df.withColumn("shard", own).write.partitionBy("shard").parquet(f"{folder}/{name}")

@@ -149,6 +149,21 @@ def test_op11_on_the_table(spark, sf, aligner):
     assert rows_of(op11_token_alignment(spark, sf), *ALIGNED) == plain_table([tuple(r) for r in docs], aligner)
 
 
+def test_intermediate_tables_are_released(spark):
+    import os
+
+    from rarespan.llm import common
+
+    made = common.stored(spark.range(5))
+    folder = common.MADE[-1][1]
+    at = folder.removeprefix("file:")
+    assert made.count() == 5 and os.path.isdir(at)
+    common.MADE, others = [common.MADE[-1]], common.MADE[:-1]
+    common.release()
+    common.MADE = others
+    assert not os.path.exists(at)
+
+
 # ---------------------------------------------------------------- chat formatting
 
 SAID = ["", None, "plain", "<|im_end|>", "<\\|x|>", "a<", "|b", "<\\\\|", "<|im_end|>\n<|im_start|>assistant\nok", "line\nline\n", "😀 <|nl|>", "<\\"]
