@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rarespan.functions import gamma
+from rarespan.operators import solver
 
 #: Exponents of the deviation used as weights, in the order tried (fixed values).
 LOG_WEIGHTS = (0.0, 1.0, -1.0, 1.3, -1.1, 1.5, -1.5, 3.0, -3.0)
@@ -72,76 +73,58 @@ def checks(pts: DataFrame) -> DataFrame:
     return out.withColumn("warnings", warnings).withColumn("consistent", F.size("warnings") == 0)
 
 
-def gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(residuals, Jacobian, cosines of the residuals with its columns, cost) of the weighted model at logarithms of (a, b)."""
-    root = np.sqrt(w)
-    rest = lambda t: root * (y - gamma.model(x, *np.exp(t)))
-    steps = np.eye(2) * 1e-5
-    r, j = rest(at), np.stack([(rest(at + s) - rest(at - s)) / 2e-5 for s in steps], 1)
-    cost = float(r @ r)
-    norm = np.sqrt((j * j).sum(axis=0)) * math.sqrt(cost) + 1e-300
-    return r, j, np.abs(j.T @ r) / norm, cost
-
-
-def least_squares(x: np.ndarray, y: np.ndarray, w: np.ndarray, start=(1.0, 0.1), rounds: int = 1024) -> tuple[float, float] | None:
-    """(a, b) of the gamma model by Levenberg-Marquardt steps in their logarithms; None if it does not converge.
-
-    It has converged where the residuals are orthogonal to the model's derivatives, or vanish; steps that have become too
-    small to help without that are a failure.
-    """
-    if len(x) < 3 or not np.isfinite(w).all() or not (w > 0).any():
-        return None
-    root, at, damping = np.sqrt(w), np.log(np.array(start)), 1e-3
-    scale = float((w * y * y).sum())
-    for _ in range(rounds):
-        r, j, slopes, cost = gradient(x, y, w, at)
-        if not np.isfinite(cost):
-            return None
-        if slopes.max() < 1e-7 or cost <= 1e-18 * scale:
-            return float(np.exp(at[0])), float(np.exp(at[1]))
-        g, h = j.T @ r, j.T @ j
-        moved = False
-        while damping < 1e12:
-            try:
-                step = np.clip(-np.linalg.solve(h + damping * np.diag(np.diag(h) + 1e-12), g), -0.5, 0.5)
-            except np.linalg.LinAlgError:
-                return None
-            new = root * (y - gamma.model(x, *np.exp(at + step)))
-            if float(new @ new) < cost:
-                at, damping, moved = at + step, max(damping / 10, 1e-12), True
-                break
-            damping *= 10
-        if not moved:
-            return (float(np.exp(at[0])), float(np.exp(at[1]))) if slopes.max() < 1e-4 else None
-    return None
+FIT = "label string, has_model boolean, a double, b double, weight_exp double, sse double, diversity double, LRstar double, modelR double"
 
 
-def fit(pts: DataFrame, meta: DataFrame, star: float = 95.0, weights: tuple[float, ...] | None = None, enforce: bool = True) -> DataFrame:
-    """(label, has_model, a, b, weight_exp, sse, diversity, LRstar, modelR); one task per label, a curve has tens of points."""
+def fit(pts: DataFrame, meta: DataFrame, star: float = 95.0, weights: tuple[float, ...] | None = None, enforce: bool = True, cells: int = 1 << 20) -> DataFrame:
+    """(label, has_model, a, b, weight_exp, sse, diversity, LRstar, modelR); the curves of a batch are solved together, `cells` padded points at a time."""
     asked = checks(pts).select("label", "consistent")
     rows = pts.where((F.col("cov") > 0) & (F.col("cov") < 0.9)).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("x_adj", "cov", "sd"))).alias("p"))
     rows = meta.select("label", "divide").join(asked, "label", "left").join(rows, "label", "left")
+    columns = [c.split()[0] for c in FIT.split(", ")]
 
-    def solve(batches):
+    def run(batches):
         for b in batches:
-            out = []
-            for label, divide, consistent, p in b[["label", "divide", "consistent", "p"]].itertuples(index=False):
-                row = dict.fromkeys(("a", "b", "weight_exp", "sse", "diversity", "LRstar", "modelR")) | {"label": label, "has_model": False}
-                if p is not None and len(p) and (consistent or not enforce):
-                    x, y, sd = (np.array([q[k] for q in p], float) for k in ("x_adj", "cov", "sd"))
-                    for e in weights or (LOG_WEIGHTS if divide else LINEAR_WEIGHTS):
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            ab = least_squares(x, y, sd**e)
-                        if ab:
-                            a, rate = ab
-                            z = gamma.model(x, a, rate)
-                            row |= {"has_model": True, "a": a, "b": rate, "weight_exp": e, "sse": float(((y - z) ** 2).sum()), "diversity": (a - 1) / rate if a > 1 else 0.0, "LRstar": gamma.inverse_model(star / 100, a, rate)}
-                            row["modelR"] = float(np.corrcoef(y, z)[0, 1]) if len(y) > 1 else None
-                            break
-                out.append(row)
-            yield pd.DataFrame(out, columns=["label", "has_model", "a", "b", "weight_exp", "sse", "diversity", "LRstar", "modelR"])
-
-    return rows.mapInPandas(solve, "label string, has_model boolean, a double, b double, weight_exp double, sse double, diversity double, LRstar double, modelR double")
+            length = b["p"].map(lambda p: 0 if p is None else len(p))
+            b = b.iloc[np.argsort(length, kind="stable")]  # curves of like length share a matrix
+            size = max(1, cells // max(1, int(length.max() if len(b) else 1)))
+            for lo in range(0, len(b), size):
+                yield fitted(b.iloc[lo : lo + size], star, weights, enforce)[columns]
+
+    return rows.mapInPandas(run, FIT)
+
+
+def fitted(b: pd.DataFrame, star: float, weights: tuple[float, ...] | None, enforce: bool) -> pd.DataFrame:
+    """The models of curves (label, divide, consistent, p): of the exponents in their order the first that converges."""
+    kept = [p if p is not None and (ok is True or ok is np.True_ or not enforce) else () for p, ok in zip(b["p"], b["consistent"])]
+    x, y, sd = (solver.padded([np.array([q[k] for q in p], float) for p in kept], 1.0) for k in ("x_adj", "cov", "sd"))
+    inside = solver.padded([np.ones(len(p)) for p in kept], 0.0) > 0
+    logarithmic = np.array([bool(d) and not pd.isna(d) for d in b["divide"]], bool)
+    ab, exponent = np.full((len(b), 2), np.nan), np.full(len(b), np.nan)
+    for chosen, tried in ((np.ones(len(b), bool), weights),) if weights else ((logarithmic, LOG_WEIGHTS), (~logarithmic, LINEAR_WEIGHTS)):
+        for e in tried:
+            open_ = np.flatnonzero(chosen & np.isnan(ab[:, 0]))
+            if not len(open_):
+                break
+            with np.errstate(divide="ignore", invalid="ignore"):
+                w = sd[open_] ** e
+            ab[open_] = solver.solve(x[open_], y[open_], w, inside[open_])
+            exponent[open_] = np.where(np.isnan(ab[open_, 0]), np.nan, e)
+    out = pd.DataFrame({"label": b["label"].to_numpy(), "has_model": ~np.isnan(ab[:, 0]), "a": ab[:, 0], "b": ab[:, 1], "weight_exp": exponent})
+    z = np.where(inside, gamma.model(x, ab[:, :1], ab[:, 1:]), 0.0)
+    observed, n = np.where(inside, y, 0.0), np.maximum(1, inside.sum(axis=1))[:, None]
+    out["sse"] = np.where(out["has_model"], ((observed - z) ** 2).sum(axis=1), np.nan)
+    out["diversity"] = np.where(ab[:, 0] > 1, (ab[:, 0] - 1) / ab[:, 1], np.where(out["has_model"], 0.0, np.nan))
+    known = out["has_model"].to_numpy()
+    out["LRstar"] = np.nan
+    with np.errstate(over="ignore"):
+        out.loc[known, "LRstar"] = np.expm1(gamma.quantile(np.full(known.sum(), star / 100), ab[known, 0], ab[known, 1]))
+    dy, dz = (np.where(inside, v - v.sum(axis=1, keepdims=True) / n, 0.0) for v in (observed, z))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out["modelR"] = (dy * dz).sum(axis=1) / np.sqrt((dy * dy).sum(axis=1) * (dz * dz).sum(axis=1))
+    numbers = ["a", "b", "weight_exp", "sse", "diversity", "LRstar", "modelR"]
+    out[numbers] = out[numbers].astype(object).where(out["has_model"], None)
+    return out
 
 
 def fit_on_grid(pts: DataFrame, grid: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rarespan.config import Mating, Sampling
 from rarespan.functions import gamma
 from rarespan.functions import sequence as S
-from rarespan.operators import checks, composition, curve, grouped, kmer_runs, mating_align, mating_kmer, ontology, rarefaction, reads
+from rarespan.operators import checks, composition, curve, grouped, kmer_runs, mating_align, mating_kmer, ontology, rarefaction, reads, solver
 from rarespan.plans import redundancy
 
 
@@ -215,6 +215,32 @@ def test_fit_recovers_a_model(spark):
     assert curve.predict(curve.fit(p, meta, enforce=False), frame(spark, [("c", 1e9)], "label string, effort double")).head()["coverage"] == pytest.approx(gamma.cdf(math.log1p(1e9), a, b), abs=1e-6)
 
 
+def test_curves_are_solved_together():
+    """Each curve of a batch is at its optimum, the same alone; exact derivatives agree with differences; what has no model is NaN and stops no other."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, a, b = rng.uniform(0.01, 40, 500), np.exp(rng.uniform(-3, 5, 500)), np.exp(rng.uniform(-4, 3, 500))
+    _, by_a, by_b = gamma.model_slopes(np.expm1(x), a, b)
+    assert np.abs(by_a - (gamma.cdf(x, a * (1 + 1e-5), b) - gamma.cdf(x, a * (1 - 1e-5), b)) / (2e-5 * a)).max() < 1e-7
+    assert np.abs(b * by_b - (gamma.cdf(x, a, b * (1 + 1e-5)) - gamma.cdf(x, a, b * (1 - 1e-5))) / 2e-5).max() < 1e-7
+    assert gamma.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, abs=1e-12)
+
+    shapes, rates = rng.uniform(5, 40, 60), rng.uniform(0.5, 2, 60)
+    efforts = [np.exp(gamma.quantile(np.linspace(0.02, 0.88, n), s, r)) - 1 for n, s, r in zip(rng.integers(4, 40, 60), shapes, rates)]
+    seen = [gamma.model(e, s, r) * (1 + rng.normal(0, 0.01, len(e)) * (i % 2)) for i, (e, s, r) in enumerate(zip(efforts, shapes, rates))]
+    efforts, seen = [*efforts, np.array([5.0, 6.0]), np.array([1.0, np.nan, 2.0]), np.array([])], [*seen, np.array([0.1, 0.2]), np.array([0.1, 0.2, 0.3]), np.array([])]
+    x, y, inside = solver.padded(efforts, 1.0), solver.padded(seen, 1.0), solver.padded([np.ones(len(e)) for e in efforts], 0.0) > 0
+    got = solver.solve(x, y, np.ones_like(x), inside)
+    assert np.isnan(got[60:]).all() and not np.isnan(got[:60]).any()
+    assert got[:60:2] == pytest.approx(np.stack([shapes, rates], 1)[::2], rel=1e-5)
+    for i in range(60):
+        cost = lambda s, r: ((seen[i] - gamma.model(efforts[i], s, r)) ** 2).sum()
+        best = cost(*got[i])
+        assert all(cost(got[i, 0] * u, got[i, 1] * v) >= best for u in (0.999, 1, 1.001) for v in (0.999, 1, 1.001))
+        assert solver.solve(x[i : i + 1], y[i : i + 1], np.ones_like(x[:1]), inside[i : i + 1])[0] == pytest.approx(got[i], rel=1e-6)
+
+
 def test_checks(spark):
     ddl = "label string, i int, x_obs double, x_adj double, red double, cov double, sd double, p25 double, p50 double, p75 double"
     good = [("good", i + 1, float(i), float(i), i / 20, i / 20, 0.0, 0.1, 0.1, 0.1) for i in range(18)]
