@@ -5,8 +5,9 @@ int((1 - similarity) * width) mismatches, on either strand. The plan is seed and
 bases with e mismatches holds an exact run of ceil((w - e) / (e + 1)), so some shared q-gram, q the least
 such run, names the shift, and a pair is compared at the shifts its q-grams name. Queries are a bounded sample:
 after a count they go to every task, where a batch of reads finds its seeds and compares all candidates at
-once, as matrices of bytes. More queries meet the reads in an equi join on q-grams. Without a useful q, for N as a
-wildcard, and for the historic reverse complement, every shift is tried, on bit planes, for blocks of the queries.
+once, as matrices of bytes. More queries meet the reads in an equi join on q-grams (mating_join). Without a useful q, for
+the historic reverse complement, and for sequences with N where N is a wildcard, every shift is tried, on bit planes, for
+blocks of the queries.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rarespan.config import Mating
 from rarespan.functions import rolling
-from rarespan.functions import sequence as S
+from rarespan.operators import mating_join
 from rarespan.operators.iterate import durable
+from rarespan.operators.overlap import allowed, overlap_well, strands
 
 
 def tiles(reads: DataFrame, width: int = 50) -> DataFrame:
@@ -33,10 +35,6 @@ def tiles(reads: DataFrame, width: int = 50) -> DataFrame:
     return every.select((F.col("read_id") * (1 << 24) + F.col("t")).alias("read_id"), F.substr("seq", F.col("t") * width + 1, F.lit(width)).alias("seq"))
 
 
-def allowed(width: int, similarity: float) -> int:
-    return int((1.0 - similarity) * width)
-
-
 def seed_length(shortest: int, longest: int, m: Mating) -> int:
     """The least exact run that any accepted overlap of reads of these lengths must hold."""
     best = longest
@@ -46,43 +44,6 @@ def seed_length(shortest: int, longest: int, m: Mating) -> int:
     return best
 
 
-def mismatches(a: Column, b: Column, m: Mating) -> Column:
-    """Of two strings of equal length."""
-
-    def differs(x, y):
-        d = x != y
-        if m.n_mismatch:
-            d = d | (x == "N")
-        return d & (x != "N") & (y != "N") if m.n_wildcard else d
-
-    return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), differs), lambda d: d))
-
-
-def accepts(a: Column, b: Column, shift: Column, m: Mating) -> Column:
-    """Whether b, shifted by `shift` against a, overlaps it well enough."""
-    la, lb = F.length(a), F.length(b)
-    at_a, at_b = F.greatest(shift, F.lit(0)), F.greatest(-shift, F.lit(0))
-    w = F.least(la - at_a, lb - at_b)
-    wide = w >= F.ceil(F.lit(m.overlap) * F.least(la, lb))
-    return wide & (mismatches(F.substr(a, at_a + 1, w), F.substr(b, at_b + 1, w), m) <= ((F.lit(1.0) - F.lit(m.similarity)) * w).cast("int"))
-
-
-def strands(queries: DataFrame, m: Mating) -> DataFrame:
-    forward = queries.select("query_id", F.col("seq").alias("q"))
-    return forward.unionByName(queries.select("query_id", S.reverse_complement(F.col("seq")).alias("q"))) if m.both_strands else forward
-
-
-def grams(df: DataFrame, seq: str, q: int, at: str) -> DataFrame:
-    return df.select("*", F.posexplode(S.kmer_bytes(F.col(seq), q)).alias(at, "gram"))
-
-
-def pairs_joined(queries: DataFrame, reads: DataFrame, q: int, m: Mating) -> DataFrame:
-    """Distinct (query_id, read_id) that match, by an equi join on q-grams, for query sets of any size."""
-    left = grams(strands(queries, m), "q", q, "at_q")
-    both = grams(reads.select("read_id", "seq"), "seq", q, "at_s").join(left, "gram")
-    return both.where(accepts(F.col("q"), F.col("seq"), F.col("at_q") - F.col("at_s"), m)).select("query_id", "read_id").distinct()
-
-
 class Seeds:
     """The q-grams of a bounded query set, sorted by hash, and what verifies a candidate."""
 
@@ -112,36 +73,15 @@ class Seeds:
             shift = self.at[g] - np.repeat(where[part] - offsets[read[part]], c)
             yield np.unique(np.stack([r, self.query[g], shift]), axis=1) if len(r) else np.zeros((3, 0), np.int64)
 
-    def accepted(self, flat, offsets, read, query, shift, cells: int = 1 << 24) -> np.ndarray:
-        """Which candidates overlap well enough, compared as matrices of bytes."""
-        m = self.m
-        la, lb = np.diff(self.offsets)[query], np.diff(offsets)[read]
-        at_a, at_b = np.maximum(shift, 0), np.maximum(-shift, 0)
-        w = np.minimum(la - at_a, lb - at_b)
-        out = w >= np.ceil(m.overlap * np.minimum(la, lb))
-        open_ = np.flatnonzero(out)
-        open_ = open_[np.argsort(w[open_], kind="stable")]
-        at = 0
-        while at < len(open_):
-            step = max(1, cells // max(1, int(w[open_[min(len(open_), at + 4096) - 1]])))
-            some = open_[at : at + min(step, 4096)]
-            at += len(some)
-            width = np.arange(int(w[some].max()))
-            inside = width < w[some, None]
-            x = self.flat[np.minimum((self.offsets[query[some]] + at_a[some])[:, None] + width, len(self.flat) - 1)]
-            y = flat[np.minimum((offsets[read[some]] + at_b[some])[:, None] + width, len(flat) - 1)]
-            differ = x != y
-            if m.n_mismatch:
-                differ |= x == ord("N")
-            out[some] = (differ & inside).sum(axis=1) <= ((1.0 - m.similarity) * w[some]).astype(np.int64)
-        return out
+    def accepted(self, flat, offsets, read, query, shift) -> np.ndarray:
+        return overlap_well(self.m, (self.flat, self.offsets, query), (flat, offsets, read), shift)
 
 
 def pairs_seeded(queries: DataFrame, reads: DataFrame, q: int, m: Mating, few: int = 20_000) -> DataFrame:
     """Distinct (query_id, read_id) that match."""
     asked = strands(queries, m).limit(few + 1).toArrow()
     if asked.num_rows > few:
-        return pairs_joined(queries, reads, q, m)
+        return mating_join.pairs(queries, reads.withColumn("copies", F.lit(1).cast("long")), q, m).drop("copies")
     shared = reads.sparkSession.sparkContext.broadcast(Seeds(asked, q, m))
 
     def run(batches):
@@ -277,11 +217,33 @@ def pairs_of_block(queries: DataFrame, reads: DataFrame, m: Mating, few: int = 1
     return reads.select("read_id", "seq").mapInPandas(run, "query_id long, read_id long")
 
 
+#: Queries beyond which they meet reads in a join instead of going to every task.
+MANY = 10_000
+
+
 def mates(queries: DataFrame, reads: DataFrame, m: Mating, cross: bool = False, least_seed: int = 8) -> DataFrame:
-    """(query_id, mates) of queries (query_id, seq); cross: the queries are of another dataset, and count themselves."""
-    edge = reads.select("read_id", "seq").unionByName(queries.select(F.col("query_id").alias("read_id"), "seq")).where(F.length("seq") > 0).agg(F.min(F.length("seq")), F.max(F.length("seq"))).head()
+    """(query_id, mates) of queries (query_id, seq); cross: the queries are of another dataset, and count themselves. Null and empty sequences match nothing."""
+    every_id = queries.select("query_id")
+    queries, reads = (df.where(F.length("seq") > 0) for df in (queries, reads))
+    edge = reads.select("seq").unionByName(queries.select("seq")).agg(F.min(F.length("seq")), F.max(F.length("seq"))).head()
     q = seed_length(edge[0], edge[1], m) if edge[0] else 0
-    seeded = q >= least_seed and not (m.literal_reverse or m.n_wildcard)
-    found = pairs_seeded(queries, reads, q, m) if seeded else pairs_all(queries, reads, m)
-    n = found.groupBy("query_id").agg(F.count("*").alias("n"))
-    return queries.select("query_id").join(n, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) + (1 if cross else 0)).alias("mates"))
+
+    def seeded(asked: DataFrame, seen: DataFrame) -> DataFrame:
+        if asked.limit(MANY + 1).count() > MANY:
+            return mating_join.counts(asked, seen, q, m, mating_join.spare_grams(edge[0], edge[1], q, m))
+        return counted(pairs_seeded(asked, seen, q, m))
+
+    if q < least_seed or m.literal_reverse:
+        found = counted(pairs_all(queries, reads, m))
+    elif m.n_wildcard:  # a wildcard hides a seed, so whatever holds one is compared at every shift, and the rest by seeds
+        plain = lambda df: (df.where(F.col("seq").rlike("^[ACGT]*$")), df.where(~F.col("seq").rlike("^[ACGT]*$")))
+        (some, other), (clean, odd) = plain(queries), plain(reads)
+        every = counted(pairs_all(other, reads, m).unionByName(pairs_all(some, odd, m)))
+        found = every.unionByName(seeded(some, clean)).groupBy("query_id").agg(F.sum("n").alias("n"))
+    else:
+        found = seeded(queries, reads)
+    return every_id.join(found, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) + (1 if cross else 0)).alias("mates"))
+
+
+def counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("query_id").agg(F.count("*").alias("n"))

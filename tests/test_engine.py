@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rarespan.config import Mating, Sampling
 from rarespan.functions import gamma
 from rarespan.functions import sequence as S
-from rarespan.operators import checks, composition, curve, grouped, kmer_runs, mating_align, mating_kmer, ontology, rarefaction, reads, solver
+from rarespan.operators import checks, composition, curve, grouped, kmer_runs, mating_align, mating_join, mating_kmer, ontology, rarefaction, reads, solver
 from rarespan.plans import redundancy
 
 
@@ -194,6 +194,61 @@ def test_query_blocks_give_the_same_pairs(spark):
     assert {tuple(x) for x in mating_align.pairs_seeded(q, r, 10, m, few=3).collect()} == {tuple(x) for x in mating_align.pairs_seeded(q, r, 10, m).collect()}
 
 
+def overlapping(n, seed=11, odd=0.0):
+    """Reads of a short genome with errors, copies, runs of one base and, at the rate `odd`, N."""
+    rng = random.Random(seed)
+    base = "".join(rng.choices("ACGT", k=300)) + "A" * 120
+    out = []
+    for i in range(n):
+        at, size = rng.randrange(0, 350), rng.choice((40, 50, 70))
+        s = list(base[at : at + size])
+        for _ in range(rng.randrange(3)):
+            s[rng.randrange(len(s))] = rng.choice("ACGT")
+        s = "".join("N" if rng.random() < odd else c for c in s)
+        out += [s] * (1 if i % 7 else 3)
+    return list(enumerate([*out, "A" * 50, "A" * 50, "", None]))
+
+
+@pytest.mark.parametrize("m", [Mating(kernel="alignment"), Mating(kernel="alignment", both_strands=False, n_mismatch=True), Mating(kernel="alignment", n_wildcard=True)])
+def test_many_queries_meet_reads_in_a_join(spark, monkeypatch, m):
+    """The join equals every shift: with frequent grams cut into blocks and left out, copies, nulls and empty reads, and N as a wildcard."""
+    r = frame(spark, overlapping(60, odd=0.004 if m.n_wildcard else 0.0), "read_id long, seq string")
+    q = r.select(F.col("read_id").alias("query_id"), "seq")
+    wanted = {x["query_id"]: x["n"] for x in mating_align.counted(mating_align.pairs_all(q.where("seq <> ''"), r.where("seq <> ''"), m)).collect()}
+    monkeypatch.setattr(mating_align, "MANY", 5)
+    monkeypatch.setattr(mating_join, "BLOCK", 6)
+    got = {x["query_id"]: x["mates"] for x in mating_align.mates(q, r, m).collect()}
+    assert got == {i: wanted.get(i, 0) for i in got} and len(got) == r.count() and sum(got.values()) > 500
+
+
+def test_frequent_grams_are_dealt_to_blocks(spark, monkeypatch):
+    """Many different reads share one gram: each pair meets in one block of it, and no block has many times the rows of the middle one."""
+    monkeypatch.setattr(mating_join, "BLOCK", 10)
+    rng = random.Random(4)
+    r = frame(spark, [(i, "A" * 12 + "".join(rng.choices("CGT", k=28)), 1) for i in range(150)], "read_id long, seq string, copies long")
+    seen = mating_join.grams(r, "seq", 12)
+    hot = seen.groupBy("gram").agg(F.count("*").alias("of_queries")).withColumn("of_reads", F.col("of_queries")).where("of_queries > 100")
+    a = mating_join.dealt(seen.withColumnRenamed("read_id", "query_id"), hot, "of_queries", "of_reads", F.col("query_id")).select("gram", "of_queries_block", "of_reads_block", "query_id")
+    b = mating_join.dealt(seen, hot, "of_reads", "of_queries", F.col("read_id")).select("gram", "of_queries_block", "of_reads_block", "read_id")
+    met = a.join(b, ["gram", "of_queries_block", "of_reads_block"]).join(hot.select("gram"), "gram")
+    sizes = sorted(x["count"] for x in met.groupBy("of_queries_block", "of_reads_block").count().collect())
+    assert met.count() == met.select("query_id", "read_id").distinct().count() == 150 * 150
+    assert len(sizes) == 225 and sizes[-1] <= 4 * sizes[len(sizes) // 2]
+
+
+def test_spare_grams():
+    """Of every overlap the common q-grams outnumber the spare ones, whatever the places of its mismatches."""
+    m = Mating(kernel="alignment")
+    for short, long_, q in ((40, 40, 10), (50, 50, 12), (50, 70, 9), (100, 100, 10)):
+        spare = mating_join.spare_grams(short, long_, q, m)
+        for w in range(math.ceil(m.overlap * short), long_ + 1):
+            e = mating_align.allowed(w, m.similarity)
+            gaps = [w // (e + 1) * (i + 1) for i in range(e)]
+            clean = sum(all(not p <= g < p + q for g in gaps) for p in range(w - q + 1))
+            assert clean > spare
+    assert mating_join.spare_grams(100, 100, 10, m) > 10 and mating_join.spare_grams(50, 50, 12, m) == 1
+
+
 def test_gamma():
     for a, b in ((1, 1), (5.5, 0.3), (60, 3)):
         for p in (0.01, 0.3, 0.5, 0.95):
