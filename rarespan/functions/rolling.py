@@ -13,6 +13,8 @@ import pyarrow as pa
 CODES = np.full(256, 4, np.uint8)
 for _i, _base in enumerate(b"AGCT"):
     CODES[_base] = CODES[_base + 32] = _i
+#: Bases that fit a code.
+LONGEST_CODE = 32
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,3 +84,21 @@ def gram_hashes(flat: np.ndarray, offsets: np.ndarray, q: int) -> tuple[np.ndarr
 
     at = np.flatnonzero(whole(len(flat), offsets, q))
     return at, widen(flat.astype(np.uint64) + np.uint64(1), q, join)[at]
+
+
+def wild_codes(flat: np.ndarray, offsets: np.ndarray, q: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where, code) of the windows of q bases and at most `most` N, q up to 32, each N written out as every base; other windows have none."""
+    if len(flat) < q:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    two, unknown = CODES[flat], flat == ord("N")
+    held, bad = np.r_[0, np.cumsum(unknown)], np.r_[0, np.cumsum((two > 3) & ~unknown)]
+    at = np.flatnonzero(whole(len(flat), offsets, q) & (bad[q:] == bad[:-q]) & (held[q:] - held[:-q] <= most))
+    code = widen(np.where(unknown, np.uint64(0), two.astype(np.uint64) & np.uint64(3)), q, lambda a, b, width: a << np.uint64(2 * width) | b)[at]
+    places, first, n = np.flatnonzero(unknown), held[at], held[at + q] - held[at]
+    for i in range(most):
+        open_ = np.flatnonzero(n > i)
+        lift = (2 * (at[open_] + q - 1 - places[first[open_] + i])).astype(np.uint64)
+        more = [code[open_] | (np.uint64(base) << lift) for base in (1, 2, 3)]
+        at, first, n = (np.concatenate([v, *[v[open_]] * 3]) for v in (at, first, n))
+        code = np.concatenate([code, *more])
+    return at, code

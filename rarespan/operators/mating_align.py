@@ -5,9 +5,9 @@ int((1 - similarity) * width) mismatches, on either strand. The plan is seed and
 bases with e mismatches holds an exact run of ceil((w - e) / (e + 1)), so some shared q-gram, q the least
 such run, names the shift, and a pair is compared at the shifts its q-grams name. Queries are a bounded sample:
 after a count they go to every task, where a batch of reads finds its seeds and compares all candidates at
-once, as matrices of bytes. More queries meet the reads in an equi join on q-grams (mating_join). Without a useful q, for
-the historic reverse complement, and for sequences with N where N is a wildcard, every shift is tried, on bit planes, for
-blocks of the queries.
+once, on bit planes. More queries meet the reads in an equi join on q-grams (mating_join), or go to the tasks block by block
+for the historic reverse complement and where N is a wildcard. A wildcard in a q-gram is written out as every base on either
+side, so it hides no seed. Without a useful q, and for sequences with dense N where N is a wildcard, every shift is tried.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from rarespan.config import Mating
 from rarespan.functions import rolling
-from rarespan.operators import mating_join
+from rarespan.operators import mating_join, overlap
 from rarespan.operators.iterate import durable
-from rarespan.operators.overlap import allowed, overlap_well, strands
+from rarespan.operators.overlap import allowed
 
 
 def tiles(reads: DataFrame, width: int = 50) -> DataFrame:
@@ -44,58 +44,174 @@ def seed_length(shortest: int, longest: int, m: Mating) -> int:
     return best
 
 
+#: Most N in a q-gram that is written out with every base in their places, where N is a wildcard.
+WRITTEN_OUT = 2
+#: Bits of the bases, which two neighbours of a seed share if they match; N is a base of its own, or every base. Other bytes match nothing here.
+KINDS = np.zeros(256, np.uint8)
+KINDS[list(b"ACGTN")] = [1, 2, 4, 8, 16]
+WILD_KINDS = np.where(KINDS == 16, np.uint8(15), KINDS)
+
+
+def seeds_of(flat: np.ndarray, offsets: np.ndarray, q: int, m: Mating):
+    """(where, hash, kind of the byte ahead in the sequence) of every q-gram; where N is a wildcard, of each with bases in its place."""
+    where, h = rolling.wild_codes(flat, offsets, q, WRITTEN_OUT) if m.n_wildcard else rolling.gram_hashes(flat, offsets, q)
+    kinds = (WILD_KINDS if m.n_wildcard else KINDS)[flat]
+    ahead = np.r_[np.uint8(0), kinds[:-1]] if len(kinds) else kinds
+    ahead[offsets[:-1][np.diff(offsets) > 0]] = 0
+    return where, h * np.uint64(0x9E3779B97F4A7C15), ahead[where]
+
+
+def literal_reversed(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The historic reverse complement of each sequence."""
+    size = np.diff(offsets)
+    source = np.repeat(offsets[:-1] + offsets[1:], size) - np.arange(len(flat))
+    out = OPPOSITE[flat[np.minimum(source, len(flat) - 1)]]
+    out[offsets[:-1][size > 0]] = ord("N")
+    return out
+
+
+OPPOSITE = np.full(256, ord("N"), np.uint8)
+OPPOSITE[list(b"ACGT")] = list(b"TGCA")
+
+
 class Seeds:
-    """The q-grams of a bounded query set, sorted by hash, and what verifies a candidate."""
+    """The q-grams of a bounded query set, sorted by hash, and what verifies a candidate.
 
-    def __init__(self, rows: pa.Table, q: int, m: Mating):
+    A run of matching bases names its shift once, by its first q-gram: a common q-gram whose neighbours ahead match too is none.
+    """
+
+    def __init__(self, rows: pa.Table, q: int, m: Mating, bits: int = 18):
         seqs = rows["q"].combine_chunks()
-        self.ids, self.q, self.m = rows["query_id"].to_numpy(), q, m
+        self.ids, self.number = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+        self.q, self.m, self.bits, self.strand = q, m, np.uint64(64 - bits), rows["strand"].to_numpy()
         self.flat, self.offsets = rolling.bytes_of(seqs)
-        at, h = rolling.gram_hashes(self.flat, self.offsets, q)
+        at, h, ahead = seeds_of(self.flat, self.offsets, q, m)
         order = np.argsort(h, kind="stable")
-        self.hash, at = h[order], at[order]
+        self.hash, self.ahead, at = h[order], ahead[order], at[order]
         self.query = np.searchsorted(self.offsets, at, side="right") - 1
         self.at = at - self.offsets[self.query]
-
-    def candidates(self, flat: np.ndarray, offsets: np.ndarray, most: int = 2_000_000):
-        """(read, query, shift) of every shift that a common q-gram names, once in a slice of the reads."""
-        where, h = rolling.gram_hashes(flat, offsets, self.q)
-        left, right = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, side="right")
-        some = np.flatnonzero(right > left)
-        where, left, count = where[some], left[some], (right - left)[some]
+        self.marked = np.zeros(1 << bits, bool)  # a first look that most q-grams fail
+        self.marked[self.hash >> self.bits] = True
+
+    def candidates(self, flat: np.ndarray, offsets: np.ndarray, most: int = 1_000_000):
+        """(read, query, shift) of every shift that a run of matching bases names, in slices."""
+        where, h, ahead = seeds_of(flat, offsets, self.q, self.m)
+        maybe = np.flatnonzero(self.marked[h >> self.bits])
+        left = np.searchsorted(self.hash, h[maybe])
+        count = np.searchsorted(self.hash, h[maybe], side="right") - left
+        some = np.flatnonzero(count)
+        where, ahead, left, count = where[maybe[some]], ahead[maybe[some]], left[some], count[some]
         read = np.searchsorted(offsets, where, side="right") - 1
-        done = np.cumsum(count)
-        for lo in range(0, int(done[-1]) if len(done) else 0, most):
-            part = slice(int(np.searchsorted(done, lo, side="right")), int(np.searchsorted(done, lo + most, side="right")) + 1)
-            c = count[part]
-            g = np.repeat(left[part], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            r = np.repeat(read[part], c)
-            shift = self.at[g] - np.repeat(where[part] - offsets[read[part]], c)
-            yield np.unique(np.stack([r, self.query[g], shift]), axis=1) if len(r) else np.zeros((3, 0), np.int64)
+        place = where - offsets[read]
+        part = (np.cumsum(count) - count) // most
+        edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        for lo, hi in zip(edge, [*edge[1:], len(part)]):
+            c = count[lo:hi]
+            own = np.repeat(np.arange(lo, hi), c)
+            g = np.arange(len(own)) + np.repeat(left[lo:hi] - (np.cumsum(c) - c), c)
+            first = np.flatnonzero((self.ahead[g] & ahead[own]) == 0)
+            own, g = own[first], g[first]
+            yield read[own], self.query[g], self.at[g] - place[own]
+
+    def found(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(read, number of the query's id): the distinct pairs that match."""
+        literal = self.m.literal_reverse and self.m.both_strands
+        own, size, pairs = overlap.Side(self.flat, self.offsets), np.diff(self.offsets), [np.zeros(0, np.int64)]
+        for turned in (False, True) if literal else (False,):
+            bases = literal_reversed(flat, offsets) if turned else flat
+            other = overlap.Side(bases, offsets)
+            for read, query, shift in self.candidates(bases, offsets):
+                if literal:  # the shorter one is reversed, of two of equal length the read
+                    longer = size[query] < np.diff(offsets)[read]
+                    fits = np.flatnonzero((self.strand[query] == 0) & ~longer if turned else (self.strand[query] == 0) | longer)
+                    read, query, shift = read[fits], query[fits], shift[fits]
+                good = overlap.overlap_well(self.m, own, query, other, read, shift)
+                pairs.append(np.unique(read[good] * len(self.ids) + self.number[query[good]]))
+        return np.divmod(np.unique(np.concatenate(pairs)), max(1, len(self.ids)))
+
+
+def odd_ones(flat: np.ndarray, offsets: np.ndarray, q: int) -> np.ndarray:
+    """Which sequences no seeds with wildcards are made of: those with N too dense to be written out, or with other characters."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    out = np.zeros(len(offsets) - 1, bool)
+    out[row[~COMMON[flat]]] = True
+    at = np.flatnonzero(flat == ord("N"))
+    first, last = at[:-WRITTEN_OUT], at[WRITTEN_OUT:]
+    out[row[first[(last - first < q) & (row[first] == row[last])]]] = True
+    return out
 
-    def accepted(self, flat, offsets, read, query, shift) -> np.ndarray:
-        return overlap_well(self.m, (self.flat, self.offsets, query), (flat, offsets, read), shift)
+
+class Search:
+    """What a task needs to find the mates of a bounded query set: seeds, and the queries that are compared at every shift."""
+
+    def __init__(self, rows: pa.Table, q: int, m: Mating):
+        self.m, self.q, self.every, self.odd_queries = m, min(q, rolling.LONGEST_CODE) if m.n_wildcard else q, {}, {}
+        if m.n_wildcard:
+            ids, strand = rows["query_id"].to_numpy(), rows["strand"].to_numpy()
+            odd = np.isin(ids, ids[odd_ones(*rolling.bytes_of(rows["q"].combine_chunks()), self.q)])
+            for held, some in ((self.every, strand == 0), (self.odd_queries, odd & (strand == 0))):
+                for r in rows.filter(pa.array(some)).to_pylist():
+                    held.setdefault(len(r["q"]), []).append((r["query_id"], r["q"]))
+            rows = rows.filter(pa.array(~odd))
+        self.seeds = Seeds(rows, self.q, m)
+
+    def odd(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if not self.m.n_wildcard:
+            return np.zeros(len(offsets) - 1, bool)
+        out = odd_ones(flat, offsets, self.q)
+        return out | odd_ones(literal_reversed(flat, offsets), offsets, self.q) if self.m.literal_reverse else out
+
+    def found(self, seqs: pa.Array):
+        """(query_id, row) arrays of the pairs that match, for distinct sequences without null."""
+        for b in rolling.pieces(pa.RecordBatch.from_arrays([seqs, pa.array(np.arange(len(seqs)))], ["seq", "row"]), 0, 1 << 20):
+            seq, rows = b.column(0), b.column(1).to_numpy()
+            flat, offsets = rolling.bytes_of(seq)
+            odd = self.odd(flat, offsets)
+            for which, asked in ((np.flatnonzero(odd), self.every), (np.flatnonzero(~odd), self.odd_queries)):
+                if len(which) and asked:
+                    pairs = every_shift(rows[which], seq.take(pa.array(which)).to_pylist(), asked, self.m)
+                    yield pairs["query_id"].to_numpy(), pairs["read_id"].to_numpy()
+            if odd.any():
+                left = np.flatnonzero(~odd)
+                rows = rows[left]
+                flat, offsets = rolling.bytes_of(seq.take(pa.array(left)))
+            read, query = self.seeds.found(flat, offsets)
+            yield self.seeds.ids[query], rows[read]
 
 
 def pairs_seeded(queries: DataFrame, reads: DataFrame, q: int, m: Mating, few: int = 20_000) -> DataFrame:
     """Distinct (query_id, read_id) that match."""
-    asked = strands(queries, m).limit(few + 1).toArrow()
+    asked = overlap.strands(queries, m).limit(few + 1).toArrow()
     if asked.num_rows > few:
         return mating_join.pairs(queries, reads.withColumn("copies", F.lit(1).cast("long")), q, m).drop("copies")
-    shared = reads.sparkSession.sparkContext.broadcast(Seeds(asked, q, m))
+    shared = reads.sparkSession.sparkContext.broadcast(Search(asked, q, m))
 
     def run(batches):
-        seeds = shared.value
-        for whole in batches:
-            for b in rolling.pieces(whole, 1, 1 << 20):
-                flat, offsets = rolling.bytes_of(b.column(1))
-                for read, query, shift in seeds.candidates(flat, offsets):
-                    good = seeds.accepted(flat, offsets, read, query, shift)
-                    yield pa.RecordBatch.from_arrays([pa.array(seeds.ids[query[good]]), b.column(0).take(pa.array(read[good]))], ["query_id", "read_id"])
+        for b in batches:
+            for query_id, row in shared.value.found(b.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(query_id), b.column(0).take(pa.array(row))], ["query_id", "read_id"])
 
     return reads.select("read_id", "seq").mapInArrow(run, "query_id long, read_id long").distinct()
 
 
+def counts_seeded(queries: DataFrame, reads: DataFrame, q: int, m: Mating) -> DataFrame:
+    """(query_id, n): mates of a bounded query set. Equal reads of a batch are compared once, and a task sends a number for each query."""
+    shared = reads.sparkSession.sparkContext.broadcast(Search(overlap.strands(queries, m).toArrow(), q, m))
+
+    def run(batches):
+        n: dict[int, int] = {}
+        for b in batches:
+            kinds = b.column(0).dictionary_encode()
+            times = np.bincount(kinds.indices.to_numpy(), minlength=len(kinds.dictionary))
+            for query_id, row in shared.value.found(kinds.dictionary):
+                ids, at = np.unique(query_id, return_inverse=True)
+                for i, more in zip(ids.tolist(), np.bincount(at, times[row], len(ids)).astype(np.int64).tolist()):
+                    n[i] = n.get(i, 0) + more
+        yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.int64()), pa.array(list(n.values()), pa.int64())], ["query_id", "n"])
+
+    return reads.select("seq").mapInArrow(run, "query_id long, n long").groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
 
@@ -178,11 +294,15 @@ def match_rows(short: np.ndarray, long_: np.ndarray, m: Mating) -> np.ndarray:
 
 def pairs_all(queries: DataFrame, reads: DataFrame, m: Mating, most: int = 20_000) -> DataFrame:
     """The same by trying every shift, for blocks of about `most` queries one after the other, so that no more are on the driver."""
-    n = queries.count()
-    parts = max(1, math.ceil(n / most))
+    done = [pairs_of_block(block, reads, m) for block in blocks(queries, most)]
+    return reduce(DataFrame.unionByName, done if len(done) == 1 else map(durable, done))
+
+
+def blocks(queries: DataFrame, most: int) -> list[DataFrame]:
+    """The queries in parts of about `most`."""
+    parts = max(1, math.ceil(queries.count() / most))
     block = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    done = [pairs_of_block(queries.where(block == i), reads, m) for i in range(parts)] if parts == 1 else [durable(pairs_of_block(queries.where(block == i), reads, m)) for i in range(parts)]
-    return reduce(DataFrame.unionByName, done)
+    return [queries.where(block == i) for i in range(parts)]
 
 
 def pairs_of_block(queries: DataFrame, reads: DataFrame, m: Mating, few: int = 128) -> DataFrame:
@@ -197,51 +317,53 @@ def pairs_of_block(queries: DataFrame, reads: DataFrame, m: Mating, few: int = 1
 
     def run(batches):
         for b in batches:
-            out = []
-            for length, own in b.groupby(b["seq"].str.len()):
-                for at in range(0, len(own) if length else 0, few):
-                    ids, seqs = own["read_id"].to_numpy()[at : at + few], own["seq"].tolist()[at : at + few]
-                    for q_length, qs in shared.value.items():
-                        if not q_length:
-                            continue
-                        q_ids, q_seqs = np.array([q[0] for q in qs]), [q[1] for q in qs]
-                        short, long_ = (q_seqs, seqs) if q_length < length else (seqs, q_seqs)
-                        hit = match_matrix(matrix(short), matrix(long_), m)
-                        if m.both_strands:
-                            hit |= match_matrix(matrix([reversed_strand(s, m.literal_reverse) for s in short]), matrix(long_), m)
-                        i, j = np.nonzero(hit)
-                        i, j = (i, j) if q_length < length else (j, i)
-                        out.append(pd.DataFrame({"query_id": q_ids[i], "read_id": ids[j]}))
-            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "read_id": []}, dtype="int64")
+            yield every_shift(b["read_id"].to_numpy(), b["seq"].tolist(), shared.value, m, few)
 
     return reads.select("read_id", "seq").mapInPandas(run, "query_id long, read_id long")
 
 
+def every_shift(read_ids: np.ndarray, reads: list[str], asked: dict[int, list], m: Mating, few: int = 128) -> pd.DataFrame:
+    """(query_id, read_id) of the pairs of some reads and of queries (id, sequence) by length that some shift aligns."""
+    out = []
+    sizes = np.array([len(s) for s in reads])
+    for length in np.unique(sizes[sizes > 0]).tolist():
+        own = np.flatnonzero(sizes == length)
+        for at in range(0, len(own), few):
+            ids, seqs = read_ids[own[at : at + few]], [reads[i] for i in own[at : at + few]]
+            for q_length, qs in asked.items():
+                if not q_length:
+                    continue
+                q_ids, q_seqs = np.array([q[0] for q in qs]), [q[1] for q in qs]
+                short, long_ = (q_seqs, seqs) if q_length < length else (seqs, q_seqs)
+                hit = match_matrix(matrix(short), matrix(long_), m)
+                if m.both_strands:
+                    hit |= match_matrix(matrix([reversed_strand(s, m.literal_reverse) for s in short]), matrix(long_), m)
+                i, j = np.nonzero(hit)
+                i, j = (i, j) if q_length < length else (j, i)
+                out.append(pd.DataFrame({"query_id": q_ids[i], "read_id": ids[j]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "read_id": []}, dtype="int64")
+
+
 #: Queries beyond which they meet reads in a join instead of going to every task.
 MANY = 10_000
 
 
 def mates(queries: DataFrame, reads: DataFrame, m: Mating, cross: bool = False, least_seed: int = 8) -> DataFrame:
-    """(query_id, mates) of queries (query_id, seq); cross: the queries are of another dataset, and count themselves. Null and empty sequences match nothing."""
+    """(query_id, mates) of queries (query_id, seq), whose ids are distinct, as those of the reads; cross: the queries are of another dataset, and count themselves. Null and empty sequences match nothing."""
+    queries = durable(queries.select("query_id", "seq"))  # a sample may be a pass over all reads
     every_id = queries.select("query_id")
     queries, reads = (df.where(F.length("seq") > 0) for df in (queries, reads))
     edge = reads.select("seq").unionByName(queries.select("seq")).agg(F.min(F.length("seq")), F.max(F.length("seq"))).head()
     q = seed_length(edge[0], edge[1], m) if edge[0] else 0
 
-    def seeded(asked: DataFrame, seen: DataFrame) -> DataFrame:
-        if asked.limit(MANY + 1).count() > MANY:
-            return mating_join.counts(asked, seen, q, m, mating_join.spare_grams(edge[0], edge[1], q, m))
-        return counted(pairs_seeded(asked, seen, q, m))
-
-    if q < least_seed or m.literal_reverse:
+    if q < least_seed:
         found = counted(pairs_all(queries, reads, m))
-    elif m.n_wildcard:  # a wildcard hides a seed, so whatever holds one is compared at every shift, and the rest by seeds
-        plain = lambda df: (df.where(F.col("seq").rlike("^[ACGT]*$")), df.where(~F.col("seq").rlike("^[ACGT]*$")))
-        (some, other), (clean, odd) = plain(queries), plain(reads)
-        every = counted(pairs_all(other, reads, m).unionByName(pairs_all(some, odd, m)))
-        found = every.unionByName(seeded(some, clean)).groupBy("query_id").agg(F.sum("n").alias("n"))
+    elif queries.limit(MANY + 1).count() <= MANY:
+        found = counts_seeded(queries, reads, q, m)
+    elif m.literal_reverse or m.n_wildcard:
+        found = reduce(DataFrame.unionByName, [durable(counts_seeded(block, reads, q, m)) for block in blocks(queries, MANY)])
     else:
-        found = seeded(queries, reads)
+        found = mating_join.counts(queries, reads, q, m, mating_join.spare_grams(edge[0], edge[1], q, m))
     return every_id.join(found, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) + (1 if cross else 0)).alias("mates"))
 
 

@@ -99,7 +99,7 @@ def verified(met: DataFrame, m: Mating, most: int = 1 << 20) -> DataFrame:
             if not b.num_rows:
                 continue
             query_id, q, at_q, read_id, copies, seq, at_s = b.columns
-            (flat_q, off_q), (flat_s, off_s) = rolling.bytes_of(q), rolling.bytes_of(seq)
+            side_q, side_s = overlap.Side(*rolling.bytes_of(q)), overlap.Side(*rolling.bytes_of(seq))
             good = np.zeros(b.num_rows, bool)
             n = np.diff(rolling.offsets_of(at_q)) * np.diff(rolling.offsets_of(at_s))
             part = (np.cumsum(n) - n) // most
@@ -110,7 +110,7 @@ def verified(met: DataFrame, m: Mating, most: int = 1 << 20) -> DataFrame:
                     shift = one_row(at_q[int(r)].values.to_numpy(), at_s[int(r)].values.to_numpy())
                     found.append((np.full(len(shift), r), shift))
                 for row, shift in found:
-                    fits = overlap.overlap_well(m, (flat_q, off_q, row), (flat_s, off_s, row), shift)
+                    fits = overlap.overlap_well(m, side_q, row, side_s, row, shift)
                     good[row[fits]] = True
             kept = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([c.take(kept) for c in (query_id, read_id, copies)], ["query_id", "read_id", "copies"])

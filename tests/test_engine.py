@@ -471,3 +471,35 @@ def test_bit_planes_compare_as_bytes_do():
             odd = short.copy()
             odd[0, 0] = ord("x")
             assert mating_align.match_matrix(odd, long_, m).shape == plain.shape
+
+
+@pytest.mark.parametrize("m", [Mating(kernel="alignment", **flags) for flags in ({}, {"n_mismatch": True}, {"n_wildcard": True}, {"literal_reverse": True}, {"literal_reverse": True, "n_wildcard": True}, {"literal_reverse": True, "n_mismatch": True}, {"both_strands": False, "n_wildcard": True})])
+def test_seeds_find_what_every_shift_finds(spark, monkeypatch, m):
+    """Related reads of many lengths, some with an N, some with dense N or other characters, more queries than a block takes."""
+    import random
+
+    rng = random.Random(31)
+    genome = "".join(rng.choices("ACGT", k=900))
+    rows = []
+    for i in range(260):
+        at, n = rng.randrange(0, 800), rng.choice((44, 50, 61, 62, 70, 100))
+        s = list(genome[at : at + n])
+        for _ in range(rng.choice((0, 0, 1, 2, 4))):
+            s[rng.randrange(len(s))] = rng.choice("ACGTN")
+        if i % 9 == 0:
+            s[5:25] = [c if rng.random() < 0.5 else "N" for c in s[5:25]]
+        if i % 31 == 0:
+            s[3] = "X"
+        s = "".join(s)
+        rows.append((i, mating_align.reversed_strand(s, False) if i % 3 == 1 else s))
+    rows += [(1000 + i, s) for i, s in rows[:40]] + [(2000, ""), (2001, None)]
+    r = frame(spark, rows, "read_id long, seq string")
+    q = r.where("read_id % 3 = 0").withColumnRenamed("read_id", "query_id")
+    seen, asked = r.where("seq <> ''"), q.where("seq <> ''")
+    wanted = {x["query_id"]: x["n"] for x in mating_align.counted(mating_align.pairs_all(asked, seen, m)).collect()}
+    monkeypatch.setattr(mating_align, "pairs_all", None)  # no pair is tried at every shift but those of odd sequences
+    got = {x["query_id"]: x["mates"] for x in mating_align.mates(q, r, m).collect()}
+    assert got == {x["query_id"]: wanted.get(x["query_id"], 0) for x in q.collect()} and max(wanted.values()) > 5
+    if m.literal_reverse or m.n_wildcard:
+        monkeypatch.setattr(mating_align, "MANY", 20)
+        assert {x["query_id"]: x["mates"] for x in mating_align.mates(q, r, m).collect()} == got
