@@ -35,23 +35,43 @@ def mates(reads: DataFrame, by: str, k: int) -> DataFrame:
     return kmer_runs.mates(reads, k, by=by)
 
 
-def summaries(mated: DataFrame, meta: DataFrame, by: str, s: Sampling, closed: bool = False) -> DataFrame:
-    """(by, portion_idx, portion, R, avg, sd, q1, q2, q3) from binomial draws of each number of mates, or in closed form. No row is made for a single query."""
-    rows = mating_kmer.histogram(mated, by).join(durable(grid(meta, by, s)), by).select(by, "mates", "n_queries", "portion_idx", "portion", found_probability().alias("p"))
+def summaries(mated: DataFrame, meta: DataFrame, by: str, s: Sampling, closed: bool = False, literal: bool = False) -> DataFrame:
+    """(by, portion_idx, portion, R, avg, sd, q1, q2, q3) from binomial draws of each number of mates, in closed form, or literal, by uniforms of each query. No row is made for a single query but in the literal form."""
+    points = durable(grid(meta, by, s))
+    if literal:
+        return rarefaction.summarise(literal_draws(mated, points, by, s), (by,)).join(meta.select(by, "R"), by)
+    rows = mating_kmer.histogram(mated, by).join(points, by).select(by, "mates", "n_queries", "portion_idx", "portion", found_probability().alias("p"))
     out = rarefaction.closed_summary(rows, (by,)) if closed else rarefaction.summarise(rarefaction.drawn(rows, [by], s), (by,))
     return out.join(meta.select(by, "R"), by)
 
 
+def literal_draws(mated: DataFrame, points: DataFrame, by: str, s: Sampling) -> DataFrame:
+    """(by, portion_idx, portion, replicate, redundancy): a uniform for inclusion and one for the match of each query, which other engines can repeat.
+
+    What a replicate asks of a query is written once for all queries: the digest's head, and the digest below which the query is
+    drawn. So a query that is not drawn costs a digest and a comparison, and no row; one without other mates is never found.
+    """
+    runs = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(s.replicates - 1))).alias("replicate"))
+    below = F.ceil(F.col("portion") * 4294967296.0)
+    asked = runs.select("*", F.concat_ws("|", F.lit(str(s.seed)), F.col(by).cast("string"), "portion_idx", "replicate", F.lit("")).alias("head"), F.when(below < 1 << 32, F.lower(F.lpad(F.hex(below), 8, "0"))).otherwise("g").alias("below"))
+    inside = F.md5(F.concat("head", F.col("query_id").cast("string"), F.lit("|in"))) < F.col("below")
+    rows = mated.join(F.broadcast(asked), by).where(inside)  # groups x grid x replicates: some thousand rows
+    hit = S.uniform(s.seed, F.col(by), F.col("portion_idx"), F.col("replicate"), F.col("query_id"), F.lit("hit")) < found_probability()
+    found = rows.groupBy(by, "portion_idx", "replicate").agg(F.count("*").alias("inside"), F.count_if(F.when(F.col("mates") > 1, hit).otherwise(False)).alias("found"))
+    every = runs.select(by, "portion_idx", "portion", "replicate").join(found, [by, "portion_idx", "replicate"], "left")
+    return every.select(by, "portion_idx", "portion", "replicate", F.coalesce(F.col("found") / F.col("inside"), F.lit(0.0)).alias("redundancy"))
+
+
 def expected(mated: DataFrame, meta: DataFrame, by: str, s: Sampling) -> DataFrame:
     """(by, portion_idx, portion, R, redundancy): the closed form of each group."""
     both = mating_kmer.histogram(mated, by).join(grid(meta, by, s), by)
     return both.groupBy(by, "portion_idx", "portion", "R").agg((F.sum(F.col("n_queries") * found_probability()) / F.sum("n_queries")).alias("redundancy"))
 
 
-def curve_tables(reads: DataFrame, by: str, k: int, s: Sampling, closed: bool = False) -> tuple[DataFrame, DataFrame]:
+def curve_tables(reads: DataFrame, by: str, k: int, s: Sampling, closed: bool = False, literal: bool = False) -> tuple[DataFrame, DataFrame]:
     """Curve metadata and points of each group, labelled by it, for the operators on curves."""
     reads = reads.where(F.length("seq") >= k)
     meta = durable(metadata(reads, by, k, s))
-    points = summaries(mates(reads, by, k), meta, by, s, closed)
+    points = summaries(mates(reads, by, k), meta, by, s, closed, literal)
     points = points.select(F.col(by).alias("label"), (F.col("portion") * F.col("R")).alias("x_obs"), "avg", "sd", "q1", "q2", "q3")
     return meta.withColumnRenamed(by, "label"), points

@@ -503,3 +503,27 @@ def test_seeds_find_what_every_shift_finds(spark, monkeypatch, m):
     if m.literal_reverse or m.n_wildcard:
         monkeypatch.setattr(mating_align, "MANY", 20)
         assert {x["query_id"]: x["mates"] for x in mating_align.mates(q, r, m).collect()} == got
+
+
+def test_literal_draws_of_groups_ask_every_query(spark):
+    """Every replicate draws from every query, uniform by uniform; the registered curves come from such draws."""
+    import hashlib
+    import statistics
+
+    from rarespan import catalogue
+
+    mated = frame(spark, [("x", i, 1 + i % 5) for i in range(60)] + [("y", i, 3) for i in range(7)], "label string, query_id long, mates long")
+    meta = frame(spark, [("x", 60), ("y", 7)], "label string, R long")
+    s = Sampling(replicates=12, seed=4)
+    u = lambda *parts: int(hashlib.md5("|".join(map(str, (4, *parts))).encode()).hexdigest()[:8], 16) / 2**32
+    got = {(r["label"], r["portion_idx"]): r for r in grouped.summaries(mated, meta, "label", s, literal=True).collect()}
+    own = {"x": [(i, 1 + i % 5) for i in range(60)], "y": [(i, 3) for i in range(7)]}
+    assert {k[0] for k in got} == {"x", "y"} and any(r["sd"] > 0 for r in got.values())
+    for (label, idx), r in got.items():
+        values, total = [], r["R"]
+        for run in range(12):
+            inside = [(i, m) for i, m in own[label] if u(label, idx, run, i, "in") < r["portion"]]
+            found = [i for i, m in inside if u(label, idx, run, i, "hit") < 1 - (1 - (m - 1) / (total - 1)) ** max(0, math.floor(total * r["portion"]) - 1)]
+            values.append(len(found) / len(inside) if inside else 0.0)
+        assert [r["avg"], r["sd"], r["q1"], r["q2"], r["q3"]] == pytest.approx([statistics.fmean(values), statistics.pstdev(values), *(sorted(values)[i] for i in (3, 6, 9))], abs=1e-9)
+    assert all("unnest(range(0, 32)) AS replicate" in catalogue.oracle_sql()[n] for n in ("coverage_points", "curve_fit", "plot_series", "curve_set_add"))
