@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from rarespan.functions import rolling
 
-#: Bases of the windows that compete to be the minimizer, and windows that a task counts at once.
-SHORT, CHUNK = 12, 1 << 21
+#: Bases of the windows that compete to be the minimizer; bases that fall into runs at once, which bounds a task's arrays to
+#: about a hundred bytes each, as it does where windows are counted.
+SHORT, PIECE = 12, 1 << 19
 COMPLEMENT = np.zeros(256, np.uint8)
 COMPLEMENT[list(b"ACGTacgt")] = list(b"TGCATGCA")
 
@@ -91,7 +92,7 @@ def runs(reads: DataFrame, k: int, key: str | None = None, by: str | None = None
 
     def run(batches):
         for whole in batches:
-            for b in rolling.pieces(whole, len(columns)):
+            for b in rolling.pieces(whole, len(columns), PIECE):
                 groups = b.column(0).dictionary_encode() if by else None
                 parts = [(None, None)] if groups is None else [(g, v) for g, v in enumerate([*groups.dictionary, None])]
                 for g, value in parts:
@@ -112,6 +113,15 @@ def runs(reads: DataFrame, k: int, key: str | None = None, by: str | None = None
     return reads.select(*columns, "seq").mapInArrow(run, schema)
 
 
+def parts(text: pa.Array):
+    """Slices of about PIECE bytes."""
+    size = np.diff(rolling.offsets_of(text))
+    part = (np.cumsum(size) - size) // PIECE
+    edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    for lo, hi in zip(edge, [*edge[1:], len(part)]):
+        yield slice(int(lo), int(hi))
+
+
 def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes, sorted, with the sums of n."""
     order = np.argsort(code, kind="stable")
@@ -128,8 +138,7 @@ class Counted:
         self.code, self.n, self.asked, self.query = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], []
 
     def add(self, text: pa.Array, n: np.ndarray, query: pa.Array | None) -> None:
-        for lo in range(0, len(n), CHUNK // 32):
-            some = slice(lo, lo + CHUNK // 32)
+        for some in parts(text):
             flat, offsets = rolling.bytes_of(text[some])
             _, code = rolling.kmer_codes(flat, offsets, self.k)
             each = np.diff(offsets) - (self.k - 1)

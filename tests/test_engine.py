@@ -527,3 +527,22 @@ def test_literal_draws_of_groups_ask_every_query(spark):
             values.append(len(found) / len(inside) if inside else 0.0)
         assert [r["avg"], r["sd"], r["q1"], r["q2"], r["q3"]] == pytest.approx([statistics.fmean(values), statistics.pstdev(values), *(sorted(values)[i] for i in (3, 6, 9))], abs=1e-9)
     assert all("unnest(range(0, 32)) AS replicate" in catalogue.oracle_sql()[n] for n in ("coverage_points", "curve_fit", "plot_series", "curve_set_add"))
+
+
+def test_counting_runs_holds_little_at_once():
+    """Many long runs of one minimizer are counted piece by piece: far less memory than all their windows take."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    own = ["".join(rng.choice(list("ACGT"), 90)) for _ in range(500)]
+    text = pa.array([s.encode() for s in own * 80], pa.binary())
+    one = kmer_runs.Counted(24)
+    tracemalloc.start()
+    one.add(text, np.ones(len(text), np.int64), None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(one.code) == 500 * 67 and set(one.n.tolist()) == {80}
+    assert peak < 100 * 2**20  # 3.6 million bases
