@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 
 from rarespan.llm.common import cut
 
+#: Rows of links or labels that make a partition.
+ROWS = 1 << 13
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df, of `rows` rows at most, in no more partitions than these fill: each task of a shuffle or a table leaves files, however few its rows."""
+    return df.coalesce(max(1, -(-rows // ROWS)))
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """df, cut, in partitions by the number of its rows."""
+    df = cut(df)
+    return packed(df, df.count())
+
 
 def scramble(x: Column) -> Column:
     """The number with its 64 bits in reverse order: a bijection that is its own inverse."""
@@ -20,25 +34,26 @@ def components(links: DataFrame) -> DataFrame:
     pointer once more, and replaces the ends of links by what they point at; links inside a node vanish. The
     order is that of the reversed bits, so that a chain of consecutive ids loses every other node in a round
     and rounds grow with the logarithm of its length. A round moves
-    links and labels only, and each table is cut.
+    links and labels only, in partitions by their number, and each table is cut.
     """
     edges = links.where(F.col("a") != F.col("b")).select(scramble(F.col("a")).alias("a"), scramble(F.col("b")).alias("b"))
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    while not edges.isEmpty():
+    labels, nodes = None, 0
+    while n := edges.count():
+        edges = packed(edges, n)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("b")).select("v", F.least("v", "b").alias("t")))
+        to = cut(packed(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("b")).select("v", F.least("v", "b").alias("t")), 2 * n))
         jump = to.select(F.col("v").alias("t"), F.col("t").alias("t2"))
-        to = cut(to.join(jump, "t", "left").select("v", F.coalesce("t2", "t").alias("t")))
+        to = cut(packed(to.join(jump, "t", "left").select("v", F.coalesce("t2", "t").alias("t")), 2 * n))
         a, b = to.select(F.col("v").alias("a"), F.col("t").alias("ta")), to.select(F.col("v").alias("b"), F.col("t").alias("tb"))
-        edges = edges.join(a, "a").join(b, "b").where(F.col("ta") != F.col("tb"))
-        edges = cut(edges.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        edges = packed(packed(edges.join(a, "a"), n).join(b, "b").where(F.col("ta") != F.col("tb")), n)
+        edges = cut(packed(edges.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), n))
         if labels is None:
-            labels = to.select(F.col("v").alias("node"), F.col("t").alias("root"))
+            labels, nodes = to.select(F.col("v").alias("node"), F.col("t").alias("root")), 2 * n
         else:
-            labels = cut(labels.join(to, F.col("root") == F.col("v"), "left").select("node", F.coalesce("t", "root").alias("root")))
+            labels = cut(packed(labels.join(to, F.col("root") == F.col("v"), "left").select("node", F.coalesce("t", "root").alias("root")), nodes))
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("comp")).where(F.lit(False))
     labels = cut(labels.select(scramble(F.col("node")).alias("node"), "root"))
-    least = cut(labels.groupBy("root").agg(F.min("node").alias("comp")))
+    least = cut(packed(labels.groupBy("root").agg(F.min("node").alias("comp")), nodes))
     return labels.join(least, "root").select("node", "comp")

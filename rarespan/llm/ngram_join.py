@@ -21,7 +21,8 @@ Two texts link when 100 * |A & B| >= 80 * |A | B| of their sets of five-word shi
 5. Components of all links, over classes, then documents.
 
 Scale: a list of a frequent shingle is dealt to block pairs of about LIST entries; families and guests to blocks of
-BLOCK_MEMBERS sets or BLOCK_SHINGLES shingles, the number of which is known before any set is moved. The driver
+BLOCK_MEMBERS sets or BLOCK_SHINGLES shingles, the number of which is known before any set is moved, and SIDE by SIDE
+blocks meet in a task. Tables of few rows are in few partitions, as each task leaves files. The driver
 holds a bitmap sized by its count, 128 MB at most, and at most FREQUENT shingles. Sets are recomputed from the text
 where they are needed. Two large families that are just short of linking cost the product of their sizes
 in derived answers: nothing is dropped to avoid it.
@@ -43,12 +44,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rarespan.llm.common import cut, sliced, stored
-from rarespan.llm.graph import components
+from rarespan.llm.graph import components, counted
 
 WIDTH, PERCENT, SKETCH, ALIKE, SURE = 5, 80, 16, 5, 10
 PIVOTS = (0, 0x2AAAAAAAAAAAAAAA, 0x1999999999999999)
 SAMPLE_RATE, SAMPLE_COUNT, FREQUENT, LIST = 8, 4, 1 << 17, 4096
-BLOCK_SHINGLES, BLOCK_MEMBERS, SALTS = 1 << 20, 512, 32
+BLOCK_SHINGLES, BLOCK_MEMBERS, SALTS, SIDE = 1 << 20, 512, 32, 3
 MOST_BITS = 30
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -129,11 +130,11 @@ def alike(reps: DataFrame) -> DataFrame:
     """(cls, lead, same): classes and the leads whose sketches agree with theirs in ALIKE values or more."""
     values = reps.select("cls", F.posexplode("sketch").alias("j", "v"))
     leads = values.groupBy("j", "v").agg(*(f(F.col("cls").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"{f.__name__}{i}") for i, x in enumerate(PIVOTS) for f in (F.min, F.max))).where("min0 < max0")
-    leads = cut(leads.select("j", "v", F.array_distinct(F.array(*(f"{f}{i}" for i in range(len(PIVOTS)) for f in ("min", "max")))).alias("leads")))
+    leads = counted(leads.select("j", "v", F.array_distinct(F.array(*(f"{f}{i}" for i in range(len(PIVOTS)) for f in ("min", "max")))).alias("leads")))
     pairs = values.join(leads, ["j", "v"]).select("cls", F.explode("leads").alias("lead")).where(F.col("cls") != F.col("lead")).distinct()
     pairs = pairs.join(reps.select("cls", F.col("sketch").alias("s1")), "cls").join(reps.select(F.col("cls").alias("lead"), F.col("sketch").alias("s2")), "lead")
     same = F.size(F.filter(F.zip_with("s1", "s2", lambda x, y: x == y), lambda x: x))
-    return cut(pairs.select("cls", "lead", same.alias("same")).where(F.col("same") >= ALIKE))
+    return counted(pairs.select("cls", "lead", same.alias("same")).where(F.col("same") >= ALIKE))
 
 
 def own_leads(pairs: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def own_block(k: str) -> Column:
 
 def lead_links(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the classes that link with their leads, by their whole sets; pairs (cls, lead), sizes (cls, n)."""
-    dealt = cut(with_facts(pairs, blocks(pairs.join(sizes, "cls"), "lead", "k"), "lead").select("lead", own_block("k").alias("part"), "cls"))
+    dealt = counted(with_facts(pairs, blocks(pairs.join(sizes, "cls"), "lead", "k"), "lead").select("lead", own_block("k").alias("part"), "cls"))
     asked = dealt.select("lead", "part").distinct().select("lead", "part", F.col("lead").alias("cls"), F.lit(0).alias("turn"))
     rows = dealt.withColumn("turn", F.lit(1)).unionByName(asked).join(sets, "cls").select("lead", "part", "turn", "cls", "s")
     rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "turn")  # a lead comes before its members
@@ -532,21 +533,31 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
 def guest_links(guests: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between guests (fam, cls, root, n) and the members (fam, cls, root, n) of their host family."""
     facts = cut(blocks(guests, "fam", "kg").join(blocks(members, "fam", "k"), "fam"))
-    hosts = with_facts(members, facts, "fam").select("fam", F.explode(F.sequence(F.lit(0), F.col("kg") - 1)).alias("i"), own_block("k").alias("j"), F.lit(False).alias("guest"), "cls", "root")
-    visit = with_facts(guests, facts, "fam").select("fam", own_block("kg").alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), F.lit(True).alias("guest"), "cls", "root")
-    rows = cut(hosts.unionByName(visit)).join(sets, "cls")
-
-    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        guest, cls, root = block["guest"].to_numpy(), block["cls"].to_numpy(), block["root"].to_numpy()
-        s = [np.asarray(x, np.int64).view(np.uint64) for x in block["s"]]
-        left, right = np.flatnonzero(guest), np.flatnonzero(~guest)
+    hosts = with_facts(members, facts, "fam").select("fam", F.lit(False).alias("guest"), own_block("k").alias("block"), F.col("kg").alias("others"), "cls", "root")
+    visit = with_facts(guests, facts, "fam").select("fam", F.lit(True).alias("guest"), own_block("kg").alias("block"), F.col("k").alias("others"), "cls", "root")
+    rows = counted(hosts.unionByName(visit)).join(sets, "cls")
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        s = [np.asarray(x, np.int64) for x in rows["s"]]
+        one = {"cls": rows["cls"].to_numpy(), "root": rows["root"].to_numpy(), "n": np.array([len(x) for x in s]), "s": np.concatenate(s)}
+        return pd.DataFrame(dict(zip(("fam", "guest", "block", "others"), ([k] for k in key))) | {c: [v] for c, v in one.items()})
+
+    packed = rows.groupBy("fam", "guest", "block", "others").applyInPandas(pack, "fam long, guest boolean, block int, others int, cls array<long>, root array<long>, n array<long>, s array<long>")
+    # a block is one row that moves once to each SIDE blocks that it meets
+    own, other = F.floor(F.col("block") / SIDE).cast("int"), F.explode(F.sequence(F.lit(0), F.floor((F.col("others") - 1) / SIDE).cast("int")))
+    cells = packed.select("fam", "guest", own.alias("own"), other.alias("other"), "cls", "root", "n", "s")
+    cells = cells.select("fam", F.when(F.col("guest"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("guest"), F.col("other")).otherwise(F.col("own")).alias("j"), "guest", "cls", "root", "n", "s")
+
+    def run(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
+        each = [(r.guest, r.cls, r.root, np.split(np.asarray(r.s, np.int64).view(np.uint64), np.cumsum(r.n)[:-1])) for r in cell.itertuples()]
         links = []
-        if len(left) and len(right):
-            linked = derived([s[i] for i in left], [s[i] for i in right], root[left][:, None] == root[right], percent)
-            links = [(int(cls[left[i]]), int(cls[right[j]])) for i, j in spanning(linked)]
+        for _, cls, root, left in (x for x in each if x[0]):
+            for _, host_cls, host_root, right in (x for x in each if not x[0]):
+                linked = derived(left, right, root[:, None] == host_root, percent)
+                links += [(int(cls[x]), int(host_cls[y])) for x, y in spanning(linked)]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("fam", "i", "j").applyInPandas(run, "a long, b long")
+    return cells.groupBy("fam", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def cross_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -560,20 +571,20 @@ def links_of(docs: DataFrame, known: DataFrame, reps: DataFrame, often, text: st
     """(a, b): enough links between classes to connect all that are connected. known: rows with a set; reps (n, c1, c2, cls, sketch)."""
     pairs = alike(reps)
     fams = components(pairs.select(F.col("cls").alias("a"), F.col("lead").alias("b")))
-    fams = cut(fams.select(F.col("node").alias("cls"), F.col("comp").alias("fam")))
+    fams = counted(fams.select(F.col("node").alias("cls"), F.col("comp").alias("fam")))
     kin = cut(sets_of(docs, text, width, fams.select(F.col("cls").alias("id"))))
     sizes = reps.select("cls", "n")
-    led = cut(lead_links(own_leads(pairs), sizes, kin, percent))
+    led = counted(lead_links(own_leads(pairs), sizes, kin, percent))
     roots = components(led)
     members = fams.join(sizes, "cls").join(roots.select(F.col("node").alias("cls"), F.col("comp").alias("root")), "cls", "left")
-    members = cut(members.select("fam", "cls", F.coalesce("root", "cls").alias("root"), "n"))
+    members = counted(members.select("fam", "cls", F.coalesce("root", "cls").alias("root"), "n"))
 
     names = reps.select("n", "c1", "c2", "cls").join(fams, "cls", "left")
     names = names.select("n", "c1", "c2", F.col("cls").alias("doc_id"), F.coalesce("fam", "cls").alias("fam"), F.col("fam").isNotNull().alias("family"))
     heads = known.select("n", "c1", "c2", "doc_id", "end", "head").join(names, ["n", "c1", "c2", "doc_id"])
     posted = postings(heads, often).repartition("h").sortWithinPartitions("h")
     met = pairs_of_lists(posted, percent).groupBy("x", "sx", "y", "sy").agg(F.sum("c").alias("c"))
-    met = cut(admitted(met, percent))
+    met = counted(admitted(met, percent))
     alone = ~is_family("sx") & ~is_family("sy")
     singles = met.where(alone).select("x", "y").distinct()
 
@@ -586,10 +597,10 @@ def links_of(docs: DataFrame, known: DataFrame, reps: DataFrame, often, text: st
     units = units.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     by_size = members.select("fam", "cls", "root", "n", class_of("n").alias("low"), F.pmod(F.xxhash64("cls", F.lit("salt")), F.lit(SALTS)).cast("int").alias("salt"))
     many = by_size.join(units, ["fam", "low", "salt"]).select(F.col("h").alias("fam"), "cls", "root", "n")
-    guests = cut(unled.unionByName(one).unionByName(many).distinct())
+    guests = counted(unled.unionByName(one).unionByName(many).distinct())
 
     ids = singles.select(F.col("x").alias("id")).unionByName(singles.select(F.col("y").alias("id"))).unionByName(one.select(F.col("cls").alias("id")))
-    sets = kin.unionByName(cut(sets_of(docs, text, width, cut(ids.distinct()))))
+    sets = kin.unionByName(cut(sets_of(docs, text, width, counted(ids.distinct()))))
     return led.unionByName(guest_links(guests, members, sets, percent)).unionByName(cross_links(singles, sets, percent))
 
 
@@ -600,7 +611,7 @@ def join(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int =
     every = stored(summarise(docs, text, width, percent, often))
     facts = every.select("doc_id", "n", "c1", "c2")
     known = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = cut(known.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("cls"), F.first("sketch").alias("sketch")))
+    reps = counted(known.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("cls"), F.first("sketch").alias("sketch")))
     names = reps.select("n", "c1", "c2", "cls")
     links = links_of(docs, known, reps, often, text, width, percent)
 
@@ -618,7 +629,7 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Only documents that a bitmap of the dropped ids does not clear are joined, so most texts never move.
     """
-    gone = cut(join(docs, text).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct())
+    gone = counted(join(docs, text).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct())
     docs = docs.drop("_maybe", "_gone")
     marked = maybe_in(docs, "doc_id", gone.select(F.col("_gone").alias("id")), "_maybe")
     unsure = marked.where("_maybe").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

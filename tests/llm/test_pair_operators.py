@@ -159,6 +159,28 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_few_links_are_in_few_partitions(spark, monkeypatch):
+    """Each task of a shuffle leaves files: rounds over few links once filled a disk with them."""
+    made, cut = [], graph.cut
+
+    def recorded(df):
+        made.append(df.rdd.getNumPartitions())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "cut", recorded)
+    monkeypatch.setattr(graph, "ROWS", 64)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "41")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = graph.components(spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert len(got) == 101 and {r["comp"] for r in got} == {0}
+    assert made[0] == 41 and max(made[1:]) <= 4
+
+
 URLS = [
     ("http://a.net", "a.net", "", None, "allow"),
     ("http://a.NET/x", "a.net", "/x", "net/", "block"),
