@@ -537,12 +537,8 @@ def guest_links(guests: DataFrame, members: DataFrame, sets: DataFrame, percent:
     visit = with_facts(guests, facts, "fam").select("fam", F.lit(True).alias("guest"), own_block("kg").alias("block"), F.col("k").alias("others"), "cls", "root")
     rows = counted(hosts.unionByName(visit)).join(sets, "cls")
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        s = [np.asarray(x, np.int64) for x in rows["s"]]
-        one = {"cls": rows["cls"].to_numpy(), "root": rows["root"].to_numpy(), "n": np.array([len(x) for x in s]), "s": np.concatenate(s)}
-        return pd.DataFrame(dict(zip(("fam", "guest", "block", "others"), ([k] for k in key))) | {c: [v] for c, v in one.items()})
-
-    packed = rows.groupBy("fam", "guest", "block", "others").applyInPandas(pack, "fam long, guest boolean, block int, others int, cls array<long>, root array<long>, n array<long>, s array<long>")
+    packed = rows.groupBy("fam", "guest", "block", "others").agg(F.collect_list(F.struct("cls", "root", "s")).alias("x"))
+    packed = packed.select("fam", "guest", "block", "others", "x.cls", "x.root", F.transform("x.s", F.size).alias("n"), F.flatten("x.s").alias("s"))
     # a block is one row that moves once to each SIDE blocks that it meets
     own, other = F.floor(F.col("block") / SIDE).cast("int"), F.explode(F.sequence(F.lit(0), F.floor((F.col("others") - 1) / SIDE).cast("int")))
     cells = packed.select("fam", "guest", own.alias("own"), other.alias("other"), "cls", "root", "n", "s")
