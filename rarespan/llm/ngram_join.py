@@ -567,7 +567,7 @@ def links_of(docs: DataFrame, known: DataFrame, reps: DataFrame, often, text: st
     """(a, b): enough links between classes to connect all that are connected. known: rows with a set; reps (n, c1, c2, cls, sketch)."""
     pairs = alike(reps)
     fams = components(pairs.select(F.col("cls").alias("a"), F.col("lead").alias("b")))
-    fams = counted(fams.select(F.col("node").alias("cls"), F.col("comp").alias("fam")))
+    fams = fams.select(F.col("node").alias("cls"), F.col("comp").alias("fam"))
     kin = cut(sets_of(docs, text, width, fams.select(F.col("cls").alias("id"))))
     sizes = reps.select("cls", "n")
     led = counted(lead_links(own_leads(pairs), sizes, kin, percent))

@@ -159,6 +159,30 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("last", [0, 20])
+def test_components_in_rounds(spark, monkeypatch, last):
+    monkeypatch.setattr(graph, "LAST", last)
+    test_components(spark)
+
+
+def test_few_links_are_merged_by_one_task(spark, monkeypatch):
+    """Plans fill the driver's memory, however few their rows: rounds over 100 links once made 30 tables and 8 counts."""
+    tables, cut, counts = [], graph.cut, []
+    monkeypatch.setattr(graph, "cut", lambda df: tables.append(1) or cut(df))
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda df: counts.append(1))
+    got = graph.components(spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")).collect()
+    assert len(got) == 101 and {r["comp"] for r in got} == {0}
+    assert len(tables) == 2 and not counts
+
+
+def test_counted_counts_as_it_cuts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS", 64)
+    for rows, partitions in ((0, 1), (64, 1), (65, 2), (200, 4)):
+        made = graph.counted(spark.range(200, numPartitions=8).join(spark.range(rows), "id").distinct().repartition(8))
+        assert (made.rdd.getNumPartitions(), made.count()) == (partitions, rows)
+    assert graph.cut_and_count(spark.createDataFrame([], "a long").where("false"))[1] == 0
+
+
 def test_few_links_are_in_few_partitions(spark, monkeypatch):
     """Each task of a shuffle leaves files: rounds over few links once filled a disk with them."""
     made, cut = [], graph.cut
