@@ -22,7 +22,8 @@ Two texts link when 100 * |A & B| >= 80 * |A | B| of their sets of five-word shi
 
 Scale: a list of a frequent shingle is dealt to block pairs of about LIST entries; families and guests to blocks of
 BLOCK_MEMBERS sets or BLOCK_SHINGLES shingles, the number of which is known before any set is moved, and SIDE by SIDE
-blocks meet in a task. Tables of few rows are in few partitions, as each task leaves files. The driver
+blocks meet in a task. Tables of few rows are in few partitions, as each task leaves files; few links are merged by
+one task, as each plan fills the driver. The driver
 holds a bitmap sized by its count, 128 MB at most, and at most FREQUENT shingles. Sets are recomputed from the text
 where they are needed. Two large families that are just short of linking cost the product of their sizes
 in derived answers: nothing is dropped to avoid it.
