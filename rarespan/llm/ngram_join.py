@@ -24,8 +24,9 @@ Scale: a list of a frequent shingle is dealt to block pairs of about LIST entrie
 BLOCK_MEMBERS sets or BLOCK_SHINGLES shingles, the number of which is known before any set is moved, and SIDE by SIDE
 blocks meet in a task. Tables of few rows are in few partitions, as each task leaves files; few links are merged by
 one task, as each plan fills the driver. The driver
-holds a bitmap sized by its count, 128 MB at most, and at most FREQUENT shingles. Sets are recomputed from the text
-where they are needed. Two large families that are just short of linking cost the product of their sizes
+holds a bitmap sized by its count, 128 MB at most, and at most FREQUENT shingles. What moves is written to disk, and
+hashes do not compress: texts move to where they meet and become sets there, prefixes stay where they were made unless
+a relation needs their document looked up, and sketches are compared by SHORT bits a value. Two large families that are just short of linking cost the product of their sizes
 in derived answers: nothing is dropped to avoid it.
 
 Defined results: null or empty texts and texts without a word have no shingles and are their own
@@ -40,6 +41,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,8 @@ from rarespan.llm.common import cut, sliced, stored
 from rarespan.llm.graph import components, counted
 
 WIDTH, PERCENT, SKETCH, ALIKE, SURE = 5, 80, 16, 5, 10
+#: Values of a sketch that look for leads, and bits of each value that sketches are compared by; both decide cost, never the result.
+SEEK, SHORT = 8, 15
 PIVOTS = (0, 0x2AAAAAAAAAAAAAAA, 0x1999999999999999)
 SAMPLE_RATE, SAMPLE_COUNT, FREQUENT, LIST = 8, 4, 1 << 17, 4096
 BLOCK_SHINGLES, BLOCK_MEMBERS, SALTS, SIDE = 1 << 20, 512, 32, 3
@@ -103,7 +107,7 @@ def sketch_of(s: np.ndarray) -> np.ndarray:
 
 
 def summarise(docs: DataFrame, text: str, width: int, percent: int, often) -> DataFrame:
-    """(doc_id, n, c1, c2, sketch, end, head): the size of each set, two sums that name it, its sketch, and its prefix with the place where it ends."""
+    """(doc_id, n, w, c1, c2, sketch, end, head): the size of each set, its weight (its shingles, or its text's bytes by 8 if more), two sums that name it, its sketch, and its prefix with the place where it ends."""
 
     def run(batches):
         words, table = WordHashes(), often.value[0]
@@ -122,18 +126,20 @@ def summarise(docs: DataFrame, text: str, width: int, percent: int, often) -> Da
             lists = pa.ListArray.from_arrays(np.arange(0, SKETCH * (len(n) + 1), SKETCH, dtype=np.int32), longs(sketch))
             at = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             heads = pa.ListArray.from_arrays(at, longs(np.concatenate(heads)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), longs(c1), longs(c2), lists, pa.array(ends, pa.int64()), heads], ["doc_id", "n", "c1", "c2", "sketch", "end", "head"])
+            size = pa.array(np.maximum(n, pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy() // 8), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), size, longs(c1), longs(c2), lists, pa.array(ends, pa.int64()), heads], ["doc_id", "n", "w", "c1", "c2", "sketch", "end", "head"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>, end long, head array<long>")
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n long, w long, c1 long, c2 long, sketch array<long>, end long, head array<long>")
 
 
 def alike(reps: DataFrame) -> DataFrame:
-    """(cls, lead, same): classes and the leads whose sketches agree with theirs in ALIKE values or more."""
-    values = reps.select("cls", F.posexplode("sketch").alias("j", "v"))
+    """(cls, lead, same): classes and the leads, found by SEEK values, whose sketches agree with theirs in ALIKE values or more."""
+    values = reps.select("cls", F.posexplode(F.slice("sketch", 1, SEEK)).alias("j", "v"))
+    short = F.transform("sketch", lambda v: v.bitwiseAND(F.lit((1 << SHORT) - 1)).cast("short"))
     leads = values.groupBy("j", "v").agg(*(f(F.col("cls").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"{f.__name__}{i}") for i, x in enumerate(PIVOTS) for f in (F.min, F.max))).where("min0 < max0")
     leads = counted(leads.select("j", "v", F.array_distinct(F.array(*(f"{f}{i}" for i in range(len(PIVOTS)) for f in ("min", "max")))).alias("leads")))
     pairs = values.join(leads, ["j", "v"]).select("cls", F.explode("leads").alias("lead")).where(F.col("cls") != F.col("lead")).distinct()
-    pairs = pairs.join(reps.select("cls", F.col("sketch").alias("s1")), "cls").join(reps.select(F.col("cls").alias("lead"), F.col("sketch").alias("s2")), "lead")
+    pairs = pairs.join(reps.select("cls", short.alias("s1")), "cls").join(reps.select(F.col("cls").alias("lead"), short.alias("s2")), "lead")
     same = F.size(F.filter(F.zip_with("s1", "s2", lambda x, y: x == y), lambda x: x))
     return counted(pairs.select("cls", "lead", same.alias("same")).where(F.col("same") >= ALIKE))
 
@@ -151,8 +157,8 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
 
 
 def blocks(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, name): into how many blocks the sets of each key are dealt; rows are (key, n)."""
-    sizes = rows.groupBy(key).agg(F.sum("n").alias("all"), F.count("*").alias("m"))
+    """(key, name): into how many blocks the sets of each key are dealt; rows are (key, w)."""
+    sizes = rows.groupBy(key).agg(F.sum("w").alias("all"), F.count("*").alias("m"))
     return sizes.select(key, F.greatest(F.ceil(F.col("all") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("int").alias(name))
 
 
@@ -160,24 +166,23 @@ def own_block(k: str) -> Column:
     return F.pmod(F.xxhash64("cls", F.lit("block")), F.col(k)).cast("int")
 
 
-def lead_links(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the classes that link with their leads, by their whole sets; pairs (cls, lead), sizes (cls, n)."""
+def lead_links(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): the classes that link with their leads, by their whole sets; pairs (cls, lead), sizes (cls, w)."""
     dealt = counted(with_facts(pairs, blocks(pairs.join(sizes, "cls"), "lead", "k"), "lead").select("lead", own_block("k").alias("part"), "cls"))
     asked = dealt.select("lead", "part").distinct().select("lead", "part", F.col("lead").alias("cls"), F.lit(0).alias("turn"))
-    rows = dealt.withColumn("turn", F.lit(1)).unionByName(asked).join(sets, "cls").select("lead", "part", "turn", "cls", "s")
+    rows = dealt.withColumn("turn", F.lit(1)).unionByName(asked).join(texts, "cls").select("lead", "part", "turn", "cls", "text")
     rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "turn")  # a lead comes before its members
 
     def run(batches):
-        of, leads = None, []
-        for b in batches:
+        words, of, leads = WordHashes(), None, []
+        for b in sliced(batches):
             a, c = [], []
-            flat, offsets = b.column(4).flatten().to_numpy().view(np.uint64), b.column(4).offsets.to_numpy() - b.column(4).offsets[0].as_py()
-            for i, (lead, part, turn, cls) in enumerate(zip(*(b.column(j).to_pylist() for j in range(4)))):
-                own = flat[offsets[i] : offsets[i + 1]]
+            for lead, part, turn, cls, text in zip(*(x.to_pylist() for x in b.columns)):
+                own = shingles(text, words, width)
                 if turn == 0:
-                    leads = [*leads, own.copy()] if of == (lead, part) else [own.copy()]
+                    leads = [*leads, own] if of == (lead, part) else [own]
                     of = lead, part
-                elif any((100 + percent) * int(found_in(own, s).sum()) >= percent * (len(own) + len(s)) for s in leads):
+                elif len(own) and any((100 + percent) * int(found_in(own, s).sum()) >= percent * (len(own) + len(s)) for s in leads):
                     a.append(cls)
                     c.append(lead)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
@@ -413,14 +418,16 @@ def admitted(pairs: DataFrame, percent: int) -> DataFrame:
     return rows.where((100 + percent) * (F.col("c") + room) >= percent * (F.col("low_x") + F.col("low_y"))).select("x", "sx", "y", "sy")
 
 
-def spot(key: str, bits: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit("bitmap")), 64 - bits)
+def spots(key: Column, bits: int) -> list[Column]:
+    """Two bits of a bitmap for a key, from different bits of its hash."""
+    h = F.xxhash64(key, F.lit("bitmap"))
+    return [F.shiftrightunsigned(h, 64 - bits), h.bitwiseAND(F.lit((1 << bits) - 1))]
 
 
 def bitmap_of(ids: DataFrame) -> tuple[np.ndarray, int]:
     """A bitmap of hashed ids with eight bits an id, and its number of bits as a power of two: no false negative. Beyond 2^MOST_BITS bits it clears fewer ids and errs in none."""
     bits = min(MOST_BITS, max(16, (8 * ids.count()).bit_length()))
-    rows = ids.select(spot("id", bits).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("m")).toArrow()
+    rows = ids.select(F.explode(F.array(*spots(F.col("id"), bits))).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("m")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[rows["w"].to_numpy()] = rows["m"].to_numpy().view(np.uint64)
     return out, bits
@@ -437,25 +444,16 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
-    def probe(spots: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(spots.to_numpy(), shared.value))
-
-    return df.withColumn(name, probe(spot(key, bits)))
-
+    def probe(first: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(first.to_numpy(), shared.value) & in_bitmap(second.to_numpy(), shared.value))
 
-def sets_of(docs: DataFrame, text: str, width: int, ids: DataFrame) -> DataFrame:
-    """(cls, s) for the documents with these ids; a bitmap of them spares the other texts the work."""
-    bitmap, bits = bitmap_of(ids)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    return df.withColumn(name, probe(*spots(F.col(key), bits)))
 
-    def run(batches):
-        words = WordHashes()
-        for b in sliced(batches):
-            b = b.filter(pa.array(in_bitmap(b.column(1).to_numpy(), shared.value)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words, width).view(np.int64) for t in b.column(2).to_pylist()], pa.list_(pa.int64()))], ["cls", "s"])
 
-    made = docs.where(F.col("doc_id").isNotNull()).select("doc_id", spot("doc_id", bits).alias("spot"), text).mapInArrow(run, "cls long, s array<long>")
-    return made.where(F.size("s") > 0).join(ids.select(F.col("id").alias("cls")).distinct(), "cls", "left_semi")
+def texts_of(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
+    """(cls, text) of the documents with these ids and of a few others, which a join clears: a bitmap of the ids lets the others stay."""
+    rows = docs.select(F.col("doc_id").alias("cls"), F.col(text).alias("text")).where(F.col("cls").isNotNull() & F.col("text").isNotNull())
+    return maybe_in(rows, "cls", ids, "_in").where("_in").drop("_in")
 
 
 def columns_product(left_at, left_col, right_at, right_col, shape: tuple[int, int], width: int, step: int = 2048) -> np.ndarray:
@@ -531,25 +529,31 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def guest_links(guests: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between guests (fam, cls, root, n) and the members (fam, cls, root, n) of their host family."""
+def guest_links(guests: DataFrame, members: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """(a, b): links between guests (fam, cls, root, w) and the members (fam, cls, root, w) of their host family."""
     facts = cut(blocks(guests, "fam", "kg").join(blocks(members, "fam", "k"), "fam"))
     hosts = with_facts(members, facts, "fam").select("fam", F.lit(False).alias("guest"), own_block("k").alias("block"), F.col("kg").alias("others"), "cls", "root")
     visit = with_facts(guests, facts, "fam").select("fam", F.lit(True).alias("guest"), own_block("kg").alias("block"), F.col("k").alias("others"), "cls", "root")
-    rows = counted(hosts.unionByName(visit)).join(sets, "cls")
+    rows = counted(hosts.unionByName(visit))
+    rows = rows.join(texts_of(docs, text, rows.select(F.col("cls").alias("id"))), "cls")
 
-    packed = rows.groupBy("fam", "guest", "block", "others").agg(F.collect_list(F.struct("cls", "root", "s")).alias("x"))
-    packed = packed.select("fam", "guest", "block", "others", "x.cls", "x.root", F.transform("x.s", F.size).alias("n"), F.flatten("x.s").alias("s"))
+    packed = rows.groupBy("fam", "guest", "block", "others").agg(F.collect_list(F.struct("cls", "root", "text")).alias("x"))
+    packed = packed.select("fam", "guest", "block", "others", "x.cls", "x.root", "x.text")
     # a block is one row that moves once to each SIDE blocks that it meets
     own, other = F.floor(F.col("block") / SIDE).cast("int"), F.explode(F.sequence(F.lit(0), F.floor((F.col("others") - 1) / SIDE).cast("int")))
-    cells = packed.select("fam", "guest", own.alias("own"), other.alias("other"), "cls", "root", "n", "s")
-    cells = cells.select("fam", F.when(F.col("guest"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("guest"), F.col("other")).otherwise(F.col("own")).alias("j"), "guest", "cls", "root", "n", "s")
+    cells = packed.select("fam", "guest", own.alias("own"), other.alias("other"), "cls", "root", "text")
+    cells = cells.select("fam", F.when(F.col("guest"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("guest"), F.col("other")).otherwise(F.col("own")).alias("j"), "guest", "cls", "root", "text")
+
+    def block_of(r, words):
+        sets = [shingles(t, words, width) for t in r.text]
+        some = [i for i, s in enumerate(sets) if len(s)]
+        return r.guest, np.asarray(r.cls)[some], np.asarray(r.root)[some], [sets[i] for i in some]
 
     def run(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
-        each = [(r.guest, r.cls, r.root, np.split(np.asarray(r.s, np.int64).view(np.uint64), np.cumsum(r.n)[:-1])) for r in cell.itertuples()]
-        links = []
-        for _, cls, root, left in (x for x in each if x[0]):
-            for _, host_cls, host_root, right in (x for x in each if not x[0]):
+        words, links = WordHashes(), []
+        each = [block_of(r, words) for r in cell.itertuples()]
+        for _, cls, root, left in (x for x in each if x[0] and x[3]):
+            for _, host_cls, host_root, right in (x for x in each if not x[0] and x[3]):
                 linked = derived(left, right, root[:, None] == host_root, percent)
                 links += [(int(cls[x]), int(host_cls[y])) for x, y in spanning(linked)]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
@@ -557,48 +561,60 @@ def guest_links(guests: DataFrame, members: DataFrame, sets: DataFrame, percent:
     return cells.groupBy("fam", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def cross_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def cross_links(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """(a, b) of the pairs (x, y) that link, by their whole sets."""
-    both = pairs.join(sets.select(F.col("cls").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("cls").alias("y"), F.col("s").alias("sy")), "y")
-    common = F.size(F.array_intersect("sx", "sy"))
-    return both.where((100 + percent) * common >= percent * (F.size("sx") + F.size("sy"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    texts = texts_of(docs, text, pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))))
+    both = pairs.join(texts.select(F.col("cls").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("cls").alias("y"), F.col("text").alias("ty")), "y")
+
+    def run(batches):
+        words = WordHashes()
+        for b in sliced(batches):
+            link = []
+            for left, right in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                s, t = shingles(left, words, width), shingles(right, words, width)
+                link.append(len(s) > 0 and len(t) > 0 and (100 + percent) * int(found_in(s, t).sum()) >= percent * (len(s) + len(t)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(link, pa.bool_()))
+
+    return both.select("x", "y", "tx", "ty").mapInArrow(run, "a long, b long")
 
 
 def links_of(docs: DataFrame, known: DataFrame, reps: DataFrame, often, text: str, width: int, percent: int) -> DataFrame:
-    """(a, b): enough links between classes to connect all that are connected. known: rows with a set; reps (n, c1, c2, cls, sketch)."""
+    """(a, b): enough links between classes to connect all that are connected. known: rows with a set; reps (n, c1, c2, cls, sketch, w)."""
     pairs = alike(reps)
     fams = components(pairs.select(F.col("cls").alias("a"), F.col("lead").alias("b")))
     fams = fams.select(F.col("node").alias("cls"), F.col("comp").alias("fam"))
-    kin = cut(sets_of(docs, text, width, fams.select(F.col("cls").alias("id"))))
-    sizes = reps.select("cls", "n")
-    led = counted(lead_links(own_leads(pairs), sizes, kin, percent))
+    sizes = reps.select("cls", "n", "w")
+    kin = texts_of(docs, text, fams.select(F.col("cls").alias("id")))
+    led = counted(lead_links(own_leads(pairs), sizes, kin, width, percent))
     roots = components(led)
     members = fams.join(sizes, "cls").join(roots.select(F.col("node").alias("cls"), F.col("comp").alias("root")), "cls", "left")
-    members = counted(members.select("fam", "cls", F.coalesce("root", "cls").alias("root"), "n"))
-
-    names = reps.select("n", "c1", "c2", "cls").join(fams, "cls", "left")
-    names = names.select("n", "c1", "c2", F.col("cls").alias("doc_id"), F.coalesce("fam", "cls").alias("fam"), F.col("fam").isNotNull().alias("family"))
-    heads = known.select("n", "c1", "c2", "doc_id", "end", "head").join(names, ["n", "c1", "c2", "doc_id"])
-    posted = postings(heads, often).repartition("h").sortWithinPartitions("h")
+    members = counted(members.select("fam", "cls", F.coalesce("root", "cls").alias("root"), "n", "w"))
+
+    # only documents that may be of a family, or not their class's own, are looked up; the others' prefixes stay
+    names = reps.select("n", "c1", "c2", F.col("cls").alias("doc_id")).join(fams.withColumnRenamed("cls", "doc_id"), "doc_id", "left")
+    copies = known.select("doc_id", "n", "c1", "c2").join(reps.select("n", "c1", "c2", "cls"), ["n", "c1", "c2"]).where("cls <> doc_id")
+    aside = counted(fams.select(F.col("cls").alias("id")).unionByName(copies.select(F.col("doc_id").alias("id"))))
+    heads = maybe_in(known.select("n", "c1", "c2", "doc_id", "end", "head"), "doc_id", aside, "_in")
+    stay = heads.where("NOT _in").select(F.col("doc_id").alias("fam"), F.lit(False).alias("family"), "n", "end", "head")
+    named = heads.where("_in").join(names, ["n", "c1", "c2", "doc_id"])
+    named = named.select(F.coalesce("fam", "doc_id").alias("fam"), F.col("fam").isNotNull().alias("family"), "n", "end", "head")
+    posted = postings(stay.unionByName(named), often).repartition("h").sortWithinPartitions("h")
     met = pairs_of_lists(posted, percent).groupBy("x", "sx", "y", "sy").agg(F.sum("c").alias("c"))
     met = counted(admitted(met, percent))
     alone = ~is_family("sx") & ~is_family("sy")
-    singles = met.where(alone).select("x", "y").distinct()
+    singles = counted(met.where(alone).select("x", "y").distinct())
 
     # guests: members that no lead linked with most of their family, and what the index pairs with a family
     most = members.groupBy("fam", "root").agg(F.count("*").alias("m")).groupBy("fam").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
-    unled = with_facts(members, most, "fam").where(F.col("root") != F.col("main")).select("fam", "cls", "root", "n")
+    unled = with_facts(members, most, "fam").where(F.col("root") != F.col("main")).select("fam", "cls", "root")
     paired = met.where(~alone).select(*(F.when(is_family("sx"), F.col(f"{a}x")).otherwise(F.col(f"{a}y")).alias(f"{a}h") for a in ("", "s")), *(F.when(is_family("sx"), F.col(f"{a}y")).otherwise(F.col(f"{a}x")).alias(f"{a}g") for a in ("", "s")))
-    one = paired.where(~is_family("sg")).select(F.col("h").alias("fam"), F.col("g").alias("cls"), F.col("g").alias("root"), low_size("sg").alias("n"))
+    one = paired.where(~is_family("sg")).select(F.col("h").alias("fam"), F.col("g").alias("cls"), F.col("g").alias("root"))
     units = paired.where(is_family("sg")).select("h", F.col("g").alias("fam"), low_size("sg").alias("low")).distinct()
     units = units.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     by_size = members.select("fam", "cls", "root", "n", class_of("n").alias("low"), F.pmod(F.xxhash64("cls", F.lit("salt")), F.lit(SALTS)).cast("int").alias("salt"))
-    many = by_size.join(units, ["fam", "low", "salt"]).select(F.col("h").alias("fam"), "cls", "root", "n")
-    guests = counted(unled.unionByName(one).unionByName(many).distinct())
-
-    ids = singles.select(F.col("x").alias("id")).unionByName(singles.select(F.col("y").alias("id"))).unionByName(one.select(F.col("cls").alias("id")))
-    sets = kin.unionByName(cut(sets_of(docs, text, width, counted(ids.distinct()))))
-    return led.unionByName(guest_links(guests, members, sets, percent)).unionByName(cross_links(singles, sets, percent))
+    many = by_size.join(units, ["fam", "low", "salt"]).select(F.col("h").alias("fam"), "cls", "root")
+    guests = counted(unled.unionByName(one).unionByName(many).distinct().join(sizes.select("cls", "w"), "cls"))
+    return led.unionByName(guest_links(guests, members, docs, text, width, percent)).unionByName(cross_links(singles, docs, text, width, percent))
 
 
 def join(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -608,7 +624,7 @@ def join(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int =
     every = stored(summarise(docs, text, width, percent, often))
     facts = every.select("doc_id", "n", "c1", "c2")
     known = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = counted(known.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("cls"), F.first("sketch").alias("sketch")))
+    reps = counted(known.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("cls"), F.first("sketch").alias("sketch"), F.max("w").alias("w")))
     names = reps.select("n", "c1", "c2", "cls")
     links = links_of(docs, known, reps, often, text, width, percent)
 
