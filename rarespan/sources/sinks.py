@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rarespan.sources.result_file import one_file, write_lines
@@ -15,28 +15,36 @@ def header_lines(meta: dict) -> list[str]:
     return [f"# @{k}: {form.get(k, '{}').format(meta[k])}" for k in order if meta.get(k) is not None]
 
 
-def curve_lines(summary: DataFrame, total_reads: int, portion_as_label: bool = False) -> DataFrame:
-    """(portion_idx, value): the lines of a curve file after its header."""
-    label = F.format_string("%.6f", "portion") if portion_as_label else F.format_string("%.0f", F.col("portion") * total_reads)
-    numbers = [F.format_string("%.5f", c) for c in ("avg", "sd", "q1", "q2", "q3")]
+def printf(value: Column, places: int) -> Column:
+    """The text that C's %.{places}f gives: rounded from the exact value, ties to even, where format_string rounds the shortest decimal half up."""
+    half = float(f"5e-{places + 1}")  # the one value that DecimalFormat may take for a tie though it is none
+    exact = F.call_function("format_number", value.cast("double"), F.lit(f"0.{'0' * places}".rstrip(".")))
+    return F.when(value == half, f"{half:.{places}f}").otherwise(exact)
+
+
+def curve_lines(summary: DataFrame, total_reads: int, portion_as_label: bool = False, half_up: bool = False) -> DataFrame:
+    """(portion_idx, value): the lines of a curve file after its header; half_up: numbers in the middle of two are rounded up instead of to even."""
+    text = (lambda value, places: F.format_string(f"%.{places}f", value)) if half_up else printf
+    label = text(F.col("portion"), 6) if portion_as_label else text(F.col("portion") * total_reads, 0)
+    numbers = [text(F.col(c), 5) for c in ("avg", "sd", "q1", "q2", "q3")]
     return summary.select("portion_idx", F.concat_ws("\t", label, *numbers).alias("value"))
 
 
-def curve_text(summary: DataFrame, meta: dict, total_reads: int, portion_as_label: bool = False) -> DataFrame:
+def curve_text(summary: DataFrame, meta: dict, total_reads: int, portion_as_label: bool = False, half_up: bool = False) -> DataFrame:
     """(portion_idx, value): a curve file's lines, header first, in one ordered partition; a curve has tens of points."""
     spark = summary.sparkSession
     head = spark.createDataFrame([(i - 1000, line) for i, line in enumerate(header_lines(meta))], "portion_idx int, value string")
-    return head.unionByName(curve_lines(summary, total_reads, portion_as_label)).coalesce(1).sortWithinPartitions("portion_idx")
+    return head.unionByName(curve_lines(summary, total_reads, portion_as_label, half_up)).coalesce(1).sortWithinPartitions("portion_idx")
 
 
-def write_curve(summary: DataFrame, meta: dict, path: str, total_reads: int, portion_as_label: bool = False) -> None:
+def write_curve(summary: DataFrame, meta: dict, path: str, total_reads: int, portion_as_label: bool = False, half_up: bool = False) -> None:
     """The header, then a line per portion."""
-    write_lines(curve_text(summary, meta, total_reads, portion_as_label).select("value"), path)
+    write_lines(curve_text(summary, meta, total_reads, portion_as_label, half_up).select("value"), path)
 
 
 def replicate_lines(replicates: DataFrame) -> DataFrame:
     """(portion_idx, replicate, value): portion (two decimals), replicate, value (ten decimals)."""
-    return replicates.select("portion_idx", "replicate", F.concat_ws("\t", F.format_string("%.2f", "portion"), F.col("replicate").cast("string"), F.format_string("%.10f", "redundancy")).alias("value"))
+    return replicates.select("portion_idx", "replicate", F.concat_ws("\t", printf(F.col("portion"), 2), F.col("replicate").cast("string"), printf(F.col("redundancy"), 10)).alias("value"))
 
 
 def write_replicates(replicates: DataFrame, path: str) -> None:

@@ -328,6 +328,17 @@ def test_streamed_hits(spark, tmp_path):
     assert {tuple(r) for r in spark.table("hits").select(sequence.kmer_code(F.col("kmer")), "n").collect()} == {tuple(r) for r in mating_kmer.counts(q, rows, 4).collect()}
 
 
+def test_numbers_of_curve_files(spark):
+    """Numbers in the middle of two go to the even one, as C's printf has it; half up only if asked for."""
+    values = [1 / 64, 3 / 64, 0.5, 5e-6, 1 / 320, 0.0, 1.0, 1 / 3]
+    rows = spark.createDataFrame([(i, 0.7, v, v, v, v, v) for i, v in enumerate(values)], "portion_idx int, portion double, avg double, sd double, q1 double, q2 double, q3 double")
+    lines = lambda half_up, total: [r["value"] for r in sinks.curve_lines(rows, total, half_up=half_up).orderBy("portion_idx").collect()]
+    assert lines(False, 15) == ["\t".join(["%.0f" % (0.7 * 15), *["%.5f" % v] * 5]) for v in values]
+    assert lines(False, 15)[0].split("\t")[:2] == ["10", "0.01562"] and lines(True, 15)[0].split("\t")[:2] == ["11", "0.01563"]
+    runs = spark.createDataFrame([(0, 0.125, 1, 1 / 2048)], "portion_idx int, portion double, replicate int, redundancy double")
+    assert sinks.replicate_lines(runs).head()["value"] == "%.2f\t%d\t%.10f" % (0.125, 1, 1 / 2048) == "0.12\t1\t0.0004882812"
+
+
 def test_other_sinks(spark, tmp_path):
     r = spark.createDataFrame([(0, 0.001, 1, 0.25)], "portion_idx int, portion double, replicate int, redundancy double")
     sinks.write_replicates(r, str(tmp_path / "r"))
