@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from rarespan.functions import rolling
 from rarespan.functions import sequence as S
 
-#: Counts from here on take another order of magnitude (fixed value: (2^32 - 1) div 1024).
-WIDE = 4_194_303
+#: Bits of the reference's fields, and the step of its orders of magnitude (fixed values).
+BITS, STEP = 32, 1024
 #: Longest windows whose counts are a dense array, and longest that fit a number.
 DENSE, LONGEST = 4, 15
 DIGITS = "0123456789ABCDEF"
@@ -63,11 +63,13 @@ def with_zeroes(counted: DataFrame, k: int) -> DataFrame:
     return labels.join(counted, "kmer", "left").select("kmer", F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def extended(counted: DataFrame) -> DataFrame:
-    """With the fields of the emulated wide counter, count = base * omag + hang: base is below WIDE, and omag the least power of 1024 for that."""
-    omag = F.lit(1024**4)
-    for k in (3, 2, 1, 0):
-        omag = F.when(F.col("count") < WIDE * 1024**k, F.lit(1024**k)).otherwise(omag)
+def extended(counted: DataFrame, bits: int = BITS) -> DataFrame:
+    """With the fields of a wide counter of so many bits, count = base * omag + hang: base is below (2^bits - 1) div STEP, and omag the least power of STEP for that."""
+    wide = (2**bits - 1) // STEP
+    powers = [STEP**k for k in range(5) if wide * STEP**k < 2**63]
+    omag = F.lit(powers[-1] * STEP)
+    for power in reversed(powers):
+        omag = F.when(F.col("count") < wide * power, F.lit(power)).otherwise(omag)
     rows = counted.select("kmer", "count", omag.cast("long").alias("omag"))
     return rows.select("kmer", "count", F.expr("count div omag").alias("base"), "omag", F.pmod("count", "omag").alias("hang"))
 

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from rarespan import catalogue
 from rarespan.config import Mating, Sampling
 from rarespan.functions import gamma
 from rarespan.functions import sequence as S
@@ -140,6 +141,14 @@ def test_wide_counter(spark):
     assert got == {n: emulated(n) for n in sizes}
 
 
+def test_extended_query_has_long_fields(spark, monkeypatch):
+    """Windows more frequent than a field of 32 bits takes: base is the count, as the SQL of the query has it."""
+    sizes = [0, 4_194_302, 4_194_303, 5_000_000, 10**10, 10**15]
+    monkeypatch.setattr(composition, "counts", lambda reads, k: frame(spark, [("A", n) for n in sizes], "kmer string, count long"))
+    rows = catalogue.queries()["nuc_composition_extended"](spark, "/root/testdata/sf0.001").select("count", "base", "omag", "hang").collect()
+    assert sorted(map(tuple, rows)) == [(n, n, 1, 0) for n in sizes]
+
+
 def test_many_query_codes_use_a_bitmap(spark, monkeypatch):
     import random
 
